@@ -1,0 +1,29 @@
+"""Oracle SQL per registered query key."""
+
+from __future__ import annotations
+
+from scanmart.plans.oracle import ACCOUNTS, ADAPTER, ORGS, SCORED, SIGNALS, with_ctes
+
+ORACLE: dict[str, str] = {}
+
+ORACLE["observations"] = with_ctes(ADAPTER) + "SELECT * EXCLUDE (user_id, k) FROM obs"
+ORACLE["accounts_mart"] = with_ctes(ADAPTER, ACCOUNTS) + "SELECT * FROM accounts"
+ORACLE["services_mart"] = with_ctes(ADAPTER) + """
+SELECT d.domain AS account_id, d.domain, s.service, count(*) AS observation_count,
+       min(try_cast(o.timestamp AS TIMESTAMP)) AS first_seen, max(try_cast(o.timestamp AS TIMESTAMP)) AS last_seen
+FROM obs AS o CROSS JOIN UNNEST(o.registrable_domains) AS d(domain) CROSS JOIN UNNEST(o.detected_services) AS s(service)
+WHERE d.domain IS NOT NULL
+GROUP BY d.domain, s.service"""
+ORACLE["org_mart"] = with_ctes(ADAPTER, ORGS) + """
+SELECT canonical_org, count(*) AS observation_count, count(DISTINCT ip_str) AS unique_ip_count,
+       max(timestamp) AS last_observed_at
+FROM obs_orgs WHERE canonical_org IS NOT NULL GROUP BY canonical_org"""
+ORACLE["org_ips"] = with_ctes(ADAPTER, ORGS) + """
+SELECT DISTINCT canonical_org, ip_str AS ip FROM obs_orgs WHERE canonical_org IS NOT NULL AND ip_str IS NOT NULL"""
+ORACLE["account_signals"] = with_ctes(ADAPTER, ACCOUNTS, SIGNALS) + "SELECT * FROM signals"
+ORACLE["scored_accounts"] = with_ctes(ADAPTER, ACCOUNTS, SCORED) + "SELECT * FROM scored"
+ORACLE["qualified_accounts"] = with_ctes(ADAPTER, ACCOUNTS, SCORED) + \
+    "SELECT domain, opportunity_score FROM scored WHERE coalesce(opportunity_score, 0) >= 60"
+ORACLE["score_distribution"] = with_ctes(ADAPTER, ACCOUNTS, SCORED) + """
+SELECT count(*) AS accounts, min(opportunity_score) AS min_score, round(avg(opportunity_score), 2) AS avg_score,
+       max(opportunity_score) AS max_score FROM scored"""
