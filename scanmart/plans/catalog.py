@@ -89,3 +89,104 @@ def q_qualified(spark, d):
 @register("score_distribution")
 def q_score_distribution(spark, d):
     return SC.score_distribution(scored(spark, d))
+
+
+# ------------------------------------------------------------------ ranking, evidence, context
+from scanmart.operators import context as CX  # noqa: E402
+from scanmart.operators import search as SE  # noqa: E402
+
+TOP_N = 1000
+EVIDENCE_PER_ACCOUNT = 5
+
+
+def top(spark, d, limit: int = TOP_N):
+    return CX.top_accounts(scored(spark, d), limit)
+
+
+def evidence(spark, d):
+    return CX.account_evidence(observations(spark, d), top(spark, d), EVIDENCE_PER_ACCOUNT)
+
+
+@register("top_accounts")
+def q_top_accounts(spark, d):
+    return top(spark, d)
+
+
+@register("ranked_signals")
+def q_ranked_signals(spark, d):
+    return S.ranked_signals(signals(spark, d))
+
+
+@register("account_evidence")
+def q_account_evidence(spark, d):
+    return evidence(spark, d)
+
+
+def context(spark, d):
+    return CX.account_context(top(spark, d), signals(spark, d), evidence(spark, d))
+
+
+@register("account_context")
+def q_account_context(spark, d):
+    return CX.context_flat(context(spark, d))
+
+
+# ------------------------------------------------------------------ dashboard filters and search
+RADAR = dict(search="example", score_range=(40.0, 100.0), countries=("NATION_1", "NATION_2"), cloud_only=True,
+             min_vulnerabilities=0, signals=("EOL product",))
+QUESTIONS = {
+    "search_keyword": "exposed mysql database",
+    "search_domain": "example.com",
+    "search_fallback": "zzqx qqzv",
+}
+
+
+@register("radar_filter")
+def q_radar_filter(spark, d):
+    return SE.radar_filter(scored(spark, d), **RADAR).select("domain", "opportunity_score")
+
+
+@register("country_facet")
+def q_country_facet(spark, d):
+    return SE.country_facet(scored(spark, d), 30)
+
+
+@register("quick_stats")
+def q_quick_stats(spark, d):
+    return SE.quick_stats(scored(spark, d))
+
+
+def _search(name):
+    def q(spark, d):
+        return SE.search_accounts(scored(spark, d), QUESTIONS[name], 80).select("domain", "opportunity_score")
+    return q
+
+
+for _name in QUESTIONS:
+    register(_name)(_search(_name))
+
+
+def user_questions(spark, d):
+    """User turns of the conversations table as search questions (whole texts)."""
+    conv = table(spark, d, "conversations")
+    return conv.filter(F.col("role") == "user").select(
+        (F.col("conv_id") * 100000 + F.col("turn")).alias("question_id"), F.col("text").alias("question"))
+
+
+@register("search_batch")
+def q_search_batch(spark, d):
+    return SE.search_batch(scored(spark, d), user_questions(spark, d), 80)
+
+
+@register("explore_evidence")
+def q_explore_evidence(spark, d):
+    found = SE.search_accounts(scored(spark, d), QUESTIONS["search_keyword"], 80).limit(25)
+    return SE.compact_rows(found)
+
+
+@register("display_columns")
+def q_display_columns(spark, d):
+    sc = scored(spark, d)
+    ref = SC.reference_time(sc)
+    out = SE.display_columns(sc.crossJoin(F.broadcast(ref)), now=F.col("reference_time"))
+    return out.select("domain", "primary_country", "signal_summary", "last_seen_label", "score_band")

@@ -168,3 +168,31 @@ signals AS (
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
+
+
+def KEYWORD_SQL(q: str, prefix: str = "") -> str:  # noqa: N802
+    """Keyword-group rule: any group keyword occurs in the question and its metric > 0."""
+    parts = []
+    for keywords, field in K.KEYWORD_FILTERS:
+        kw = " OR ".join(f"contains({q}, '{k}')" for k in keywords)
+        parts.append(f"(({kw}) AND coalesce({prefix}{field}, 0) > 0)")
+    return "(" + " OR ".join(parts) + ")"
+
+
+def SEARCH_SQL(question: str) -> str:  # noqa: N802
+    """Single-question search over ``scored`` -> CTE ``found`` (<= 80 rows)."""
+    import re
+
+    q = question.strip().casefold()
+    toks = [t for t in re.split(r"[^a-z0-9.\-]+", q) if t]
+    conds = [f"contains(lower(coalesce(domain, '')), '{q}')"]
+    conds += [f"contains(lower(coalesce(domain, '')), '{t}')" for t in toks if "." in t]
+    hay = "lower(coalesce(domain, '') || ' ' || coalesce(array_to_string(countries, ' '), ''))"
+    conds += [f"contains({hay}, '{t}')" for t in toks if len(t) >= 3]
+    for keywords, field in K.KEYWORD_FILTERS:
+        if any(k in q for k in keywords):
+            conds.append(f"coalesce({field}, 0) > 0")
+    pred = " OR ".join(conds)
+    return f"""hit AS (SELECT *, ({pred}) AS _m FROM scored),
+found AS (SELECT * EXCLUDE (_m) FROM hit WHERE _m OR NOT (SELECT coalesce(bool_or(_m), false) FROM hit)
+          ORDER BY coalesce(opportunity_score, 0) DESC, domain LIMIT 80)"""

@@ -27,3 +27,96 @@ ORACLE["qualified_accounts"] = with_ctes(ADAPTER, ACCOUNTS, SCORED) + \
 ORACLE["score_distribution"] = with_ctes(ADAPTER, ACCOUNTS, SCORED) + """
 SELECT count(*) AS accounts, min(opportunity_score) AS min_score, round(avg(opportunity_score), 2) AS avg_score,
        max(opportunity_score) AS max_score FROM scored"""
+
+# ------------------------------------------------------------------ ranking, evidence, context
+from scanmart.plans.oracle import KEYWORD_SQL, SEARCH_SQL  # noqa: E402
+
+_TOP = "sel AS (SELECT * FROM scored ORDER BY opportunity_score DESC, domain LIMIT 1000)"
+_EVID = """ev AS (SELECT unnest(registrable_domains) AS domain, observation_id, timestamp, ip_str, port, service_category,
+                  vuln_count, vuln_max_cvss, cloud_provider, detected_technologies FROM obs),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY domain ORDER BY vuln_max_cvss DESC NULLS LAST,
+                  timestamp DESC, observation_id) AS INTEGER) AS evidence_rank
+           FROM ev WHERE domain IN (SELECT domain FROM sel))"""
+_METRICS = ", ".join(["observation_count", "unique_ip_count", "unique_hostname_count", "unique_port_count",
+                      "unique_service_count", "vulnerability_count", "critical_vulnerability_observations",
+                      "high_vulnerability_observations", "eol_observation_count", "exposed_database_count",
+                      "exposed_remote_access_count", "cloud_observation_count", "identified_cloud_observation_count",
+                      "icp_score", "exposure_score", "vulnerability_score", "technology_score", "recency_score",
+                      "opportunity_score"])
+
+ORACLE["top_accounts"] = with_ctes(ADAPTER, ACCOUNTS, SCORED, _TOP) + "SELECT * FROM sel"
+ORACLE["ranked_signals"] = with_ctes(ADAPTER, ACCOUNTS, SIGNALS) + """
+SELECT *, CASE WHEN severity = 'critical' THEN 1 WHEN severity = 'high' THEN 2 ELSE 3 END AS severity_rank FROM signals"""
+ORACLE["account_evidence"] = with_ctes(ADAPTER, ACCOUNTS, SCORED, _TOP, _EVID) + \
+    "SELECT * FROM ranked WHERE evidence_rank <= 5"
+ORACLE["account_context"] = with_ctes(ADAPTER, ACCOUNTS, SCORED, SIGNALS, _TOP, _EVID) + f"""
+, sig AS (SELECT domain, list(signal_id ORDER BY severity, signal_name) AS signal_ids FROM signals
+         WHERE domain IN (SELECT domain FROM sel) GROUP BY domain),
+evd AS (SELECT domain, list(observation_id ORDER BY evidence_rank) AS ids FROM ranked WHERE evidence_rank <= 5 GROUP BY domain)
+SELECT sel.domain, account_id, first_seen, last_seen, {_METRICS},
+       coalesce(sig.signal_ids, CAST([] AS VARCHAR[])) AS signal_ids,
+       coalesce(evd.ids, CAST([] AS VARCHAR[])) AS evidence_observation_ids
+FROM sel LEFT JOIN sig ON sig.domain = sel.domain LEFT JOIN evd ON evd.domain = sel.domain"""
+
+ORACLE["radar_filter"] = with_ctes(ADAPTER, ACCOUNTS, SCORED) + """
+SELECT domain, opportunity_score FROM scored
+WHERE contains(lower(coalesce(domain, '')), 'example')
+  AND coalesce(opportunity_score, 0) BETWEEN 40.0 AND 100.0
+  AND coalesce(len(list_intersect(countries, ['NATION_1', 'NATION_2'])) > 0, false)
+  AND coalesce(cloud_observation_count, 0) <> 0
+  AND coalesce(vulnerability_count, 0) >= 0
+  AND coalesce(eol_observation_count, 0) > 0"""
+ORACLE["country_facet"] = with_ctes(ADAPTER, ACCOUNTS, SCORED) + """
+SELECT country, count(*) AS accounts FROM (SELECT unnest(countries) AS country FROM scored) WHERE country IS NOT NULL
+GROUP BY country ORDER BY accounts DESC, country LIMIT 30"""
+ORACLE["quick_stats"] = with_ctes(ADAPTER, ACCOUNTS, SCORED) + """
+SELECT count(*) AS matching_accounts,
+       count(*) FILTER (WHERE coalesce(critical_vulnerability_observations, 0) > 0) AS critical_signals,
+       count(*) FILTER (WHERE coalesce(cloud_observation_count, 0) <> 0) AS cloud_observed,
+       round(avg(coalesce(opportunity_score, 0.0)), 1) AS avg_opportunity_score FROM scored"""
+
+for _k, _q in {"search_keyword": "exposed mysql database", "search_domain": "example.com",
+               "search_fallback": "zzqx qqzv"}.items():
+    ORACLE[_k] = with_ctes(ADAPTER, ACCOUNTS, SCORED, SEARCH_SQL(_q)) + "SELECT domain, opportunity_score FROM found"
+
+ORACLE["explore_evidence"] = with_ctes(ADAPTER, ACCOUNTS, SCORED, SEARCH_SQL("exposed mysql database")) + """
+, f25 AS (SELECT * FROM found ORDER BY coalesce(opportunity_score, 0) DESC, domain LIMIT 25)
+SELECT domain, round(coalesce(opportunity_score, 0), 1) AS opportunity_score,
+  coalesce(vulnerability_count, 0) AS vulnerability_count, coalesce(critical_vulnerability_observations, 0) AS critical,
+  coalesce(exposed_database_count, 0) AS exposed_databases, coalesce(exposed_remote_access_count, 0) AS remote_access,
+  coalesce(eol_observation_count, 0) AS eol, coalesce(cloud_observation_count, 0) AS cloud,
+  list_filter(countries, lambda c: c IS NOT NULL AND c <> '')[1] AS country
+FROM f25"""
+
+ORACLE["search_batch"] = with_ctes(ADAPTER, ACCOUNTS, SCORED) + f"""
+, q AS (SELECT conv_id * 100000 + turn AS question_id,
+               lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS q FROM conversations WHERE role = 'user'),
+qt AS (SELECT question_id, q, list_filter(regexp_split_to_array(q, '[^a-z0-9.\\-]+'), lambda t: len(t) > 0) AS toks FROM q),
+sh AS (SELECT *, coalesce(opportunity_score, 0.0) AS score,
+              lower(coalesce(domain, '') || ' ' || coalesce(array_to_string(countries, ' '), '')) AS hay FROM scored),
+m AS (SELECT qt.question_id, sh.domain, sh.score FROM qt, sh
+      WHERE (len(qt.q) > 0 AND contains(lower(coalesce(sh.domain, '')), qt.q))
+         OR len(list_filter(qt.toks, lambda x: contains(x, '.') AND contains(lower(coalesce(sh.domain, '')), x))) > 0
+         OR len(list_filter(qt.toks, lambda x: len(x) >= 3 AND contains(sh.hay, x))) > 0
+         OR {KEYWORD_SQL('qt.q', 'sh.')}),
+pool AS (SELECT * FROM m UNION ALL
+         SELECT q.question_id, sh.domain, sh.score FROM q, sh
+         WHERE q.question_id NOT IN (SELECT question_id FROM m))
+SELECT question_id, CAST(rn AS INTEGER) AS search_rank, domain, score AS opportunity_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, domain) AS rn FROM pool) WHERE rn <= 80"""
+
+ORACLE["display_columns"] = with_ctes(ADAPTER, ACCOUNTS, SCORED) + """
+, dd AS (SELECT *, greatest(0, CAST(floor((epoch_us(reference_time) - epoch_us(last_seen)) / 86400e6) AS INTEGER)) AS days,
+         list_filter([CASE WHEN coalesce(critical_vulnerability_observations,0) <> 0 THEN 'Critical' END,
+                      CASE WHEN coalesce(exposed_database_count,0) <> 0 THEN 'Exposed DB' END,
+                      CASE WHEN coalesce(exposed_remote_access_count,0) <> 0 THEN 'Remote' END,
+                      CASE WHEN coalesce(eol_observation_count,0) <> 0 THEN 'EOL' END], lambda t: t IS NOT NULL) AS tags
+         FROM scored, ref)
+SELECT domain,
+  coalesce(list_filter(countries, lambda c: c IS NOT NULL AND c <> '')[1], '—') AS primary_country,
+  CASE WHEN len(tags) = 0 THEN '—' ELSE array_to_string(tags, ' · ') END AS signal_summary,
+  CASE WHEN last_seen IS NULL THEN '—' WHEN days = 0 THEN 'today' WHEN days = 1 THEN '1 day ago'
+       WHEN days < 90 THEN days || ' days ago' ELSE substr(CAST(last_seen AS VARCHAR), 1, 19) END AS last_seen_label,
+  CASE WHEN coalesce(opportunity_score,0) >= 80 THEN 'high' WHEN coalesce(opportunity_score,0) >= 65 THEN 'medium'
+       ELSE 'low' END AS score_band
+FROM dd"""
