@@ -120,3 +120,42 @@ def with_orgs(obs: DataFrame, customer: DataFrame) -> DataFrame:
     org = F.concat(F.col("c_name"), F.element_at(endings, (F.lit(1) + F.col("k") % 4).cast("int")))
     return (j.withColumn("org", org).drop("c_name")
              .withColumn("canonical_org", C.normalize_org_ascii(F.col("org"))))
+
+
+def _kv(key: str, json_value: Column) -> Column:
+    return F.concat(F.lit(f'"{key}":'), json_value)
+
+
+def raw_records(obs_with_orgs: DataFrame) -> DataFrame:
+    """Raw NDJSON text (``value``) for every adapter observation, in the scan-record form:
+    ``WWW.``-prefixed domains with a trailing dot, a legal-form org, vulns whose extra
+    entries carry numeric *strings* (to be ignored), one key per technology and, on
+    every 7th record, a detector key holding JSON null. ``sequence`` = event id."""
+    o = obs_with_orgs
+    q = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    domains = F.to_json(F.transform("registrable_domains", lambda d: F.concat(F.lit("WWW."), d, F.lit("."))))
+    vulns = F.concat(F.lit("{"), F.array_join(F.transform(
+        F.sequence(F.lit(0), F.greatest(F.col("vuln_count") - 1, F.lit(0))),
+        lambda i: F.when(F.col("vuln_count") > 0, F.concat(
+            F.lit('"CVE-2024-'), F.col("event_id").cast("string"), F.lit("-"), i.cast("string"), F.lit('":'),
+            F.when(i == 0, F.concat(F.lit('{"cvss":'), F.col("vuln_max_cvss").cast("string"), F.lit("}")))
+             .otherwise(F.lit('{"cvss":"7.5"}'))))), ","), F.lit("}"))
+    techs = F.array_join(F.transform("detected_technologies",
+                                     lambda t: F.concat(F.lit('"'), t, F.lit('":{"version":"1"}'))), ",")
+    parts = F.array(
+        _kv("ip_str", q(F.col("ip_str"))),
+        _kv("port", F.col("port").cast("string")),
+        _kv("timestamp", q(F.col("timestamp"))),
+        _kv("hostnames", F.to_json(F.array("hostname"))),
+        _kv("domains", domains),
+        _kv("org", q(F.col("org"))),
+        _kv("location", F.to_json(F.struct("country_code"))),
+        F.when(F.col("cloud_present"), _kv("cloud", F.to_json(F.struct(F.col("cloud_provider").alias("provider")),
+                                                              {"ignoreNullFields": "false"}))),
+        _kv("vulns", vulns),
+        _kv("tags", F.when(F.col("has_eol_tag"), F.lit('["eol-product"]')).otherwise(F.lit("[]"))),
+        F.when(F.size("detected_technologies") > 0, techs),
+        F.when(F.col("event_id") % 7 == 0, F.lit('"telnet":null')),
+    )
+    return o.select(F.col("event_id").alias("sequence"),
+                    F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")).alias("value"))

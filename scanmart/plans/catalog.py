@@ -190,3 +190,162 @@ def q_display_columns(spark, d):
     ref = SC.reference_time(sc)
     out = SE.display_columns(sc.crossJoin(F.broadcast(ref)), now=F.col("reference_time"))
     return out.select("domain", "primary_country", "signal_summary", "last_seen_label", "score_band")
+
+
+# ------------------------------------------------------------------ raw records: parse, normalize, profile
+from scanmart.operators import profiling as P  # noqa: E402
+from scanmart.operators import records as R  # noqa: E402
+from scanmart.sources import suffixes as PSL  # noqa: E402
+
+
+def raw_lines(spark, d):
+    """Raw NDJSON text of every observation derived from the tables (sequence, value)."""
+    return O.raw_records(observations_with_orgs(spark, d))
+
+
+def raw_variant(spark, d):
+    return raw_lines(spark, d).select("sequence", F.parse_json("value").alias("v"))
+
+
+RECORD_CHECK_COLUMNS = ("observation_id", "timestamp", "ip_str", "hostname", "registrable_domains", "port",
+                        "service_category", "country_code", "cloud_present", "cloud_provider", "vuln_count",
+                        "vuln_max_cvss", "has_eol_tag", "detected_technologies", "detected_services",
+                        "database_service_count", "remote_access_service_count", "canonical_org")
+
+
+@register("records_observations")
+def q_records_observations(spark, d):
+    return R.records_to_observations(raw_variant(spark, d)).select(*RECORD_CHECK_COLUMNS)
+
+
+@register("simple_observations")
+def q_simple_observations(spark, d):
+    s = R.simple_observations(raw_variant(spark, d))
+    return s.select("ip", "domains", "hostnames", "registrable_domains", "service_category", "canonical_org", "port",
+                    "tags", "cloud", "location", "timestamp")
+
+
+@register("signal_counts")
+def q_signal_counts(spark, d):
+    s = R.signal_counts(R.simple_observations(raw_variant(spark, d)))
+    return s.select("timestamp", "ip", "exposure", "vulnerability", "technology")
+
+
+@register("registrable_domains")
+def q_registrable_domains(spark, d):
+    hosts = O.page_hosts(table(spark, d, "pages"))
+    h = hosts.select("page_id", "host", R.C.normalize_domain(F.col("host")).alias("_n"))
+    return h.select("page_id", "host", PSL.registrable_domain(F.col("_n")).alias("registrable_domain"))
+
+
+@register("org_normalize")
+def q_org_normalize(spark, d):
+    cust = table(spark, d, "customer").select("c_custkey", "c_name")
+    names = cust.select("c_custkey", F.posexplode(R.C.str_array(O.ADAPTER_ORG_ENDINGS)).alias("variant", "ending"))
+    names = names.join(cust, "c_custkey").select("c_custkey", "variant",
+                                                 F.concat("c_name", "ending").alias("org"))
+    return R.with_canonical_org(names, "org", "canonical_org")
+
+
+@register("field_presence")
+def q_field_presence(spark, d):
+    return P.field_presence(raw_variant(spark, d))
+
+
+@register("field_types")
+def q_field_types(spark, d):
+    return P.field_types(raw_variant(spark, d))
+
+
+@register("schema_discovery")
+def q_schema_discovery(spark, d):
+    return P.schema_discovery(raw_variant(spark, d))
+
+
+VALUE_TOP_FIELDS = ("ip_str", "port", "org", "tags", "location", "timestamp", "hostnames")
+
+
+@register("value_top")
+def q_value_top(spark, d):
+    return P.value_top(raw_variant(spark, d), VALUE_TOP_FIELDS, 10)
+
+
+@register("org_canonicalization")
+def q_org_canonicalization(spark, d):
+    return P.org_canonicalization(P.org_aliases(raw_variant(spark, d)))
+
+
+@register("org_alias_report")
+def q_org_alias_report(spark, d):
+    return P.top_canonical(P.org_aliases(raw_variant(spark, d)), 10)
+
+
+@register("port_top")
+def q_port_top(spark, d):
+    return P.port_top(raw_variant(spark, d), 100)
+
+
+@register("org_top")
+def q_org_top(spark, d):
+    return P.org_top(raw_variant(spark, d), 100)
+
+
+@register("tag_top")
+def q_tag_top(spark, d):
+    return P.tag_top(raw_variant(spark, d), 100)
+
+
+@register("list_lengths")
+def q_list_lengths(spark, d):
+    return P.list_lengths(raw_variant(spark, d))
+
+
+@register("identity_profile")
+def q_identity_profile(spark, d):
+    return P.identity_profile(raw_variant(spark, d))
+
+
+@register("domain_top")
+def q_domain_top(spark, d):
+    return P.domain_top(raw_variant(spark, d), 30)
+
+
+@register("technology_presence")
+def q_technology_presence(spark, d):
+    return P.technology_presence(raw_variant(spark, d))
+
+
+@register("tech_cooccurrence")
+def q_tech_cooccurrence(spark, d):
+    return P.technology_cooccurrence(raw_variant(spark, d), 50)
+
+
+@register("vuln_profile")
+def q_vuln_profile(spark, d):
+    return P.vuln_profile(raw_variant(spark, d))
+
+
+@register("vuln_detail_keys")
+def q_vuln_detail_keys(spark, d):
+    return P.vuln_detail_keys(raw_variant(spark, d), 30)
+
+
+@register("nested_structure")
+def q_nested_structure(spark, d):
+    return P.nested_structure(raw_variant(spark, d))
+
+
+@register("quality_check")
+def q_quality_check(spark, d):
+    return P.quality_check(observations(spark, d), count_parts=False)
+
+
+@register("sample_fixed")
+def q_sample_fixed(spark, d):
+    lines = raw_lines(spark, d).select(F.lit("tables").alias("file"), F.col("value").alias("line"))
+    return P.sample_fixed(lines, 500, 42)
+
+
+@register("text_canonical_json")
+def q_text_canonical_json(spark, d):
+    return raw_lines(spark, d).select("sequence", F.to_json(F.parse_json("value")).alias("canonical_json"))

@@ -120,3 +120,144 @@ SELECT domain,
   CASE WHEN coalesce(opportunity_score,0) >= 80 THEN 'high' WHEN coalesce(opportunity_score,0) >= 65 THEN 'medium'
        ELSE 'low' END AS score_band
 FROM dd"""
+
+# ------------------------------------------------------------------ raw records: parse, normalize, profile
+from scanmart.functions import constants as _K  # noqa: E402
+from scanmart.plans.oracle import ORGS  # noqa: E402
+
+_REC = """rec AS (SELECT *, len(registrable_domains) AS n_domains, port IS NOT NULL AS has_port FROM obs_orgs)"""
+_RC = ", ".join(["observation_id", "timestamp", "ip_str", "hostname", "registrable_domains", "port",
+                 "service_category", "country_code", "cloud_present", "cloud_provider", "vuln_count",
+                 "vuln_max_cvss", "has_eol_tag", "detected_technologies", "detected_services",
+                 "database_service_count", "remote_access_service_count", "canonical_org"])
+ORACLE["records_observations"] = with_ctes(ADAPTER, ORGS) + \
+    f"SELECT {_RC.replace('hostname,', "regexp_replace(hostname, '^www[.]', '') AS hostname,")} FROM obs_orgs"
+
+ORACLE["simple_observations"] = with_ctes(ADAPTER, ORGS) + """
+SELECT ip_str AS ip, list_transform(registrable_domains, lambda x: lower(x)) AS domains,
+  [regexp_replace(hostname, '^www[.]', '')] AS hostnames,
+  registrable_domains, service_category, canonical_org, port,
+  CASE WHEN has_eol_tag THEN '["eol-product"]' ELSE '[]' END AS tags,
+  CASE WHEN cloud_present THEN '{"provider":' || coalesce('"' || cloud_provider || '"', 'null') || '}' ELSE 'null' END AS cloud,
+  '{"country_code":"' || country_code || '"}' AS location, timestamp
+FROM obs_orgs"""
+
+ORACLE["signal_counts"] = with_ctes(ADAPTER, ORGS) + """
+SELECT timestamp, ip_str AS ip, CASE WHEN coalesce(port, 0) <> 0 THEN 1.0 ELSE 0.0 END AS exposure,
+  CASE WHEN vuln_count > 0 THEN 1.0 ELSE 0.0 END AS vulnerability, 0.0 AS technology FROM obs_orgs"""
+
+ORACLE["registrable_domains"] = r"""
+WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages)
+SELECT page_id, host, nullif(regexp_extract(regexp_replace(regexp_replace(trim(lower(host)), '\.+$', ''), '^www\.', ''),
+       '([^.]+\.example\.(com|org|net))$', 1), '') AS registrable_domain FROM h"""
+
+_SUF = "^(.+?)(( (" + "|".join(_K.ORG_LEGAL_SUFFIXES) + "))+)$"
+ORACLE["org_normalize"] = rf"""
+WITH v AS (SELECT c_custkey, CAST(i - 1 AS INTEGER) AS variant, c_name || ([' Inc', ' LLC', ' & Co', ''][i]) AS org
+           FROM customer, range(1, 5) t(i))
+SELECT c_custkey, variant, org, nullif(regexp_replace(
+      trim(regexp_replace(regexp_replace(trim(lower(org)), '[&+]+', ' and ', 'g'), '[^\w]+', ' ', 'g')),
+      '{_SUF}', '\1'), '') AS canonical_org FROM v"""
+
+_FIELD_TYPES = """ft AS (
+  SELECT 'ip_str' AS field, 'string' AS value_type, count(*) AS records FROM rec
+  UNION ALL SELECT 'port', 'int', count(*) FILTER (WHERE has_port) FROM rec
+  UNION ALL SELECT 'timestamp', 'string', count(*) FROM rec
+  UNION ALL SELECT 'hostnames', 'array', count(*) FROM rec
+  UNION ALL SELECT 'domains', 'array', count(*) FROM rec
+  UNION ALL SELECT 'org', 'string', count(*) FROM rec
+  UNION ALL SELECT 'location', 'object', count(*) FROM rec
+  UNION ALL SELECT 'cloud', 'object', count(*) FILTER (WHERE cloud_present) FROM rec
+  UNION ALL SELECT 'vulns', 'object', count(*) FROM rec
+  UNION ALL SELECT 'tags', 'array', count(*) FROM rec)"""
+_IMPORTANT = ", ".join(f"('{f}')" for f in _K.IMPORTANT_FIELDS)
+ORACLE["field_presence"] = with_ctes(ADAPTER, ORGS, _REC, _FIELD_TYPES) + f"""
+, f(field) AS (VALUES {_IMPORTANT}), n AS (SELECT count(*) AS total FROM rec)
+SELECT f.field, coalesce(ft.records, 0) AS present, n.total - coalesce(ft.records, 0) AS missing
+FROM f CROSS JOIN n LEFT JOIN (SELECT * FROM ft WHERE records > 0) ft ON ft.field = f.field"""
+ORACLE["field_types"] = with_ctes(ADAPTER, ORGS, _REC, _FIELD_TYPES) + "SELECT * FROM ft WHERE records > 0"
+ORACLE["schema_discovery"] = with_ctes(ADAPTER, ORGS, _REC, _FIELD_TYPES) + """
+SELECT field AS key, value_type, records FROM ft WHERE records > 0
+UNION ALL SELECT t AS key, 'object', count(*) FROM (SELECT unnest(detected_technologies) AS t FROM rec) GROUP BY t
+UNION ALL SELECT 'telnet', 'null', count(*) FROM rec WHERE event_id % 7 = 0 HAVING count(*) > 0"""
+
+ORACLE["value_top"] = with_ctes(ADAPTER, ORGS, _REC) + """
+, vals AS (
+  SELECT 'ip_str' AS field, '"' || ip_str || '"' AS value FROM rec
+  UNION ALL SELECT 'port', CAST(port AS VARCHAR) FROM rec WHERE has_port
+  UNION ALL SELECT 'org', '"' || org || '"' FROM rec
+  UNION ALL SELECT 'tags', CASE WHEN has_eol_tag THEN '["eol-product"]' ELSE '[]' END FROM rec
+  UNION ALL SELECT 'location', '{"country_code":"' || country_code || '"}' FROM rec
+  UNION ALL SELECT 'timestamp', '"' || timestamp || '"' FROM rec
+  UNION ALL SELECT 'hostnames', '["' || hostname || '"]' FROM rec),
+c AS (SELECT field, value, count(*) AS records FROM vals GROUP BY field, value)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY field ORDER BY records DESC, value) AS INTEGER) AS rank FROM c)
+WHERE rank <= 10"""
+
+_PSUF2 = "^(.+?)(( (" + "|".join(s for s in _K.PROFILE_LEGAL_SUFFIXES if " " in s) + "))+)$"
+_PSUF1 = "^(.+?)(( (" + "|".join(s for s in _K.PROFILE_LEGAL_SUFFIXES if " " not in s) + "))+)$"
+_ALIASES = rf"""al AS (
+  SELECT '"' || org || '"' AS alias, nullif(regexp_replace(regexp_replace(
+      trim(regexp_replace(regexp_replace(trim(lower(org)), '[&+]+', ' and ', 'g'), '[^\w]+', ' ', 'g')),
+      '{_PSUF2}', '\1'), '{_PSUF1}', '\1'), '') AS canonical FROM rec),
+alias_counts AS (SELECT canonical, alias, count(*) AS records FROM al GROUP BY canonical, alias),
+per_c AS (SELECT canonical, CAST(sum(records) AS BIGINT) AS records, count(*) AS aliases FROM alias_counts
+          WHERE canonical IS NOT NULL GROUP BY canonical)"""
+ORACLE["org_canonicalization"] = with_ctes(ADAPTER, ORGS, _REC, _ALIASES) + """
+SELECT (SELECT count(DISTINCT alias) FROM alias_counts) AS raw_unique, count(*) AS canonical_unique,
+       CAST(coalesce(sum(CASE WHEN aliases > 1 THEN records END), 0) AS BIGINT) AS merged_records FROM per_c"""
+ORACLE["org_alias_report"] = with_ctes(ADAPTER, ORGS, _REC, _ALIASES) + """
+SELECT * FROM (SELECT *, CAST(row_number() OVER (ORDER BY records DESC, canonical) AS INTEGER) AS rank FROM per_c)
+WHERE rank <= 10"""
+
+
+def _top_sql(select: str, name: str, k: int) -> str:
+    return f"""
+, c AS (SELECT {name}, count(*) AS records FROM ({select}) WHERE {name} IS NOT NULL AND {name} <> '' GROUP BY {name})
+SELECT * FROM (SELECT *, CAST(row_number() OVER (ORDER BY records DESC, {name}) AS INTEGER) AS rank FROM c) WHERE rank <= {k}"""
+
+
+ORACLE["port_top"] = with_ctes(ADAPTER, ORGS, _REC) + _top_sql("SELECT CAST(port AS VARCHAR) AS port FROM rec", "port", 100)
+ORACLE["org_top"] = with_ctes(ADAPTER, ORGS, _REC) + _top_sql("SELECT org FROM rec", "org", 100)
+ORACLE["tag_top"] = with_ctes(ADAPTER, ORGS, _REC) + _top_sql(
+    "SELECT 'eol-product' AS tag FROM rec WHERE has_eol_tag", "tag", 100)
+ORACLE["domain_top"] = with_ctes(ADAPTER, ORGS, _REC) + _top_sql(
+    "SELECT 'www.' || lower(d) AS domain FROM (SELECT unnest(registrable_domains) AS d FROM rec)", "domain", 30)
+ORACLE["list_lengths"] = with_ctes(ADAPTER, ORGS, _REC) + """
+SELECT 'domains' AS list, CAST(n_domains AS INTEGER) AS length, count(*) AS records FROM rec GROUP BY n_domains
+UNION ALL SELECT 'hostnames', 1, count(*) FROM rec"""
+ORACLE["identity_profile"] = with_ctes(ADAPTER, ORGS, _REC) + """
+SELECT count(*) FILTER (WHERE n_domains > 0) AS records_with_domains,
+       count(*) FILTER (WHERE n_domains = 0) AS records_without_domains,
+       count(*) AS records_with_hostnames,
+       round(count(*) FILTER (WHERE n_domains > 0) / count(*), 6) AS estimated_domain_coverage,
+       CAST(0 AS BIGINT) AS cloud_ptr_pattern_records, CAST(0 AS BIGINT) AS exact_googleusercontent_domain_records
+FROM rec"""
+_CANDS = "[" + ", ".join(f"'{c}'" for c in sorted(set(_K.TECH_DETECTOR_CANDIDATES))) + "]"
+ORACLE["technology_presence"] = with_ctes(ADAPTER, ORGS, _REC) + f"""
+SELECT t AS technology, count(*) AS records FROM (SELECT unnest(detected_technologies) AS t FROM rec)
+WHERE list_contains({_CANDS}, t) GROUP BY t"""
+ORACLE["tech_cooccurrence"] = with_ctes(ADAPTER, ORGS, _REC) + f"""
+, det AS (SELECT list_sort(list_filter(detected_technologies, lambda t: list_contains({_CANDS}, t))) AS d FROM rec),
+pairs AS (SELECT d[i] || '+' || d[j] AS pair FROM det, range(1, 200) a(i), range(1, 200) b(j)
+          WHERE i < j AND j <= len(d)),
+c AS (SELECT pair, count(*) AS records FROM pairs GROUP BY pair)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (ORDER BY records DESC, pair) AS INTEGER) AS rank FROM c) WHERE rank <= 50"""
+ORACLE["vuln_profile"] = with_ctes(ADAPTER, ORGS, _REC) + """
+SELECT CAST(sum(vuln_count) AS BIGINT) AS cve_details_seen, CAST(sum(vuln_count) AS BIGINT) AS object_details,
+       CAST(sum(vuln_count) AS BIGINT) AS records_with_cvss, CAST(0 AS BIGINT) AS records_with_exploit_or_kev_flag,
+       count(*) FILTER (WHERE vuln_count > 0) AS records_with_vulns FROM rec"""
+ORACLE["vuln_detail_keys"] = with_ctes(ADAPTER, ORGS, _REC) + """
+SELECT * FROM (SELECT 'cvss' AS key, CAST(sum(vuln_count) AS BIGINT) AS records, 1 AS rank FROM rec)
+WHERE records > 0"""
+ORACLE["nested_structure"] = with_ctes(ADAPTER, ORGS, _REC) + """
+, cves AS (SELECT 'CVE-2024-' || event_id || '-' || i AS key FROM rec, range(0, 3) t(i) WHERE i < vuln_count)
+SELECT 'vulns' AS field, '<type:object>' AS key, count(*) AS records FROM rec
+UNION ALL SELECT 'tags', '<type:array>', count(*) FROM rec
+UNION ALL SELECT 'location', '<type:object>', count(*) FROM rec
+UNION ALL SELECT 'cloud', '<type:object>', count(*) FROM rec WHERE cloud_present HAVING count(*) > 0
+UNION ALL SELECT 'location', 'country_code', count(*) FROM rec
+UNION ALL SELECT 'cloud', 'provider', count(*) FROM rec WHERE cloud_present HAVING count(*) > 0
+UNION ALL SELECT 'vulns', key, 1 FROM (SELECT key FROM cves ORDER BY key LIMIT 50)"""
+ORACLE["quality_check"] = with_ctes(ADAPTER) + """
+SELECT count(*) AS row_count, CAST([] AS VARCHAR[]) AS missing_required_columns, count(*) > 0 AS valid FROM obs"""
