@@ -349,3 +349,128 @@ def q_sample_fixed(spark, d):
 @register("text_canonical_json")
 def q_text_canonical_json(spark, d):
     return raw_lines(spark, d).select("sequence", F.to_json(F.parse_json("value")).alias("canonical_json"))
+
+
+# ------------------------------------------------------------------ evidence, prompts, payloads, shortlists
+from scanmart.operators import evidence as EV  # noqa: E402
+from scanmart.operators import evals as EVL  # noqa: E402
+from scanmart.operators import traces as TR  # noqa: E402
+from scanmart.operators import workspace as WS  # noqa: E402
+
+AUDIT_INSTRUCTIONS = "Write a concise technical audit for the account using the evidence."
+
+
+@register("evidence_pack")
+def q_evidence_pack(spark, d):
+    ev = EV.evidence_pack(scored(spark, d), EV.account_signal_lists(signals(spark, d), 20), "prospect_audit")
+    return ev.select("domain", F.col("evidence.score_reasons").alias("score_reasons"),
+                     F.transform("evidence.signals", lambda s: s["name"]).alias("signal_names"),
+                     F.size("evidence.constraints").alias("constraint_count"))
+
+
+@register("prompt_key")
+def q_prompt_key(spark, d):
+    ev = EV.evidence_pack(scored(spark, d), EV.account_signal_lists(signals(spark, d), 20), "prospect_audit")
+    return EV.prompts(ev, AUDIT_INSTRUCTIONS, "audit/v2", "gemini-2.5-flash")
+
+
+def responses_with_fallback(spark, d):
+    """Assistant turns as model responses; fallback = first 15 search results for the
+    user question just before it (a bounded list per response)."""
+    conv = table(spark, d, "conversations")
+    sb = SE.search_batch(scored(spark, d), user_questions(spark, d), 80).filter(F.col("search_rank") <= 15)
+    fb = sb.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("search_rank", "domain"))),
+                                                   lambda s: s["domain"]).alias("fallback"))
+    resp = conv.filter(F.col("role") == "assistant").select(
+        (F.col("conv_id") * 100000 + F.col("turn")).alias("response_id"),
+        (F.col("conv_id") * 100000 + F.col("turn") - 1).alias("question_id"), "text")
+    return resp.join(fb, "question_id", "left").withColumn(
+        "fallback", F.coalesce("fallback", F.array().cast("array<string>")))
+
+
+@register("payload_parse")
+def q_payload_parse(spark, d):
+    return EV.parse_payload(responses_with_fallback(spark, d)).select("response_id", "explanation", "domains")
+
+
+@register("shortlist_join")
+def q_shortlist_join(spark, d):
+    lists = EV.parse_payload(responses_with_fallback(spark, d)).select(
+        F.col("response_id").alias("list_id"), "domains")
+    return SE.shortlist_join(scored(spark, d), lists, "list_id", 200)
+
+
+# ------------------------------------------------------------------ lexical judge over documents
+def judge_cases(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    lab = table(spark, d, "labels")
+    cases = docs.join(lab, "doc_id").select(
+        "doc_id", "text", F.concat(F.lit("audit/"), F.col("lang")).alias("prompt_version"),
+        F.array(F.col("source"), F.lit("the")).alias("must_mention"),
+        F.when(F.col("toxic") == 1, F.array(F.lit("password"), F.lit("secret")))
+         .otherwise(F.array().cast("array<string>")).alias("must_not_mention"))
+    return EVL.judge(cases)
+
+
+@register("judge_cases")
+def q_judge_cases(spark, d):
+    return judge_cases(spark, d).select("doc_id", "prompt_version", "true_positives", "false_negatives",
+                                        "false_positives", "precision", "recall", "passed")
+
+
+@register("judge_summary")
+def q_judge_summary(spark, d):
+    return EVL.summarize(judge_cases(spark, d))
+
+
+@register("judge_delta")
+def q_judge_delta(spark, d):
+    return EVL.deltas(EVL.summarize(judge_cases(spark, d)))
+
+
+# ------------------------------------------------------------------ traces
+def traces(spark, d):
+    return TR.enrich(TR.with_cost(TR.traces_from_events(table(spark, d, "events")), TR.rates(spark)))
+
+
+@register("trace_cost")
+def q_trace_cost(spark, d):
+    return traces(spark, d).select("trace_id", "workflow", "model", "provider", "input_tokens", "output_tokens",
+                                   "cost_usd", "decision")
+
+
+@register("trace_rollup")
+def q_trace_rollup(spark, d):
+    return TR.rollup(traces(spark, d))
+
+
+@register("rolling_cost_24h")
+def q_rolling_cost(spark, d):
+    return TR.rolling_cost(traces(spark, d), 24, 2.0)
+
+
+# ------------------------------------------------------------------ workspace
+def workspace_tables(spark, d):
+    cust = table(spark, d, "customer")
+    return WS.saved_from_customers(cust), WS.changes_from_orders(table(spark, d, "orders"), cust)
+
+
+@register("workspace_apply")
+def q_workspace_apply(spark, d):
+    saved, changes = workspace_tables(spark, d)
+    return WS.apply_changes(saved, changes)
+
+
+@register("workspace_rejects")
+def q_workspace_rejects(spark, d):
+    _, changes = workspace_tables(spark, d)
+    return WS.rejected_updates(changes).select("domain", "seq", "status")
+
+
+@register("saved_join")
+def q_saved_join(spark, d):
+    hosts = O.page_hosts(table(spark, d, "pages")).filter(F.col("host").endswith(".com"))
+    saved = hosts.select(F.regexp_extract("host", r"([^.]+\.example\.(com|org|net))$", 1).alias("domain"),
+                         "page_id").groupBy("domain").agg(F.min("page_id").cast("string").alias("saved_at")) \
+        .withColumn("owner", F.lit(None).cast("string")).withColumn("status", F.lit("New"))
+    return WS.saved_join(saved, scored(spark, d)).select("domain", "opportunity_score", "saved_at", "status")

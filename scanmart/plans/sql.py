@@ -261,3 +261,149 @@ UNION ALL SELECT 'cloud', 'provider', count(*) FROM rec WHERE cloud_present HAVI
 UNION ALL SELECT 'vulns', key, 1 FROM (SELECT key FROM cves ORDER BY key LIMIT 50)"""
 ORACLE["quality_check"] = with_ctes(ADAPTER) + """
 SELECT count(*) AS row_count, CAST([] AS VARCHAR[]) AS missing_required_columns, count(*) > 0 AS valid FROM obs"""
+
+# ------------------------------------------------------------------ evidence, prompts, payloads, shortlists
+_SB_HEAD, _SB_TAIL = ORACLE["search_batch"].split("\nSELECT question_id, CAST(rn AS INTEGER)")
+_SB = _SB_HEAD + """,
+sb AS (SELECT question_id, CAST(rn AS INTEGER) AS search_rank, domain, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, domain) AS rn FROM pool) WHERE rn <= 80),
+fb AS (SELECT question_id, list(domain ORDER BY search_rank) AS fallback FROM sb WHERE search_rank <= 15 GROUP BY question_id),
+resp AS (SELECT conv_id * 100000 + turn AS response_id, conv_id * 100000 + turn - 1 AS question_id, text
+         FROM conversations WHERE role = 'assistant'),
+rf AS (SELECT r.response_id, r.text, coalesce(fb.fallback, CAST([] AS VARCHAR[])) AS fallback
+       FROM resp r LEFT JOIN fb ON fb.question_id = r.question_id)
+"""
+ORACLE["payload_parse"] = _SB + """
+SELECT response_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS explanation, fallback AS domains
+FROM rf WHERE NOT regexp_matches(coalesce(text, ''), '(?s)\\{.*\\}')"""
+ORACLE["shortlist_join"] = _SB + """
+SELECT response_id AS list_id, CAST(i - 1 AS INTEGER) AS position, fallback[i] AS domain
+FROM rf, range(1, 16) t(i) WHERE i <= len(fallback)"""
+
+ORACLE["evidence_pack"] = with_ctes(ADAPTER, ACCOUNTS, SCORED, SIGNALS) + """
+, rs AS (SELECT domain, signal_name, row_number() OVER (PARTITION BY domain ORDER BY
+           CASE WHEN severity = 'critical' THEN 1 WHEN severity = 'high' THEN 2 ELSE 3 END, signal_name) AS r FROM signals),
+sl AS (SELECT domain, list(signal_name ORDER BY r) AS names FROM rs WHERE r <= 20 GROUP BY domain)
+SELECT s.domain, CAST(json(score_reasons) AS VARCHAR[]) AS score_reasons,
+       coalesce(sl.names, CAST([] AS VARCHAR[])) AS signal_names, 3 AS constraint_count
+FROM scored s LEFT JOIN sl ON sl.domain = s.domain"""
+
+# ------------------------------------------------------------------ lexical judge over documents
+_JUDGE = """cases AS (
+  SELECT d.doc_id, d.text, 'audit/' || d.lang AS prompt_version, [d.source, 'the'] AS must_mention,
+         CASE WHEN l.toxic = 1 THEN ['password', 'secret'] ELSE CAST([] AS VARCHAR[]) END AS must_not_mention
+  FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+j0 AS (SELECT *, list_filter(must_mention, lambda x: contains(lower(coalesce(text, '')), lower(x))) AS true_positives,
+              list_filter(must_mention, lambda x: NOT contains(lower(coalesce(text, '')), lower(x))) AS false_negatives,
+              list_filter(must_not_mention, lambda x: contains(lower(coalesce(text, '')), lower(x))) AS false_positives
+       FROM cases),
+judged AS (SELECT *,
+  round(CASE WHEN len(true_positives) + len(false_positives) > 0
+             THEN len(true_positives) / (len(true_positives) + len(false_positives)) ELSE 1.0 END, 4) AS precision,
+  round(CASE WHEN len(true_positives) + len(false_negatives) > 0
+             THEN len(true_positives) / (len(true_positives) + len(false_negatives)) ELSE 1.0 END, 4) AS recall,
+  len(false_negatives) = 0 AND len(false_positives) = 0
+    AND length(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) > 0 AS passed
+  FROM j0),
+summ AS (
+  SELECT prompt_version, count(*) AS cases,
+    round(CASE WHEN sum(len(true_positives)) + sum(len(false_positives)) > 0 THEN
+      sum(len(true_positives)) / (sum(len(true_positives)) + sum(len(false_positives))) ELSE 0.0 END, 4) AS precision,
+    round(CASE WHEN sum(len(true_positives)) + sum(len(false_negatives)) > 0 THEN
+      sum(len(true_positives)) / (sum(len(true_positives)) + sum(len(false_negatives))) ELSE 0.0 END, 4) AS recall,
+    round(count(*) FILTER (WHERE passed) / count(*), 4) AS pass_rate,
+    CAST(sum(len(true_positives)) AS BIGINT) AS true_positives,
+    CAST(sum(len(false_positives)) AS BIGINT) AS false_positives,
+    CAST(sum(len(false_negatives)) AS BIGINT) AS false_negatives,
+    count(*) - count(*) FILTER (WHERE passed) AS failures
+  FROM judged GROUP BY prompt_version)"""
+ORACLE["judge_cases"] = with_ctes(_JUDGE) + """
+SELECT doc_id, prompt_version, true_positives, false_negatives, false_positives, precision, recall, passed FROM judged"""
+ORACLE["judge_summary"] = with_ctes(_JUDGE) + "SELECT * FROM summ"
+ORACLE["judge_delta"] = with_ctes(_JUDGE) + """
+, w AS (SELECT arg_max(prompt_version, (pass_rate, recall, prompt_version)) AS winner FROM summ)
+SELECT prompt_version,
+  round(precision - lag(precision) OVER (ORDER BY prompt_version), 4) AS precision_delta,
+  round(recall - lag(recall) OVER (ORDER BY prompt_version), 4) AS recall_delta,
+  round(pass_rate - lag(pass_rate) OVER (ORDER BY prompt_version), 4) AS pass_rate_delta,
+  prompt_version = (SELECT winner FROM w) AS is_winner
+FROM summ"""
+
+# ------------------------------------------------------------------ traces
+_RATES = ", ".join(f"('{m}', {a}, {b})" for m, a, b in _K.RATES_PER_MILLION)
+_TRACES = f"""rates(model, input_rate, output_rate) AS (VALUES {_RATES}),
+t0 AS (
+  SELECT event_id AS trace_id, ts AS timestamp, event_type AS workflow,
+    ['gemini-2.5-flash', 'claude-3-5-haiku-20241022', 'unlisted-model'][1 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 3] AS model,
+    CAST(trunc(value * 100) AS BIGINT) AS input_tokens, CAST(trunc(value * 40) AS BIGINT) AS output_tokens,
+    CAST(json_extract_string(props, '$.k') AS BIGINT) * 10 AS latency_ms,
+    CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 = 0 AS cached,
+    CASE WHEN event_type = 'error' THEN 'provider error' END AS error,
+    CASE WHEN event_type <> 'error' THEN props END AS response
+  FROM events),
+tr AS (
+  SELECT t0.*, CAST(round((CAST(input_tokens AS DECIMAL(20,0)) * CAST(coalesce(r.input_rate, {_K.DEFAULT_RATE[0]}) AS DECIMAL(10,4))
+                     + CAST(output_tokens AS DECIMAL(20,0)) * CAST(coalesce(r.output_rate, {_K.DEFAULT_RATE[1]}) AS DECIMAL(10,4)))
+                     * CAST(0.000001 AS DECIMAL(7,6)), 6) AS DOUBLE) AS cost_usd,
+    CASE WHEN t0.model LIKE 'claude%' THEN 'claude' WHEN t0.model LIKE 'gemini%' THEN 'gemini' ELSE 'unknown' END AS provider,
+    workflow || CASE WHEN coalesce(length(response) > 0, false) AND error IS NULL THEN '_generated' ELSE '_failed' END AS decision
+  FROM t0 LEFT JOIN rates r ON r.model = t0.model)"""
+ORACLE["trace_cost"] = with_ctes(_TRACES) + """
+SELECT trace_id, workflow, model, provider, input_tokens, output_tokens, cost_usd, decision FROM tr"""
+ORACLE["trace_rollup"] = with_ctes(_TRACES) + """
+SELECT workflow, provider, CAST(timestamp AS DATE) AS day, count(*) AS calls, sum(CAST(round(cost_usd * 1e6) AS BIGINT)) / 1e6 AS spend_usd,
+  round(avg(CAST(cached AS DOUBLE)), 4) AS cache_hit_rate, round(avg(CAST(error IS NOT NULL AS DOUBLE)), 4) AS error_rate,
+  round(quantile_cont(latency_ms, 0.5), 3) AS latency_p50, round(quantile_cont(latency_ms, 0.95), 3) AS latency_p95,
+  round(quantile_cont(latency_ms, 0.99), 3) AS latency_p99
+FROM tr GROUP BY ALL"""
+ORACLE["rolling_cost_24h"] = with_ctes(_TRACES) + """
+, hourly AS (SELECT workflow, date_trunc('hour', timestamp) AS hour, sum(CAST(round(cost_usd * 1e6) AS BIGINT)) AS c, count(*) AS n FROM tr GROUP BY ALL)
+SELECT workflow, hour, sum(c) OVER w / 1e6 AS cost_24h_usd, sum(n) OVER w AS calls_24h,
+       sum(c) OVER w / 1e6 > 2.0 AS alert
+FROM hourly WINDOW w AS (PARTITION BY workflow ORDER BY epoch(hour) / 3600 RANGE BETWEEN 23 PRECEDING AND CURRENT ROW)"""
+
+# ------------------------------------------------------------------ workspace
+_WS = """saved AS (
+  SELECT lower(replace(c_name, '#', '-')) || '.example.com' AS domain,
+         strftime(make_timestamp((631152000 + c_custkey) * 1000000), '%Y-%m-%d %H:%M:%S') AS saved_at,
+         c_mktsegment AS owner, 'New' AS status, CAST(NULL AS VARCHAR) AS notes,
+         CAST(NULL AS VARCHAR) AS next_action, CAST(NULL AS VARCHAR) AS next_action_date FROM customer),
+changes AS (
+  SELECT lower(replace(c.c_name, '#', '-')) || '.example.com' AS domain, o.o_orderkey AS seq,
+         CASE o.o_orderstatus WHEN 'O' THEN 'insert' WHEN 'F' THEN 'update' ELSE 'delete' END AS op,
+         strftime(o.o_orderdate, '%Y-%m-%d %H:%M:%S') AS changed_at, o.o_orderpriority AS owner,
+         CASE substr(o.o_orderpriority, 1, 1) WHEN '1' THEN 'Qualified' WHEN '2' THEN 'Contacted'
+              WHEN '3' THEN 'Meeting booked' WHEN '4' THEN 'Researching' WHEN '5' THEN 'Bogus' END AS status,
+         'order ' || o.o_orderkey AS notes, 'follow up' AS next_action, strftime(o.o_orderdate, '%Y-%m-%d') AS next_action_date
+  FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey)"""
+_STATUSES = ", ".join(f"'{s}'" for s in _K.WORKSPACE_STATUSES)
+ORACLE["workspace_rejects"] = with_ctes(_WS) + f"""
+SELECT domain, seq, status FROM changes WHERE op = 'update' AND NOT coalesce(status IN ({_STATUSES}), false)"""
+# independent formulation: replay per key with window functions over the ordered changes
+ORACLE["workspace_apply"] = with_ctes(_WS) + f"""
+, valid AS (SELECT * FROM changes WHERE op <> 'update' OR status IN ({_STATUSES})),
+k AS (SELECT domain, max(CASE WHEN op = 'delete' THEN seq END) AS ld FROM valid GROUP BY domain),
+b AS (SELECT k.domain, k.ld, s.domain IS NOT NULL AS pre,
+        (SELECT min(v.seq) FROM valid v WHERE v.domain = k.domain AND v.op = 'insert' AND v.seq > coalesce(k.ld, -1)) AS fi
+      FROM k LEFT JOIN saved s ON s.domain = k.domain),
+b2 AS (SELECT *, CASE WHEN ld IS NULL AND pre THEN -1 ELSE fi END AS birth FROM b),
+u AS (SELECT v.domain, arg_max({{'owner': v.owner, 'status': v.status, 'notes': v.notes, 'next_action': v.next_action,
+                                 'next_action_date': v.next_action_date}}, v.seq) AS u
+      FROM valid v JOIN b2 ON b2.domain = v.domain WHERE v.op = 'update' AND b2.birth IS NOT NULL AND v.seq > b2.birth
+      GROUP BY v.domain),
+res AS (
+  SELECT b2.domain,
+    CASE WHEN birth = -1 THEN s.saved_at ELSE (SELECT changed_at FROM valid v WHERE v.domain = b2.domain AND v.seq = b2.birth) END AS saved_at,
+    CASE WHEN u.u IS NOT NULL THEN u.u.owner WHEN birth = -1 THEN s.owner END AS owner,
+    CASE WHEN u.u IS NOT NULL THEN u.u.status WHEN birth = -1 THEN s.status ELSE 'New' END AS status,
+    CASE WHEN u.u IS NOT NULL THEN u.u.notes WHEN birth = -1 THEN s.notes END AS notes,
+    CASE WHEN u.u IS NOT NULL THEN u.u.next_action WHEN birth = -1 THEN s.next_action END AS next_action,
+    CASE WHEN u.u IS NOT NULL THEN u.u.next_action_date WHEN birth = -1 THEN s.next_action_date END AS next_action_date
+  FROM b2 LEFT JOIN u ON u.domain = b2.domain LEFT JOIN saved s ON s.domain = b2.domain WHERE birth IS NOT NULL)
+SELECT * FROM saved WHERE domain NOT IN (SELECT domain FROM k)
+UNION ALL SELECT * FROM res"""
+ORACLE["saved_join"] = with_ctes(ADAPTER, ACCOUNTS, SCORED) + r"""
+, hs AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages),
+sv AS (SELECT regexp_extract(host, '([^.]+\.example\.(com|org|net))$', 1) AS domain, CAST(min(page_id) AS VARCHAR) AS saved_at
+       FROM hs WHERE host LIKE '%.com' GROUP BY 1)
+SELECT s.domain, s.opportunity_score, sv.saved_at, 'New' AS status FROM scored s JOIN sv ON sv.domain = s.domain"""
