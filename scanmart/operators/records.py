@@ -221,6 +221,9 @@ def with_canonical_org(df: DataFrame, src: str, dst: str, suffixes=K.ORG_LEGAL_S
     ascii_only = F.col(src).rlike(r"^[\x00-\x7F]*$")
     if not nfkc:
         return df.withColumn(dst, C.normalize_org_ascii(F.col(src), suffixes, two_word))
+    if nfkc == "inline":  # streams: no self-join; the UDF sees every row of the batch
+        text = F.when(ascii_only | F.col(src).isNull(), F.col(src)).otherwise(nfkc_casefold(F.col(src)))
+        return df.withColumn(dst, C.normalize_org_ascii(text, suffixes, two_word))
     uni = (df.filter(F.col(src).isNotNull() & ~ascii_only).select(F.col(src).alias("_raw")).distinct()
              .withColumn("_folded", nfkc_casefold(F.col("_raw"))))
     j = df.join(uni, df[src] == uni["_raw"], "left")

@@ -474,3 +474,35 @@ def q_saved_join(spark, d):
                          "page_id").groupBy("domain").agg(F.min("page_id").cast("string").alias("saved_at")) \
         .withColumn("owner", F.lit(None).cast("string")).withColumn("status", F.lit("New"))
     return WS.saved_join(saved, scored(spark, d)).select("domain", "opportunity_score", "saved_at", "status")
+
+
+# ------------------------------------------------------------------ streaming (rows-only checks)
+import uuid  # noqa: E402
+
+from scanmart.session import shared_path  # noqa: E402
+from scanmart.streaming import jobs as ST  # noqa: E402
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark, d):
+    """Raw records written as NDJSON files, ingested by a checkpointed stream."""
+    run = shared_path(spark, f"stream-ingest-{uuid.uuid4().hex}")
+    raw_lines(spark, d).select("value").write.mode("overwrite").text(f"{run}/source")
+    q = ST.ingest(spark, f"{run}/source", f"{run}/observations", f"{run}/checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{run}/observations").select(*RECORD_CHECK_COLUMNS[1:])
+
+
+TRACE_SCHEMA = "trace_id bigint, timestamp timestamp, workflow string, cost_usd double"
+
+
+@register("stream_cost")
+def q_stream_cost(spark, d):
+    """Trace rows written as JSON files; 24 h sliding spend per workflow in a stream."""
+    run = shared_path(spark, f"stream-cost-{uuid.uuid4().hex}")
+    traces(spark, d).select("trace_id", F.col("timestamp").cast("timestamp").alias("timestamp"), "workflow",
+                            "cost_usd").write.mode("overwrite").json(f"{run}/source")
+    stream = spark.readStream.schema(TRACE_SCHEMA).json(f"{run}/source")
+    q = ST.upsert_batches(ST.rolling_cost_stream(stream), f"{run}/windows", f"{run}/checkpoint")
+    q.awaitTermination()
+    return ST.latest_versions(spark.read.parquet(f"{run}/windows"), ["window_start", "window_end", "workflow"])
