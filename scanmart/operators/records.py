@@ -93,12 +93,12 @@ def technologies(v: Column) -> Column:
     return F.array_sort(F.coalesce(F.map_keys(keep), F.array().cast("array<string>")))
 
 
-def records_to_observations(records: DataFrame, psl_rules=None, seq_col: str = "sequence",
+def records_to_observations(records: DataFrame, extra_rules=(), seq_col: str = "sequence",
                             v_col: str = "v", nfkc: bool = True) -> DataFrame:
-    """64-column observation rows; ``psl_rules`` optionally replaces the bundled suffix rules."""
+    """64-column observation rows; ``extra_rules`` are added to the bundled suffix rules."""
     v = F.col(v_col)
     r = records
-    sets = PSL.rule_sets(psl_rules)
+    sets = PSL.rule_sets(extra=extra_rules)
     domains = F.filter(F.transform(strings_of(v, "$.domains"), C.normalize_domain), lambda x: x.isNotNull())
     hostnames = F.filter(F.transform(strings_of(v, "$.hostnames"), C.normalize_domain), lambda x: x.isNotNull())
     vulns_m = F.when(is_object(vget(v, "$.vulns")), vget(v, "$.vulns", "map<string,variant>"))
@@ -232,11 +232,11 @@ def with_canonical_org(df: DataFrame, src: str, dst: str, suffixes=K.ORG_LEGAL_S
 
 
 # ------------------------------------------------------------------ simple 17-column row
-def simple_observations(records: DataFrame, psl_rules=None, v_col: str = "v") -> DataFrame:
+def simple_observations(records: DataFrame, extra_rules=(), v_col: str = "v") -> DataFrame:
     """The reference's simple parse: nested values kept as JSON text."""
     v = F.col(v_col)
     r = records
-    sets = PSL.rule_sets(psl_rules)
+    sets = PSL.rule_sets(extra=extra_rules)
     domains = F.filter(F.transform(strings_of(v, "$.domains"), C.normalize_domain), lambda x: x.isNotNull())
     hostnames = F.filter(F.transform(strings_of(v, "$.hostnames"), C.normalize_domain), lambda x: x.isNotNull())
     port = F.when(vtype(vget(v, "$.port")).isin("BIGINT", "INT", "SMALLINT", "TINYINT"), vget(v, "$.port", "int"))

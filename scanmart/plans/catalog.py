@@ -215,19 +215,19 @@ RECORD_CHECK_COLUMNS = ("observation_id", "timestamp", "ip_str", "hostname", "re
 
 @register("records_observations")
 def q_records_observations(spark, d):
-    return R.records_to_observations(raw_variant(spark, d)).select(*RECORD_CHECK_COLUMNS)
+    return R.records_to_observations(raw_variant(spark, d), PSL.FIXTURE_RULES).select(*RECORD_CHECK_COLUMNS)
 
 
 @register("simple_observations")
 def q_simple_observations(spark, d):
-    s = R.simple_observations(raw_variant(spark, d))
+    s = R.simple_observations(raw_variant(spark, d), PSL.FIXTURE_RULES)
     return s.select("ip", "domains", "hostnames", "registrable_domains", "service_category", "canonical_org", "port",
                     "tags", "cloud", "location", "timestamp")
 
 
 @register("signal_counts")
 def q_signal_counts(spark, d):
-    s = R.signal_counts(R.simple_observations(raw_variant(spark, d)))
+    s = R.signal_counts(R.simple_observations(raw_variant(spark, d), PSL.FIXTURE_RULES))
     return s.select("timestamp", "ip", "exposure", "vulnerability", "technology")
 
 
@@ -235,7 +235,7 @@ def q_signal_counts(spark, d):
 def q_registrable_domains(spark, d):
     hosts = O.page_hosts(table(spark, d, "pages"))
     h = hosts.select("page_id", "host", R.C.normalize_domain(F.col("host")).alias("_n"))
-    return h.select("page_id", "host", PSL.registrable_domain(F.col("_n")).alias("registrable_domain"))
+    return h.select("page_id", "host", PSL.registrable_domain(F.col("_n"), extra=PSL.FIXTURE_RULES).alias("registrable_domain"))
 
 
 @register("org_normalize")
@@ -488,7 +488,8 @@ def q_stream_ingest(spark, d):
     """Raw records written as NDJSON files, ingested by a checkpointed stream."""
     run = shared_path(spark, f"stream-ingest-{uuid.uuid4().hex}")
     raw_lines(spark, d).select("value").write.mode("overwrite").text(f"{run}/source")
-    q = ST.ingest(spark, f"{run}/source", f"{run}/observations", f"{run}/checkpoint")
+    q = ST.ingest(spark, f"{run}/source", f"{run}/observations", f"{run}/checkpoint",
+                  extra_rules=PSL.FIXTURE_RULES)
     q.awaitTermination()
     return spark.read.parquet(f"{run}/observations").select(*RECORD_CHECK_COLUMNS[1:])
 

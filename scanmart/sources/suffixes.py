@@ -70,26 +70,27 @@ def rules_frame(spark: SparkSession, extra_rules=FIXTURE_RULES, icann_only: bool
 
 @functools.lru_cache(maxsize=1)
 def _default_rules() -> tuple[tuple[str, str], ...]:
-    return tuple(parse_rules(_jar_list_text() or "") + [(r, "e") for r in FIXTURE_RULES])
+    return tuple(parse_rules(_jar_list_text() or ""))
 
 
-def rule_sets(rules=None) -> dict[str, list[str]]:
-    """Rule keys by kind (``e``/``w``/``x``), from the bundled list plus fixture rules."""
-    rules = rules if rules is not None else _default_rules()
+def rule_sets(rules=None, extra=()) -> dict[str, list[str]]:
+    """Rule keys by kind (``e``/``w``/``x``): the bundled list (or ``rules``) plus
+    ``extra`` exact rules (e.g. :data:`FIXTURE_RULES` for the table-derived records)."""
+    rules = list(rules if rules is not None else _default_rules()) + [(r.lower(), "e") for r in extra]
     out: dict[str, set[str]] = {"e": set(), "w": set(), "x": set()}
     for key, kind in rules:
         out[kind].add(key)
     return {k: sorted(v) for k, v in out.items()}
 
 
-def registrable_domain(host: Column, sets: dict[str, list[str]] | None = None) -> Column:
+def registrable_domain(host: Column, sets: dict[str, list[str]] | None = None, extra=()) -> Column:
     """eTLD+1 of an already normalized host, or null (IPv4, unknown TLD, bare suffix).
 
     The rule keys are literal sets; Catalyst turns ``isin`` over them into a hashed
     ``InSet``, so each label tail costs O(1). Leftmost (longest) matching position
     wins; at that position an exception rule moves the suffix one label to the right.
     """
-    sets = sets or rule_sets()
+    sets = sets or rule_sets(extra=extra)
     labels = F.split(host, r"\.")
     n = F.size(labels)
 
