@@ -127,8 +127,8 @@ def records_to_observations(records: DataFrame, extra_rules=(), seq_col: str = "
         details.alias("_details"),
         F.array_max(F.filter(cvss, lambda x: x.isNotNull())).alias("vuln_max_cvss"),
     )
-    reg = F.array_sort(F.array_distinct(F.filter(
-        F.transform("domains", lambda d: PSL.registrable_domain(d, sets)), lambda x: x.isNotNull())))
+    reg = F.array_sort(F.array_distinct(F.filter(PSL.registrable_domains_of(F.col("domains"), sets),
+                                                 lambda x: x.isNotNull())))
     out = base.select(
         observation_id(F.col(seq_col), F.col("ip_str"), F.col("timestamp"), F.col("_port_text")).alias("observation_id"),
         "timestamp",
@@ -244,7 +244,7 @@ def simple_observations(records: DataFrame, extra_rules=(), v_col: str = "v") ->
         vget(v, "$.ip_str", "string").alias("ip"),
         domains.alias("domains"),
         hostnames.alias("hostnames"),
-        F.array_sort(F.array_distinct(F.filter(F.transform(domains, lambda d: PSL.registrable_domain(d, sets)),
+        F.array_sort(F.array_distinct(F.filter(PSL.registrable_domains_of(domains, sets),
                                                lambda x: x.isNotNull()))).alias("registrable_domains"),
         C.service_category(port).alias("service_category"),
         F.when(vtype(vget(v, "$.org")) == "STRING", vget(v, "$.org", "string")).alias("raw_org"),

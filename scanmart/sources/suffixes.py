@@ -83,33 +83,56 @@ def rule_sets(rules=None, extra=()) -> dict[str, list[str]]:
     return {k: sorted(v) for k, v in out.items()}
 
 
-def registrable_domain(host: Column, sets: dict[str, list[str]] | None = None, extra=()) -> Column:
-    """eTLD+1 of an already normalized host, or null (IPv4, unknown TLD, bare suffix).
+def registrable_domains_of(hosts: Column, sets: dict[str, list[str]] | None = None, extra=()) -> Column:
+    """eTLD+1 of every (already normalized) host of an array, element-wise; null for
+    IPv4, unknown TLD or a bare suffix.
 
     The rule keys are literal sets; Catalyst turns ``isin`` over them into a hashed
-    ``InSet``, so each label tail costs O(1). Leftmost (longest) matching position
+    ``InSet``, so each label tail costs O(1). The leftmost (longest) matching position
     wins; at that position an exception rule moves the suffix one label to the right.
+    Three chained ``transform`` steps keep each sub-result evaluated once per host.
     """
     sets = sets or rule_sets(extra=extra)
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-
-    def tail(i: Column) -> Column:
-        return F.array_join(F.slice(labels, i, n - i + 1), ".")
 
     def member(c: Column, kind: str) -> Column:
         keys = sets[kind]
         return F.coalesce(c.isin(*keys), F.lit(False)) if keys else F.lit(False)
 
-    def hit(i: Column) -> Column:
-        t = tail(i)
-        parent = F.when(i < n, tail(i + 1))
-        is_x = member(t, "x")
-        return F.struct(i.alias("i"), is_x.alias("x"), (is_x | member(t, "e") | member(parent, "w")).alias("m"))
-
-    cands = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), hit), lambda s: s["m"])
-    first = F.get(cands, 0)
-    start = F.when(first["x"], first["i"] + 1).otherwise(first["i"])
-    reg = F.when(start >= 2, F.array_join(F.slice(labels, start - 1, n - start + 2), "."))
-    bad = host.isNull() | (host == "") | host.rlike(_IPV4)
-    return F.when(~bad & (F.size(cands) > 0), reg)
+    # step 1: labels once per host
+    step1 = F.transform(hosts, lambda h: F.struct(h.alias("h"), F.split(h, r"\.").alias("labels")))
+
+    # step 2: first matching position (struct i, x) per host
+    def first_match(s: Column) -> Column:
+        labels = s["labels"]
+        n = F.size(labels)
+
+        def tail(i: Column) -> Column:
+            return F.array_join(F.slice(labels, i, n - i + 1), ".")
+
+        def hit(i: Column) -> Column:
+            t = tail(i)
+            is_x = member(t, "x")
+            m = is_x | member(t, "e") | (F.coalesce(i < n, F.lit(False)) & member(tail(i + 1), "w"))
+            return F.struct(i.alias("i"), is_x.alias("x"), m.alias("m"))
+
+        cands = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), hit), lambda c: c["m"])
+        return F.struct(s["h"].alias("h"), labels.alias("labels"), F.get(cands, 0).alias("f"))
+
+    step2 = F.transform(step1, first_match)
+
+    # step 3: cut the registrable part
+    def cut(s: Column) -> Column:
+        labels, f, h = s["labels"], s["f"], s["h"]
+        n = F.size(labels)
+        start = F.when(f["x"], f["i"] + 1).otherwise(f["i"])
+        bad = h.isNull() | (h == "") | h.rlike(_IPV4) | f.isNull()
+        return F.when(~bad & (start >= 2), F.array_join(F.slice(labels, start - 1, n - start + 2), "."))
+
+    return F.transform(step2, cut)
+
+
+def registrable_domain(host: Column, sets: dict[str, list[str]] | None = None, extra=()) -> Column:
+    """Scalar form of :func:`registrable_domains_of`."""
+    return F.get(registrable_domains_of(F.array(host), sets, extra), 0)
+
+
