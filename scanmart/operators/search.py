@@ -107,40 +107,38 @@ def search_batch(accounts: DataFrame, questions: DataFrame, limit: int = 80,
                           *[f for _, f in K.KEYWORD_FILTERS]).withColumn(
         "_score", F.coalesce(F.col("opportunity_score"), F.lit(0.0)))
     dom = F.lower(F.coalesce(F.col("domain"), F.lit("")))
-    # substrings of the domain (for full-question and dotted-token rules) and of the haystack words
-    dom_subs = acc.select("domain", "_score", F.explode(_substrings(dom, 1)).alias("s")) \
-                  .withColumn("kind", F.when(F.col("s").contains("."), F.lit("dot")).otherwise(F.lit("dom")))
-    hay_subs = acc.select("domain", "_score", F.explode(_word_substrings(haystack(), 3)).alias("s")) \
-                  .withColumn("kind", F.lit("hay"))
-    q = questions.select(F.col(id_col).alias("question_id"), F.trim(F.lower(F.col(text_col))).alias("q"))
-    toks = q.select("question_id", F.explode(F.array_distinct(
-        F.filter(F.split("q", TOKEN_SPLIT), lambda t: F.length(t) > 0))).alias("t"))
-    dotted = toks.filter(F.col("t").contains(".")).select("question_id", F.col("t").alias("s"))
-    longtok = toks.filter(F.length("t") >= 3).select("question_id", F.col("t").alias("s"))
-    full = q.filter(F.length("q") > 0).select("question_id", F.col("q").alias("s"))
-
-    m_full = full.join(dom_subs.select("domain", "_score", "s"), "s")
-    m_dot = dotted.join(dom_subs.filter(F.col("kind") == "dot").select("domain", "_score", "s"), "s")
-    m_hay = longtok.join(hay_subs.select("domain", "_score", "s"), "s")
-    text_matches = m_full.unionByName(m_dot).unionByName(m_hay).select("question_id", "domain", "_score")
+    # one pass over the accounts: (term, kind) with kind d = any substring of the domain
+    # (full-question and dotted-token rules), h = substring (>= 3) of a haystack word
+    terms = F.concat(
+        F.transform(_substrings(dom, 1), lambda x: F.struct(x.alias("s"), F.lit("d").alias("kind"))),
+        F.transform(_word_substrings(haystack(), 3), lambda x: F.struct(x.alias("s"), F.lit("h").alias("kind"))))
+    acc_terms = acc.select("domain", "_score", F.explode(terms).alias("t")).select("domain", "_score", "t.s", "t.kind")
+    q = questions.select(F.col(id_col).alias("question_id"),
+                         F.lower(F.regexp_replace(F.col(text_col), r"^\s+|\s+$", "")).alias("q"))
+    toks = F.array_distinct(F.filter(F.split("q", TOKEN_SPLIT), lambda t: F.length(t) > 0))
+    qterms = F.concat(
+        F.when(F.length("q") > 0, F.array(F.struct(F.col("q").alias("s"), F.lit("d").alias("kind"))))
+         .otherwise(F.array().cast("array<struct<s:string,kind:string>>")),
+        F.transform(F.filter(toks, lambda t: t.contains(".")), lambda t: F.struct(t.alias("s"), F.lit("d").alias("kind"))),
+        F.transform(F.filter(toks, lambda t: F.length(t) >= 3), lambda t: F.struct(t.alias("s"), F.lit("h").alias("kind"))))
+    q_terms = q.select("question_id", F.explode(qterms).alias("t")).select("question_id", "t.s", "t.kind").distinct()
+    text_matches = q_terms.join(acc_terms, ["s", "kind"]).select("question_id", "domain", "_score")
 
     # keyword groups: group-level top-`limit` lists (bounded: groups x limit rows)
-    group_rows = []
-    for gi, (_keywords, field) in enumerate(K.KEYWORD_FILTERS):
-        group_rows.append(acc.filter(F.coalesce(F.col(field), F.lit(0)) > 0)
-                          .select(F.lit(gi).alias("group_id"), "domain", "_score"))
-    groups = group_rows[0]
-    for g in group_rows[1:]:
-        groups = groups.unionByName(g)
+    gids = F.filter(F.array(*[F.when(F.coalesce(F.col(f), F.lit(0)) > 0, F.lit(gi))
+                              for gi, (_k, f) in enumerate(K.KEYWORD_FILTERS)]), lambda x: x.isNotNull())
+    groups = acc.select("domain", "_score", F.explode(gids).alias("group_id"))
     wg = Window.partitionBy("group_id").orderBy(F.desc("_score"), F.asc("domain"))
     group_top = groups.withColumn("_r", F.row_number().over(wg)).filter(F.col("_r") <= limit).drop("_r")
-    qgroups = None
-    for gi, (keywords, _field) in enumerate(K.KEYWORD_FILTERS):
+
+    def mentions(keywords) -> Column:
         hit = F.lit(False)
         for k in keywords:
             hit = hit | F.col("q").contains(F.lit(k))
-        part = q.filter(hit).select("question_id", F.lit(gi).alias("group_id"))
-        qgroups = part if qgroups is None else qgroups.unionByName(part)
+        return hit
+    qgids = F.filter(F.array(*[F.when(mentions(kws), F.lit(gi)) for gi, (kws, _f) in enumerate(K.KEYWORD_FILTERS)]),
+                     lambda x: x.isNotNull())
+    qgroups = q.select("question_id", F.explode(qgids).alias("group_id"))
     kw_matches = qgroups.join(F.broadcast(group_top), "group_id").select("question_id", "domain", "_score")
 
     matches = text_matches.unionByName(kw_matches).distinct()
