@@ -507,3 +507,46 @@ def q_stream_cost(spark, d):
     q = ST.upsert_batches(ST.rolling_cost_stream(stream), f"{run}/windows", f"{run}/checkpoint")
     q.awaitTermination()
     return ST.latest_versions(spark.read.parquet(f"{run}/windows"), ["window_start", "window_end", "workflow"])
+
+
+# ------------------------------------------------------------------ small library forms
+@register("opportunity_library")
+def q_opportunity_library(spark, d):
+    return SC.opportunity_library(scored(spark, d)).select("domain", "opportunity_library_score")
+
+
+@register("ranked_accounts")
+def q_ranked_accounts(spark, d):
+    return CX.ranked_accounts(scored(spark, d)).select("domain", "opportunity_score")
+
+
+@register("clean_technologies")
+def q_clean_technologies(spark, d):
+    """Technology lists of the raw records with deny-listed and ``_``-prefixed names removed."""
+    m = R.vget(F.col("v"), "$", "map<string,variant>")
+    keys = F.array_sort(F.coalesce(F.map_keys(m), F.array().cast("array<string>")))
+    return raw_variant(spark, d).select("sequence", R.C.clean_technologies(keys).alias("technologies"))
+
+
+LOOKUP_DOMAIN_RANK = 1
+
+
+@register("account_lookup")
+def q_account_lookup(spark, d):
+    """Point lookup of one account and its signals (the first account by score), joined on domain."""
+    sc = scored(spark, d)
+    key = CX.top_accounts(sc, LOOKUP_DOMAIN_RANK).select("domain")
+    sig = signals(spark, d).join(F.broadcast(key), "domain", "left_semi")
+    return (sc.join(F.broadcast(key), "domain", "left_semi")
+            .join(sig.select("domain", "signal_name", "severity"), "domain", "left")
+            .select("domain", "opportunity_score", "signal_name", "severity"))
+
+
+@register("eval_totals")
+def q_eval_totals(spark, d):
+    """Per prompt version: token and cost totals and failing-case count of the judged traces."""
+    t = traces(spark, d)
+    return (t.groupBy("prompt_version")
+            .agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
+                 (F.sum(F.round(F.col("cost_usd") * 1e6).cast("bigint")) / 1e6).alias("cost_usd"),
+                 F.count_if(F.col("error").isNotNull()).alias("failures")))

@@ -407,3 +407,30 @@ ORACLE["saved_join"] = with_ctes(ADAPTER, ACCOUNTS, SCORED) + r"""
 sv AS (SELECT regexp_extract(host, '([^.]+\.example\.(com|org|net))$', 1) AS domain, CAST(min(page_id) AS VARCHAR) AS saved_at
        FROM hs WHERE host LIKE '%.com' GROUP BY 1)
 SELECT s.domain, s.opportunity_score, sv.saved_at, 'New' AS status FROM scored s JOIN sv ON sv.domain = s.domain"""
+
+# ------------------------------------------------------------------ small library forms
+ORACLE["opportunity_library"] = with_ctes(ADAPTER, ACCOUNTS, SCORED) + """
+SELECT domain, least(100.0, 0.0 + 0.3 * coalesce(icp_score, 0) + 0.2 * coalesce(exposure_score, 0)
+  + 0.2 * coalesce(vulnerability_score, 0) + 0.2 * coalesce(technology_score, 0) + 0.1 * coalesce(recency_score, 0))
+  AS opportunity_library_score FROM scored"""
+ORACLE["ranked_accounts"] = with_ctes(ADAPTER, ACCOUNTS, SCORED) + \
+    "SELECT domain, opportunity_score FROM scored ORDER BY opportunity_score DESC, domain"
+_DENY = "[" + ", ".join(f"'{x}'" for x in _K.NON_TECHNOLOGY_FIELDS) + "]"
+ORACLE["clean_technologies"] = with_ctes(ADAPTER, ORGS) + f"""
+, keys AS (SELECT event_id AS sequence, list_sort(list_concat(
+      ['ip_str', 'port', 'timestamp', 'hostnames', 'domains', 'org', 'location', 'vulns', 'tags'],
+      CASE WHEN cloud_present THEN ['cloud'] ELSE CAST([] AS VARCHAR[]) END,
+      detected_technologies,
+      CASE WHEN event_id % 7 = 0 THEN ['telnet'] ELSE CAST([] AS VARCHAR[]) END)) AS k FROM obs_orgs)
+SELECT sequence, list_filter(k, lambda x: NOT list_contains({_DENY}, x) AND NOT starts_with(x, '_')) AS technologies
+FROM keys"""
+ORACLE["account_lookup"] = with_ctes(ADAPTER, ACCOUNTS, SCORED, SIGNALS) + """
+, key AS (SELECT domain FROM scored ORDER BY opportunity_score DESC, domain LIMIT 1)
+SELECT s.domain, s.opportunity_score, g.signal_name, g.severity
+FROM scored s JOIN key ON key.domain = s.domain LEFT JOIN signals g ON g.domain = s.domain"""
+ORACLE["eval_totals"] = with_ctes(_TRACES) + """
+, t1 AS (SELECT *, 'audit/v' || (1 + CAST(json_extract_string(e.props, '$.k') AS BIGINT) % 2) AS prompt_version
+         FROM tr JOIN events e ON e.event_id = tr.trace_id)
+SELECT prompt_version, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+       sum(CAST(round(cost_usd * 1e6) AS BIGINT)) / 1e6 AS cost_usd, count(*) FILTER (WHERE error IS NOT NULL) AS failures
+FROM t1 GROUP BY prompt_version"""
