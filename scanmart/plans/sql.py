@@ -434,3 +434,14 @@ ORACLE["eval_totals"] = with_ctes(_TRACES) + """
 SELECT prompt_version, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
        sum(CAST(round(cost_usd * 1e6) AS BIGINT)) / 1e6 AS cost_usd, count(*) FILTER (WHERE error IS NOT NULL) AS failures
 FROM t1 GROUP BY prompt_version"""
+
+# ------------------------------------------------------------------ streaming results (checked against batch SQL)
+ORACLE["stream_ingest"] = with_ctes(ADAPTER, ORGS) + \
+    f"SELECT {_RC.replace('observation_id, ', '').replace('hostname,', chr(32) + 'regexp_replace(hostname, ' + chr(39) + '^www[.]' + chr(39) + ', ' + chr(39) + chr(39) + ') AS hostname,')} FROM obs_orgs"
+ORACLE["stream_cost"] = with_ctes(_TRACES) + """
+, w AS (SELECT date_trunc('hour', timestamp) - to_hours(k) AS window_start, workflow, cost_usd
+        FROM tr, range(0, 24) t(k))
+SELECT window_start, window_start + INTERVAL 24 HOUR AS window_end, workflow,
+       sum(CAST(round(cost_usd * 1e6) AS BIGINT)) / 1e6 AS cost_usd, count(*) AS calls,
+       sum(CAST(round(cost_usd * 1e6) AS BIGINT)) / 1e6 > 2.0 AS alert
+FROM w GROUP BY window_start, workflow"""
