@@ -3,7 +3,7 @@
 Everything is a narrow projection of built-in VARIANT/array functions; the only
 non-local input is the fixed public-suffix rule set (literal hash sets). Organisation names that
 contain non-ASCII characters get NFKC + casefold through one Arrow-batched pandas UDF
-applied to the *distinct* such names only.
+(ASCII rows pass it a null).
 """
 
 from __future__ import annotations
@@ -215,20 +215,17 @@ def with_canonical_org(df: DataFrame, src: str, dst: str, suffixes=K.ORG_LEGAL_S
     """``dst`` = normalized organisation of ``src``.
 
     ASCII names stay on the JVM (``lower`` equals casefold there). Names with any
-    non-ASCII character are NFKC+casefolded by an Arrow UDF over their *distinct*
-    values, joined back on the raw name (a hot name is one key after the distinct).
+    non-ASCII character are NFKC+casefolded by an Arrow-batched pandas UDF in the same
+    stage: the UDF input is null for ASCII rows, so only non-ASCII names cross into
+    Python, and no shuffle or join is needed (a hot organisation costs nothing extra).
+    ``nfkc=False`` keeps everything on the JVM (``lower`` only).
     """
-    ascii_only = F.col(src).rlike(r"^[\x00-\x7F]*$")
     if not nfkc:
         return df.withColumn(dst, C.normalize_org_ascii(F.col(src), suffixes, two_word))
-    if nfkc == "inline":  # streams: no self-join; the UDF sees every row of the batch
-        text = F.when(ascii_only | F.col(src).isNull(), F.col(src)).otherwise(nfkc_casefold(F.col(src)))
-        return df.withColumn(dst, C.normalize_org_ascii(text, suffixes, two_word))
-    uni = (df.filter(F.col(src).isNotNull() & ~ascii_only).select(F.col(src).alias("_raw")).distinct()
-             .withColumn("_folded", nfkc_casefold(F.col("_raw"))))
-    j = df.join(uni, df[src] == uni["_raw"], "left")
-    text = F.when(ascii_only | F.col(src).isNull(), F.col(src)).otherwise(F.col("_folded"))
-    return j.withColumn(dst, C.normalize_org_ascii(text, suffixes, two_word)).drop("_raw", "_folded")
+    non_ascii = F.col(src).isNotNull() & ~F.col(src).rlike(r"^[\x00-\x7F]*$")
+    folded = nfkc_casefold(F.when(non_ascii, F.col(src)))
+    text = F.when(non_ascii, folded).otherwise(F.col(src))
+    return df.withColumn(dst, C.normalize_org_ascii(text, suffixes, two_word))
 
 
 # ------------------------------------------------------------------ simple 17-column row

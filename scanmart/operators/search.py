@@ -96,7 +96,8 @@ def search_batch(accounts: DataFrame, questions: DataFrame, limit: int = 80,
 
     * substring rules become equi-joins: every account emits the substrings of its
       haystack words (bounded by word length), every question emits its tokens and its
-      full text; match = equal strings;
+      full text; match = equal strings; each term keeps only its top-``limit`` accounts
+      (exact: the top of a union lies in the union of the tops);
     * keyword rules are per (question, keyword group): each group's top-``limit``
       accounts are ranked once and joined to the questions that mention the group;
     * questions with no match take the global top-``limit`` (a bounded, broadcast list).
@@ -113,6 +114,12 @@ def search_batch(accounts: DataFrame, questions: DataFrame, limit: int = 80,
         F.transform(_substrings(dom, 1), lambda x: F.struct(x.alias("s"), F.lit("d").alias("kind"))),
         F.transform(_word_substrings(haystack(), 3), lambda x: F.struct(x.alias("s"), F.lit("h").alias("kind"))))
     acc_terms = acc.select("domain", "_score", F.explode(terms).alias("t")).select("domain", "_score", "t.s", "t.kind")
+    # exact pruning: a question's top-`limit` over the union of its terms' matches lies in
+    # the union of each term's top-`limit`, so every term keeps only its best `limit`
+    # accounts (planned as WindowGroupLimit: trimmed before the shuffle). A term shared by
+    # every domain ("com") then joins at most `limit` rows per question.
+    wt = Window.partitionBy("s", "kind").orderBy(F.desc("_score"), F.asc("domain"))
+    acc_terms = acc_terms.withColumn("_r", F.row_number().over(wt)).filter(F.col("_r") <= limit).drop("_r")
     q = questions.select(F.col(id_col).alias("question_id"),
                          F.lower(F.regexp_replace(F.col(text_col), r"^\s+|\s+$", "")).alias("q"))
     toks = F.array_distinct(F.filter(F.split("q", TOKEN_SPLIT), lambda t: F.length(t) > 0))

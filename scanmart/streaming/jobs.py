@@ -27,7 +27,7 @@ def ingest(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
            dedupe_watermark: str | None = "1 hour", extra_rules=()) -> StreamingQuery:
     """J1 (+J4): records -> curated observations appended to Parquet; replayed files are
     suppressed by ``dropDuplicatesWithinWatermark`` on the observation id."""
-    obs = R.records_to_observations(stream_records(spark, source_dir), extra_rules, nfkc="inline")
+    obs = R.records_to_observations(stream_records(spark, source_dir), extra_rules)
     if dedupe_watermark:
         obs = (obs.withColumn("_event_time", F.expr("try_cast(timestamp AS TIMESTAMP)"))
                .withWatermark("_event_time", dedupe_watermark)
