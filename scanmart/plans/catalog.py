@@ -16,20 +16,34 @@ from scanmart.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+_FRAMES: dict[tuple, DataFrame] = {}
+
+
+def _shared(spark: SparkSession, d: str, name: str, build) -> DataFrame:
+    """One lazy DataFrame object per (session, tables, stage): queries that combine
+    several marts share the same sub-plans, so Spark reuses their exchanges instead of
+    re-reading and re-shuffling the tables."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _FRAMES:
+        _FRAMES[key] = build()
+    return _FRAMES[key]
+
+
 def observations(spark: SparkSession, d: str) -> DataFrame:
-    return O.adapter_observations(table(spark, d, "events"), table(spark, d, "pages"), table(spark, d, "nation"))
+    return _shared(spark, d, "observations", lambda: O.adapter_observations(
+        table(spark, d, "events"), table(spark, d, "pages"), table(spark, d, "nation")))
 
 
 def accounts(spark: SparkSession, d: str) -> DataFrame:
-    return M.accounts_mart(observations(spark, d))
+    return _shared(spark, d, "accounts", lambda: M.accounts_mart(observations(spark, d)))
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    return SC.scored_accounts(accounts(spark, d))
+    return _shared(spark, d, "scored", lambda: SC.scored_accounts(accounts(spark, d)))
 
 
 def signals(spark: SparkSession, d: str) -> DataFrame:
-    return S.account_signals(accounts(spark, d))
+    return _shared(spark, d, "signals", lambda: S.account_signals(accounts(spark, d)))
 
 
 def observations_with_orgs(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +114,7 @@ EVIDENCE_PER_ACCOUNT = 5
 
 
 def top(spark, d, limit: int = TOP_N):
-    return CX.top_accounts(scored(spark, d), limit)
+    return _shared(spark, d, f"top{limit}", lambda: CX.top_accounts(scored(spark, d), limit))
 
 
 def evidence(spark, d):
