@@ -35,13 +35,31 @@ def account_observations(observations: DataFrame, columns: list[str] | None = No
                .select(F.explode("registrable_domains").alias("domain"), *keep))
 
 
+DISTINCT_COUNTS = (("unique_ip_count", "ip_str"), ("unique_hostname_count", "hostname"),
+                   ("unique_port_count", "port"), ("unique_service_count", "service_category"))
+
+
+def distinct_counts(ao: DataFrame) -> DataFrame:
+    """Exact distinct counts per domain in two levels: (domain, kind, value) distinct,
+    then a count per (domain, kind). The first shuffle is keyed by the value too, so a
+    hot domain's distinct IPs/hosts spread over every reducer; no per-domain set is
+    ever held in memory."""
+    kv = F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).cast("string").alias("v"))
+                   for i, (_, c) in enumerate(DISTINCT_COUNTS)])
+    pairs = (ao.select("domain", F.explode(kv).alias("x")).filter(F.col("x.v").isNotNull())
+             .select("domain", F.col("x.k").alias("k"), F.col("x.v").alias("v")).distinct())
+    return pairs.groupBy("domain").agg(*[F.count_if(F.col("k") == i).alias(name)
+                                         for i, (name, _) in enumerate(DISTINCT_COUNTS)])
+
+
 def accounts_mart(observations: DataFrame) -> DataFrame:
     """Group observations by registrable domain; 20 aggregates.
 
-    Skew: counts and sums combine map-side; the four exact distincts are planned by
-    Spark as an Expand whose first aggregation is keyed by (domain, value), so one hot
-    domain's distinct values are spread over all reducers. The list aggregates hold
-    bounded vocabularies (countries, regions, providers, technology sets).
+    Counts, sums, min/max and the bounded list aggregates (countries, regions,
+    providers, technology and service sets) are one map-side-combined aggregation; the
+    four exact distinct counts come from :func:`distinct_counts` and are joined on the
+    domain (both sides hold one row per domain). This replaces Spark's Expand-based
+    plan for several DISTINCT aggregates, which replicates every input row five times.
     """
     need = ["timestamp", "ip_str", "hostname", "port", "service_category", "cloud_present", "cloud_provider",
             "country_code", "region_code", "detected_technologies", "detected_services", "vuln_count",
@@ -52,10 +70,6 @@ def accounts_mart(observations: DataFrame) -> DataFrame:
         F.min(_ts("timestamp")).alias("first_seen"),
         F.max(_ts("timestamp")).alias("last_seen"),
         F.count(F.lit(1)).alias("observation_count"),
-        F.countDistinct("ip_str").alias("unique_ip_count"),
-        F.countDistinct("hostname").alias("unique_hostname_count"),
-        F.countDistinct("port").alias("unique_port_count"),
-        F.countDistinct("service_category").alias("unique_service_count"),
         F.count_if(F.coalesce(F.col("cloud_present"), F.lit(False))).alias("cloud_observation_count"),
         F.count_if(F.coalesce(F.col("cloud_present"), F.lit(False)) & F.col("cloud_provider").isNotNull())
          .alias("identified_cloud_observation_count"),
@@ -72,9 +86,10 @@ def accounts_mart(observations: DataFrame) -> DataFrame:
         F.sum("database_service_count").cast("bigint").alias("exposed_database_count"),
         F.sum("remote_access_service_count").cast("bigint").alias("exposed_remote_access_count"),
     )
+    agg = agg.join(distinct_counts(ao), "domain", "left")
     return agg.select(
         F.col("domain").alias("account_id"), "domain", "first_seen", "last_seen", "observation_count",
-        "unique_ip_count", "unique_hostname_count", "unique_port_count", "unique_service_count",
+        *[F.coalesce(F.col(name), F.lit(0)).cast("bigint").alias(name) for name, _ in DISTINCT_COUNTS],
         "cloud_observation_count", "identified_cloud_observation_count",
         _null_if_empty(F.array_sort("_countries")).alias("countries"),
         _null_if_empty(F.array_sort("_regions")).alias("regions"),
@@ -109,10 +124,13 @@ def org_mart(observations: DataFrame, ip_col: str = "ip_str") -> DataFrame:
     and :func:`org_ips` gives the (org, ip) pairs as a long table.
     """
     o = observations.filter(F.col("canonical_org").isNotNull())
-    return (o.groupBy("canonical_org")
-             .agg(F.count(F.lit(1)).alias("observation_count"),
-                  F.countDistinct(ip_col).alias("unique_ip_count"),
-                  F.max("timestamp").alias("last_observed_at")))
+    main = o.groupBy("canonical_org").agg(F.count(F.lit(1)).alias("observation_count"),
+                                          F.max("timestamp").alias("last_observed_at"))
+    ips = (o.filter(F.col(ip_col).isNotNull()).select("canonical_org", ip_col).distinct()
+           .groupBy("canonical_org").agg(F.count(F.lit(1)).alias("unique_ip_count")))
+    return (main.join(ips, "canonical_org", "left")
+            .select("canonical_org", "observation_count",
+                    F.coalesce("unique_ip_count", F.lit(0)).alias("unique_ip_count"), "last_observed_at"))
 
 
 def org_ips(observations: DataFrame, ip_col: str = "ip_str") -> DataFrame:

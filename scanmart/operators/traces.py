@@ -96,3 +96,16 @@ def traces_from_events(events: DataFrame) -> DataFrame:
         F.when(F.col("event_type") == "error", F.lit("provider error")).alias("error"),
         F.when(F.col("event_type") != "error", F.col("props")).alias("response"),
     )
+
+
+def cost_model(traces: DataFrame) -> DataFrame:
+    """Per workflow and model: calls, mean input/output tokens, mean cost per call and
+    total spend (micro-dollar sums) - the cost table of the planning documents, measured."""
+    return (traces.groupBy("workflow", "model")
+            .agg(F.count(F.lit(1)).alias("calls"),
+                 F.round(F.avg("input_tokens"), 2).alias("avg_input_tokens"),
+                 F.round(F.avg("output_tokens"), 2).alias("avg_output_tokens"),
+                 F.sum(F.round(F.col("cost_usd") * 1e6).cast("bigint")).alias("_c"))
+            .select("workflow", "model", "calls", "avg_input_tokens", "avg_output_tokens",
+                    F.round(F.col("_c") / F.col("calls") / 1e6, 8).alias("cost_per_call_usd"),
+                    (F.col("_c") / 1e6).alias("total_cost_usd")))

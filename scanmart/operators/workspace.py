@@ -106,3 +106,8 @@ def saved_join(saved: DataFrame, scored: DataFrame) -> DataFrame:
     return (scored.join(saved.select("domain", "saved_at", "owner", "status"), "domain")
             .orderBy(F.desc("opportunity_score"), F.asc("domain")))
 
+
+
+def list_saved(saved: DataFrame) -> DataFrame:
+    """Saved accounts, most recently saved first (ties by domain)."""
+    return saved.orderBy(F.desc("saved_at"), F.asc("domain"))

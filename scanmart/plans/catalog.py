@@ -564,3 +564,14 @@ def q_eval_totals(spark, d):
             .agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
                  (F.sum(F.round(F.col("cost_usd") * 1e6).cast("bigint")) / 1e6).alias("cost_usd"),
                  F.count_if(F.col("error").isNotNull()).alias("failures")))
+
+
+@register("saved_accounts")
+def q_saved_accounts(spark, d):
+    saved, changes = workspace_tables(spark, d)
+    return WS.list_saved(WS.apply_changes(saved, changes)).select("domain", "saved_at", "status")
+
+
+@register("cost_model")
+def q_cost_model(spark, d):
+    return TR.cost_model(traces(spark, d))

@@ -445,3 +445,13 @@ SELECT window_start, window_start + INTERVAL 24 HOUR AS window_end, workflow,
        sum(CAST(round(cost_usd * 1e6) AS BIGINT)) / 1e6 AS cost_usd, count(*) AS calls,
        sum(CAST(round(cost_usd * 1e6) AS BIGINT)) / 1e6 > 2.0 AS alert
 FROM w GROUP BY window_start, workflow"""
+ORACLE["saved_accounts"] = ORACLE["workspace_apply"].replace(
+    "SELECT * FROM saved WHERE domain NOT IN (SELECT domain FROM k)\nUNION ALL SELECT * FROM res",
+    ", allrows AS (SELECT * FROM saved WHERE domain NOT IN (SELECT domain FROM k) UNION ALL SELECT * FROM res)\n"
+    "SELECT domain, saved_at, status FROM allrows ORDER BY saved_at DESC, domain")
+ORACLE["cost_model"] = with_ctes(_TRACES) + """
+SELECT workflow, model, count(*) AS calls, round(avg(input_tokens), 2) AS avg_input_tokens,
+       round(avg(output_tokens), 2) AS avg_output_tokens,
+       round(sum(CAST(round(cost_usd * 1e6) AS BIGINT)) / count(*) / 1e6, 8) AS cost_per_call_usd,
+       sum(CAST(round(cost_usd * 1e6) AS BIGINT)) / 1e6 AS total_cost_usd
+FROM tr GROUP BY workflow, model"""
