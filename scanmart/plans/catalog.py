@@ -209,12 +209,14 @@ def q_display_columns(spark, d):
 # ------------------------------------------------------------------ raw records: parse, normalize, profile
 from scanmart.operators import profiling as P  # noqa: E402
 from scanmart.operators import records as R  # noqa: E402
+from scanmart.sources import ndjson as N  # noqa: E402
 from scanmart.sources import suffixes as PSL  # noqa: E402
 
 
 def raw_lines(spark, d):
-    """Raw NDJSON text of every observation derived from the tables (sequence, value)."""
-    return O.raw_records(observations_with_orgs(spark, d))
+    """Raw NDJSON text of every observation derived from the tables (sequence, value),
+    spread over all cores before the (per-row heavy) parsing."""
+    return _shared(spark, d, "raw_lines", lambda: N.spread(O.raw_records(observations_with_orgs(spark, d))))
 
 
 def raw_variant(spark, d):

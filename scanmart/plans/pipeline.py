@@ -29,10 +29,7 @@ def build_observations(spark: SparkSession, source: str, output: str, rows_per_f
                        partitions: int | None = None, strict: bool = True, extra_rules=()) -> int:
     """Records -> 64-column observations; ``sequence`` numbers object records in scan
     order (per-partition offsets, no single-task numbering)."""
-    records = N.read_records(spark, source, strict=strict)
-    records = N.with_sequence(records)
-    if partitions:
-        records = records.repartition(partitions)
+    records = N.read_numbered_records(spark, source, strict=strict, partitions=partitions)
     obs = R.records_to_observations(records, extra_rules)
     return sinks.write_parquet(obs, output, rows_per_file=rows_per_file)
 

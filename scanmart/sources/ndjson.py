@@ -23,12 +23,21 @@ def check_extension(path: str) -> None:
                 raise ValueError(f"{path} is zstd-compressed but lacks the .zst extension")
 
 
-def read_lines(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """Text lines with the source file name; blank lines removed."""
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition when the input has fewer partitions than the cluster has
+    cores (one unsplittable ``.zst`` file, or one small file with heavy per-row parsing);
+    inputs that are already split are left alone (no extra shuffle)."""
+    target = partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+def read_lines(spark: SparkSession, path: str, partitions: int | None = None, spread_out: bool = True) -> DataFrame:
+    """Text lines with the source file name; blank lines removed; spread over the
+    cluster before parsing when the scan yields too few partitions (``spread_out``)."""
     check_extension(path)
     df = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
     df = df.filter(F.length(F.trim("line")) > 0)
-    return df.repartition(partitions) if partitions else df
+    return spread(df, partitions) if spread_out else df
 
 
 def parse_records(lines: DataFrame, strict: bool = True) -> DataFrame:
@@ -55,20 +64,33 @@ def read_records(spark: SparkSession, path: str, strict: bool = True, partitions
     return parse_records(read_lines(spark, path, partitions), strict)
 
 
-def with_sequence(records: DataFrame, order_cols=("file", "_pos")) -> DataFrame:
-    """Running 0-based sequence of records in scan order (distributed zipWithIndex).
+def with_sequence(df: DataFrame, name: str = "sequence") -> DataFrame:
+    """Running 0-based number of the rows in partition order (distributed zipWithIndex).
 
     Rows are tagged with (partition, position) before any shuffle; per-partition
     counts (one row per partition: bounded by the partition count) are prefix-summed
     and broadcast back. Re-running a lost task re-reads the same split in the same
     order, so the numbering is stable under executor loss.
     """
-    tagged = records.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     from pyspark.sql import Window
 
+    tagged = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     offsets = counts.withColumn("_offset", F.coalesce(
         F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     out = tagged.join(F.broadcast(offsets.select("_pid", "_offset", "_first")), "_pid")
-    return out.withColumn("sequence", F.col("_offset") + F.col("_mid") - F.col("_first")).drop(
+    return out.withColumn(name, F.col("_offset") + F.col("_mid") - F.col("_first")).drop(
         "_pid", "_mid", "_offset", "_first")
+
+
+def read_numbered_records(spark: SparkSession, path: str, strict: bool = True,
+                          partitions: int | None = None) -> DataFrame:
+    """Object records numbered 0.. in file order (the reference's running sequence),
+    with the parsing itself spread over the cluster.
+
+    Lines are numbered in scan order first (cheap), then spread and parsed in parallel;
+    the object records are finally renumbered by a distributed sort on the line number,
+    so non-object lines do not consume sequence numbers."""
+    lines = with_sequence(read_lines(spark, path, spread_out=False), "_line")
+    records = parse_records(spread(lines, partitions), strict)
+    return with_sequence(records.orderBy("file", "_line"), "sequence").drop("_line")
