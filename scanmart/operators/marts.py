@@ -39,26 +39,39 @@ DISTINCT_COUNTS = (("unique_ip_count", "ip_str"), ("unique_hostname_count", "hos
                    ("unique_port_count", "port"), ("unique_service_count", "service_category"))
 
 
+LIST_KINDS = (("technologies", "detected_technologies"), ("services", "detected_services"))
+
+
 def distinct_counts(ao: DataFrame) -> DataFrame:
-    """Exact distinct counts per domain in two levels: (domain, kind, value) distinct,
-    then a count per (domain, kind). The first shuffle is keyed by the value too, so a
-    hot domain's distinct IPs/hosts spread over every reducer; no per-domain set is
-    ever held in memory."""
-    kv = F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).cast("string").alias("v"))
-                   for i, (_, c) in enumerate(DISTINCT_COUNTS)])
+    """Exact distinct counts and distinct technology/service lists per domain, in two
+    levels: (domain, kind, value) distinct, then one row per domain. The first shuffle
+    is keyed by the value too, so a hot domain's distinct IPs/hosts spread over every
+    reducer; the second level holds per domain only counts and the distinct names of
+    a bounded vocabulary (detectors, service categories), never the IPs themselves nor
+    one entry per combination of technologies."""
+    scalar = [F.struct(F.lit(i).alias("k"), F.col(c).cast("string").alias("v"))
+              for i, (_, c) in enumerate(DISTINCT_COUNTS)]
+    def tagged(c: str, k: int):
+        return F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")),
+                           lambda x: F.struct(F.lit(k).alias("k"), x.alias("v")))
+
+    lists = [tagged(c, len(DISTINCT_COUNTS) + i) for i, (_, c) in enumerate(LIST_KINDS)]
+    kv = F.concat(F.array(*scalar), *lists)
     pairs = (ao.select("domain", F.explode(kv).alias("x")).filter(F.col("x.v").isNotNull())
              .select("domain", F.col("x.k").alias("k"), F.col("x.v").alias("v")).distinct())
-    return pairs.groupBy("domain").agg(*[F.count_if(F.col("k") == i).alias(name)
-                                         for i, (name, _) in enumerate(DISTINCT_COUNTS)])
+    return pairs.groupBy("domain").agg(
+        *[F.count_if(F.col("k") == i).alias(name) for i, (name, _) in enumerate(DISTINCT_COUNTS)],
+        *[F.array_sort(F.collect_list(F.when(F.col("k") == len(DISTINCT_COUNTS) + i, F.col("v")))).alias(name)
+          for i, (name, _) in enumerate(LIST_KINDS)])
 
 
 def accounts_mart(observations: DataFrame) -> DataFrame:
     """Group observations by registrable domain; 20 aggregates.
 
     Counts, sums, min/max and the bounded list aggregates (countries, regions,
-    providers, technology and service sets) are one map-side-combined aggregation; the
-    four exact distinct counts come from :func:`distinct_counts` and are joined on the
-    domain (both sides hold one row per domain). This replaces Spark's Expand-based
+    providers) are one map-side-combined aggregation; the four exact distinct counts
+    and the technology and service lists come from :func:`distinct_counts` and are
+    joined on the domain (both sides hold one row per domain). This replaces Spark's Expand-based
     plan for several DISTINCT aggregates, which replicates every input row five times.
     """
     need = ["timestamp", "ip_str", "hostname", "port", "service_category", "cloud_present", "cloud_provider",
@@ -76,8 +89,6 @@ def accounts_mart(observations: DataFrame) -> DataFrame:
         F.collect_set("country_code").alias("_countries"),
         F.collect_set("region_code").alias("_regions"),
         F.collect_set("cloud_provider").alias("_providers"),
-        F.collect_set("detected_technologies").alias("_tech_sets"),
-        F.collect_set("detected_services").alias("_service_sets"),
         F.sum("vuln_count").cast("bigint").alias("vulnerability_count"),
         F.sum(F.when(cvss >= 9.0, 1).otherwise(0)).cast("bigint").alias("critical_vulnerability_observations"),
         F.sum(F.when((cvss >= 7.0) & (cvss < 9.0), 1).otherwise(0)).cast("bigint")
@@ -94,8 +105,7 @@ def accounts_mart(observations: DataFrame) -> DataFrame:
         _null_if_empty(F.array_sort("_countries")).alias("countries"),
         _null_if_empty(F.array_sort("_regions")).alias("regions"),
         _null_if_empty(F.array_sort("_providers")).alias("cloud_providers"),
-        F.array_sort(F.array_distinct(F.flatten("_tech_sets"))).alias("technologies"),
-        F.array_sort(F.array_distinct(F.flatten("_service_sets"))).alias("services"),
+        *[F.coalesce(F.col(name), F.array().cast("array<string>")).alias(name) for name, _ in LIST_KINDS],
         "vulnerability_count", "critical_vulnerability_observations", "high_vulnerability_observations",
         "eol_observation_count", "exposed_database_count", "exposed_remote_access_count",
     )

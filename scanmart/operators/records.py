@@ -127,7 +127,7 @@ def records_to_observations(records: DataFrame, extra_rules=(), seq_col: str = "
         details.alias("_details"),
         F.array_max(F.filter(cvss, lambda x: x.isNotNull())).alias("vuln_max_cvss"),
     )
-    reg = F.array_sort(F.array_distinct(F.filter(PSL.registrable_domains_of(F.col("domains"), sets),
+    reg = F.array_sort(F.array_distinct(F.filter(PSL.registrable_domains_of("domains", sets),
                                                  lambda x: x.isNotNull())))
     out = base.select(
         observation_id(F.col(seq_col), F.col("ip_str"), F.col("timestamp"), F.col("_port_text")).alias("observation_id"),
@@ -237,11 +237,11 @@ def simple_observations(records: DataFrame, extra_rules=(), v_col: str = "v") ->
     domains = F.filter(F.transform(strings_of(v, "$.domains"), C.normalize_domain), lambda x: x.isNotNull())
     hostnames = F.filter(F.transform(strings_of(v, "$.hostnames"), C.normalize_domain), lambda x: x.isNotNull())
     port = F.when(vtype(vget(v, "$.port")).isin("BIGINT", "INT", "SMALLINT", "TINYINT"), vget(v, "$.port", "int"))
-    out = r.select(
+    out = r.select(v, domains.alias("domains")).select(
         vget(v, "$.ip_str", "string").alias("ip"),
-        domains.alias("domains"),
+        "domains",
         hostnames.alias("hostnames"),
-        F.array_sort(F.array_distinct(F.filter(PSL.registrable_domains_of(domains, sets),
+        F.array_sort(F.array_distinct(F.filter(PSL.registrable_domains_of("domains", sets),
                                                lambda x: x.isNotNull()))).alias("registrable_domains"),
         C.service_category(port).alias("service_category"),
         F.when(vtype(vget(v, "$.org")) == "STRING", vget(v, "$.org", "string")).alias("raw_org"),

@@ -216,7 +216,8 @@ from scanmart.sources import suffixes as PSL  # noqa: E402
 def raw_lines(spark, d):
     """Raw NDJSON text of every observation derived from the tables (sequence, value),
     spread over all cores before the (per-row heavy) parsing."""
-    return _shared(spark, d, "raw_lines", lambda: N.spread(O.raw_records(observations_with_orgs(spark, d))))
+    return _shared(spark, d, "raw_lines", lambda: N.spread(O.raw_records(observations_with_orgs(spark, d)),
+                                                           probe=table(spark, d, "events")))
 
 
 def raw_variant(spark, d):
@@ -251,7 +252,7 @@ def q_signal_counts(spark, d):
 def q_registrable_domains(spark, d):
     hosts = O.page_hosts(table(spark, d, "pages"))
     h = hosts.select("page_id", "host", R.C.normalize_domain(F.col("host")).alias("_n"))
-    return h.select("page_id", "host", PSL.registrable_domain(F.col("_n"), extra=PSL.FIXTURE_RULES).alias("registrable_domain"))
+    return h.select("page_id", "host", PSL.registrable_domain("_n", extra=PSL.FIXTURE_RULES).alias("registrable_domain"))
 
 
 @register("org_normalize")

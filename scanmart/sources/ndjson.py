@@ -23,12 +23,16 @@ def check_extension(path: str) -> None:
                 raise ValueError(f"{path} is zstd-compressed but lacks the .zst extension")
 
 
-def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, partitions: int | None = None, probe: DataFrame | None = None) -> DataFrame:
     """Round-robin repartition when the input has fewer partitions than the cluster has
     cores (one unsplittable ``.zst`` file, or one small file with heavy per-row parsing);
-    inputs that are already split are left alone (no extra shuffle)."""
+    inputs that are already split are left alone (no extra shuffle).
+
+    ``probe`` is the plain file scan the input comes from: its split count is known
+    from the file listing alone, while asking a plan with exchanges for its partition
+    count would make adaptive execution run those stages first."""
     target = partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    return df.repartition(target) if (probe if probe is not None else df).rdd.getNumPartitions() < target else df
 
 
 def read_lines(spark: SparkSession, path: str, partitions: int | None = None, spread_out: bool = True) -> DataFrame:
@@ -91,6 +95,7 @@ def read_numbered_records(spark: SparkSession, path: str, strict: bool = True,
     Lines are numbered in scan order first (cheap), then spread and parsed in parallel;
     the object records are finally renumbered by a distributed sort on the line number,
     so non-object lines do not consume sequence numbers."""
-    lines = with_sequence(read_lines(spark, path, spread_out=False), "_line")
-    records = parse_records(spread(lines, partitions), strict)
+    scan = read_lines(spark, path, spread_out=False)
+    lines = with_sequence(scan, "_line")
+    records = parse_records(spread(lines, partitions, probe=scan), strict)
     return with_sequence(records.orderBy("file", "_line"), "sequence").drop("_line")

@@ -21,9 +21,6 @@ from pyspark.sql import functions as F
 # fixed values: extra rules so the synthetic ``*.example.*`` hosts form many accounts
 FIXTURE_RULES = ("example.com", "example.org", "example.net")
 
-_IPV4 = r"^\d+(\.\d+){3}$"
-
-
 def _jar_list_text() -> str | None:
     import pyspark
 
@@ -83,56 +80,62 @@ def rule_sets(rules=None, extra=()) -> dict[str, list[str]]:
     return {k: sorted(v) for k, v in out.items()}
 
 
-def registrable_domains_of(hosts: Column, sets: dict[str, list[str]] | None = None, extra=()) -> Column:
-    """eTLD+1 of every (already normalized) host of an array, element-wise; null for
-    IPv4, unknown TLD or a bare suffix.
-
-    The rule keys are literal sets; Catalyst turns ``isin`` over them into a hashed
-    ``InSet``, so each label tail costs O(1). The leftmost (longest) matching position
-    wins; at that position an exception rule moves the suffix one label to the right.
-    Three chained ``transform`` steps keep each sub-result evaluated once per host.
-    """
-    sets = sets or rule_sets(extra=extra)
-
-    def member(c: Column, kind: str) -> Column:
-        keys = sets[kind]
-        return F.coalesce(c.isin(*keys), F.lit(False)) if keys else F.lit(False)
-
-    # step 1: labels once per host
-    step1 = F.transform(hosts, lambda h: F.struct(h.alias("h"), F.split(h, r"\.").alias("labels")))
-
-    # step 2: first matching position (struct i, x) per host
-    def first_match(s: Column) -> Column:
-        labels = s["labels"]
-        n = F.size(labels)
-
-        def tail(i: Column) -> Column:
-            return F.array_join(F.slice(labels, i, n - i + 1), ".")
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-        def hit(i: Column) -> Column:
-            t = tail(i)
-            is_x = member(t, "x")
-            m = is_x | member(t, "e") | (F.coalesce(i < n, F.lit(False)) & member(tail(i + 1), "w"))
-            return F.struct(i.alias("i"), is_x.alias("x"), m.alias("m"))
 
-        cands = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), hit), lambda c: c["m"])
-        return F.struct(s["h"].alias("h"), labels.alias("labels"), F.get(cands, 0).alias("f"))
+def _member_sql(expr: str, keys: list[str]) -> str:
+    if not keys:
+        return "false"
+    return f"coalesce({expr} IN ({','.join(_sql_text(k) for k in keys)}), false)"
 
-    step2 = F.transform(step1, first_match)
 
-    # step 3: cut the registrable part
-    def cut(s: Column) -> Column:
-        labels, f, h = s["labels"], s["f"], s["h"]
-        n = F.size(labels)
-        start = F.when(f["x"], f["i"] + 1).otherwise(f["i"])
-        bad = h.isNull() | (h == "") | h.rlike(_IPV4) | f.isNull()
-        return F.when(~bad & (start >= 2), F.array_join(F.slice(labels, start - 1, n - start + 2), "."))
+@functools.lru_cache(maxsize=8)
+def _registrable_sql(hosts: str, extra: tuple[str, ...]) -> str:
+    return _registrable_sql_for(hosts, rule_sets(extra=extra))
 
-    return F.transform(step2, cut)
 
+def _registrable_sql_for(hosts: str, sets: dict[str, list[str]]) -> str:
+    """SQL text of the element-wise eTLD+1 over the array column ``hosts``.
 
-def registrable_domain(host: Column, sets: dict[str, list[str]] | None = None, extra=()) -> Column:
-    """Scalar form of :func:`registrable_domains_of`."""
-    return F.get(registrable_domains_of(F.array(host), sets, extra), 0)
+    One SQL string (parsed once on the JVM) instead of thousands of literal Column
+    objects built through the Python bridge; Catalyst turns each ``IN`` list into a
+    hashed ``InSet``. Steps: labels once per host; every label tail ``t`` (and the
+    next one ``t1``) once per position; the first position where an exception or exact
+    rule matches ``t`` or a wildcard rule matches ``t1``; the cut.
+    """
+    tails = ("transform(sequence(1, greatest(size(_psl_s.labels), 1)), _psl_i -> named_struct("
+             "'i', _psl_i, 'n', size(_psl_s.labels), "
+             "'t', array_join(slice(_psl_s.labels, _psl_i, size(_psl_s.labels) - _psl_i + 1), '.'), "
+             "'t1', CASE WHEN _psl_i < size(_psl_s.labels) THEN "
+             "array_join(slice(_psl_s.labels, _psl_i + 1, size(_psl_s.labels) - _psl_i), '.') END))")
+    is_x = _member_sql("_psl_p.t", sets["x"])
+    hit = (f"transform({tails}, _psl_p -> named_struct('i', _psl_p.i, 'x', {is_x}, 'm', "
+           f"{is_x} OR {_member_sql('_psl_p.t', sets['e'])} OR {_member_sql('_psl_p.t1', sets['w'])}))")
+    first = f"get(filter({hit}, _psl_c -> _psl_c.m), 0)"
+    step1 = f"transform({hosts}, _psl_h -> named_struct('h', _psl_h, 'labels', split(_psl_h, '\\\\.')))"
+    step2 = f"transform({step1}, _psl_s -> named_struct('h', _psl_s.h, 'labels', _psl_s.labels, 'f', {first}))"
+    start = "(CASE WHEN _psl_r.f.x THEN _psl_r.f.i + 1 ELSE _psl_r.f.i END)"
+    bad = ("(_psl_r.h IS NULL OR _psl_r.h = '' OR _psl_r.h RLIKE '^\\\\d+(\\\\.\\\\d+){3}$' "
+           "OR _psl_r.f IS NULL)")
+    return (f"transform({step2}, _psl_r -> CASE WHEN NOT {bad} AND {start} >= 2 THEN "
+            f"array_join(slice(_psl_r.labels, {start} - 1, size(_psl_r.labels) - {start} + 2), '.') END)")
+
+
+def registrable_domains_of(hosts: str, sets: dict[str, list[str]] | None = None, extra=()) -> Column:
+    """eTLD+1 of every (already normalized) host of the array column named ``hosts``,
+    element-wise; null for IPv4, unknown TLD or a bare suffix.
+
+    The rule keys are literal sets (a hashed ``InSet`` each), so every label tail costs
+    O(1) and a hot host is no hotter than any other row: no join, no shuffle. The
+    leftmost (longest) matching position wins; at that position an exception rule
+    moves the suffix one label to the right.
+    """
+    if sets is None:
+        return F.expr(_registrable_sql(hosts, tuple(extra)))
+    return F.expr(_registrable_sql_for(hosts, sets))
 
 
+def registrable_domain(host: str, sets: dict[str, list[str]] | None = None, extra=()) -> Column:
+    """Scalar form of :func:`registrable_domains_of` over the string column ``host``."""
+    return F.get(registrable_domains_of(f"array({host})", sets, extra), 0)
