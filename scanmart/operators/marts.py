@@ -37,75 +37,98 @@ def account_observations(observations: DataFrame, columns: list[str] | None = No
 
 DISTINCT_COUNTS = (("unique_ip_count", "ip_str"), ("unique_hostname_count", "hostname"),
                    ("unique_port_count", "port"), ("unique_service_count", "service_category"))
-
-
-LIST_KINDS = (("technologies", "detected_technologies"), ("services", "detected_services"))
-
-
-def distinct_counts(ao: DataFrame) -> DataFrame:
-    """Exact distinct counts and distinct technology/service lists per domain, in two
-    levels: (domain, kind, value) distinct, then one row per domain. The first shuffle
-    is keyed by the value too, so a hot domain's distinct IPs/hosts spread over every
-    reducer; the second level holds per domain only counts and the distinct names of
-    a bounded vocabulary (detectors, service categories), never the IPs themselves nor
-    one entry per combination of technologies."""
-    scalar = [F.struct(F.lit(i).alias("k"), F.col(c).cast("string").alias("v"))
-              for i, (_, c) in enumerate(DISTINCT_COUNTS)]
-    def tagged(c: str, k: int):
-        return F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")),
-                           lambda x: F.struct(F.lit(k).alias("k"), x.alias("v")))
-
-    lists = [tagged(c, len(DISTINCT_COUNTS) + i) for i, (_, c) in enumerate(LIST_KINDS)]
-    kv = F.concat(F.array(*scalar), *lists)
-    pairs = (ao.select("domain", F.explode(kv).alias("x")).filter(F.col("x.v").isNotNull())
-             .select("domain", F.col("x.k").alias("k"), F.col("x.v").alias("v")).distinct())
-    return pairs.groupBy("domain").agg(
-        *[F.count_if(F.col("k") == i).alias(name) for i, (name, _) in enumerate(DISTINCT_COUNTS)],
-        *[F.array_sort(F.collect_list(F.when(F.col("k") == len(DISTINCT_COUNTS) + i, F.col("v")))).alias(name)
-          for i, (name, _) in enumerate(LIST_KINDS)])
+# distinct-value lists: (output, column, is an array column, empty list -> null)
+DISTINCT_LISTS = (("countries", "country_code", False, True), ("regions", "region_code", False, True),
+                  ("cloud_providers", "cloud_provider", False, True),
+                  ("technologies", "detected_technologies", True, False),
+                  ("services", "detected_services", True, False))
+MAIN = -1  # kind of the one row per observation that carries the additive measures
 
 
 def accounts_mart(observations: DataFrame) -> DataFrame:
-    """Group observations by registrable domain; 20 aggregates.
-
-    Counts, sums, min/max and the bounded list aggregates (countries, regions,
-    providers) are one map-side-combined aggregation; the four exact distinct counts
-    and the technology and service lists come from :func:`distinct_counts` and are
-    joined on the domain (both sides hold one row per domain). This replaces Spark's Expand-based
-    plan for several DISTINCT aggregates, which replicates every input row five times.
+    """Group observations by registrable domain; 20 aggregates, one scan, no join.
+
+    Every (domain, observation) row is exploded once into a *main* row (kind -1, no
+    value) that carries the additive measures, plus one (kind, value) row per value
+    that needs a distinct: IP, hostname, port, service category (counted) and country,
+    region, provider, technology, service (listed). Level 1 groups by (domain, kind,
+    value) with declarative aggregates only (hash aggregation, combined map-side): the
+    main rows of a domain fold into one row per task, the value rows into one row per
+    distinct value. The shuffle is keyed by the value too, so a hot domain's IPs and
+    hostnames spread over every reducer. Level 2 groups by domain: sums of the main
+    row, a count per counted kind, and the sorted lists of bounded vocabularies
+    (countries, regions, providers, detector names, service categories). No per-domain
+    set of IPs is held anywhere, and Spark's Expand plan for several DISTINCT
+    aggregates (every row copied five times) is avoided.
     """
     need = ["timestamp", "ip_str", "hostname", "port", "service_category", "cloud_present", "cloud_provider",
             "country_code", "region_code", "detected_technologies", "detected_services", "vuln_count",
             "vuln_max_cvss", "has_eol_tag", "database_service_count", "remote_access_service_count"]
     ao = account_observations(observations, need)
+
     cvss = F.col("vuln_max_cvss")
-    agg = ao.groupBy("domain").agg(
-        F.min(_ts("timestamp")).alias("first_seen"),
-        F.max(_ts("timestamp")).alias("last_seen"),
-        F.count(F.lit(1)).alias("observation_count"),
-        F.count_if(F.coalesce(F.col("cloud_present"), F.lit(False))).alias("cloud_observation_count"),
-        F.count_if(F.coalesce(F.col("cloud_present"), F.lit(False)) & F.col("cloud_provider").isNotNull())
-         .alias("identified_cloud_observation_count"),
-        F.collect_set("country_code").alias("_countries"),
-        F.collect_set("region_code").alias("_regions"),
-        F.collect_set("cloud_provider").alias("_providers"),
-        F.sum("vuln_count").cast("bigint").alias("vulnerability_count"),
-        F.sum(F.when(cvss >= 9.0, 1).otherwise(0)).cast("bigint").alias("critical_vulnerability_observations"),
-        F.sum(F.when((cvss >= 7.0) & (cvss < 9.0), 1).otherwise(0)).cast("bigint")
-         .alias("high_vulnerability_observations"),
-        F.sum(F.when(F.col("has_eol_tag"), 1).otherwise(0)).cast("bigint").alias("eol_observation_count"),
-        F.sum("database_service_count").cast("bigint").alias("exposed_database_count"),
-        F.sum("remote_access_service_count").cast("bigint").alias("exposed_remote_access_count"),
+    cloud = F.coalesce(F.col("cloud_present"), F.lit(False))
+    measures = (
+        ("ts", _ts("timestamp")),
+        ("cloud", F.when(cloud, 1)),
+        ("identified", F.when(cloud & F.col("cloud_provider").isNotNull(), 1)),
+        ("vulns", F.col("vuln_count").cast("bigint")),
+        ("critical", F.when(cvss >= 9.0, 1).otherwise(0)),
+        ("high", F.when((cvss >= 7.0) & (cvss < 9.0), 1).otherwise(0)),
+        ("eol", F.when(F.col("has_eol_tag"), 1).otherwise(0)),
+        ("db", F.col("database_service_count").cast("bigint")),
+        ("remote", F.col("remote_access_service_count").cast("bigint")),
+    )
+    no_measures = [F.lit(None).cast(t).alias(name) for (name, _), t in
+                   zip(measures, ("timestamp_ntz", "int", "int", "bigint", "int", "int", "int", "bigint", "bigint"))]
+
+    def tagged(c: str, k: int, is_array: bool):
+        value = F.lit(None).cast("string") if is_array else F.col(c).cast("string")
+        values = F.col(c) if is_array else F.lit(None).cast("array<string>")
+        return F.struct(F.lit(k).alias("k"), value.alias("v"), values.alias("vs"), *no_measures)
+
+    # built-in generators and struct/array constructors only (whole-stage codegen; no
+    # lambda functions): one struct per kind, then one row per value of a list kind
+    main = F.struct(F.lit(MAIN).alias("k"), F.lit(None).cast("string").alias("v"),
+                    F.lit(None).cast("array<string>").alias("vs"), *[c.alias(name) for name, c in measures])
+    n = len(DISTINCT_COUNTS)
+    kv = F.array(main, *[tagged(c, i, False) for i, (_, c) in enumerate(DISTINCT_COUNTS)],
+                 *[tagged(c, n + j, arr) for j, (_, c, arr, _e) in enumerate(DISTINCT_LISTS)])
+    rows = (ao.select("domain", F.explode(kv).alias("x"))
+              .select("domain", "x.*")
+              .select("domain", "k", F.explode_outer(F.coalesce("vs", F.array("v"))).alias("v"),
+                      *[name for name, _ in measures])
+              .filter((F.col("k") == MAIN) | F.col("v").isNotNull()))
+    level1 = rows.groupBy("domain", "k", "v").agg(
+        F.min("ts").alias("first_seen"),
+        F.max("ts").alias("last_seen"),
+        F.count(F.when(F.col("k") == MAIN, 1)).alias("observation_count"),
+        F.count("cloud").alias("cloud_observation_count"),
+        F.count("identified").alias("identified_cloud_observation_count"),
+        F.sum("vulns").alias("vulnerability_count"),
+        F.sum("critical").alias("critical_vulnerability_observations"),
+        F.sum("high").alias("high_vulnerability_observations"),
+        F.sum("eol").alias("eol_observation_count"),
+        F.sum("db").alias("exposed_database_count"),
+        F.sum("remote").alias("exposed_remote_access_count"),
+    )
+    sums = ("observation_count", "cloud_observation_count", "identified_cloud_observation_count",
+            "vulnerability_count", "critical_vulnerability_observations", "high_vulnerability_observations",
+            "eol_observation_count", "exposed_database_count", "exposed_remote_access_count")
+    agg = level1.groupBy("domain").agg(
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        *[F.sum(c).cast("bigint").alias(c) for c in sums],
+        *[F.count_if(F.col("k") == i).cast("bigint").alias(name) for i, (name, _) in enumerate(DISTINCT_COUNTS)],
+        *[F.array_sort(F.collect_list(F.when(F.col("k") == n + j, F.col("v")))).alias(name)
+          for j, (name, _c, _a, _e) in enumerate(DISTINCT_LISTS)],
     )
-    agg = agg.join(distinct_counts(ao), "domain", "left")
     return agg.select(
         F.col("domain").alias("account_id"), "domain", "first_seen", "last_seen", "observation_count",
-        *[F.coalesce(F.col(name), F.lit(0)).cast("bigint").alias(name) for name, _ in DISTINCT_COUNTS],
+        *[name for name, _ in DISTINCT_COUNTS],
         "cloud_observation_count", "identified_cloud_observation_count",
-        _null_if_empty(F.array_sort("_countries")).alias("countries"),
-        _null_if_empty(F.array_sort("_regions")).alias("regions"),
-        _null_if_empty(F.array_sort("_providers")).alias("cloud_providers"),
-        *[F.coalesce(F.col(name), F.array().cast("array<string>")).alias(name) for name, _ in LIST_KINDS],
+        *[(_null_if_empty(F.col(name)) if empty_null else F.col(name)).alias(name)
+          for name, _c, _a, empty_null in DISTINCT_LISTS],
         "vulnerability_count", "critical_vulnerability_observations", "high_vulnerability_observations",
         "eol_observation_count", "exposed_database_count", "exposed_remote_access_count",
     )
