@@ -79,11 +79,10 @@ def org_canonicalization(aliases: DataFrame) -> DataFrame:
     """raw_unique, canonical_unique, merged_records (records of canonicals with >1 alias)."""
     per_c = (aliases.filter(F.col("canonical").isNotNull()).groupBy("canonical")
              .agg(F.sum("records").alias("records"), F.count(F.lit(1)).alias("aliases")))
-    raw = aliases.agg(F.countDistinct("alias").alias("raw_unique"))
-    can = per_c.agg(F.count(F.lit(1)).alias("canonical_unique"),
-                    F.coalesce(F.sum(F.when(F.col("aliases") > 1, F.col("records"))), F.lit(0))
-                    .cast("bigint").alias("merged_records"))
-    return raw.crossJoin(can)
+    raw_unique = aliases.select("alias").distinct().agg(F.count("alias")).scalar()
+    return per_c.agg(raw_unique.alias("raw_unique"), F.count(F.lit(1)).alias("canonical_unique"),
+                     F.coalesce(F.sum(F.when(F.col("aliases") > 1, F.col("records"))), F.lit(0))
+                     .cast("bigint").alias("merged_records"))
 
 
 def top_canonical(aliases: DataFrame, k: int = 10) -> DataFrame:
@@ -202,7 +201,7 @@ def vuln_profile(records: DataFrame, v_col: str = "v") -> DataFrame:
         F.count_if(is_object(F.col("d")) & (has_any(("verified", "kev", "exploit", "exploited"))
                                              | F.lower(F.to_json(F.col("d"))).contains("kev")))
          .alias("records_with_exploit_or_kev_flag"),
-    ).drop("_rows", "_n").crossJoin(r.agg(F.count(F.lit(1)).alias("records_with_vulns")))
+    ).drop("_rows", "_n").withColumn("records_with_vulns", r.agg(F.count(F.lit(1))).scalar())
 
 
 def vuln_detail_keys(records: DataFrame, k: int = 30, v_col: str = "v") -> DataFrame:

@@ -201,8 +201,7 @@ def q_explore_evidence(spark, d):
 @register("display_columns")
 def q_display_columns(spark, d):
     sc = scored(spark, d)
-    ref = SC.reference_time(sc)
-    out = SE.display_columns(sc.crossJoin(F.broadcast(ref)), now=F.col("reference_time"))
+    out = SE.display_columns(sc, now=SC.reference_time(sc).scalar())
     return out.select("domain", "primary_country", "signal_summary", "last_seen_label", "score_band")
 
 
