@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from scanmart.operators.scalars import attach
 
 
 def judge(cases: DataFrame, text_col: str = "text", must: str = "must_mention",
@@ -62,11 +63,11 @@ def deltas(summary: DataFrame, by: str = "prompt_version") -> DataFrame:
         by, "precision", "recall", "pass_rate",
         F.lag("precision").over(w).alias("_pp"), F.lag("recall").over(w).alias("_pr"),
         F.lag("pass_rate").over(w).alias("_pa"))
-    winner = summary.agg(F.max_by(F.col(by), F.struct("pass_rate", "recall", by))).scalar()
-    return prev.select(
+    best = summary.agg(F.max_by(F.col(by), F.struct("pass_rate", "recall", by)).alias("winner"))
+    return attach(prev, best).select(
         by,
         F.round(F.col("precision") - F.col("_pp"), 4).alias("precision_delta"),
         F.round(F.col("recall") - F.col("_pr"), 4).alias("recall_delta"),
         F.round(F.col("pass_rate") - F.col("_pa"), 4).alias("pass_rate_delta"),
-        (F.col(by) == winner).alias("is_winner"),
+        (F.col(by) == F.col("winner")).alias("is_winner"),
     )

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from scanmart.operators.scalars import attach
 
 from scanmart.functions import columns as C
 from scanmart.functions import constants as K
@@ -79,10 +80,11 @@ def org_canonicalization(aliases: DataFrame) -> DataFrame:
     """raw_unique, canonical_unique, merged_records (records of canonicals with >1 alias)."""
     per_c = (aliases.filter(F.col("canonical").isNotNull()).groupBy("canonical")
              .agg(F.sum("records").alias("records"), F.count(F.lit(1)).alias("aliases")))
-    raw_unique = aliases.select("alias").distinct().agg(F.count("alias")).scalar()
-    return per_c.agg(raw_unique.alias("raw_unique"), F.count(F.lit(1)).alias("canonical_unique"),
-                     F.coalesce(F.sum(F.when(F.col("aliases") > 1, F.col("records"))), F.lit(0))
-                     .cast("bigint").alias("merged_records"))
+    raw = aliases.agg(F.countDistinct("alias").alias("raw_unique"))
+    can = per_c.agg(F.count(F.lit(1)).alias("canonical_unique"),
+                    F.coalesce(F.sum(F.when(F.col("aliases") > 1, F.col("records"))), F.lit(0))
+                    .cast("bigint").alias("merged_records"))
+    return attach(raw, can)
 
 
 def top_canonical(aliases: DataFrame, k: int = 10) -> DataFrame:
@@ -192,7 +194,7 @@ def vuln_profile(records: DataFrame, v_col: str = "v") -> DataFrame:
     details = r.select("is_obj", F.explode_outer(F.map_values("m")).alias("d"))
     dkeys = F.coalesce(F.map_keys(vget(F.col("d"), "$", "map<string,variant>")), F.array().cast("array<string>"))
     has_any = lambda names: F.exists(dkeys, lambda x: x.isin(*names))
-    return details.agg(
+    return attach(details.agg(
         F.count_if(F.lit(True)).alias("_rows"),
         F.count(F.lit(1)).alias("_n"),
         F.count_if(F.col("d").isNotNull()).alias("cve_details_seen"),
@@ -201,7 +203,7 @@ def vuln_profile(records: DataFrame, v_col: str = "v") -> DataFrame:
         F.count_if(is_object(F.col("d")) & (has_any(("verified", "kev", "exploit", "exploited"))
                                              | F.lower(F.to_json(F.col("d"))).contains("kev")))
          .alias("records_with_exploit_or_kev_flag"),
-    ).drop("_rows", "_n").withColumn("records_with_vulns", r.agg(F.count(F.lit(1))).scalar())
+    ).drop("_rows", "_n"), r.agg(F.count(F.lit(1)).alias("records_with_vulns")))
 
 
 def vuln_detail_keys(records: DataFrame, k: int = 30, v_col: str = "v") -> DataFrame:

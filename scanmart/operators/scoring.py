@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from scanmart.operators.scalars import attach
 
 from scanmart.functions import columns as C
 
@@ -58,10 +59,11 @@ def score_reasons() -> Column:
 def scored_accounts(accounts: DataFrame) -> DataFrame:
     """accounts + icp/exposure/vulnerability/technology/recency/opportunity + reasons.
 
-    The dataset-wide reference time is a scalar subquery (one value, computed once and
-    handed to every task; no join); everything else is a narrow projection.
+    The dataset-wide reference time is a 1-row aggregate joined back by broadcast (its
+    size is fixed at one row); everything else is a narrow projection.
     """
-    a = accounts.withColumn("reference_time", reference_time(accounts).scalar())
+    ref = reference_time(accounts)
+    a = attach(accounts, ref)
     icp = C.icp_score(F.col("unique_ip_count"), F.col("unique_service_count"), F.col("technologies"),
                       F.col("cloud_observation_count"), F.col("countries"))
     scored = (a.withColumn("icp_score", icp)

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from scanmart.operators.scalars import attach
 
 from scanmart.functions import columns as C
 from scanmart.functions import constants as K
@@ -46,13 +47,15 @@ def match_column(question: str) -> Column:
 def search_accounts(accounts: DataFrame, question: str, limit: int = 80) -> DataFrame:
     """Rule match; no match at all -> every account; order by score desc, first ``limit``.
 
-    The "any match" fallback is a scalar subquery (one value, no join, no collect).
+    The "any match" fallback is a 1-row aggregate joined back by broadcast (no collect).
     """
     if not question.strip():
         return accounts.orderBy(F.desc("opportunity_score"), F.asc("domain")).limit(limit)
     m = accounts.withColumn("_match", match_column(question))
-    any_match = m.agg(F.max(F.col("_match").cast("int"))).scalar()
-    pool = m.filter(F.col("_match") | (F.coalesce(any_match, F.lit(0)) == 0)).drop("_match")
+    anym = m.agg(F.max(F.col("_match").cast("int")).alias("_any"))
+    pool = (attach(m, anym)
+             .filter(F.col("_match") | (F.coalesce(F.col("_any"), F.lit(0)) == 0))
+             .drop("_match", "_any"))
     return pool.orderBy(F.desc_nulls_last(F.coalesce(F.col("opportunity_score"), F.lit(0.0))),
                         F.asc("domain")).limit(limit)
 
@@ -82,7 +85,7 @@ def _substrings(text: Column, min_len: int) -> Column:
 
 def top_list(df: DataFrame, limit: int, score: str, out: str = "top") -> DataFrame:
     """1-row frame holding the first ``limit`` (score desc, domain asc) as an ordered
-    array of structs: a bounded value, used as a scalar subquery."""
+    array of structs: a bounded scalar that can be broadcast."""
     best = df.orderBy(F.desc(score), F.asc("domain")).limit(limit)
     return best.agg(F.array_sort(F.collect_list(F.struct(
         (-F.col(score)).alias("_neg"), F.col("domain"), F.col(score).alias("score")))).alias(out))
@@ -153,7 +156,8 @@ def search_batch(accounts: DataFrame, questions: DataFrame, limit: int = 80,
     # fallback: questions without any match (or empty) -> global top-`limit` (1-row scalar)
     top = top_list(acc, limit, "_score")
     unmatched = q.select("question_id").join(ranked.select("question_id").distinct(), "question_id", "left_anti")
-    fallback = (unmatched.select("question_id", F.posexplode(top.scalar()).alias("pos", "t"))
+    fallback = (attach(unmatched, top)
+                .select("question_id", F.posexplode("top").alias("pos", "t"))
                 .select("question_id", F.col("t.domain").alias("domain"), F.col("t.score").alias("_score"),
                         (F.col("pos") + 1).alias("search_rank")))
     out = ranked.unionByName(fallback)
@@ -256,7 +260,7 @@ def shortlist_join(matches: DataFrame, shortlist: DataFrame, id_col: str = "list
 
     ``shortlist`` holds (list_id, domains array). Output: (list_id, position, domain).
     The fallback is the radar view (first ``fallback_rows`` matches, the dashboard's
-    maximum), a bounded list used as a scalar subquery.
+    maximum), a bounded list joined by broadcast.
     """
     pos = shortlist.select(id_col, F.posexplode("domains").alias("position", "domain"))
     known = pos.join(matches.select("domain"), "domain", "left_semi")
@@ -267,6 +271,7 @@ def shortlist_join(matches: DataFrame, shortlist: DataFrame, id_col: str = "list
     empty_lists = shortlist.select(id_col).join(known.select(id_col).distinct(), id_col, "left_anti")
     top = top_list(matches.withColumn("_score", F.coalesce(F.col("opportunity_score"), F.lit(0.0))),
                    fallback_rows, "_score")
-    fallback = (empty_lists.select(id_col, F.posexplode(top.scalar()).alias("position", "t"))
+    fallback = (attach(empty_lists, top)
+                .select(id_col, F.posexplode("top").alias("position", "t"))
                 .select(id_col, F.col("position").cast("int").alias("position"), F.col("t.domain").alias("domain")))
     return known.select(id_col, "position", "domain").unionByName(fallback)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from scanmart.operators.scalars import attach
 
 from scanmart.operators import marts as M
 from scanmart.operators import observations as O
@@ -201,7 +202,8 @@ def q_explore_evidence(spark, d):
 @register("display_columns")
 def q_display_columns(spark, d):
     sc = scored(spark, d)
-    out = SE.display_columns(sc, now=SC.reference_time(sc).scalar())
+    ref = SC.reference_time(sc)
+    out = SE.display_columns(attach(sc, ref), now=F.col("reference_time"))
     return out.select("domain", "primary_country", "signal_summary", "last_seen_label", "score_band")
 
 
