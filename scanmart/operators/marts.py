@@ -154,16 +154,25 @@ def org_mart(observations: DataFrame, ip_col: str = "ip_str") -> DataFrame:
 
     The reference keeps the distinct IPs as one list per organisation. A hot
     organisation's IP list is unbounded, so the mart carries the exact distinct count
-    and :func:`org_ips` gives the (org, ip) pairs as a long table.
+    and :func:`org_ips` gives the (org, ip) pairs as a long table. One scan, two
+    hash-aggregate levels as in :func:`accounts_mart`: every observation becomes a
+    main row (count, latest text) and an IP row; level 1 groups by (org, kind, ip), so a
+    hot organisation's IPs spread over all reducers, level 2 by the organisation.
     """
     o = observations.filter(F.col("canonical_org").isNotNull())
-    main = o.groupBy("canonical_org").agg(F.count(F.lit(1)).alias("observation_count"),
-                                          F.max("timestamp").alias("last_observed_at"))
-    ips = (o.filter(F.col(ip_col).isNotNull()).select("canonical_org", ip_col).distinct()
-           .groupBy("canonical_org").agg(F.count(F.lit(1)).alias("unique_ip_count")))
-    return (main.join(ips, "canonical_org", "left")
-            .select("canonical_org", "observation_count",
-                    F.coalesce("unique_ip_count", F.lit(0)).alias("unique_ip_count"), "last_observed_at"))
+    ts_type = o.schema["timestamp"].dataType
+    kv = F.array(F.struct(F.lit(MAIN).alias("k"), F.lit(None).cast("string").alias("v"),
+                          F.col("timestamp").alias("ts")),
+                 F.struct(F.lit(0).alias("k"), F.col(ip_col).cast("string").alias("v"),
+                          F.lit(None).cast(ts_type).alias("ts")))
+    rows = (o.select("canonical_org", F.explode(kv).alias("x")).select("canonical_org", "x.*")
+             .filter((F.col("k") == MAIN) | F.col("v").isNotNull()))
+    level1 = rows.groupBy("canonical_org", "k", "v").agg(
+        F.count(F.when(F.col("k") == MAIN, 1)).alias("observation_count"), F.max("ts").alias("last_observed_at"))
+    return level1.groupBy("canonical_org").agg(
+        F.sum("observation_count").cast("bigint").alias("observation_count"),
+        F.count_if(F.col("k") == 0).cast("bigint").alias("unique_ip_count"),
+        F.max("last_observed_at").alias("last_observed_at"))
 
 
 def org_ips(observations: DataFrame, ip_col: str = "ip_str") -> DataFrame:

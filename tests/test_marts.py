@@ -112,3 +112,21 @@ def test_services_mart_brute_force(spark):
             for s in r[11] or []:
                 want[(d, s)] = want.get((d, s), 0) + 1
     assert got == want
+
+
+def test_org_mart_brute_force(spark):
+    rnd = random.Random(11)
+    rows = [(("hot" if i % 3 == 0 else rnd.choice([None, "acme", "globex", "initech"])),
+             rnd.choice([None, f"10.0.0.{i % 23}"]), rnd.choice([None, f"2024-02-{1 + i % 9:02d}T00:00:00"]))
+            for i in range(500)]
+    df = spark.createDataFrame(rows, "canonical_org string, ip_str string, timestamp string")
+    got = {r["canonical_org"]: (r["observation_count"], r["unique_ip_count"], r["last_observed_at"])
+           for r in M.org_mart(df).collect()}
+    want = {}
+    for org in {r[0] for r in rows if r[0] is not None}:
+        recs = [r for r in rows if r[0] == org]
+        ts = [r[2] for r in recs if r[2] is not None]
+        want[org] = (len(recs), len({r[1] for r in recs if r[1] is not None}), max(ts) if ts else None)
+    assert got == want
+    ips = M.org_ips(df).filter("canonical_org = 'hot'").count()
+    assert ips == want["hot"][1]
