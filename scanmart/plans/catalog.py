@@ -163,7 +163,8 @@ def q_radar_filter(spark, d):
 
 @register("country_facet")
 def q_country_facet(spark, d):
-    return SE.country_facet(scored(spark, d), 30)
+    # countries come from the accounts mart (one row per account, as the scored table)
+    return SE.country_facet(accounts(spark, d), 30)
 
 
 @register("quick_stats")
