@@ -61,26 +61,17 @@ def search_accounts(accounts: DataFrame, question: str, limit: int = 80) -> Data
 
 
 # ------------------------------------------------------------------ many questions (M2)
-def _word_substrings(text: Column, min_len: int) -> Column:
-    """All substrings (length >= min_len) of every [a-z0-9.-] word of ``text``."""
-    words = F.filter(F.split(text, TOKEN_SPLIT), lambda w: F.length(w) > 0)
-
-    def subs(w: Column) -> Column:
-        n = F.length(w)
-        starts = F.sequence(F.lit(1), n)
-        return F.flatten(F.transform(starts, lambda i: F.transform(
-            F.sequence(F.lit(min_len), F.greatest(n - i + 1, F.lit(min_len))),
-            lambda L: F.when(i + L - 1 <= n, F.substring(w, i, L)))))
-    return F.array_distinct(F.filter(F.flatten(F.transform(words, subs)), lambda s: s.isNotNull()))
+def _substrings_of_lengths(text: Column, lengths: Column) -> Column:
+    """Distinct substrings of ``text`` whose length is one of ``lengths`` (array<int>)."""
+    n = F.length(text)
+    return F.flatten(F.transform(F.filter(lengths, lambda L: L <= n), lambda L: F.transform(
+        F.sequence(F.lit(1), n - L + 1), lambda i: F.substring(text, i, L))))
 
 
-def _substrings(text: Column, min_len: int) -> Column:
-    """All substrings of ``text`` with length >= min_len (text is a short domain name)."""
-    n = F.length(text)
-    return F.array_distinct(F.filter(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: F.transform(F.sequence(F.lit(min_len), F.greatest(n - i + 1, F.lit(min_len))),
-                              lambda L: F.when(i + L - 1 <= n, F.substring(text, i, L))))),
-        lambda x: x.isNotNull()))
+def _word_substrings(text: Column, lengths: Column) -> Column:
+    """Substrings (of the given lengths) of every [a-z0-9.-] word of ``text``."""
+    words = F.filter(F.split(text, TOKEN_SPLIT), lambda w: F.length(w) > 0)
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: _substrings_of_lengths(w, lengths))))
 
 
 def top_list(df: DataFrame, limit: int, score: str, out: str = "top") -> DataFrame:
@@ -108,19 +99,6 @@ def search_batch(accounts: DataFrame, questions: DataFrame, limit: int = 80,
     acc = accounts.select("domain", "opportunity_score", "countries",
                           *[f for _, f in K.KEYWORD_FILTERS]).withColumn(
         "_score", F.coalesce(F.col("opportunity_score"), F.lit(0.0)))
-    dom = F.lower(F.coalesce(F.col("domain"), F.lit("")))
-    # one pass over the accounts: (term, kind) with kind d = any substring of the domain
-    # (full-question and dotted-token rules), h = substring (>= 3) of a haystack word
-    terms = F.concat(
-        F.transform(_substrings(dom, 1), lambda x: F.struct(x.alias("s"), F.lit("d").alias("kind"))),
-        F.transform(_word_substrings(haystack(), 3), lambda x: F.struct(x.alias("s"), F.lit("h").alias("kind"))))
-    acc_terms = acc.select("domain", "_score", F.explode(terms).alias("t")).select("domain", "_score", "t.s", "t.kind")
-    # exact pruning: a question's top-`limit` over the union of its terms' matches lies in
-    # the union of each term's top-`limit`, so every term keeps only its best `limit`
-    # accounts (planned as WindowGroupLimit: trimmed before the shuffle). A term shared by
-    # every domain ("com") then joins at most `limit` rows per question.
-    wt = Window.partitionBy("s", "kind").orderBy(F.desc("_score"), F.asc("domain"))
-    acc_terms = acc_terms.withColumn("_r", F.row_number().over(wt)).filter(F.col("_r") <= limit).drop("_r")
     q = questions.select(F.col(id_col).alias("question_id"),
                          F.lower(F.regexp_replace(F.col(text_col), r"^\s+|\s+$", "")).alias("q"))
     toks = F.array_distinct(F.filter(F.split("q", TOKEN_SPLIT), lambda t: F.length(t) > 0))
@@ -130,6 +108,29 @@ def search_batch(accounts: DataFrame, questions: DataFrame, limit: int = 80,
         F.transform(F.filter(toks, lambda t: t.contains(".")), lambda t: F.struct(t.alias("s"), F.lit("d").alias("kind"))),
         F.transform(F.filter(toks, lambda t: F.length(t) >= 3), lambda t: F.struct(t.alias("s"), F.lit("h").alias("kind"))))
     q_terms = q.select("question_id", F.explode(qterms).alias("t")).select("question_id", "t.s", "t.kind").distinct()
+    # the term lengths that occur at all, per kind: a 1-row frame of two small int arrays
+    # (at most one entry per distinct length), attached to the account side so each
+    # account emits only substrings of those lengths - O(word length x lengths) rows
+    # instead of every substring
+    lengths = q_terms.agg(
+        F.array_sort(F.collect_set(F.when(F.col("kind") == "d", F.length("s")))).alias("_dlen"),
+        F.array_sort(F.collect_set(F.when(F.col("kind") == "h", F.length("s")))).alias("_hlen"))
+    dom = F.lower(F.coalesce(F.col("domain"), F.lit("")))
+    # one pass over the accounts: (term, kind) with kind d = substring of the domain
+    # (full-question and dotted-token rules), h = substring (>= 3) of a haystack word
+    terms = F.concat(
+        F.transform(F.array_distinct(_substrings_of_lengths(dom, F.col("_dlen"))),
+                    lambda x: F.struct(x.alias("s"), F.lit("d").alias("kind"))),
+        F.transform(_word_substrings(haystack(), F.col("_hlen")),
+                    lambda x: F.struct(x.alias("s"), F.lit("h").alias("kind"))))
+    acc_terms = (attach(acc, lengths).select("domain", "_score", F.explode(terms).alias("t"))
+                 .select("domain", "_score", "t.s", "t.kind"))
+    # exact pruning: a question's top-`limit` over the union of its terms' matches lies in
+    # the union of each term's top-`limit`, so every term keeps only its best `limit`
+    # accounts (planned as WindowGroupLimit: trimmed before the shuffle). A term shared by
+    # every domain ("com") then joins at most `limit` rows per question.
+    wt = Window.partitionBy("s", "kind").orderBy(F.desc("_score"), F.asc("domain"))
+    acc_terms = acc_terms.withColumn("_r", F.row_number().over(wt)).filter(F.col("_r") <= limit).drop("_r")
     text_matches = q_terms.join(acc_terms, ["s", "kind"]).select("question_id", "domain", "_score")
 
     # keyword groups: group-level top-`limit` lists (bounded: groups x limit rows)
