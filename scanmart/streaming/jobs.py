@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.errors import AnalysisException
 
 from scanmart.operators import marts as M
 from scanmart.operators import records as R
@@ -61,11 +62,25 @@ def latest_versions(versions: DataFrame, keys: list[str]) -> DataFrame:
             .select(*keys, "_s.*"))
 
 
+def latest_accounts(spark: SparkSession, accounts_dir: str, before: int | None = None) -> DataFrame:
+    """The newest account version written by :func:`refresh_accounts` (optionally the
+    newest one older than ``before``). Versions are ``version=<batch id>`` partitions;
+    the newest is picked by a scalar subquery on the partition column, which Spark
+    applies as a partition filter (only that version's files are read)."""
+    versions = spark.read.parquet(accounts_dir)
+    if before is not None:
+        versions = versions.filter(F.col("version") < before)
+    newest = versions.agg(F.max("version")).scalar()
+    return versions.filter(F.col("version") == newest).drop("version")
+
+
 def refresh_accounts(spark: SparkSession, observations_dir: str, accounts_dir: str, checkpoint: str,
                      source: DataFrame) -> StreamingQuery:
     """J3: for each micro-batch of new observations, recompute only the touched domains
     from the whole curated table (exact distincts cannot be merged) and write a new
-    accounts version = previous minus touched, plus recomputed."""
+    accounts version = previous minus touched, plus recomputed. A re-run batch (after
+    a failure) overwrites its own version and reads only older ones, so it is
+    idempotent."""
     def refresh(batch: DataFrame, batch_id: int) -> None:
         touched = (batch.select(F.explode("registrable_domains").alias("domain")).distinct())
         curated = spark.read.parquet(observations_dir)
@@ -73,22 +88,11 @@ def refresh_accounts(spark: SparkSession, observations_dir: str, accounts_dir: s
                .join(touched, "domain", "left_semi").select("observation_id").distinct())
         fresh = M.accounts_mart(curated.join(ids, "observation_id", "left_semi"))
         fresh = fresh.join(touched, "domain", "left_semi")
-        out = f"{accounts_dir}/v{batch_id:08d}"
         try:
-            prev = spark.read.parquet(_latest(spark, accounts_dir))
+            prev = latest_accounts(spark, accounts_dir, before=batch_id)
             merged = prev.join(touched, "domain", "left_anti").unionByName(fresh)
-        except Exception:  # noqa: BLE001 - first version
+        except AnalysisException:  # no earlier version yet
             merged = fresh
-        merged.write.mode("overwrite").parquet(out)
+        merged.write.mode("overwrite").parquet(f"{accounts_dir}/version={batch_id}")
     return (source.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
-
-
-def _latest(spark: SparkSession, base: str) -> str:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("v"))
-    if not names:
-        raise FileNotFoundError(base)
-    return f"{base}/{names[-1]}"
