@@ -1,4 +1,6 @@
-"""Account, service and organisation marts (one shuffle each, on the group key)."""
+"""Account, service and organisation marts: one scan each; the services mart is one
+shuffle on (domain, service), the account and organisation marts two hash-aggregate
+levels ((key, kind, value), then key) with no join."""
 
 from __future__ import annotations
 
