@@ -5,19 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
-from .simhash import hex_digits, near_duplicates
+from . import decontaminate, mixing, quality_rules, secret_scan, simhash, substring_dedup
+from .common import documents, table
 
 SIMHASH_SHINGLE, SIMHASH_BITS = 4, 4
+QUALITY_POLICY = "v2"
+REPEAT_WORDS = 35
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(documents(spark, sf_dir), SIMHASH_SHINGLE, SIMHASH_BITS)
-    return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+    found = simhash.near_duplicates(documents(spark, sf_dir), SIMHASH_SHINGLE, SIMHASH_BITS)
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {
-    "op3_simhash_near_dedup": op3_simhash_near_dedup,
-}
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item that it contains."""
+    return decontaminate.matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.ledger(documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select(
+        "doc_id", *(f"measures.{m}" for m in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+        (~quality_rules.passes("base")).alias("base_failed"), quality_rules.passes(QUALITY_POLICY).alias("kept"), "fail_mask")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(documents(spark, sf_dir), REPEAT_WORDS).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (
+    op3_simhash_near_dedup, op4_benchmark_decontamination, op5_quality_rules, op8_secret_scan, op9_source_mixing,
+    op10_substring_dedup,
+)}
 
 ORACLE: dict[str, str] = {}
