@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD_SPACE, stored
 
-BLOCK = 64
+BLOCK = 16
 SHARD_WORDS = 1 << 18
 GROUP_SHARDS = 256
 

@@ -20,7 +20,7 @@ RULES: dict[str, str] = {
     "few_words": "n_words < 20",
     "repeated_windows": "100 * n_repeat_words > 30 * n_words",
     "symbols": "4 * n_symbols > n_words",
-    "repeated_lines": "10 * n_dup_lines > 3 * n_lines",
+    "repeated_lines": "10 * n_dup_lines > 7 * n_lines",
     "long_words": "word_chars > 20 * n_words",
     "no_letters": "5 * n_letter_words < 3 * n_words",
 }
