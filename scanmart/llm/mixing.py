@@ -93,7 +93,7 @@ def mix(
     rows = stored(rows.select("*", name.alias("draw"), draw(1).alias("d1"), draw(8).alias("d2")), "sizes")
 
     targets = source_targets(rows, weights, share, most)
-    blocks = F.floor(F.sum("target").over(W.partitionBy()) / block + 0.5).cast("long")
+    blocks = F.floor(F.lit(share) * F.sum("source_size").over(W.partitionBy()) / block + 0.5).cast("long")
     sources = apportioned(targets.withColumn("blocks", blocks).withColumn("one", F.lit(1)), "target", "blocks", ["one"], "sid")
     sources = stored(sources.withColumnRenamed("quota", "source_blocks").drop("one", "blocks"), "sources")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import (
     chat_format, decontaminate, language_id, license_scan, mixing, quality_model, quality_rules, secret_scan, simhash,
-    substring_dedup,
+    sql, substring_dedup,
 )
 from .common import crc_part, documents, table
 
@@ -79,4 +79,8 @@ QUERIES = {f.__name__: f for f in (
     op6_quality_classifier, op7_license_scan, op8_secret_scan, op9_source_mixing, op10_substring_dedup,
 )}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_chat_format": sql.CHAT_FORMAT,
+    "op5_quality_rules": sql.quality_rules(QUALITY_POLICY),
+    "op9_source_mixing": sql.source_mixing(),
+}
