@@ -60,8 +60,8 @@ def ordered(linked: DataFrame) -> DataFrame:
     By (release, step, call_id) every call follows the calls it depends on: release is the
     latest position among a call and all it needs, step the number of calls between. Calls
     that depend on earlier ones only are in place at once; each round moves those behind a
-    later call one step on. ``cyclic`` calls are on or behind a cycle (their step exceeds the
-    number of moved calls in their conversation) and stay unordered. ``unresolved`` counts
+    later call one step on. ``cyclic`` calls are on or behind a cycle (a step exceeds the
+    number of moved calls in the conversation) and stay unordered. ``unresolved`` counts
     dependencies on calls that the conversation does not have.
     """
     nodes = linked.where("call is not null").select(*KEY, F.col("call.pos").alias("pos"), "call.depends_on")
@@ -73,14 +73,15 @@ def ordered(linked: DataFrame) -> DataFrame:
     place = F.struct(F.col("pos").alias("release"), F.lit(0).cast("long").alias("step"))
     state = stored(nodes.select(*KEY, "pos", place.alias("at"), F.lit(False).alias("cyclic")), "places")
     while True:
-        behind = state.where("not cyclic").select("conv_id", F.col("call_id").alias("needs"), F.struct(
+        behind = state.select("conv_id", F.col("call_id").alias("needs"), F.col("cyclic").alias("stuck"), F.struct(
             F.col("at.release").alias("release"), (F.col("at.step") + 1).alias("step")).alias("after"))
-        pushed = edges.join(behind, ["conv_id", "needs"]).groupBy(*KEY).agg(F.max("after").alias("after"))
-        moved = state.join(pushed, KEY).where("after > at and not cyclic").select(*KEY, "after")
+        pushed = edges.join(behind, ["conv_id", "needs"]).groupBy(*KEY).agg(F.max("after").alias("after"), F.max("stuck").alias("stuck"))
+        moved = state.join(pushed, KEY).where("not cyclic and (stuck or after > at)").select(*KEY, "after", "stuck")
         moved = stored(moved, "moved")
         if not moved.limit(1).count():
             break
-        state = state.join(moved, KEY, "left").withColumn("at", F.coalesce("after", "at")).drop("after")
+        state = state.join(moved, KEY, "left").withColumn("at", F.greatest("at", "after")).withColumn(
+            "cyclic", F.col("cyclic") | F.coalesce("stuck", F.lit(False))).drop("after", "stuck")
         late = state.where("at.step > 0").groupBy("conv_id").agg(F.count("*").alias("late"))
         state = state.join(late, "conv_id", "left").withColumn(
             "cyclic", F.col("cyclic") | (F.col("at.step") > F.coalesce("late", F.lit(0)))).drop("late")

@@ -52,9 +52,11 @@ def features(text: bytes) -> np.ndarray:
 
 def code_words(n: int, seed: int = 42) -> np.ndarray:
     """(n, bits) of -1 / 1: all splits of up to five languages, else the best of seeded random codes."""
+    if n < 2:
+        return np.zeros((n, 0), np.float32)
     if n <= 5:
         splits = [s for s in product((-1, 1), repeat=n) if s[0] == 1 and len(set(s)) > 1]
-        return np.array(splits, np.float32).T.reshape(n, -1)
+        return np.array(splits, np.float32).T
     bits, rng, best = int(np.ceil(10 * np.log2(n))), np.random.default_rng(seed), (-1, None)
     for _ in range(50):
         code = rng.choice([-1, 1], (n, bits)).astype(np.float32)
