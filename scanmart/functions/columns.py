@@ -17,19 +17,18 @@ def str_array(values) -> Column:
 
 
 # ---------------------------------------------------------------- domains / services
+def strip(c: str | Column) -> Column:
+    """Without leading and trailing white space (tabs, line ends and Unicode spaces too)."""
+    return F.regexp_replace(_col(c), r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+
+
 def normalize_domain(c: str | Column) -> Column:
-    """casefold, trim, strip trailing dots, drop one leading ``www.``; empty -> null."""
-    x = F.regexp_replace(F.trim(F.lower(_col(c))), r"\.+$", "")
+    """casefold, strip white space of any kind and trailing dots, drop one leading ``www.``; empty -> null."""
+    x = F.regexp_replace(strip(F.lower(_col(c))), r"\.+$", "")
     x = F.regexp_replace(x, r"^www\.", "")
     return F.nullif(x, F.lit(""))
 
 
-def normalize_domains(c: str | Column) -> Column:
-    """Normalize every element of a string array and drop the empty ones (order kept)."""
-    return F.filter(F.transform(F.coalesce(_col(c), F.array().cast("array<string>")), normalize_domain),
-                    lambda x: x.isNotNull())
-
-
 def service_category(port: str | Column) -> Column:
     """Port -> category via a literal map lookup; unknown/null -> null."""
     m = F.create_map(*[item for kv in K.SERVICE_CATEGORIES.items() for item in (F.lit(kv[0]), F.lit(kv[1]))])
@@ -56,7 +55,7 @@ def normalize_org_ascii(c: str | Column, suffixes=K.ORG_LEGAL_SUFFIXES, two_word
     legal suffixes while more than one word remains, empty -> null.
 
     ``(?U)`` makes ``\\w`` Unicode-aware. ``lower`` equals casefold for ASCII; non-ASCII
-    names get NFKC+casefold first in :func:`scanmart.functions.text.casefold_nfkc`.
+    names get NFKC+casefold first (``scanmart.operators.records.with_canonical_org``).
     """
     x = F.trim(F.lower(_col(c)))
     x = F.regexp_replace(x, r"[&+]+", " and ")
@@ -103,6 +102,13 @@ def icp_score(ips: Column, services: Column, technologies: Column, cloud: Column
     return bounded(score)
 
 
+def industry_override(score: Column, industry: Column, targets: tuple[str, ...]) -> Column:
+    """100 for an account of a target industry, 25 for one of another; without an industry, or targets, ``score``."""
+    if not targets:
+        return score
+    return F.when(industry.isNull() | (industry == ""), score).when(industry.isin(*targets), 100.0).otherwise(25.0)
+
+
 def weighted_opportunity(icp: Column, exposure: Column, vulnerability: Column, technology: Column,
                          recency: Column) -> Column:
     parts = dict(icp=icp, exposure=exposure, vulnerability=vulnerability, technology=technology, recency=recency)
@@ -114,10 +120,19 @@ def weighted_opportunity(icp: Column, exposure: Column, vulnerability: Column, t
 
 # ---------------------------------------------------------------- JSON / VARIANT helpers
 def json_truthy(v: Column) -> Column:
-    """Python ``bool(x)`` of a JSON value held in a VARIANT: null, false, 0, "", [], {} are false."""
-    txt = F.to_json(v)
-    return v.isNotNull() & ~txt.isin("null", "false", "0", "0.0", '""', "[]", "{}") & F.coalesce(
-        F.try_variant_get(v, "$", "double") != 0, F.lit(True))
+    """Python ``bool(x)`` of a JSON value held in a VARIANT: null, false, 0, "", [], {} are false.
+
+    By the value's type: only numbers are compared with zero (the strings "0" and "0.0" are
+    true), and objects and arrays are never written out as text."""
+    s = F.schema_of_variant(v)
+    empty = (s.isin("VOID", "ARRAY<>", "ARRAY<VOID>", "OBJECT<>")) & ~(F.coalesce(F.size(
+        F.try_variant_get(v, "$", "array<variant>")), F.lit(0)) > 0)
+    return F.coalesce(
+        F.when(v.isNull() | empty, F.lit(False))
+        .when(s == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
+        .when(s == "STRING", F.try_variant_get(v, "$", "string") != "")
+        .when(s.startswith("ARRAY") | s.startswith("OBJECT"), F.lit(True))
+        .otherwise(F.try_variant_get(v, "$", "double") != 0), F.lit(False))
 
 
 def json_type(v: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from scanmart.operators.scalars import attach
 
 
 def judge(cases: DataFrame, text_col: str = "text", must: str = "must_mention",
@@ -12,15 +11,16 @@ def judge(cases: DataFrame, text_col: str = "text", must: str = "must_mention",
     """Per case: true positives, false negatives, false positives, precision/recall
     (1.0 when the denominator is 0, rounded to 4) and ``passed``. Whole texts are
     searched; phrases match case-insensitively as substrings."""
-    hay = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    req = F.coalesce(F.col(must), F.array().cast("array<string>"))
-    forb = F.coalesce(F.col(must_not), F.array().cast("array<string>"))
-    out = cases.select(
-        "*",
-        F.filter(req, lambda x: hay.contains(F.lower(x))).alias("true_positives"),
-        F.filter(req, lambda x: ~hay.contains(F.lower(x))).alias("false_negatives"),
-        F.filter(forb, lambda x: hay.contains(F.lower(x))).alias("false_positives"),
-    )
+    none = F.array().cast("array<string>")
+    given = cases.withColumn("_hay", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    hits = lambda c: F.transform(F.coalesce(F.col(c), none), lambda x: F.struct(
+        x.alias("phrase"), F.col("_hay").contains(F.lower(x)).alias("hit")))
+    phrases = lambda c, hit: F.transform(
+        F.filter(c, lambda x: x["hit"] if hit else ~x["hit"]), lambda x: x["phrase"])
+    found = given.withColumns({"_must": hits(must), "_not": hits(must_not)})
+    out = found.withColumns({
+        "true_positives": phrases("_must", True), "false_negatives": phrases("_must", False),
+        "false_positives": phrases("_not", True)}).drop("_must", "_not", "_hay")
     tp, fn, fp = F.size("true_positives"), F.size("false_negatives"), F.size("false_positives")
     nonblank = F.length(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"^\s+|\s+$", "")) > 0
     return out.select(
@@ -31,9 +31,10 @@ def judge(cases: DataFrame, text_col: str = "text", must: str = "must_mention",
     )
 
 
-def summarize(judged: DataFrame, by: str = "prompt_version") -> DataFrame:
-    """Micro-averaged precision/recall and pass rate per version (0.0 on empty sums)."""
-    s = judged.groupBy(by).agg(
+def summarize(judged: DataFrame, by: str | list[str] = "prompt_version") -> DataFrame:
+    """Micro-averaged precision/recall and pass rate per version or (run, version); 0.0 on empty sums."""
+    by = [by] if isinstance(by, str) else by
+    s = judged.groupBy(*by).agg(
         F.count(F.lit(1)).alias("cases"),
         F.sum(F.size("true_positives")).cast("bigint").alias("true_positives"),
         F.sum(F.size("false_positives")).cast("bigint").alias("false_positives"),
@@ -42,7 +43,7 @@ def summarize(judged: DataFrame, by: str = "prompt_version") -> DataFrame:
     )
     tp, fp, fn = F.col("true_positives"), F.col("false_positives"), F.col("false_negatives")
     return s.select(
-        by, "cases",
+        *by, "cases",
         F.round(F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0), 4).alias("precision"),
         F.round(F.when(tp + fn > 0, tp / (tp + fn)).otherwise(0.0), 4).alias("recall"),
         F.round(F.when(F.col("cases") > 0, F.col("passed_cases") / F.col("cases")).otherwise(0.0), 4)
@@ -52,22 +53,18 @@ def summarize(judged: DataFrame, by: str = "prompt_version") -> DataFrame:
     )
 
 
-def deltas(summary: DataFrame, by: str = "prompt_version") -> DataFrame:
-    """Each version against the previous one (version order): metric deltas, plus the
-    overall winner by (pass_rate, recall); ties go to the later version.
+def deltas(summary: DataFrame, run: str = "run_id", by: str = "prompt_version") -> DataFrame:
+    """Each (run, version) against the previous run of the same version, and each run's winner.
 
-    The summary has one row per version (a handful), so the ordering windows run on a
-    tiny frame."""
-    w = Window.orderBy(by)
-    prev = summary.select(
-        by, "precision", "recall", "pass_rate",
-        F.lag("precision").over(w).alias("_pp"), F.lag("recall").over(w).alias("_pr"),
-        F.lag("pass_rate").over(w).alias("_pa"))
-    best = summary.agg(F.max_by(F.col(by), F.struct("pass_rate", "recall", by)).alias("winner"))
-    return attach(prev, best).select(
-        by,
-        F.round(F.col("precision") - F.col("_pp"), 4).alias("precision_delta"),
-        F.round(F.col("recall") - F.col("_pr"), 4).alias("recall_delta"),
-        F.round(F.col("pass_rate") - F.col("_pa"), 4).alias("pass_rate_delta"),
-        (F.col(by) == F.col("winner")).alias("is_winner"),
-    )
+    Metric deltas are null for a version's first run. The winner has the highest (pass_rate,
+    recall) of its run; ties go to the later version."""
+    previous = Window.partitionBy(by).orderBy(run)
+    change = lambda c: F.round(F.col(c) - F.lag(c).over(previous), 4).alias(f"{c}_delta")
+    best = summary.groupBy(run).agg(F.max_by(F.col(by), F.struct("pass_rate", "recall", by)).alias("winner"))
+    moved = summary.select(run, by, change("precision"), change("recall"), change("pass_rate"))
+    return moved.join(best, run).withColumn("is_winner", F.col(by) == F.col("winner")).drop("winner")
+
+
+def failing_cases(judged: DataFrame, case: str = "case_id", run: str = "run_id", by: str = "prompt_version") -> DataFrame:
+    """(run, version, case) of the cases that failed: a long table instead of a list per version."""
+    return judged.filter(~F.col("passed")).select(run, by, case)

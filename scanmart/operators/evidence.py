@@ -86,3 +86,30 @@ def parse_payload(responses: DataFrame, text_col: str = "text", fallback_col: st
         F.when(is_obj, expl).otherwise(stripped).alias("explanation"),
         F.when(is_obj & (F.size(doms) > 0), doms).otherwise(F.col(fallback_col)).alias("domains"),
     )
+
+
+def allowed_domains(parsed: DataFrame, id_col: str, candidates: DataFrame, fallback_col: str = "fallback") -> DataFrame:
+    """``parsed`` (id, domains array, fallback array) with ``domains`` cut to the id's candidates.
+
+    The order and repeats of the list stay; an answer without any candidate shows the
+    fallback. ``candidates``: (id, domain) rows."""
+    pos = parsed.select(id_col, F.posexplode("domains").alias("_p", "domain"))
+    kept = pos.join(candidates.select(id_col, "domain").distinct(), [id_col, "domain"], "left_semi")
+    lists = kept.groupBy(id_col).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("_p", "domain"))), lambda s: s["domain"]).alias("_kept"))
+    return parsed.join(lists, id_col, "left").withColumn("domains", F.coalesce("_kept", F.col(fallback_col))).drop("_kept")
+
+
+# fixed values: constraints of the explore evidence
+EXPLORE_CONSTRAINTS = ("Only use domains from shortlist", "Do not invent firmographics")
+
+
+def explore_pack(rows: DataFrame, question: str) -> DataFrame:
+    """One evidence struct of a question: the question, its ranked compact rows and the constraints.
+
+    ``rows``: at most the 25 rows of the shortlist, with ``rank``."""
+    cols = [c for c in rows.columns if c != "rank"]
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", *cols))), lambda s: s.dropFields("rank"))
+    return rows.agg(listed.alias("shortlist")).select(F.struct(
+        F.lit(question).alias("question"), "shortlist",
+        F.array(*[F.lit(c) for c in EXPLORE_CONSTRAINTS]).alias("constraints")).alias("evidence"))

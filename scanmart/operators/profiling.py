@@ -231,8 +231,8 @@ def nested_structure(records: DataFrame, fields=K.NESTED_FIELDS, k: int = 50, v_
 
 def sample_fixed(lines: DataFrame, k: int = 8000, seed: int = 42, key_cols=("file", "line")) -> DataFrame:
     """Deterministic uniform sample of exactly ``min(k, n)`` lines: rank by a seeded
-    64-bit hash of the line identity and keep the lowest k (TakeOrdered, bounded)."""
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in key_cols])
+    MD5 of the line identity and keep the lowest k (TakeOrdered, bounded)."""
+    h = F.md5(F.concat_ws("\n", F.lit(str(seed)), *[F.col(c) for c in key_cols]))
     return lines.withColumn("_h", h).orderBy("_h", *key_cols).limit(k).drop("_h")
 
 

@@ -176,9 +176,10 @@ SIGNAL_CHECKS = {
 
 
 def radar_filter(accounts: DataFrame, search: str = "", score_range=(40.0, 100.0), countries=(),
-                 cloud_only: bool = False, min_vulnerabilities: int = 0, signals=()) -> DataFrame:
+                 cloud_only: bool = False, min_vulnerabilities: int = 0, signals=(), limit: int | None = None) -> DataFrame:
     """Dashboard filter: domain substring AND score range AND any selected country AND
-    cloud AND minimum vulnerabilities AND every selected signal check."""
+    cloud AND minimum vulnerabilities AND every selected signal check. With ``limit``, the
+    first rows by falling score."""
     cond = F.lower(F.coalesce(F.col("domain"), F.lit(""))).contains(F.lit(search.strip().casefold()))
     score = F.coalesce(F.col("opportunity_score"), F.lit(0.0))
     cond = cond & (score >= score_range[0]) & (score <= score_range[1])
@@ -189,7 +190,8 @@ def radar_filter(accounts: DataFrame, search: str = "", score_range=(40.0, 100.0
     cond = cond & (F.coalesce(F.col("vulnerability_count"), F.lit(0)) >= min_vulnerabilities)
     for s in signals:
         cond = cond & (F.coalesce(F.col(SIGNAL_CHECKS[s]), F.lit(0)) > 0)
-    return accounts.filter(cond)
+    found = accounts.filter(cond)
+    return found if limit is None else found.orderBy(score.desc(), "domain").limit(limit)
 
 
 def country_facet(accounts: DataFrame, top: int = 30) -> DataFrame:
@@ -254,25 +256,29 @@ def display_columns(accounts: DataFrame, now: Column | None = None) -> DataFrame
     )
 
 
-def shortlist_join(matches: DataFrame, shortlist: DataFrame, id_col: str = "list_id",
-                   fallback_rows: int = 200) -> DataFrame:
-    """Apply an ordered shortlist per list: keep the given order, drop unknown domains;
-    a list with no known domain shows the matches in score order instead.
+def shortlist_join(matches: DataFrame, shortlist: DataFrame, id_col: str = "list_id") -> DataFrame:
+    """Apply an ordered shortlist per list: keep the given order, drop unknown domains.
 
-    ``shortlist`` holds (list_id, domains array). Output: (list_id, position, domain).
-    The fallback is the radar view (first ``fallback_rows`` matches, the dashboard's
-    maximum), a bounded list joined by broadcast.
+    ``shortlist`` holds (list_id, domains array). Output: (list_id, position, domain,
+    shows_all). A list with no known domain shows all matches instead: it is one row with
+    ``shows_all``, which :func:`shown` resolves for the list on display, so the matches are
+    not copied for every such list.
     """
     pos = shortlist.select(id_col, F.posexplode("domains").alias("position", "domain"))
     known = pos.join(matches.select("domain"), "domain", "left_semi")
-    w = Window.partitionBy(id_col, "domain").orderBy("position")
-    known = known.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
+    known = known.groupBy(id_col, "domain").agg(F.min("position").alias("position"))
     wk = Window.partitionBy(id_col).orderBy("position")
-    known = known.withColumn("position", (F.row_number().over(wk) - 1).cast("int"))
-    empty_lists = shortlist.select(id_col).join(known.select(id_col).distinct(), id_col, "left_anti")
-    top = top_list(matches.withColumn("_score", F.coalesce(F.col("opportunity_score"), F.lit(0.0))),
-                   fallback_rows, "_score")
-    fallback = (attach(empty_lists, top)
-                .select(id_col, F.posexplode("top").alias("position", "t"))
-                .select(id_col, F.col("position").cast("int").alias("position"), F.col("t.domain").alias("domain")))
-    return known.select(id_col, "position", "domain").unionByName(fallback)
+    known = known.select(id_col, (F.row_number().over(wk) - 1).cast("int").alias("position"), "domain",
+                         F.lit(False).alias("shows_all"))
+    empty = shortlist.select(id_col).join(known.select(id_col).distinct(), id_col, "left_anti")
+    return known.unionByName(empty.select(id_col, F.lit(0).alias("position"), F.lit(None).cast("string").alias("domain"),
+                                          F.lit(True).alias("shows_all")))
+
+
+def shown(matches: DataFrame, joined: DataFrame, list_id, id_col: str = "list_id") -> DataFrame:
+    """The accounts that one list shows, in order: its known domains, or all matches by score."""
+    own = joined.filter(F.col(id_col) == F.lit(list_id))
+    picked = matches.join(own.select("domain", "position"), "domain").orderBy("position")
+    if own.filter("shows_all").limit(1).count():
+        return matches.orderBy(F.desc(F.coalesce("opportunity_score", F.lit(0.0))), "domain")
+    return picked.drop("position")

@@ -22,14 +22,19 @@ from scanmart.functions import constants as K
 FIELDS = ("owner", "status", "notes", "next_action", "next_action_date")
 
 
+def _valid_status():
+    """Whether a status is one of the allowed ones (null: no)."""
+    return F.coalesce(F.col("status").isin(*K.WORKSPACE_STATUSES), F.lit(False))
+
+
 def rejected_updates(changes: DataFrame) -> DataFrame:
-    return changes.filter((F.col("op") == "update") & ~F.col("status").isin(*K.WORKSPACE_STATUSES))
+    return changes.filter((F.col("op") == "update") & ~_valid_status())
 
 
 def apply_changes(saved: DataFrame, changes: DataFrame) -> DataFrame:
     """``saved``: domain, saved_at, owner, status, notes, next_action, next_action_date.
     ``changes``: domain, seq, op (insert/update/delete), changed_at, and the 5 fields."""
-    valid = changes.filter((F.col("op") != "update") | F.col("status").isin(*K.WORKSPACE_STATUSES))
+    valid = changes.filter((F.col("op") != "update") | _valid_status())
     last_delete = valid.groupBy("domain").agg(F.max(F.when(F.col("op") == "delete", F.col("seq"))).alias("_ld"))
     pre = saved.select("domain", F.lit(True).alias("_pre"))
     keyed = (last_delete.join(pre, "domain", "left")

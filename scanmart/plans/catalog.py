@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from scanmart.operators.scalars import attach
 
@@ -78,7 +78,8 @@ def q_services_mart(spark, d):
 
 @register("org_mart")
 def q_org_mart(spark, d):
-    return M.org_mart(observations_with_orgs(spark, d))
+    """Organisations by falling observation count."""
+    return M.org_mart(observations_with_orgs(spark, d)).orderBy(F.desc("observation_count"), "canonical_org")
 
 
 @register("org_ips")
@@ -161,6 +162,25 @@ def q_radar_filter(spark, d):
     return SE.radar_filter(scored(spark, d), **RADAR).select("domain", "opportunity_score")
 
 
+RADAR_ROWS = 25
+
+
+@register("radar_rows")
+def q_radar_rows(spark, d):
+    """The first rows of the radar list."""
+    return SE.radar_filter(scored(spark, d), search="example", limit=RADAR_ROWS).select("domain", "opportunity_score")
+
+
+INDUSTRIES, TARGET_INDUSTRIES = ("BUILDING", "MACHINERY", None), ("BUILDING",)
+
+
+@register("icp_industry")
+def q_icp_industry(spark, d):
+    """ICP score where an industry is known and some are targets; the industry goes by the domain's length."""
+    industry = F.get(F.array(*map(F.lit, INDUSTRIES)), F.length("domain") % len(INDUSTRIES))
+    return scored(spark, d).select("domain", R.C.industry_override(F.col("icp_score"), industry, TARGET_INDUSTRIES).alias("icp_score"))
+
+
 @register("country_facet")
 def q_country_facet(spark, d):
     # countries come from the accounts mart (one row per account, as the scored table)
@@ -200,6 +220,19 @@ def q_explore_evidence(spark, d):
     return SE.compact_rows(found)
 
 
+@register("explore_pack")
+def q_explore_pack(spark, d):
+    """The evidence of one question: its text, the ranked shortlist and the constraints."""
+    found = SE.search_accounts(scored(spark, d), QUESTIONS["search_keyword"], 80)
+    ranked = CX.ranked_accounts(found).limit(25)
+    w = Window.orderBy(F.desc(F.coalesce("opportunity_score", F.lit(0.0))), "domain")
+    ranks = ranked.select("domain", F.row_number().over(w).alias("rank"))  # 25 rows
+    rows = SE.compact_rows(ranked).join(ranks, "domain")
+    pack = EV.explore_pack(rows, QUESTIONS["search_keyword"])
+    return pack.select("evidence.question", F.transform("evidence.shortlist", lambda r: r["domain"]).alias("domains"),
+                       F.transform("evidence.shortlist", lambda r: r["critical"]).alias("critical"), "evidence.constraints")
+
+
 @register("display_columns")
 def q_display_columns(spark, d):
     sc = scored(spark, d)
@@ -223,6 +256,7 @@ def raw_lines(spark, d):
 
 
 def raw_variant(spark, d):
+    N.allow_duplicate_keys(spark)
     return raw_lines(spark, d).select("sequence", F.parse_json("value").alias("v"))
 
 
@@ -361,7 +395,8 @@ def q_quality_check(spark, d):
 
 @register("sample_fixed")
 def q_sample_fixed(spark, d):
-    lines = raw_lines(spark, d).select(F.lit("tables").alias("file"), F.col("value").alias("line"))
+    """500 chat turns, by a seeded hash of their place and text."""
+    lines = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("file"), F.col("text").alias("line"))
     return P.sample_fixed(lines, 500, 42)
 
 
@@ -393,6 +428,15 @@ def q_prompt_key(spark, d):
     return EV.prompts(ev, AUDIT_INSTRUCTIONS, "audit/v2", "gemini-2.5-flash")
 
 
+@register("cache_lookup")
+def q_cache_lookup(spark, d):
+    """Prompts against the responses kept for the accounts of high exposure."""
+    requests = q_prompt_key(spark, d)
+    high = scored(spark, d).filter("exposure_score >= 50").select("domain")
+    kept = requests.join(high, "domain", "left_semi").select("cache_key", F.concat(F.lit("audit of "), "domain").alias("text"))
+    return EV.cache_lookup(requests, kept).select("domain", "cached", "cached_text")
+
+
 def responses_with_fallback(spark, d):
     """Assistant turns as model responses; fallback = first 15 search results for the
     user question just before it (a bounded list per response)."""
@@ -407,44 +451,83 @@ def responses_with_fallback(spark, d):
         "fallback", F.coalesce("fallback", F.array().cast("array<string>")))
 
 
+def answers(spark, d):
+    """The responses as a model would send them: a third with a payload that names known and
+    unknown domains, a third with a broken payload, a third plain."""
+    r = responses_with_fallback(spark, d)
+    payload = F.to_json(F.struct(F.lit("picked").alias("explanation"), F.array(
+        F.get("fallback", 1), F.lit("unknown.example.net"), F.get("fallback", 0)).alias("domains")))
+    kind = F.floor(F.col("response_id") / 100000) % 3
+    tail = F.when(kind == 0, F.concat(F.lit("\n"), payload, F.lit("\n"))).when(kind == 1, '\n{"domains": [}').otherwise("")
+    return r.withColumn("text", F.concat("text", tail))
+
+
 @register("payload_parse")
 def q_payload_parse(spark, d):
-    return EV.parse_payload(responses_with_fallback(spark, d)).select("response_id", "explanation", "domains")
+    return EV.parse_payload(answers(spark, d)).select("response_id", "explanation", "domains")
+
+
+def allowed_answers(spark, d):
+    found = SE.search_batch(scored(spark, d), user_questions(spark, d), 80).select(
+        (F.col("question_id") + 1).alias("response_id"), "domain")
+    return EV.allowed_domains(EV.parse_payload(answers(spark, d)), "response_id", found)
+
+
+@register("allowed_domains")
+def q_allowed_domains(spark, d):
+    """The domains of each answer that are among its question's search results, else the fallback."""
+    return allowed_answers(spark, d).select("response_id", "domains")
 
 
 @register("shortlist_join")
 def q_shortlist_join(spark, d):
-    lists = EV.parse_payload(responses_with_fallback(spark, d)).select(
-        F.col("response_id").alias("list_id"), "domains")
-    return SE.shortlist_join(scored(spark, d), lists, "list_id", 200)
+    lists = EV.parse_payload(answers(spark, d)).select(F.col("response_id").alias("list_id"), "domains")
+    only_unknown = F.array(F.lit("unknown.example.net"))
+    lists = lists.withColumn("domains", F.when(F.floor(F.col("list_id") / 100000) % 3 == 1, only_unknown).otherwise(F.col("domains")))
+    return SE.shortlist_join(scored(spark, d), lists, "list_id")
 
 
 # ------------------------------------------------------------------ lexical judge over documents
 def judge_cases(spark, d):
+    """Every document as a case that is judged under two prompt versions; a language is a run.
+
+    The first version answers with the text, the second with the text and its source."""
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
-    lab = table(spark, d, "labels")
-    cases = docs.join(lab, "doc_id").select(
-        "doc_id", "text", F.concat(F.lit("audit/"), F.col("lang")).alias("prompt_version"),
+    toxic = table(spark, d, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    versions = F.explode(F.array(
+        F.struct(F.lit("audit/v1").alias("prompt_version"), F.col("text")),
+        F.struct(F.lit("audit/v2").alias("prompt_version"), F.concat_ws(" ", "text", "source").alias("text"))))
+    cases = docs.join(toxic, "doc_id", "left").select(
+        F.col("doc_id").alias("case_id"), F.col("lang").alias("run_id"), versions.alias("r"),
         F.array(F.col("source"), F.lit("the")).alias("must_mention"),
-        F.when(F.col("toxic") == 1, F.array(F.lit("password"), F.lit("secret")))
+        F.when(F.col("toxic") == 1, F.array(F.lit("password"), F.lit("secret"), F.lit("and")))
          .otherwise(F.array().cast("array<string>")).alias("must_not_mention"))
-    return EVL.judge(cases)
+    return EVL.judge(cases.select("case_id", "run_id", "r.*", "must_mention", "must_not_mention"))
+
+
+def judge_summary(spark, d):
+    return EVL.summarize(judge_cases(spark, d), ["run_id", "prompt_version"])
 
 
 @register("judge_cases")
 def q_judge_cases(spark, d):
-    return judge_cases(spark, d).select("doc_id", "prompt_version", "true_positives", "false_negatives",
+    return judge_cases(spark, d).select("case_id", "run_id", "prompt_version", "true_positives", "false_negatives",
                                         "false_positives", "precision", "recall", "passed")
 
 
 @register("judge_summary")
 def q_judge_summary(spark, d):
-    return EVL.summarize(judge_cases(spark, d))
+    return judge_summary(spark, d)
 
 
 @register("judge_delta")
 def q_judge_delta(spark, d):
-    return EVL.deltas(EVL.summarize(judge_cases(spark, d)))
+    return EVL.deltas(judge_summary(spark, d))
+
+
+@register("judge_failures")
+def q_judge_failures(spark, d):
+    return EVL.failing_cases(judge_cases(spark, d))
 
 
 # ------------------------------------------------------------------ traces
@@ -498,16 +581,26 @@ def q_saved_join(spark, d):
 # ------------------------------------------------------------------ streaming (rows-only checks)
 import uuid  # noqa: E402
 
+from scanmart.plans.pipeline import build_observations  # noqa: E402
 from scanmart.session import shared_path  # noqa: E402
 from scanmart.streaming import jobs as ST  # noqa: E402
 
 
+@register("ingest_observations")
+def q_ingest_observations(spark, d):
+    """Raw records written as NDJSON files and built into curated observations by the batch job."""
+    run = shared_path(spark, f"ingest-{uuid.uuid4().hex}")
+    raw_lines(spark, d).select("value").write.mode("overwrite").text(f"{run}/source")
+    build_observations(spark, f"{run}/source", f"{run}/observations", extra_rules=PSL.FIXTURE_RULES)
+    return spark.read.parquet(f"{run}/observations").select(*RECORD_CHECK_COLUMNS[1:])
+
+
 @register("stream_ingest")
 def q_stream_ingest(spark, d):
-    """Raw records written as NDJSON files, ingested by a checkpointed stream."""
+    """Raw records written as eight NDJSON files, ingested by a checkpointed stream in three micro-batches."""
     run = shared_path(spark, f"stream-ingest-{uuid.uuid4().hex}")
-    raw_lines(spark, d).select("value").write.mode("overwrite").text(f"{run}/source")
-    q = ST.ingest(spark, f"{run}/source", f"{run}/observations", f"{run}/checkpoint",
+    raw_lines(spark, d).select("value").repartition(8).write.mode("overwrite").text(f"{run}/source")
+    q = ST.ingest(spark, f"{run}/source", f"{run}/observations", f"{run}/checkpoint", max_files=3,
                   extra_rules=PSL.FIXTURE_RULES)
     q.awaitTermination()
     return spark.read.parquet(f"{run}/observations").select(*RECORD_CHECK_COLUMNS[1:])

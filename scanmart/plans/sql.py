@@ -66,6 +66,12 @@ WHERE contains(lower(coalesce(domain, '')), 'example')
   AND coalesce(cloud_observation_count, 0) <> 0
   AND coalesce(vulnerability_count, 0) >= 0
   AND coalesce(eol_observation_count, 0) > 0"""
+ORACLE["radar_rows"] = with_ctes(ADAPTER, ACCOUNTS, SCORED) + """
+SELECT domain, opportunity_score FROM scored
+WHERE contains(lower(coalesce(domain, '')), 'example') AND coalesce(opportunity_score, 0) BETWEEN 40.0 AND 100.0
+ORDER BY coalesce(opportunity_score, 0) DESC, domain LIMIT 25"""
+ORACLE["icp_industry"] = with_ctes(ADAPTER, ACCOUNTS, SCORED) + """
+SELECT domain, CASE length(domain) % 3 WHEN 0 THEN 100.0 WHEN 1 THEN 25.0 ELSE icp_score END AS icp_score FROM scored"""
 ORACLE["country_facet"] = with_ctes(ADAPTER, ACCOUNTS, SCORED) + """
 SELECT country, count(*) AS accounts FROM (SELECT unnest(countries) AS country FROM scored) WHERE country IS NOT NULL
 GROUP BY country ORDER BY accounts DESC, country LIMIT 30"""
@@ -88,6 +94,12 @@ SELECT domain, round(coalesce(opportunity_score, 0), 1) AS opportunity_score,
   list_filter(countries, lambda c: c IS NOT NULL AND c <> '')[1] AS country
 FROM f25"""
 
+ORACLE["explore_pack"] = with_ctes(ADAPTER, ACCOUNTS, SCORED, SEARCH_SQL("exposed mysql database")) + """
+, f25 AS (SELECT * FROM found ORDER BY coalesce(opportunity_score, 0) DESC, domain LIMIT 25)
+SELECT 'exposed mysql database' AS question,
+  list(domain ORDER BY coalesce(opportunity_score, 0) DESC, domain) AS domains,
+  list(coalesce(critical_vulnerability_observations, 0) ORDER BY coalesce(opportunity_score, 0) DESC, domain) AS critical,
+  ['Only use domains from shortlist', 'Do not invent firmographics'] AS constraints FROM f25"""
 ORACLE["search_batch"] = with_ctes(ADAPTER, ACCOUNTS, SCORED) + f"""
 , q AS (SELECT conv_id * 100000 + turn AS question_id,
                lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS q FROM conversations WHERE role = 'user'),
@@ -273,12 +285,30 @@ resp AS (SELECT conv_id * 100000 + turn AS response_id, conv_id * 100000 + turn
 rf AS (SELECT r.response_id, r.text, coalesce(fb.fallback, CAST([] AS VARCHAR[])) AS fallback
        FROM resp r LEFT JOIN fb ON fb.question_id = r.question_id)
 """
-ORACLE["payload_parse"] = _SB + """
-SELECT response_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS explanation, fallback AS domains
-FROM rf WHERE NOT regexp_matches(coalesce(text, ''), '(?s)\\{.*\\}')"""
+_SB += r""",
+ans AS (SELECT response_id, fallback, text || CASE response_id // 100000 % 3
+    WHEN 0 THEN chr(10) || to_json({'explanation': 'picked', 'domains': [fallback[2], 'unknown.example.net', fallback[1]]})::VARCHAR || chr(10)
+    WHEN 1 THEN chr(10) || '{"domains": [}' ELSE '' END AS text FROM rf),
+blk AS (SELECT *, regexp_extract(text, '(?s)\{.*\}') AS b, regexp_replace(text, '^\s+|\s+$', '', 'g') AS stripped FROM ans),
+ok AS (SELECT *, b <> '' AND json_valid(b) AS good FROM blk),
+pp AS (SELECT response_id, fallback,
+    CASE WHEN good THEN coalesce(nullif(json_extract_string(b, '$.explanation'), ''), stripped) ELSE stripped END AS explanation,
+    CASE WHEN good AND len(list_filter(CAST(json_extract(b, '$.domains') AS VARCHAR[]), lambda x: x <> '')) > 0
+      THEN list_filter(CAST(json_extract(b, '$.domains') AS VARCHAR[]), lambda x: x <> '') ELSE fallback END AS domains FROM ok)
+"""
+ORACLE["payload_parse"] = _SB + "SELECT response_id, explanation, domains FROM pp"
+ORACLE["allowed_domains"] = _SB + """
+, c AS (SELECT question_id + 1 AS response_id, list(domain) AS allowed FROM sb GROUP BY 1),
+k AS (SELECT pp.response_id, fallback, list_filter(domains, lambda x: list_contains(coalesce(allowed, []), x)) AS kept
+      FROM pp LEFT JOIN c USING (response_id))
+SELECT response_id, CASE WHEN len(kept) > 0 THEN kept ELSE fallback END AS domains FROM k"""
 ORACLE["shortlist_join"] = _SB + """
-SELECT response_id AS list_id, CAST(i - 1 AS INTEGER) AS position, fallback[i] AS domain
-FROM rf, range(1, 16) t(i) WHERE i <= len(fallback)"""
+, l AS (SELECT response_id AS list_id, CASE WHEN response_id // 100000 % 3 = 1 THEN ['unknown.example.net'] ELSE domains END AS d FROM pp),
+p AS (SELECT list_id, d[i] AS domain, min(i) AS i FROM l, range(1, 100) t(i) WHERE i <= len(d) GROUP BY ALL),
+k AS (SELECT list_id, CAST(row_number() OVER (PARTITION BY list_id ORDER BY i) - 1 AS INTEGER) AS position, domain
+      FROM p WHERE domain IN (SELECT domain FROM scored))
+SELECT list_id, position, domain, false AS shows_all FROM k
+UNION ALL SELECT list_id, 0, NULL, true FROM l WHERE list_id NOT IN (SELECT list_id FROM k)"""
 
 ORACLE["evidence_pack"] = with_ctes(ADAPTER, ACCOUNTS, SCORED, SIGNALS) + """
 , rs AS (SELECT domain, signal_name, row_number() OVER (PARTITION BY domain ORDER BY
@@ -288,11 +318,45 @@ SELECT s.domain, CAST(json(score_reasons) AS VARCHAR[]) AS score_reasons,
        coalesce(sl.names, CAST([] AS VARCHAR[])) AS signal_names, 3 AS constraint_count
 FROM scored s LEFT JOIN sl ON sl.domain = s.domain"""
 
+ORACLE["cache_lookup"] = with_ctes(ADAPTER, ACCOUNTS, SCORED) + """
+SELECT domain, exposure_score >= 50 AS cached, CASE WHEN exposure_score >= 50 THEN 'audit of ' || domain END AS cached_text
+FROM scored"""
+
+ORACLE["sample_fixed"] = """
+SELECT conv_id || '-' || turn AS file, text AS line FROM conversations
+ORDER BY md5('42' || chr(10) || conv_id || '-' || turn || chr(10) || text), file, line LIMIT 500"""
+
+_PACK = """, rs AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY
+           CASE WHEN severity = 'critical' THEN 1 WHEN severity = 'high' THEN 2 ELSE 3 END, signal_name) AS r FROM signals),
+sl AS (SELECT domain, list({'type': signal_type, 'name': signal_name, 'severity': severity, 'description': description,
+                            'confidence': confidence} ORDER BY r) AS signals FROM rs WHERE r <= 20 GROUP BY domain),
+ev AS (SELECT s.domain, to_json({'workflow': 'prospect_audit', 'domain': s.domain,
+    'scores': {'opportunity': opportunity_score, 'exposure': exposure_score, 'vulnerability': vulnerability_score,
+               'technology': technology_score, 'recency': recency_score},
+    'footprint': {'unique_ips': unique_ip_count, 'unique_ports': unique_port_count, 'unique_services': unique_service_count,
+                  'cloud_observations': cloud_observation_count, 'exposed_databases': exposed_database_count,
+                  'exposed_remote_access': exposed_remote_access_count, 'eol_observations': eol_observation_count,
+                  'vulnerability_count': vulnerability_count,
+                  'critical_vulnerabilities': critical_vulnerability_observations,
+                  'high_vulnerabilities': high_vulnerability_observations},
+    'score_reasons': CAST(json(score_reasons) AS VARCHAR[]), 'signals': coalesce(sl.signals, []),
+    'constraints': ['Do not invent company identity, industry, employee count, or contacts.',
+      'Treat scores as precomputed. Do not recalculate opportunity_score.',
+      'Separate observed facts from hypotheses. Label uncertainty.']})::VARCHAR AS evidence
+  FROM scored s LEFT JOIN sl ON sl.domain = s.domain),
+pr AS (SELECT domain, 'Write a concise technical audit for the account using the evidence.' || chr(10) || chr(10)
+    || 'Use only the JSON evidence below. If a fact is missing, say it is missing.' || chr(10) || chr(10)
+    || '```json' || chr(10) || evidence || chr(10) || '```' AS prompt FROM ev)"""
+ORACLE["prompt_key"] = with_ctes(ADAPTER, ACCOUNTS, SCORED, SIGNALS) + _PACK + """
+SELECT domain, prompt, 'audit/v2:' || sha256('gemini-2.5-flash' || chr(10) || prompt) AS cache_key FROM pr"""
+
 # ------------------------------------------------------------------ lexical judge over documents
-_JUDGE = """cases AS (
-  SELECT d.doc_id, d.text, 'audit/' || d.lang AS prompt_version, [d.source, 'the'] AS must_mention,
-         CASE WHEN l.toxic = 1 THEN ['password', 'secret'] ELSE CAST([] AS VARCHAR[]) END AS must_not_mention
-  FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+_JUDGE = """tox AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+cases AS (
+  SELECT d.doc_id AS case_id, d.lang AS run_id, v.prompt_version, [d.source, 'the'] AS must_mention,
+         CASE v.prompt_version WHEN 'audit/v1' THEN d.text ELSE concat_ws(' ', d.text, d.source) END AS text,
+         CASE WHEN l.toxic = 1 THEN ['password', 'secret', 'and'] ELSE CAST([] AS VARCHAR[]) END AS must_not_mention
+  FROM documents d LEFT JOIN tox l ON l.doc_id = d.doc_id, (VALUES ('audit/v1'), ('audit/v2')) v(prompt_version)),
 j0 AS (SELECT *, list_filter(must_mention, lambda x: contains(lower(coalesce(text, '')), lower(x))) AS true_positives,
               list_filter(must_mention, lambda x: NOT contains(lower(coalesce(text, '')), lower(x))) AS false_negatives,
               list_filter(must_not_mention, lambda x: contains(lower(coalesce(text, '')), lower(x))) AS false_positives
@@ -306,7 +370,7 @@ judged AS (SELECT *,
     AND length(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) > 0 AS passed
   FROM j0),
 summ AS (
-  SELECT prompt_version, count(*) AS cases,
+  SELECT run_id, prompt_version, count(*) AS cases,
     round(CASE WHEN sum(len(true_positives)) + sum(len(false_positives)) > 0 THEN
       sum(len(true_positives)) / (sum(len(true_positives)) + sum(len(false_positives))) ELSE 0.0 END, 4) AS precision,
     round(CASE WHEN sum(len(true_positives)) + sum(len(false_negatives)) > 0 THEN
@@ -316,18 +380,19 @@ summ AS (
     CAST(sum(len(false_positives)) AS BIGINT) AS false_positives,
     CAST(sum(len(false_negatives)) AS BIGINT) AS false_negatives,
     count(*) - count(*) FILTER (WHERE passed) AS failures
-  FROM judged GROUP BY prompt_version)"""
+  FROM judged GROUP BY run_id, prompt_version)"""
 ORACLE["judge_cases"] = with_ctes(_JUDGE) + """
-SELECT doc_id, prompt_version, true_positives, false_negatives, false_positives, precision, recall, passed FROM judged"""
+SELECT case_id, run_id, prompt_version, true_positives, false_negatives, false_positives, precision, recall, passed FROM judged"""
 ORACLE["judge_summary"] = with_ctes(_JUDGE) + "SELECT * FROM summ"
+ORACLE["judge_failures"] = with_ctes(_JUDGE) + "SELECT run_id, prompt_version, case_id FROM judged WHERE NOT passed"
 ORACLE["judge_delta"] = with_ctes(_JUDGE) + """
-, w AS (SELECT arg_max(prompt_version, (pass_rate, recall, prompt_version)) AS winner FROM summ)
-SELECT prompt_version,
-  round(precision - lag(precision) OVER (ORDER BY prompt_version), 4) AS precision_delta,
-  round(recall - lag(recall) OVER (ORDER BY prompt_version), 4) AS recall_delta,
-  round(pass_rate - lag(pass_rate) OVER (ORDER BY prompt_version), 4) AS pass_rate_delta,
-  prompt_version = (SELECT winner FROM w) AS is_winner
-FROM summ"""
+, w AS (SELECT run_id, arg_max(prompt_version, (pass_rate, recall, prompt_version)) AS winner FROM summ GROUP BY run_id)
+SELECT run_id, prompt_version,
+  round(precision - lag(precision) OVER p, 4) AS precision_delta,
+  round(recall - lag(recall) OVER p, 4) AS recall_delta,
+  round(pass_rate - lag(pass_rate) OVER p, 4) AS pass_rate_delta,
+  prompt_version = winner AS is_winner
+FROM summ JOIN w USING (run_id) WINDOW p AS (PARTITION BY prompt_version ORDER BY run_id)"""
 
 # ------------------------------------------------------------------ traces
 _RATES = ", ".join(f"('{m}', {a}, {b})" for m, a, b in _K.RATES_PER_MILLION)
@@ -424,6 +489,23 @@ ORACLE["clean_technologies"] = with_ctes(ADAPTER, ORGS) + f"""
       CASE WHEN event_id % 7 = 0 THEN ['telnet'] ELSE CAST([] AS VARCHAR[]) END)) AS k FROM obs_orgs)
 SELECT sequence, list_filter(k, lambda x: NOT list_contains({_DENY}, x) AND NOT starts_with(x, '_')) AS technologies
 FROM keys"""
+# keys in code point order, whole numbers without a fraction
+ORACLE["text_canonical_json"] = with_ctes(ADAPTER, ORGS) + """
+, v AS (SELECT *, list_transform(range(0, vuln_count), lambda i: '"CVE-2024-' || event_id || '-' || i || '":{"cvss":' ||
+      CASE WHEN i > 0 THEN '"7.5"' WHEN vuln_max_cvss = floor(vuln_max_cvss) THEN CAST(CAST(vuln_max_cvss AS BIGINT) AS VARCHAR)
+           ELSE CAST(vuln_max_cvss AS VARCHAR) END || '}') AS cves FROM obs_orgs),
+kv AS (SELECT event_id AS sequence, list_sort(list_concat([
+    {'k': 'ip_str', 'v': to_json(ip_str)::VARCHAR}, {'k': 'port', 'v': CAST(port AS VARCHAR)},
+    {'k': 'timestamp', 'v': to_json(CAST(timestamp AS VARCHAR))::VARCHAR},
+    {'k': 'hostnames', 'v': to_json([hostname])::VARCHAR},
+    {'k': 'domains', 'v': to_json(list_transform(registrable_domains, lambda d: 'WWW.' || d || '.'))::VARCHAR},
+    {'k': 'org', 'v': to_json(org)::VARCHAR}, {'k': 'location', 'v': '{"country_code":' || to_json(country_code)::VARCHAR || '}'},
+    {'k': 'vulns', 'v': '{' || array_to_string(cves, ',') || '}'},
+    {'k': 'tags', 'v': CASE WHEN has_eol_tag THEN '["eol-product"]' ELSE '[]' END}],
+    CASE WHEN cloud_present THEN [{'k': 'cloud', 'v': '{"provider":' || coalesce(to_json(cloud_provider)::VARCHAR, 'null') || '}'}] ELSE [] END,
+    list_transform(detected_technologies, lambda t: {'k': t, 'v': '{"version":"1"}'}),
+    CASE WHEN event_id % 7 = 0 THEN [{'k': 'telnet', 'v': 'null'}] ELSE [] END)) AS e FROM v)
+SELECT sequence, '{' || array_to_string(list_transform(e, lambda x: '"' || x.k || '":' || x.v), ',') || '}' AS canonical_json FROM kv"""
 ORACLE["account_lookup"] = with_ctes(ADAPTER, ACCOUNTS, SCORED, SIGNALS) + """
 , key AS (SELECT domain FROM scored ORDER BY opportunity_score DESC, domain LIMIT 1)
 SELECT s.domain, s.opportunity_score, g.signal_name, g.severity
@@ -438,6 +520,7 @@ FROM t1 GROUP BY prompt_version"""
 # ------------------------------------------------------------------ streaming results (checked against batch SQL)
 ORACLE["stream_ingest"] = with_ctes(ADAPTER, ORGS) + \
     f"SELECT {_RC.replace('observation_id, ', '').replace('hostname,', chr(32) + 'regexp_replace(hostname, ' + chr(39) + '^www[.]' + chr(39) + ', ' + chr(39) + chr(39) + ') AS hostname,')} FROM obs_orgs"
+ORACLE["ingest_observations"] = ORACLE["stream_ingest"]
 ORACLE["stream_cost"] = with_ctes(_TRACES) + """
 , w AS (SELECT date_trunc('hour', timestamp) - to_hours(k) AS window_start, workflow, cost_usd
         FROM tr, range(0, 24) t(k))

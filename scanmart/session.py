@@ -33,11 +33,14 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is unset (local tests) a fresh scratch folder is created and
-    registered, so lineage cuts and streaming checkpoints always land in one place.
+    Where the setting is unset, a session on this machine alone (tests) gets a fresh scratch
+    folder; any other master is refused, as executors would each write to their own disk.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="scanmart-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)

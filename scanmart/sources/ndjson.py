@@ -10,17 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
+#: First bytes of a zstd frame, in hexadecimal.
+ZSTD_MAGIC = "28B52FFD"
 
 
-def check_extension(path: str) -> None:
-    """Raise early for a zstd file without ``.zst`` (it would be read as garbage text)."""
-    import os
-
-    if os.path.isfile(path) and not path.endswith((".zst", ".zstd")):
-        with open(path, "rb") as fh:
-            if fh.read(4) == ZSTD_MAGIC:
-                raise ValueError(f"{path} is zstd-compressed but lacks the .zst extension")
+def allow_duplicate_keys(spark: SparkSession) -> None:
+    """Of equal keys of a JSON object the last counts (instead of failing the job)."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
 def spread(df: DataFrame, partitions: int | None = None, probe: DataFrame | None = None) -> DataFrame:
@@ -37,19 +33,30 @@ def spread(df: DataFrame, partitions: int | None = None, probe: DataFrame | None
 
 def read_lines(spark: SparkSession, path: str, partitions: int | None = None, spread_out: bool = True) -> DataFrame:
     """Text lines with the source file name; blank lines removed; spread over the
-    cluster before parsing when the scan yields too few partitions (``spread_out``)."""
-    check_extension(path)
-    df = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
-    df = df.filter(F.length(F.trim("line")) > 0)
+    cluster before parsing when the scan yields too few partitions (``spread_out``).
+
+    A zstd file without the ``.zst`` extension would be read as garbage text: its first
+    line fails the job, whatever store it is in."""
+    df = _text(spark.read.text(path)).drop("split")
     return spread(df, partitions) if spread_out else df
 
 
+def _text(df: DataFrame) -> DataFrame:
+    """(file, split, line) of a text scan without its blank lines."""
+    packed = F.hex(F.substring(F.col("value").cast("binary"), 1, 4)) == ZSTD_MAGIC
+    df = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.when(
+        packed, F.raise_error(F.concat(F.col("_metadata.file_path"), F.lit(" is zstd-compressed but lacks the .zst extension"))))
+        .otherwise(F.col("value")).alias("line"))
+    return df.filter(F.col("line").rlike(r"\S"))
+
+
 def parse_records(lines: DataFrame, strict: bool = True) -> DataFrame:
     """Lines -> ``v`` VARIANT of object records only.
 
     strict: malformed JSON fails the job (``parse_json``), non-object values are skipped.
     tolerant: ``try_parse_json``; malformed and non-object lines are dropped.
     """
+    allow_duplicate_keys(lines.sparkSession)
     v = F.parse_json("line") if strict else F.try_parse_json("line")
     df = lines.withColumn("v", v)
     return df.filter(F.col("v").isNotNull() & F.schema_of_variant("v").startswith("OBJECT")).drop("line")
@@ -57,6 +64,7 @@ def parse_records(lines: DataFrame, strict: bool = True) -> DataFrame:
 
 def line_quality(lines: DataFrame) -> DataFrame:
     """Tolerant accounting: total non-blank lines, object records and invalid lines."""
+    allow_duplicate_keys(lines.sparkSession)
     v = F.try_parse_json("line")
     is_obj = v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT")
     return lines.agg(F.count(F.lit(1)).alias("lines"),
@@ -68,23 +76,34 @@ def read_records(spark: SparkSession, path: str, strict: bool = True, partitions
     return parse_records(read_lines(spark, path, partitions), strict)
 
 
-def with_sequence(df: DataFrame, name: str = "sequence") -> DataFrame:
-    """Running 0-based number of the rows in partition order (distributed zipWithIndex).
+def object_lines(lines: DataFrame, strict: bool = True) -> DataFrame:
+    """The lines that hold an object. Strict: the first character tells (a malformed line
+    fails when it is parsed); tolerant: the line must parse."""
+    opens = F.col("line").rlike(r"^\s*\{")
+    if strict:
+        return lines.filter(opens)
+    allow_duplicate_keys(lines.sparkSession)
+    return lines.filter(opens & F.try_parse_json("line").isNotNull())
+
+
+def with_sequence(scan: DataFrame, name: str = "sequence") -> DataFrame:
+    """Running 0-based number of the rows of a text scan (file, split, ...), in file order.
 
-    Rows are tagged with (partition, position) before any shuffle; per-partition
-    counts (one row per partition: bounded by the partition count) are prefix-summed
-    and broadcast back. Re-running a lost task re-reads the same split in the same
-    order, so the numbering is stable under executor loss.
+    ``scan`` must be narrow above the file scan. Rows are numbered within their file split
+    by their place in the task, so a number depends on the files alone: not on partition
+    ids, adaptive execution or a task that is run again. The counts (one row per split) are
+    summed up and joined back; a split without a count fails the job.
     """
     from pyspark.sql import Window
 
-    tagged = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    offsets = counts.withColumn("_offset", F.coalesce(
-        F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = tagged.join(F.broadcast(offsets.select("_pid", "_offset", "_first")), "_pid")
-    return out.withColumn(name, F.col("_offset") + F.col("_mid") - F.col("_first")).drop(
-        "_pid", "_mid", "_offset", "_first")
+    tagged = scan.withColumn("_at", F.monotonically_increasing_id())
+    counts = tagged.groupBy("file", "split").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    out = tagged.join(counts, ["file", "split"], "left")
+    lost = F.raise_error(F.concat(F.lit("no count for split "), F.col("split").cast("string"), F.lit(" of "), F.col("file")))
+    number = F.when(F.col("_offset").isNull(), lost).otherwise(F.col("_offset") + F.col("_at") - F.col("_first"))
+    return out.withColumn(name, number.cast("long")).drop("split", "_at", "_offset", "_first")
 
 
 def read_numbered_records(spark: SparkSession, path: str, strict: bool = True,
@@ -92,10 +111,7 @@ def read_numbered_records(spark: SparkSession, path: str, strict: bool = True,
     """Object records numbered 0.. in file order (the reference's running sequence),
     with the parsing itself spread over the cluster.
 
-    Lines are numbered in scan order first (cheap), then spread and parsed in parallel;
-    the object records are finally renumbered by a distributed sort on the line number,
-    so non-object lines do not consume sequence numbers."""
-    scan = read_lines(spark, path, spread_out=False)
-    lines = with_sequence(scan, "_line")
-    records = parse_records(spread(lines, partitions, probe=scan), strict)
-    return with_sequence(records.orderBy("file", "_line"), "sequence").drop("_line")
+    Object lines are numbered on the unshuffled scan, then spread and parsed; lines that
+    are no objects do not consume sequence numbers."""
+    scan = object_lines(_text(spark.read.text(path)), strict)
+    return parse_records(spread(with_sequence(scan), partitions, probe=scan), strict)

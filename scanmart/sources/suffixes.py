@@ -15,22 +15,29 @@ import glob
 import os
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: extra rules so the synthetic ``*.example.*`` hosts form many accounts
 FIXTURE_RULES = ("example.com", "example.org", "example.net")
 
-def _jar_list_text() -> str | None:
+def _list_text() -> str:
+    """The suffix list: the file named in ``SCANMART_SUFFIX_LIST``, else the copy in Spark's own jars.
+
+    Without a list every registrable domain would be null, so a missing one is an error."""
     import pyspark
 
+    if named := os.environ.get("SCANMART_SUFFIX_LIST"):
+        with open(named, encoding="utf-8") as f:
+            return f.read()
+
     jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "httpclient-*.jar"))
     for jar in jars:
         with zipfile.ZipFile(jar) as z:
             for name in z.namelist():
                 if name.endswith("public-suffix-list.txt"):
                     return z.read(name).decode("utf-8")
-    return None
+    raise FileNotFoundError("no public suffix list: set SCANMART_SUFFIX_LIST to its path")
 
 
 def parse_rules(text: str, icann_only: bool = True) -> list[tuple[str, str]]:
@@ -49,25 +56,22 @@ def parse_rules(text: str, icann_only: bool = True) -> list[tuple[str, str]]:
         if icann_only and section != "icann":
             continue
         rule = line.split()[0].lower()
-        if rule.startswith("!"):
-            out.append((rule[1:], "x"))
-        elif rule.startswith("*."):
-            out.append((rule[2:], "w"))
-        else:
-            out.append((rule, "e"))
+        kind = "x" if rule.startswith("!") else "w" if rule.startswith("*.") else "e"
+        key = rule.removeprefix("!").removeprefix("*.")
+        out.append((key, kind))
+        if not key.isascii():  # hosts are met in either form
+            out.append((punycode(key), kind))
     return out
 
 
-def rules_frame(spark: SparkSession, extra_rules=FIXTURE_RULES, icann_only: bool = True) -> DataFrame:
-    """(key, kind) rule table from the bundled list plus ``extra_rules`` (exact)."""
-    text = _jar_list_text() or ""
-    rows = parse_rules(text, icann_only) + [(r.lower(), "e") for r in extra_rules]
-    return spark.createDataFrame(rows, "key string, kind string").distinct()
+def punycode(name: str) -> str:
+    """A name with each non-ASCII label in its ``xn--`` form."""
+    return ".".join(x if x.isascii() else "xn--" + x.encode("punycode").decode() for x in name.split("."))
 
 
 @functools.lru_cache(maxsize=1)
 def _default_rules() -> tuple[tuple[str, str], ...]:
-    return tuple(parse_rules(_jar_list_text() or ""))
+    return tuple(parse_rules(_list_text()))
 
 
 def rule_sets(rules=None, extra=()) -> dict[str, list[str]]:

@@ -10,31 +10,49 @@ from pyspark.errors import AnalysisException
 
 from scanmart.operators import marts as M
 from scanmart.operators import records as R
+from scanmart.sources import ndjson as N
 
 
-def stream_records(spark: SparkSession, source_dir: str, max_files: int = 100) -> DataFrame:
-    """NDJSON(.zst) directory as a stream of object records; malformed/non-object lines
-    are dropped (tolerant); ``sequence`` = sha1(file path, raw line) as stream id."""
-    lines = (spark.readStream.option("maxFilesPerTrigger", max_files).text(source_dir)
-             .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
-             .filter(F.length(F.trim("line")) > 0))
-    v = F.try_parse_json("line")
-    return (lines.withColumn("v", v)
-            .filter(F.col("v").isNotNull() & F.schema_of_variant("v").startswith("OBJECT"))
-            .withColumn("sequence", F.sha1(F.concat_ws("\n", "file", "line"))).drop("line"))
-
-
-def ingest(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
-           dedupe_watermark: str | None = "1 hour", extra_rules=()) -> StreamingQuery:
-    """J1 (+J4): records -> curated observations appended to Parquet; replayed files are
-    suppressed by ``dropDuplicatesWithinWatermark`` on the observation id."""
-    obs = R.records_to_observations(stream_records(spark, source_dir), extra_rules)
-    if dedupe_watermark:
-        obs = (obs.withColumn("_event_time", F.expr("try_cast(timestamp AS TIMESTAMP)"))
-               .withWatermark("_event_time", dedupe_watermark)
-               .dropDuplicatesWithinWatermark(["observation_id"]).drop("_event_time"))
-    return (obs.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", checkpoint)
-            .outputMode("append").trigger(availableNow=True).start())
+def stream_lines(spark: SparkSession, source_dir: str, max_files: int = 100) -> DataFrame:
+    """NDJSON(.zst) directory as a stream of (file, line), blank lines removed."""
+    return (spark.readStream.option("maxFilesPerTrigger", max_files).text(source_dir)
+            .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+            .filter(F.col("line").rlike(r"\S")))
+
+
+def content_numbered(lines: DataFrame) -> DataFrame:
+    """(line, sequence): each line as often as the file that has it most often, numbered by
+    its content: sha1 of the line and which of the equal lines it is.
+
+    A copy of a file under any name gives the same numbers again, while equal lines of one
+    file stay apart. Counts are combined before the shuffle, so an often repeated line is
+    one row per task."""
+    copies = lines.groupBy("file", "line").agg(F.count(F.lit(1)).alias("n")).groupBy("line").agg(F.max("n").alias("n"))
+    return copies.select("line", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).select(
+        "line", F.concat_ws(":", F.sha1("line"), F.col("i").cast("string")).alias("sequence"))
+
+
+def ingest(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str, max_files: int = 100,
+           extra_rules=()) -> StreamingQuery:
+    """J1 (+J4): records -> curated observations appended to Parquet; malformed and
+    non-object lines are dropped (tolerant).
+
+    Each micro-batch leaves out the observations that the sink already has (an anti join on
+    the id column alone), whenever they came: files need not be in time order, a replayed
+    file adds nothing, and a batch that is run again after a failure adds only what is
+    missing. The same line in files of different content counts as a replay."""
+    def curated(lines: DataFrame) -> DataFrame:
+        return R.records_to_observations(N.parse_records(content_numbered(lines), strict=False), extra_rules)
+
+    empty = curated(spark.createDataFrame([], "file string, line string"))
+    empty.write.mode("append").parquet(sink_dir)
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        known = spark.read.schema(empty.schema).parquet(sink_dir).select("observation_id")
+        curated(batch).join(known, "observation_id", "left_anti").select(*empty.columns).write.mode("append").parquet(sink_dir)
+
+    return (stream_lines(spark, source_dir, max_files).writeStream.foreachBatch(append)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def rolling_cost_stream(traces: DataFrame, threshold: float = 2.0) -> DataFrame:
