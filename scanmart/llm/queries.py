@@ -83,4 +83,5 @@ ORACLE: dict[str, str] = {
     "op2_chat_format": sql.CHAT_FORMAT,
     "op5_quality_rules": sql.quality_rules(QUALITY_POLICY),
     "op9_source_mixing": sql.source_mixing(),
+    "op10_substring_dedup": sql.substring_dedup(REPEAT_WORDS),
 }

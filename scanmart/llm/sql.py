@@ -106,3 +106,16 @@ SELECT b.conv_id, b.call_id, coalesce(b.n_calls, 0)::BIGINT AS n_calls, coalesce
     || ',"result":' || coalesce(to_json(b.content)::VARCHAR, 'null') || '}' AS json
 FROM b LEFT JOIN (SELECT DISTINCT conv_id, call_id FROM u) q ON q.conv_id = b.conv_id AND q.call_id = 'c' || (b.turn - 2)
 """
+
+
+def substring_dedup(length: int) -> str:
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+g AS (SELECT rid, i, array_to_string(w[i:i + {length - 1}], ' ') AS g FROM d, unnest(range(1, len(w) - {length - 2})) AS u(i)),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY g) AS c FROM g) WHERE c > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + {length})) AS p FROM r),
+kept AS (
+  SELECT d.rid, string_agg(w[p], ' ' ORDER BY p) AS t, count(*) AS n
+  FROM d, unnest(range(1, len(w) + 1)) AS u(p) WHERE (d.rid, p) NOT IN (SELECT rid, p FROM gone) GROUP BY d.rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)"""
