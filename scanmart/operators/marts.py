@@ -37,31 +37,30 @@ def account_observations(observations: DataFrame, columns: list[str] | None = No
                .select(F.explode("registrable_domains").alias("domain"), *keep))
 
 
-DISTINCT_COUNTS = (("unique_ip_count", "ip_str"), ("unique_hostname_count", "hostname"),
-                   ("unique_port_count", "port"), ("unique_service_count", "service_category"))
-# distinct-value lists: (output, column, is an array column, empty list -> null)
-DISTINCT_LISTS = (("countries", "country_code", False, True), ("regions", "region_code", False, True),
-                  ("cloud_providers", "cloud_provider", False, True),
-                  ("technologies", "detected_technologies", True, False),
-                  ("services", "detected_services", True, False))
+# counted values without a bound per domain: one row each
+COUNTED = (("unique_ip_count", "ip_str"), ("unique_hostname_count", "hostname"))
+# values of bounded vocabularies that ride on the main row: (output, column, listed, empty list -> null)
+CARRIED = (("unique_port_count", "port", False, False), ("unique_service_count", "service_category", False, False),
+           ("countries", "country_code", True, True), ("regions", "region_code", True, True),
+           ("cloud_providers", "cloud_provider", True, True))
+# list columns: (output, column)
+LISTED = (("technologies", "detected_technologies"), ("services", "detected_services"))
 MAIN = -1  # kind of the one row per observation that carries the additive measures
 
 
 def accounts_mart(observations: DataFrame) -> DataFrame:
     """Group observations by registrable domain; 20 aggregates, one scan, no join.
 
-    Every (domain, observation) row is exploded once into a *main* row (kind -1, no
-    value) that carries the additive measures, plus one (kind, value) row per value
-    that needs a distinct: IP, hostname, port, service category (counted) and country,
-    region, provider, technology, service (listed). Level 1 groups by (domain, kind,
-    value) with declarative aggregates only (hash aggregation, combined map-side): the
-    main rows of a domain fold into one row per task, the value rows into one row per
-    distinct value. The shuffle is keyed by the value too, so a hot domain's IPs and
-    hostnames spread over every reducer. Level 2 groups by domain: sums of the main
-    row, a count per counted kind, and the sorted lists of bounded vocabularies
-    (countries, regions, providers, detector names, service categories). No per-domain
-    set of IPs is held anywhere, and Spark's Expand plan for several DISTINCT
-    aggregates (every row copied five times) is avoided.
+    Every (domain, observation) row becomes a *main* row (kind -1) with the additive measures
+    and the values of bounded vocabularies (port, service category, country, region,
+    provider), one row each for its IP and hostname, and one per technology and service.
+    Level 1 groups by (domain, kind, value, carried values) with declarative aggregates only
+    (hash aggregation, combined map-side): main rows fold into one row per combination of
+    carried values, the others into one row per distinct value. The shuffle is keyed by the
+    value too, so a hot domain's IPs and hostnames spread over every reducer. Level 2 groups
+    by domain: sums of the main rows, a count per counted kind and sets of bounded
+    vocabularies. No per-domain set of IPs is held anywhere, and an observation makes three
+    rows and its list items (Spark's Expand plan for several DISTINCT aggregates: five).
     """
     need = ["timestamp", "ip_str", "hostname", "port", "service_category", "cloud_present", "cloud_provider",
             "country_code", "region_code", "detected_technologies", "detected_services", "vuln_count",
@@ -84,24 +83,28 @@ def accounts_mart(observations: DataFrame) -> DataFrame:
     no_measures = [F.lit(None).cast(t).alias(name) for (name, _), t in
                    zip(measures, ("timestamp_ntz", "int", "int", "bigint", "int", "int", "int", "bigint", "bigint"))]
 
+    carried = [c for _, c, _, _ in CARRIED]
+    kinds = ao.select(*carried).schema
+
     def tagged(c: str, k: int, is_array: bool):
         value = F.lit(None).cast("string") if is_array else F.col(c).cast("string")
         values = F.col(c) if is_array else F.lit(None).cast("array<string>")
-        return F.struct(F.lit(k).alias("k"), value.alias("v"), values.alias("vs"), *no_measures)
+        return F.struct(F.lit(k).alias("k"), value.alias("v"), values.alias("vs"),
+                        *[F.lit(None).cast(f.dataType).alias(f.name) for f in kinds], *no_measures)
 
     # built-in generators and struct/array constructors only (whole-stage codegen; no
     # lambda functions): one struct per kind, then one row per value of a list kind
     main = F.struct(F.lit(MAIN).alias("k"), F.lit(None).cast("string").alias("v"),
-                    F.lit(None).cast("array<string>").alias("vs"), *[c.alias(name) for name, c in measures])
-    n = len(DISTINCT_COUNTS)
-    kv = F.array(main, *[tagged(c, i, False) for i, (_, c) in enumerate(DISTINCT_COUNTS)],
-                 *[tagged(c, n + j, arr) for j, (_, c, arr, _e) in enumerate(DISTINCT_LISTS)])
+                    F.lit(None).cast("array<string>").alias("vs"), *carried, *[c.alias(name) for name, c in measures])
+    n = len(COUNTED)
+    kv = F.array(main, *[tagged(c, i, False) for i, (_, c) in enumerate(COUNTED)],
+                 *[tagged(c, n + j, True) for j, (_, c) in enumerate(LISTED)])
     rows = (ao.select("domain", F.explode(kv).alias("x"))
               .select("domain", "x.*")
-              .select("domain", "k", F.explode_outer(F.coalesce("vs", F.array("v"))).alias("v"),
+              .select("domain", "k", F.explode_outer(F.coalesce("vs", F.array("v"))).alias("v"), *carried,
                       *[name for name, _ in measures])
               .filter((F.col("k") == MAIN) | F.col("v").isNotNull()))
-    level1 = rows.groupBy("domain", "k", "v").agg(
+    level1 = rows.groupBy("domain", "k", "v", *carried).agg(
         F.min("ts").alias("first_seen"),
         F.max("ts").alias("last_seen"),
         F.count(F.when(F.col("k") == MAIN, 1)).alias("observation_count"),
@@ -121,19 +124,16 @@ def accounts_mart(observations: DataFrame) -> DataFrame:
         F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"),
         *[F.sum(c).cast("bigint").alias(c) for c in sums],
-        *[F.count_if(F.col("k") == i).cast("bigint").alias(name) for i, (name, _) in enumerate(DISTINCT_COUNTS)],
+        *[F.count_if(F.col("k") == i).cast("bigint").alias(name) for i, (name, _) in enumerate(COUNTED)],
+        *[F.array_sort(F.collect_set(c)).alias(name) for name, c, _, _ in CARRIED],
         *[F.array_sort(F.collect_list(F.when(F.col("k") == n + j, F.col("v")))).alias(name)
-          for j, (name, _c, _a, _e) in enumerate(DISTINCT_LISTS)],
-    )
-    return agg.select(
-        F.col("domain").alias("account_id"), "domain", "first_seen", "last_seen", "observation_count",
-        *[name for name, _ in DISTINCT_COUNTS],
-        "cloud_observation_count", "identified_cloud_observation_count",
-        *[(_null_if_empty(F.col(name)) if empty_null else F.col(name)).alias(name)
-          for name, _c, _a, empty_null in DISTINCT_LISTS],
-        "vulnerability_count", "critical_vulnerability_observations", "high_vulnerability_observations",
-        "eol_observation_count", "exposed_database_count", "exposed_remote_access_count",
+          for j, (name, _) in enumerate(LISTED)],
     )
+    shown = {name: F.size(name).cast("bigint") if not listed else _null_if_empty(F.col(name)) if empty_null else F.col(name)
+             for name, _, listed, empty_null in CARRIED}
+    rest = [F.col(c) for c in ACCOUNT_COLUMNS if c != "account_id" and c not in shown]
+    return agg.select(F.col("domain").alias("account_id"), *rest, *[c.alias(name) for name, c in shown.items()]).select(
+        *ACCOUNT_COLUMNS)
 
 
 def services_mart(observations: DataFrame) -> DataFrame:

@@ -71,9 +71,10 @@ def scored_accounts(accounts: DataFrame) -> DataFrame:
                .withColumn("vulnerability_score", vulnerability_score())
                .withColumn("technology_score", technology_score())
                .withColumn("recency_score", recency_score()))
-    opp = F.round(C.weighted_opportunity(F.col("icp_score"), F.col("exposure_score"),
+    # components have two decimals and weights one, so ties are common: rounded as decimals
+    opp = F.round((C.weighted_opportunity(F.col("icp_score"), F.col("exposure_score"),
                                          F.col("vulnerability_score"), F.col("technology_score"),
-                                         F.col("recency_score")), 2)
+                                         F.col("recency_score"))).cast("decimal(20,9)"), 2).cast("double")
     return (scored.withColumn("opportunity_score", opp)
                   .withColumn("score_reasons", score_reasons())
                   .drop("reference_time"))

@@ -97,6 +97,27 @@ def q_scored_accounts(spark, d):
     return scored(spark, d)
 
 
+def many_accounts(spark, d):
+    """Accounts of a finer key (domain, IP and a twentieth of the events): about as many as observations."""
+    def build():
+        o = observations(spark, d)
+        key = lambda x: F.concat_ws("-", x, "ip_str", (F.col("event_id") % 20).cast("string"))
+        return M.accounts_mart(o.withColumn("registrable_domains", F.transform("registrable_domains", key)))
+    return _shared(spark, d, "many_accounts", build)
+
+
+@register("accounts_mart_many")
+def q_accounts_mart_many(spark, d):
+    return many_accounts(spark, d)
+
+
+@register("top_accounts_many")
+def q_top_accounts_many(spark, d):
+    """The first 1,000 of many accounts by score: the limit cuts."""
+    best = CX.top_accounts(SC.scored_accounts(many_accounts(spark, d)), TOP_N)
+    return best.select("domain", "opportunity_score")
+
+
 @register("qualified_accounts")
 def q_qualified(spark, d):
     return SC.qualified(scored(spark, d)).select("domain", "opportunity_score")
@@ -621,6 +642,36 @@ def q_stream_cost(spark, d):
     return ST.latest_versions(spark.read.parquet(f"{run}/windows"), ["window_start", "window_end", "workflow"])
 
 
+# ------------------------------------------------------------------ reads of written marts
+def written(spark, d, name, build):
+    """A mart written once per session to the shared folder, as the batch job does, and read from there."""
+    def make():
+        path = shared_path(spark, f"mart-{name}-{uuid.uuid4().hex}")
+        build(spark, d).write.parquet(path)
+        return spark.read.parquet(path)
+    return _shared(spark, d, f"written {name}", make)
+
+
+@register("read_accounts")
+def q_read_accounts(spark, d):
+    """All accounts from the written mart."""
+    return written(spark, d, "accounts", accounts)
+
+
+@register("read_account_signals")
+def q_read_account_signals(spark, d):
+    """The signals of the first account by name, from the written marts."""
+    sig, sc = written(spark, d, "signals", signals), written(spark, d, "scored", scored)
+    return sig.join(sc.orderBy("domain").limit(1).select("domain"), "domain", "left_semi")
+
+
+@register("read_search")
+def q_read_search(spark, d):
+    """Keyword search over the written scored accounts."""
+    found = SE.search_accounts(written(spark, d, "scored", scored), QUESTIONS["search_keyword"], 80)
+    return found.select("domain", "opportunity_score")
+
+
 # ------------------------------------------------------------------ small library forms
 @register("opportunity_library")
 def q_opportunity_library(spark, d):

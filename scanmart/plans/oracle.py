@@ -125,7 +125,7 @@ comp AS (
   FROM accounts a, ref),
 scored AS (
   SELECT *,
-    round(0.0 + 0.3 * icp_score + 0.2 * exposure_score + 0.2 * vulnerability_score + 0.2 * technology_score + 0.1 * recency_score, 2) AS opportunity_score,
+    CAST(round(CAST(0.0 + 0.3 * icp_score + 0.2 * exposure_score + 0.2 * vulnerability_score + 0.2 * technology_score + 0.1 * recency_score AS DECIMAL(20,9)), 2) AS DOUBLE) AS opportunity_score,
     to_json(list_filter([
       CASE WHEN coalesce(critical_vulnerability_observations,0) <> 0 THEN critical_vulnerability_observations || ' critical vulnerability observations' END,
       CASE WHEN coalesce(exposed_database_count,0) <> 0 THEN exposed_database_count || ' exposed database observations' END,

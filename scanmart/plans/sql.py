@@ -14,6 +14,12 @@ SELECT d.domain AS account_id, d.domain, s.service, count(*) AS observation_coun
 FROM obs AS o CROSS JOIN UNNEST(o.registrable_domains) AS d(domain) CROSS JOIN UNNEST(o.detected_services) AS s(service)
 WHERE d.domain IS NOT NULL
 GROUP BY d.domain, s.service"""
+_MANY = """obs_many AS (SELECT * REPLACE (
+  list_transform(registrable_domains, lambda d: d || '-' || ip_str || '-' || event_id % 20) AS registrable_domains) FROM obs)"""
+_MANY_ACCOUNTS = ACCOUNTS.replace("FROM obs", "FROM obs_many")
+ORACLE["accounts_mart_many"] = with_ctes(ADAPTER, _MANY, _MANY_ACCOUNTS) + "SELECT * FROM accounts"
+ORACLE["top_accounts_many"] = with_ctes(ADAPTER, _MANY, _MANY_ACCOUNTS, SCORED) + """
+SELECT domain, opportunity_score FROM scored ORDER BY opportunity_score DESC, domain LIMIT 1000"""
 ORACLE["org_mart"] = with_ctes(ADAPTER, ORGS) + """
 SELECT canonical_org, count(*) AS observation_count, count(DISTINCT ip_str) AS unique_ip_count,
        max(timestamp) AS last_observed_at
@@ -532,6 +538,10 @@ ORACLE["saved_accounts"] = ORACLE["workspace_apply"].replace(
     "SELECT * FROM saved WHERE domain NOT IN (SELECT domain FROM k)\nUNION ALL SELECT * FROM res",
     ", allrows AS (SELECT * FROM saved WHERE domain NOT IN (SELECT domain FROM k) UNION ALL SELECT * FROM res)\n"
     "SELECT domain, saved_at, status FROM allrows ORDER BY saved_at DESC, domain")
+ORACLE["read_accounts"] = ORACLE["accounts_mart"]
+ORACLE["read_account_signals"] = with_ctes(ADAPTER, ACCOUNTS, SIGNALS) + """
+SELECT * FROM signals WHERE domain = (SELECT min(domain) FROM accounts)"""
+ORACLE["read_search"] = ORACLE["search_keyword"]
 ORACLE["cost_model"] = with_ctes(_TRACES) + """
 SELECT workflow, model, count(*) AS calls, round(avg(input_tokens), 2) AS avg_input_tokens,
        round(avg(output_tokens), 2) AS avg_output_tokens,
