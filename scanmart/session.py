@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -51,3 +52,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder (streaming checkpoints, written tables)."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def ship_package(spark: SparkSession) -> str:
+    """Gives this package to the executors as a zip file (for clusters where it is not installed)."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="scanmart-"), "scanmart"), "zip",
+                               os.path.dirname(here), os.path.basename(here))
+    spark.sparkContext.addPyFile(made)  # Spark copies it to every executor
+    return made
