@@ -187,23 +187,19 @@ def vuln_profile(records: DataFrame, v_col: str = "v") -> DataFrame:
     """Records with (truthy) vulns, CVE details seen, details that are objects, details
     carrying a CVSS key, details carrying an exploit/KEV flag."""
     v = F.col(v_col)
-    vulns = vget(v, "$.vulns")
-    r = records.filter(truthy(vulns)).select(
-        is_object(vulns).alias("is_obj"),
-        F.coalesce(vget(v, "$.vulns", "map<string,variant>"), F.create_map().cast("map<string,variant>")).alias("m"))
-    details = r.select("is_obj", F.explode_outer(F.map_values("m")).alias("d"))
+    # only an object has details, and an empty one has none: no filter on the value's truth is
+    # needed (Spark does not compile one over several variant reads, and would run it interpreted)
+    details = records.select(F.explode(F.map_values(vget(v, "$.vulns", "map<string,variant>"))).alias("d"))
     dkeys = F.coalesce(F.map_keys(vget(F.col("d"), "$", "map<string,variant>")), F.array().cast("array<string>"))
     has_any = lambda names: F.exists(dkeys, lambda x: x.isin(*names))
     return attach(details.agg(
-        F.count_if(F.lit(True)).alias("_rows"),
-        F.count(F.lit(1)).alias("_n"),
-        F.count_if(F.col("d").isNotNull()).alias("cve_details_seen"),
+        F.count(F.lit(1)).alias("cve_details_seen"),
         F.count_if(is_object(F.col("d"))).alias("object_details"),
         F.count_if(is_object(F.col("d")) & has_any(("cvss", "cvss_v3", "cvss_v2"))).alias("records_with_cvss"),
         F.count_if(is_object(F.col("d")) & (has_any(("verified", "kev", "exploit", "exploited"))
                                              | F.lower(F.to_json(F.col("d"))).contains("kev")))
          .alias("records_with_exploit_or_kev_flag"),
-    ).drop("_rows", "_n"), r.agg(F.count(F.lit(1)).alias("records_with_vulns")))
+    ), records.agg(F.count_if(truthy(vget(v, "$.vulns"))).alias("records_with_vulns")))
 
 
 def vuln_detail_keys(records: DataFrame, k: int = 30, v_col: str = "v") -> DataFrame:
@@ -226,7 +222,59 @@ def nested_structure(records: DataFrame, fields=K.NESTED_FIELDS, k: int = 50, v_
             .select("field", F.explode(F.map_keys(vget(F.col("value"), "$", "map<string,variant>"))).alias("key"))
             .groupBy("field", "key").agg(F.count(F.lit(1)).alias("records")))
     keys = _top(keys, "field", "key", "records", k).drop("rank")
-    return types.unionByName(keys)
+    present = e.groupBy("field").agg(F.count(F.lit(1)).alias("records")).select("field", F.lit("<present>").alias("key"), "records")
+    return present.unionByName(types).unionByName(keys)
+
+
+def vuln_value_types(records: DataFrame, v_col: str = "v") -> DataFrame:
+    """(value_type, records): the types of CVE details, and of ``vulns`` values that are no object."""
+    vulns = vget(F.col(v_col), "$.vulns")
+    counts = lambda df, n: df.groupBy("value_type").agg(n.alias("records"))
+    details = records.select(F.explode(F.map_values(vget(F.col(v_col), "$.vulns", "map<string,variant>"))).alias("x"))
+    inner = counts(details.select(C.json_type(F.col("x")).alias("value_type")), F.count(F.lit(1)))
+    other = records.select(C.json_type(vulns).alias("value_type"), (truthy(vulns) & ~is_object(vulns)).alias("some"))
+    outer = counts(other, F.count_if("some")).filter(F.col("records") > 0)
+    return inner.unionByName(outer).groupBy("value_type").agg(F.sum("records").alias("records"))
+
+
+def list_maxima(records: DataFrame, v_col: str = "v") -> DataFrame:
+    """Largest number of domains and of hostnames in a record (no records: 0)."""
+    size = lambda path: F.coalesce(F.size(vget(F.col(v_col), path, "array<variant>")), F.lit(0))
+    return records.agg(F.coalesce(F.max(size("$.domains")), F.lit(0)).alias("max_domains"),
+                       F.coalesce(F.max(size("$.hostnames")), F.lit(0)).alias("max_hostnames"))
+
+
+def technologies_above(records: DataFrame, least: int = 100, v_col: str = "v") -> DataFrame:
+    """Candidate detectors seen in more than ``least`` records, with the number of candidates."""
+    return technology_presence(records, v_col).filter(F.col("records") > least).withColumn(
+        "candidate_count", F.lit(len(K.TECH_DETECTOR_CANDIDATES)))
+
+
+def technology_examples(records: DataFrame, k: int = 20, order: str = "sequence", v_col: str = "v") -> DataFrame:
+    """The first ``k`` records with more than one candidate detector."""
+    m = vget(F.col(v_col), "$", "map<string,variant>")
+    cands = C.str_array(sorted(set(K.TECH_DETECTOR_CANDIDATES)))
+    det = F.array_sort(F.map_keys(F.map_filter(m, lambda k2, x: F.array_contains(cands, k2) & ~F.is_variant_null(x))))
+    return records.select(order, det.alias("technologies")).filter(F.size("technologies") > 1).orderBy(order).limit(k)
+
+
+def product_top(records: DataFrame, k: int = 100, v_col: str = "v") -> DataFrame:
+    product = vget(F.col(v_col), "$.product")
+    return counts_top(records, F.when(truthy(product), as_text(product)), "product", k)
+
+
+def alias_lists(aliases: DataFrame, k: int = 10) -> DataFrame:
+    """(canonical, alias, records, rank): every alias of the ``k`` largest organisations, most common first.
+
+    One row per alias: an organisation's aliases have no bound."""
+    top = top_canonical(aliases, k).select("canonical")
+    w = Window.partitionBy("canonical").orderBy(F.desc("records"), "alias")
+    return aliases.join(top, "canonical", "left_semi").withColumn("rank", F.row_number().over(w))
+
+
+def first_samples(records: DataFrame, n: int = 3, order: str = "sequence", v_col: str = "v") -> DataFrame:
+    """The first ``n`` records as canonical JSON."""
+    return records.orderBy(order).limit(n).select(order, canonical_json(F.col(v_col)).alias("record"))
 
 
 def sample_fixed(lines: DataFrame, k: int = 8000, seed: int = 42, key_cols=("file", "line")) -> DataFrame:

@@ -58,7 +58,7 @@ def as_text(x: Column) -> Column:
 
 
 def truthy(x: Column) -> Column:
-    return F.coalesce(C.json_truthy(x), F.lit(False))
+    return C.json_truthy(x)
 
 
 def list_of(v: Column, path: str) -> Column:

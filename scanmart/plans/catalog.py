@@ -426,6 +426,45 @@ def q_text_canonical_json(spark, d):
     return raw_lines(spark, d).select("sequence", F.to_json(F.parse_json("value")).alias("canonical_json"))
 
 
+# ------------------------------------------------------------------ records with every field and odd shapes
+from scanmart.plans.rich import rich_records  # noqa: E402
+
+
+def rich(spark, d):
+    """The rich records of all events, parsed."""
+    def build():
+        N.allow_duplicate_keys(spark)
+        lines = N.spread(rich_records(table(spark, d, "events")), probe=table(spark, d, "events"))
+        return lines.select("sequence", F.parse_json("value").alias("v"))
+    return _shared(spark, d, "rich", build)
+
+
+@register("rich_observations")
+def q_rich_observations(spark, d):
+    """All 64 columns of the curated observation."""
+    return R.records_to_observations(rich(spark, d), PSL.FIXTURE_RULES)
+
+
+RICH_PROFILES = {
+    "rich_identity": P.identity_profile, "rich_lengths": P.list_lengths, "rich_pairs": P.technology_cooccurrence,
+    "rich_vulns": P.vuln_profile, "rich_nested": P.nested_structure, "list_maxima": P.list_maxima,
+    "technologies_above": P.technologies_above, "technology_examples": P.technology_examples,
+    "vuln_value_types": P.vuln_value_types, "product_top": P.product_top,
+}
+for _name, _profile in RICH_PROFILES.items():
+    register(_name)(lambda spark, d, f=_profile: f(rich(spark, d)))
+
+
+@register("alias_lists")
+def q_alias_lists(spark, d):
+    return P.alias_lists(P.org_aliases(raw_variant(spark, d)), 10)
+
+
+@register("first_samples")
+def q_first_samples(spark, d):
+    return P.first_samples(raw_variant(spark, d), 3)
+
+
 # ------------------------------------------------------------------ evidence, prompts, payloads, shortlists
 from scanmart.operators import evidence as EV  # noqa: E402
 from scanmart.operators import evals as EVL  # noqa: E402

@@ -271,6 +271,8 @@ WHERE records > 0"""
 ORACLE["nested_structure"] = with_ctes(ADAPTER, ORGS, _REC) + """
 , cves AS (SELECT 'CVE-2024-' || event_id || '-' || i AS key FROM rec, range(0, 3) t(i) WHERE i < vuln_count)
 SELECT 'vulns' AS field, '<type:object>' AS key, count(*) AS records FROM rec
+UNION ALL SELECT f, '<present>', count(*) FROM rec, (VALUES ('vulns'), ('tags'), ('location')) p(f) GROUP BY f
+UNION ALL SELECT 'cloud', '<present>', count(*) FROM rec WHERE cloud_present HAVING count(*) > 0
 UNION ALL SELECT 'tags', '<type:array>', count(*) FROM rec
 UNION ALL SELECT 'location', '<type:object>', count(*) FROM rec
 UNION ALL SELECT 'cloud', '<type:object>', count(*) FROM rec WHERE cloud_present HAVING count(*) > 0
@@ -548,3 +550,14 @@ SELECT workflow, model, count(*) AS calls, round(avg(input_tokens), 2) AS avg_in
        round(sum(CAST(round(cost_usd * 1e6) AS BIGINT)) / count(*) / 1e6, 8) AS cost_per_call_usd,
        sum(CAST(round(cost_usd * 1e6) AS BIGINT)) / 1e6 AS total_cost_usd
 FROM tr GROUP BY workflow, model"""
+
+# ------------------------------------------------------------------ records with every field and odd shapes
+from scanmart.plans.rich import ORACLE as _RICH_ORACLE  # noqa: E402
+
+ORACLE |= _RICH_ORACLE
+ORACLE["alias_lists"] = with_ctes(ADAPTER, ORGS, _REC, _ALIASES) + """
+, top AS (SELECT canonical FROM per_c ORDER BY records DESC, canonical LIMIT 10)
+SELECT canonical, alias, records, CAST(row_number() OVER (PARTITION BY canonical ORDER BY records DESC, alias) AS INTEGER) AS rank
+FROM alias_counts WHERE canonical IN (SELECT canonical FROM top)"""
+ORACLE["first_samples"] = "SELECT sequence, canonical_json AS record FROM (" + ORACLE["text_canonical_json"] + \
+    ") ORDER BY sequence LIMIT 3"
