@@ -37,7 +37,7 @@ def account_evidence(observations: DataFrame, selected: DataFrame, per_account:
     cols = [c for c in EVIDENCE_COLUMNS if c in observations.columns]
     ev = (observations.filter(F.size("registrable_domains") > 0)
           .select(F.explode("registrable_domains").alias("domain"), *cols))
-    keys = F.broadcast(selected.select("domain").distinct())
+    keys = selected.select("domain").distinct()
     ev = ev.join(keys, "domain", "left_semi")
     w = Window.partitionBy("domain").orderBy(F.desc_nulls_last("vuln_max_cvss"), F.desc("timestamp"),
                                              F.asc("observation_id"))
@@ -51,7 +51,7 @@ def account_context(selected: DataFrame, signals: DataFrame, evidence: DataFrame
     then left-joined; missing lists become ``[]``. Lists are ordered by sort keys that
     lead each struct (severity, signal name / evidence rank).
     """
-    sig = (signals.join(F.broadcast(selected.select("domain")), "domain", "left_semi")
+    sig = (signals.join(selected.select("domain"), "domain", "left_semi")
            .groupBy("domain")
            .agg(F.array_sort(F.collect_list(F.struct(
                "severity", "signal_name", "signal_id", "signal_type", "value", "confidence", "description",

@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+CASE_SCHEMA = """id string, account struct<domain:string, opportunity_score:double, exposure_score:double, vulnerability_score:double,
+  technology_score:double, recency_score:double, unique_ip_count:bigint, unique_port_count:bigint, unique_service_count:bigint,
+  cloud_observation_count:bigint, exposed_database_count:bigint, exposed_remote_access_count:bigint, eol_observation_count:bigint,
+  vulnerability_count:bigint, critical_vulnerability_observations:bigint, high_vulnerability_observations:bigint,
+  score_reasons:array<string>>, signals array<struct<signal_type:string, signal_name:string, severity:string, description:string,
+  confidence:double>>, expected struct<must_mention:array<string>, must_not_mention:array<string>>, fixture_output string"""
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation cases of a JSON-lines file, as :func:`judge` takes them: case_id, account, signals,
+    text (the kept output, empty where there is none), must_mention and must_not_mention."""
+    rows = spark.read.schema(CASE_SCHEMA).option("mode", "FAILFAST").json(path)
+    return rows.select(F.col("id").alias("case_id"), "account", "signals", F.coalesce("fixture_output", F.lit("")).alias("text"),
+                       "expected.must_mention", "expected.must_not_mention")
+
+
 def judge(cases: DataFrame, text_col: str = "text", must: str = "must_mention",
           must_not: str = "must_not_mention") -> DataFrame:
     """Per case: true positives, false negatives, false positives, precision/recall

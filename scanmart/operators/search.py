@@ -148,7 +148,7 @@ def search_batch(accounts: DataFrame, questions: DataFrame, limit: int = 80,
     qgids = F.filter(F.array(*[F.when(mentions(kws), F.lit(gi)) for gi, (kws, _f) in enumerate(K.KEYWORD_FILTERS)]),
                      lambda x: x.isNotNull())
     qgroups = q.select("question_id", F.explode(qgids).alias("group_id"))
-    kw_matches = qgroups.join(F.broadcast(group_top), "group_id").select("question_id", "domain", "_score")
+    kw_matches = qgroups.join(group_top, "group_id").select("question_id", "domain", "_score")
 
     matches = text_matches.unionByName(kw_matches).distinct()
     w = Window.partitionBy("question_id").orderBy(F.desc("_score"), F.asc("domain"))

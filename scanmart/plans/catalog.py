@@ -569,6 +569,17 @@ def judge_summary(spark, d):
     return EVL.summarize(judge_cases(spark, d), ["run_id", "prompt_version"])
 
 
+@register("case_loader")
+def q_case_loader(spark, d):
+    """The documents' cases written as JSON lines and read with the case loader."""
+    run = shared_path(spark, f"cases-{uuid.uuid4().hex}")
+    docs = table(spark, d, "documents")
+    expected = F.struct(F.array("source", F.lit("the")).alias("must_mention"), F.array(F.lit("password")).alias("must_not_mention"))
+    docs.select(F.concat(F.lit("doc-"), "doc_id").alias("id"), F.struct(F.col("source").alias("domain")).alias("account"),
+                expected.alias("expected"), F.col("text").alias("fixture_output")).write.json(run)
+    return EVL.judge(EVL.read_cases(spark, run)).select("case_id", "account.domain", "recall", "passed")
+
+
 @register("judge_cases")
 def q_judge_cases(spark, d):
     return judge_cases(spark, d).select("case_id", "run_id", "prompt_version", "true_positives", "false_negatives",
@@ -631,7 +642,7 @@ def q_workspace_rejects(spark, d):
 
 @register("saved_join")
 def q_saved_join(spark, d):
-    hosts = O.page_hosts(table(spark, d, "pages")).filter(F.col("host").endswith(".com"))
+    hosts = O.page_hosts(table(spark, d, "pages"))
     saved = hosts.select(F.regexp_extract("host", r"([^.]+\.example\.(com|org|net))$", 1).alias("domain"),
                          "page_id").groupBy("domain").agg(F.min("page_id").cast("string").alias("saved_at")) \
         .withColumn("owner", F.lit(None).cast("string")).withColumn("status", F.lit("New"))
@@ -738,8 +749,8 @@ def q_account_lookup(spark, d):
     """Point lookup of one account and its signals (the first account by score), joined on domain."""
     sc = scored(spark, d)
     key = CX.top_accounts(sc, LOOKUP_DOMAIN_RANK).select("domain")
-    sig = signals(spark, d).join(F.broadcast(key), "domain", "left_semi")
-    return (sc.join(F.broadcast(key), "domain", "left_semi")
+    sig = signals(spark, d).join(key, "domain", "left_semi")
+    return (sc.join(key, "domain", "left_semi")
             .join(sig.select("domain", "signal_name", "severity"), "domain", "left")
             .select("domain", "opportunity_score", "signal_name", "severity"))
 

@@ -12,6 +12,8 @@ current stage.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +73,7 @@ def profile_report(records: DataFrame, top_values: int = 10) -> dict[str, DataFr
         "top_values": P.value_top(records, k=top_values),
         "organization_canonicalization": P.org_canonicalization(aliases),
         "top_canonical": P.top_canonical(aliases, top_values),
+        "aliases": P.alias_lists(aliases, top_values),
     }
 
 
@@ -87,9 +90,13 @@ def nested_report(lines: DataFrame, sample_size: int = 8000, seed: int = 42) ->
         "tags_top100": P.tag_top(records),
         "technologies": P.technology_presence(records),
         "technology_pairs": P.technology_cooccurrence(records),
+        "technologies_above_100": P.technologies_above(records),
+        "technology_examples": P.technology_examples(records, order="file"),
+        "vuln_value_types": P.vuln_value_types(records),
+        "list_maxima": P.list_maxima(records),
         "ports": P.port_top(records),
         "organizations": P.org_top(records),
-        "products": P.counts_top(records, R.as_text(R.vget(F.col("v"), "$.product")), "product"),
+        "products": P.product_top(records),
         "nested_fields": P.nested_structure(records),
         "totals": lines.agg(F.count(F.lit(1)).alias("total_records_streamed"))
                        .withColumn("sample_size", F.lit(sample_size)),
@@ -99,7 +106,17 @@ def nested_report(lines: DataFrame, sample_size: int = 8000, seed: int = 42) ->
 def schema_report(lines: DataFrame) -> dict[str, DataFrame]:
     """Schema discovery over every record plus the invalid-line count."""
     records = N.parse_records(lines, strict=False)
-    return {"keys": P.schema_discovery(records), "lines": N.line_quality(lines)}
+    return {"keys": P.schema_discovery(records), "lines": N.line_quality(lines),
+            "samples": P.first_samples(records, 3, order="file")}
+
+
+def throughput(spark: SparkSession, path: str) -> dict:
+    """Object records of an NDJSON source and how many were read and parsed a second."""
+    began = time.perf_counter()
+    records = N.read_records(spark, path, strict=False).select(F.schema_of_variant("v").alias("s")).agg(
+        F.count("s")).first()[0]
+    elapsed = time.perf_counter() - began
+    return {"records": records, "elapsed_seconds": round(elapsed, 3), "records_per_second": round(records / elapsed, 1)}
 
 
 def validate(spark: SparkSession, path: str) -> DataFrame:

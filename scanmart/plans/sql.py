@@ -389,6 +389,11 @@ summ AS (
     CAST(sum(len(false_negatives)) AS BIGINT) AS false_negatives,
     count(*) - count(*) FILTER (WHERE passed) AS failures
   FROM judged GROUP BY run_id, prompt_version)"""
+ORACLE["case_loader"] = """
+WITH c AS (SELECT 'doc-' || doc_id AS case_id, source AS domain, lower(coalesce(text, '')) AS t,
+  contains(lower(coalesce(text, '')), lower(source)) AS a, contains(lower(coalesce(text, '')), 'the') AS b FROM documents)
+SELECT case_id, domain, (CAST(a AS INT) + CAST(b AS INT)) / 2.0 AS recall,
+  a AND b AND NOT contains(t, 'password') AND length(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) > 0 AS passed FROM c"""
 ORACLE["judge_cases"] = with_ctes(_JUDGE) + """
 SELECT case_id, run_id, prompt_version, true_positives, false_negatives, false_positives, precision, recall, passed FROM judged"""
 ORACLE["judge_summary"] = with_ctes(_JUDGE) + "SELECT * FROM summ"
@@ -478,7 +483,7 @@ UNION ALL SELECT * FROM res"""
 ORACLE["saved_join"] = with_ctes(ADAPTER, ACCOUNTS, SCORED) + r"""
 , hs AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages),
 sv AS (SELECT regexp_extract(host, '([^.]+\.example\.(com|org|net))$', 1) AS domain, CAST(min(page_id) AS VARCHAR) AS saved_at
-       FROM hs WHERE host LIKE '%.com' GROUP BY 1)
+       FROM hs GROUP BY 1)
 SELECT s.domain, s.opportunity_score, sv.saved_at, 'New' AS status FROM scored s JOIN sv ON sv.domain = s.domain"""
 
 # ------------------------------------------------------------------ small library forms
