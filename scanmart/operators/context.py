@@ -30,7 +30,7 @@ def ranked_accounts(scored: DataFrame) -> DataFrame:
 def account_evidence(observations: DataFrame, selected: DataFrame, per_account: int = 5) -> DataFrame:
     """Top-K observations per selected account by CVSS desc (nulls last), time desc.
 
-    ``selected`` is bounded by the top-N limit, so it is broadcast into the semi join.
+    ``selected`` is the top-N selection; Spark picks the semi join by its size.
     The rank filter is planned as a WindowGroupLimit, which trims each map partition to
     K rows per domain before the shuffle, so a hot domain ships only K rows per task.
     """

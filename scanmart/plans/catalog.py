@@ -711,8 +711,8 @@ def q_read_accounts(spark, d):
 @register("read_account_signals")
 def q_read_account_signals(spark, d):
     """The signals of the first account by name, from the written marts."""
-    sig, sc = written(spark, d, "signals", signals), written(spark, d, "scored", scored)
-    return sig.join(sc.orderBy("domain").limit(1).select("domain"), "domain", "left_semi")
+    first = written(spark, d, "scored", scored).agg(F.min("domain")).scalar()
+    return written(spark, d, "signals", signals).filter(F.col("domain") == first)
 
 
 @register("read_search")
