@@ -35,7 +35,13 @@ SENSITIVE = {
 }
 #: What a document must hold, in lower case, for the lexer to find anything.
 HINTS = ("passw", "passphrase", "pwd", "secret", "token", "key", "credential", "bearer")
-PLACEHOLDER = re.compile(r"(?i)change|example|placeholder|your|dummy|sample|redacted|todo|none|null|true|false|x{4,}|\*{3,}|<|\$\{?")
+_BLANK = r"changed?|replace|insert|enter|example|placeholder|your|dummy|sample|redacted|todo|none|null|true|false"
+_FILLER = r"password|passwd|passphrase|pwd|secret|token|credentials?|value|access|private|signing|client|auth|api|key|here|goes|with|this|the|me|my|it"
+#: Whole values that stand for a secret: a reference, a name in angle brackets, a mask, or placeholder words with
+#: separators. A value that only contains such a sign or word is none.
+PLACEHOLDER = re.compile(
+    r"\$\{(?:env:)?[A-Za-z_][\w.]*\}|\$(?:[A-Z]+(?:_[A-Z]+)*|[a-z]+(?:_[a-z]+)+)|<[A-Za-z][\w .:/-]*>|[xX*.]+"
+    rf"|(?i:(?:(?:{_FILLER})[-_. ]*)*+(?:{_BLANK})[-_. ]*(?:(?:{_BLANK}|{_FILLER})[-_. ]*)*+)")
 THRESHOLD = 0.5
 LITERAL_CHARS = 8
 
@@ -54,7 +60,7 @@ def name_weight(name: str) -> float:
 
 def literal_weight(value: str) -> float:
     """How much a literal looks like a secret: length, mixed characters and entropy; 0 for words and placeholders."""
-    if len(value) < LITERAL_CHARS or re.search(r"\s", value) or PLACEHOLDER.search(value):
+    if len(value) < LITERAL_CHARS or re.search(r"\s", value) or PLACEHOLDER.fullmatch(value):
         return 0.0
     counts = Counter(value)
     entropy = -sum(c / len(value) * math.log2(c / len(value)) for c in counts.values())

@@ -452,6 +452,17 @@ def test_secret_constants_are_propagated():
     assert secret_scan.redacted('token = "04dbebab91ab85687d33"') == 'token = "[SECRET]"'
 
 
+def test_secret_placeholders_are_whole_values():
+    for line, value in (('password = "P@$$w0rd!2024xY"', "P@$$w0rd!2024xY"), ('pwd = "aB3<kQ9zLm21"', "aB3<kQ9zLm21"),
+                        ("db_pwd = 'Exchange-Prod-9912'", "Exchange-Prod-9912"), ("db_pwd: Todo9#sample7", "Todo9#sample7"),
+                        ('pwd = "${DB_PWD:-Kq93!mZx}"', "${DB_PWD:-Kq93!mZx}")):
+        assert [line[i:j] for i, k, j, _, _ in secret_scan.secrets(line) if k == 3] == [value]
+        assert value not in secret_scan.redacted(line)
+    for value in ("${DB_PASSWORD}", "$DB_PASSWORD", "<your-password>", "your_password_here", "CHANGE-ME", "Change_Me",
+                  "insert-your-token-here", "xxxxXXXX", "********", "my-example-key", "REPLACE_WITH_YOUR_API_KEY"):
+        assert secret_scan.literal_weight(value) == 0, value
+
+
 def test_redaction_keeps_rows_and_columns(spark, odd, none):
     df = odd.unionByName(frame(spark, [(50, 'x token = "04dbebab91ab85687d33" y', "en", "s", 34)]))
     got = secret_scan.redact(df)
