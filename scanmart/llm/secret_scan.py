@@ -2,7 +2,7 @@
 
 Three base patterns (keyword assignments, access key ids, hexadecimal runs) and a lexer of
 source and configuration syntax: name-literal pairs are parsed from assignments in the
-usual notations, constants are propagated through names and concatenations, and a literal
+usual notations (also typed declarations and quoted subscripts), constants are propagated through names and concatenations, and a literal
 is scored by how sensitive the names are that it reaches and by how random it looks.
 
 Documents are scanned whole, in one narrow pass without a shuffle.
@@ -46,7 +46,19 @@ THRESHOLD = 0.5
 LITERAL_CHARS = 8
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_.-]*"
-_START = re.compile(rf"""(?<![A-Za-z0-9_.$-])(?P<q>["']?)(?P<name>{_NAME})(?P=q)[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*""")
+_SUBSCRIPT = r"""\[[ \t]*(?:"[^"\n\]]{1,200}"|'[^'\n\]]{1,200}'|:?\w*)[ \t]*\]"""
+# A type: dotted words with no digits but a width, arguments two deep, arrays, optional marks and unions.
+_GENERIC = r"(?:<[^<>\n]{0,200}(?:<[^<>\n]{0,200}>[^<>\n]{0,200}){0,9}>|\[[^\[\]\n]{0,200}(?:\[[^\[\]\n]{0,200}\][^\[\]\n]{0,200}){0,9}\])"
+_ATOM = rf"[&*]*(?:'[a-z_]+[ ])?(?:(?:mut|dyn|const|readonly)[ ])?[A-Za-z_]+(?:(?:\.|::)[A-Za-z_]+)*(?:8|16|32|64|128)?{_GENERIC}{{0,3}}[?!]?"
+_TYPE = rf"""(?:(?P<tq>["']){_ATOM}(?P=tq)|{_ATOM}(?:[ \t]*\|[ \t]*{_ATOM})*)"""
+_ONE_TYPE = re.compile(_ATOM)
+#: A target and its sign: a name, quoted or not, the key of a subscript, an array, and a type before the sign.
+_START = re.compile(
+    rf"""(?<![A-Za-z0-9_.$-])(?P<symbol>(?<=\[):)?(?P<q>["']?)(?P<name>{_NAME})(?P=q)(?(symbol)\]|(?:(?<=["'])[ \t]*\]|(?:\[\w*\])*))"""
+    rf"""(?:[?!]?[ \t]*:[ \t]*(?P<type>{_TYPE})[ \t]*(?==(?![=>]))|[ \t]+(?P<plain>\*?string|\[\]byte|[Aa]s[ \t]+[A-Za-z.]+)[ \t]*(?=:?=(?!=)))?"""
+    r"""[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*""")
+#: What a subscript's key belongs to: the names and keys before its bracket.
+_OWNER = re.compile(rf"""{_NAME}(?:{_SUBSCRIPT})*[ \t]*\[[ \t]*["':]\Z""")
 _TERM = re.compile(
     r'''"(?P<d>(?:[^"\\\n]|\\.)*)"|'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<b>[^`\n]*)`|\$\{?(?P<v>[A-Za-z_][A-Za-z0-9_]*)\}?|(?P<w>[^\s"'`,;(){}\[\]+]+)''')
 _PLUS = re.compile(r"[ \t]*(?:\+|\.\.|\|\|)[ \t]*|[ \t]*\\\n[ \t]*")
@@ -70,11 +82,20 @@ def literal_weight(value: str) -> float:
     return min(1.0, entropy / 3.0) * min(1.0, 0.4 + 0.2 * kinds)
 
 
+def _target(text: str, start: re.Match) -> str:
+    """The name of an assignment's target, with the owner's if it is a subscript's key."""
+    at = start.start("name")
+    owner = _OWNER.search(text[max(0, at - 400):at]) if text[at - 1:at] in ("'", '"', ":") else None
+    return owner[0] + start["name"] if owner else start["name"]
+
+
 def name_literals(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
     """(name, spans of the literals that its value is made of), in order of the text.
 
     A value is a chain of terms joined by a concatenation sign; a term is a quoted literal, a
-    bare word or a reference to an earlier name, which stands for that name's literals.
+    bare word or a reference to an earlier name, which stands for that name's literals. A
+    target may be an array, have a type before the sign or be a quoted subscript, whose name
+    is that of the owner and the key.
     """
     known: dict[str, list[tuple[int, int]]] = {}
     out, at = [], 0
@@ -88,7 +109,7 @@ def name_literals(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
                 word = term.group(kind)
                 if word.rstrip(".") in known:
                     spans += known[word.rstrip(".")]
-                elif kind == "w":
+                elif kind == "w" and not ("<" in word and (t := _ONE_TYPE.match(text, term.start())) and t.end() >= at):
                     spans.append((term.start(kind), term.end(kind) - (len(word) - len(word.rstrip(".:")))))
             joint = _PLUS.match(text, at)
             if not joint:
@@ -98,10 +119,13 @@ def name_literals(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
         if spans:
             if start["q"] == "" or len(spans) > 1 or name_weight(start["name"]):
                 known[start["name"]] = spans
-            out.append((start["name"], spans))
+            out.append((_target(text, start), spans))
         # a bare word may itself be the name of the next assignment: `a = b = "x"`, `url: password=...`
         if len(spans) == 1 and text[spans[0][0] - 1:spans[0][0]] not in ("'", '"', "`"):
             at = start.end()
+        # a type may itself be a name: `url: password = "x"`
+        if start["type"] or start["plain"]:
+            at = start.start("type" if start["type"] else "plain")
     return out
 
 

@@ -463,6 +463,25 @@ def test_secret_placeholders_are_whole_values():
         assert secret_scan.literal_weight(value) == 0, value
 
 
+@pytest.mark.parametrize("target", [
+    "password: str =", "const apiToken: string =", "val dbPassword: String =", "private password?: string | null =", "password: Optional[str] =",
+    "static API_TOKEN: &'static str =", "secret: std::option::Option<Vec<String>>=", 'password: "SecretStr" =', "var dbPassword string =",
+    "char password[] =", "char password[64] =", "Dim password As String =", "url: password =",
+    'os.environ["DB_PASSWORD"] =', "config['secret'] =", "$config['db'][ 'password' ]=", "settings[:secret] =", "passwords['pwd']['main'] =",
+])
+def test_secret_typed_and_subscript_targets(target):
+    text = f"x = 1\n{target} 'Xk29!jQ8#zL0'\ny = 2"
+    assert [text[i:j] for i, k, j, _, _ in secret_scan.secrets(text) if k == 3] == ["Xk29!jQ8#zL0"]
+    assert secret_scan.redacted(text) == text.replace("Xk29!jQ8#zL0", "[SECRET]")
+
+
+def test_secret_targets_that_are_none():
+    for text in ("password: Option<String>,", "secret_map: Map<String, SecretValue>", 'x["title"] = "Zx81kQ9-"', 'title: str = "Zx81kQ9-"'):
+        assert not secret_scan.secrets(text), text
+    text = 'password: str = "Xk29!jQ8#zL0"\nclient = password\nmy_secret = client'
+    assert secret_scan.redacted(text) == text.replace("Xk29!jQ8#zL0", "[SECRET]")
+
+
 def test_redaction_keeps_rows_and_columns(spark, odd, none):
     df = odd.unionByName(frame(spark, [(50, 'x token = "04dbebab91ab85687d33" y', "en", "s", 34)]))
     got = secret_scan.redact(df)
