@@ -3,9 +3,10 @@
 The templates (short names, notices and the start of full texts) form one automaton over
 word numbers, built once on the driver from the given list. A document's words are streamed
 through it, which gives matching statistics: at each word, the longest stretch ending there
-that occurs in any template. Stretches that cannot be prolonged are matches; long ones are
-chained per template in the order of both texts, and a template covered to ``COVERAGE`` or
-more gives its label and a span. Short names are templates that must occur whole; they end
+that occurs in any template, and on its suffix path the longest for each place of a template.
+A stretch that its own template cannot prolong is a match, also inside a longer one of another;
+long ones are chained per template in the order of both texts, and a template covered to
+``COVERAGE`` or more gives its label and a span. Short names are templates that must occur whole; they end
 at a word if their state is on the suffix path of the state reached there.
 
 One narrow pass; words outside the templates reset the automaton, so only the few runs of
@@ -104,6 +105,17 @@ class Automaton:
             self.ends[self.link[state]] += self.ends[state]
         for state in by_size:
             self.whole[state] = self.whole[state] + self.whole[self.link[state]]
+        # (template, end, length, next word) of the stretches that end at a state: length 0 for the state's own
+        self.stops: list[list[tuple[int, int, int, int]]] = [[] for _ in self.next]
+        for state in range(1, len(self.next)):
+            seen, at = set(), state
+            while at > 0 and (at == state or self.size[at] >= MIN_MATCH):
+                for t, end in self.ends[at]:
+                    if t >= self.n_phrases and (t, end) not in seen:
+                        seen.add((t, end))
+                        follow = self.rows[t][end] if end < len(self.rows[t]) else 0
+                        self.stops[state].append((t, end, 0 if at == state else self.size[at], follow))
+                at = self.link[at]
         self.pairs = np.zeros((len(self.numbers) + 1,) * 2, bool)
         for row in self.rows:
             self.pairs[row[:-1], row[1:]] = True
@@ -173,9 +185,10 @@ def _chains(found: list[tuple[int, int, int, int]], reach: int) -> Iterator[tupl
             a0, b0, s0, e0 = found[j]
             if a - a0 > reach + MAX_GAP:
                 break
-            if a0 < a and s0 < s and e0 < e and a - b0 <= MAX_GAP:
-                # overlapping matches count the words that the later one adds
-                top = max(top, (best[j][0] + e - max(s, e0), best[j][1], b), key=lambda x: x[0])
+            # overlapping matches count the words that the later one adds, in the text and in the template
+            added = e - s - max(0, b0 - a, e0 - s)
+            if a0 < a and s0 < s and added > 0 and a - b0 <= MAX_GAP:
+                top = max(top, (best[j][0] + added, best[j][1], b), key=lambda x: x[0])
         best.append(top)
     yield from best
 
@@ -202,11 +215,12 @@ def licences(text: bytes | None, automaton: Automaton) -> tuple[int, list[tuple[
                 size = len(automaton.rows[phrase])
                 if size <= length:
                     names.append((phrase, at - size + 1))
-            maximal = k + 1 == len(steps) or steps[k + 1][2] != length + 1
-            if maximal and length >= MIN_MATCH:
-                for t, end in automaton.ends[state]:
-                    if t >= automaton.n_phrases and end >= length:
-                        matches.setdefault(t, []).append((at - length + 1, at + 1, end - length, end))
+            if length >= MIN_MATCH:
+                coming = numbers[k + 1] if k + 1 < len(numbers) else -1
+                for t, end, size, follow in automaton.stops[state]:
+                    size = size or length
+                    if follow != coming and end >= size:
+                        matches.setdefault(t, []).append((at - size + 1, at + 1, end - size, end))
     spans = []
     for t, found in matches.items():
         size = len(automaton.rows[t])

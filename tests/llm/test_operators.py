@@ -409,6 +409,39 @@ def test_automaton_statistics_match_brute_force():
                                 if row[e - length:e] == numbers[at - length + 1:at + 1]}
 
 
+def test_licence_inside_a_longer_match_of_another():
+    automaton = license_scan.Automaton()
+    notice = dict(license_scan.TEMPLATES)["apache"]
+    _, _, spans = license_scan.licences(("x " + notice + " y").encode(), automaton)
+    n = len(license_scan.words_of(notice.encode()))
+    # a word of the text counts once, though the template holds it twice
+    assert [c for c, *_ in license_scan._chains([(0, 14, 20, 34), (2, 14, 44, 56)], 80)] == [14, 12]
+    assert [(automaton.labels[t], a, b, c) for t, a, b, c in spans] == [("apache-2.0", 1, 9, 1.0), ("apache", 1, n + 1, 1.0)]
+
+
+def test_licence_matches_are_maximal_per_template(monkeypatch):
+    rng = random.Random(4)
+    found = []
+    monkeypatch.setattr(license_scan, "_chains", lambda rows, size: found.append(set(rows)) or [])
+    for _ in range(150):
+        rows = ["".join(rng.choices("abc", k=rng.randint(3, 9))) for _ in range(4)]
+        doc = "".join(rng.choices("abcx", k=60)) + rows[0] + rows[1][1:-1]
+        want = []
+        for row in rows:
+            same = {(i, j) for i in range(len(doc)) for j in range(len(row)) if doc[i] == row[j]}
+            own = set()
+            for i, j in same:
+                n = 0
+                while (i + n, j + n) in same:
+                    n += 1
+                if (i - 1, j - 1) not in same and n >= license_scan.MIN_MATCH:
+                    own.add((i, i + n, j, j + n))
+            want.append(own)
+        found.clear()
+        license_scan.licences(" ".join(doc).encode(), license_scan.Automaton((), [("t", " ".join(r)) for r in rows]))
+        assert sorted(map(sorted, found)) == sorted(sorted(x) for x in want if x)
+
+
 # 8 secret scan -------------------------------------------------------------------------
 
 
