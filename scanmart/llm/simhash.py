@@ -51,16 +51,18 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
     return int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long: the 64 bits, signed) for every row; null texts count as empty."""
+def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text",
+                 carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp long: the 64 bits, signed) and the long columns ``carry`` for every row; null texts count as empty."""
 
     def run(batches):
         for part in sliced(batches):
             fps = np.array([fingerprint(t, shingle) for t in raw_texts(part)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(fps), *map(part.column, carry)], ["doc_id", "fp", *carry])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{c} long" for c in carry)]))
 
 
 def _blocks(max_bits: int) -> list[tuple[int, int, int]]:
@@ -189,15 +191,16 @@ def links(distinct: DataFrame, max_bits: int, hot_homes: int = 1 << 15) -> DataF
     )
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 4, hot_homes: int = 1 << 15) -> DataFrame:
-    """One row per input row: (doc_id, fp, label, component_id).
+def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 4, hot_homes: int = 1 << 15,
+                    carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: (doc_id, fp, label, component_id) and the long columns ``carry``.
 
     ``label`` is the smallest fingerprint (as a signed long) of the row's component and
     ``component_id`` the smallest doc_id in it (null if none of its rows has one). Null and
     empty texts have fingerprint 0 and are linked like any other. Repeated rows stay. An
     empty table gives an empty result; other columns are ignored.
     """
-    fps = stored(fingerprints(docs, shingle), "fingerprints")
+    fps = stored(fingerprints(docs, shingle, carry=carry), "fingerprints")
     classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     labels = component_labels(links(classes, max_bits, hot_homes))
     named = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
@@ -205,7 +208,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 4, hot_ho
     named = stored(named, "labels")
     # only linked classes can have an id other than their own
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    return fps.join(named.select("fp", "label").join(ids, "label"), "fp").select("doc_id", "fp", "label", "component_id")
+    return fps.join(named.select("fp", "label").join(ids, "label"), "fp").select("doc_id", "fp", "label", "component_id", *carry)
 
 
 def hex_digits(fp):
@@ -217,18 +220,15 @@ def one_of_each_group(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame
     """The rows of ``docs`` with one row of each group of near-duplicates.
 
     The row with the group's smallest doc_id stays; of equal ids the one with the smallest
-    text hash. Rows without an id yield to rows with one; a group without any id keeps one
-    row. Columns are those of ``docs``.
+    text hash, of equal texts that with the smallest hash of all columns. Rows without an id
+    yield to rows with one; a group without any id keeps one row. Columns are those of ``docs``.
+
+    A row is known by its two hashes, not by its id, which rows of other groups may have too.
     """
-    found = stored(near_duplicates(docs, shingle, max_bits), "near-duplicates")
-    heads = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    bare = docs.where(F.col("doc_id").isNull())
-    if not bare.limit(1).count():
-        return kept
-    texts = bare.select(F.xxhash64("text").alias("doc_id"), "text")
-    prints = fingerprints(texts, shingle).distinct().withColumnRenamed("doc_id", "_text")
-    alone = found.where("component_id is null").select("fp", "label").distinct()
-    first = prints.join(alone, "fp").groupBy("label").agg(F.min("_text").alias("_text")).select("_text")
-    rest = bare.withColumn("_text", F.xxhash64("text")).join(first, "_text", "left_semi").dropDuplicates(["_text"])
-    return kept.unionByName(rest.select(*docs.columns))
+    key = ("_text", "_row")
+    keyed = docs.withColumn("_text", F.xxhash64("text")).withColumn(
+        "_row", F.xxhash64(*(x for c in docs.columns for x in (F.col(c), F.col(c).isNull()))))
+    found = near_duplicates(keyed, shingle, max_bits, carry=key)
+    heads = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *key)).alias("head"))
+    heads = stored(heads.select(*(f"head.{c}" for c in key)), "heads")
+    return keyed.join(heads, [*key], "left_semi").dropDuplicates([*key]).select(*docs.columns)

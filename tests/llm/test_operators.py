@@ -254,6 +254,27 @@ def test_one_of_each_group(spark, odd, none):
     assert simhash.one_of_each_group(none, 4, 4).collect() == []
 
 
+def test_one_of_each_group_with_repeated_ids(spark):
+    rng = random.Random(8)
+    a, b, c = (" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(60)) for _ in range(3))
+    for rows, want in (
+        # 5 heads the group of a, its other text yields to 3
+        ([(5, a), (9, a), (5, b), (3, b)], [(3, b), (5, a)]),
+        # one id heads two groups
+        ([(5, a), (5, b), (6, b), (5, b)], [(5, a), (5, b)]),
+        ([(None, a), (None, b), (4, b), (None, c), (None, c)], [(None, a), (None, c), (4, b)]),
+    ):
+        for order in (rows, rows[::-1]):
+            df = frame(spark, [(i, t, "en", "s", len(t)) for i, t in order])
+            kept = simhash.one_of_each_group(df, 4, 4)
+            assert kept.columns == df.columns
+            assert plain(texts_of(kept)) == plain(want)
+    # of equal ids and texts the same row in any order
+    twins = [(7, a, "en", source, 1) for source in "tsu"] + [(7, a, None, "en", 1), (7, a, "en", None, 1)]
+    assert len({simhash.one_of_each_group(frame(spark, [twins[i] for i in order]).repartition(n), 4, 4).first()
+                for order, n in (((0, 1, 2, 3, 4), 1), ((4, 2, 3, 1, 0), 3))}) == 1
+
+
 # 4 decontamination ---------------------------------------------------------------------
 
 
