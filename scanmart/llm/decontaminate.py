@@ -4,7 +4,8 @@ Documents and benchmark items are cut into lower-case words. Places where both h
 same ``min_tile`` words (a Karp-Rabin hash over word numbers) are joined; from these seeds,
 for each document and item, the longest match without marked words is marked again and
 again until none of ``min_tile`` words is left. The share of the item's words under tiles
-is its coverage, which does not depend on the order of the passages.
+is its coverage, which does not depend on the order of the passages. Items of fewer words
+hold no seed; with ``short_items`` they are found where they stand whole.
 
 The benchmark is the stated query set. It is dealt into blocks of bounded size, and each
 block is broadcast for one narrow pass over all documents: nothing is shuffled and no
@@ -43,22 +44,29 @@ class Items(dict):
     def __missing__(self, word: bytes) -> int:
         return 0
 
-    def __init__(self, rows: list[tuple[int, str]], size: int = 0):
+    def __init__(self, rows: list[tuple[int, str]], size: int = 0, short_items: bool = False):
         super().__init__()
         if not size:
             return
-        self.size, self.ids, self.words = size, [], []
+        self.size, self.ids, self.words, self.short, short = size, [], [], {}, []
         for item_id, text in rows:
             numbers = [self.setdefault(w, len(self) + 1) for w in tokens(text)]
             if len(numbers) >= size:
                 self.ids.append(item_id)
                 self.words.append(np.array(numbers, np.uint64))
+            elif numbers and short_items:
+                short.append((item_id, tuple(numbers)))
         hashes = [rolling(w, size) for w in self.words]
         at = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
         item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
         seed = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(seed, kind="stable")
         self.seed, self.item, self.at = seed[order], item[order], at[order]
+        # by number of words: the short items, each with its indexes
+        for item_id, numbers in short:
+            self.short.setdefault(len(numbers), {}).setdefault(numbers, []).append(len(self.ids))
+            self.ids.append(item_id)
+        self.short = {n: (np.concatenate([rolling(np.array(x, np.uint64), n) for x in own]), own) for n, own in self.short.items()}
 
     def __reduce__(self):
         return _restored, (dict(self), self.__dict__)
@@ -107,11 +115,17 @@ def tiles(doc: np.ndarray, item: np.ndarray, at: np.ndarray, to: np.ndarray, siz
 
 
 def found_in(text: str | None, items: Items) -> Iterator[tuple[int, float, int, int]]:
-    """(item index, coverage, tiles, longest tile) for each item that shares a seed with the text."""
+    """(item index, coverage, tiles, longest tile) for each item that shares a seed with the text or, if short, is in it."""
     words = tokens(text)
-    if len(words) < items.size or not len(items.seed):
+    long = len(words) >= items.size and len(items.seed) > 0
+    if not long and not items.short:
         return
     doc = np.fromiter(map(items.__getitem__, words), np.uint64, len(words))
+    for n, (hashes, own) in items.short.items():
+        for window in {tuple(doc[i:i + n].tolist()) for i in np.flatnonzero(np.isin(rolling(doc, n), hashes)).tolist()}:
+            yield from ((k, 1.0, 1, n) for k in own.get(window, ()))
+    if not long:
+        return
     unknown = np.concatenate([[0], np.cumsum(doc == 0)])
     places = np.flatnonzero(unknown[items.size:] == unknown[:-items.size])
     if not len(places):
@@ -132,7 +146,7 @@ def found_in(text: str | None, items: Items) -> Iterator[tuple[int, float, int,
             yield int(k), covered / len(items.words[k]), len(marked), max(n for _, _, n in marked)
 
 
-def _blocks(benchmark: DataFrame, min_tile: int, block_chars: int) -> Iterator:
+def _blocks(benchmark: DataFrame, min_tile: int, block_chars: int, short_items: bool) -> Iterator:
     """The benchmark in broadcast blocks; an item is in one block."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     rows = rows.where("text is not null")
@@ -140,15 +154,15 @@ def _blocks(benchmark: DataFrame, min_tile: int, block_chars: int) -> Iterator:
     count = -(-total // block_chars)
     for b in range(count):
         block = rows.where(F.pmod(F.xxhash64("text"), F.lit(count)) == b).collect()
-        yield rows.sparkSession.sparkContext.broadcast(Items([tuple(r) for r in block], min_tile))
+        yield rows.sparkSession.sparkContext.broadcast(Items([tuple(r) for r in block], min_tile, short_items))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, coverage: float = COVERAGE,
-            block_chars: int = BLOCK_CHARS) -> DataFrame:
+            block_chars: int = BLOCK_CHARS, short_items: bool = False) -> DataFrame:
     """(doc_id, item_id, coverage, n_tiles, longest): the items of which a document covers ``coverage`` or more.
 
-    Null and short texts match nothing, nor do items of fewer than ``min_tile`` words;
-    repeated rows and repeated items are reported each; empty tables give no rows. Other
+    Null texts match nothing. Items of fewer than ``min_tile`` words match where all of their
+    words stand in a row, if ``short_items``, else nothing. Repeated rows and repeated items are reported each; empty tables give no rows. Other
     columns are ignored.
     """
     schema = "doc_id long, item_id long, coverage double, n_tiles int, longest int"
@@ -169,15 +183,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, cov
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for items in _blocks(benchmark, min_tile, block_chars):
+    for items in _blocks(benchmark, min_tile, block_chars, short_items):
         found = texts.mapInArrow(scan(items), schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, coverage: float = COVERAGE,
-          block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` that cover no benchmark item to ``coverage``; columns are those of ``docs``."""
+          block_chars: int = BLOCK_CHARS, short_items: bool = False) -> DataFrame:
+    """The rows of ``docs`` that cover no benchmark item to ``coverage`` (see ``matches``); columns are those of ``docs``."""
 
     def keep(items):
         def run(batches):
@@ -187,6 +201,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, cover
                 yield part.filter(pa.array(free))
         return run
 
-    for items in _blocks(benchmark, min_tile, block_chars):
+    for items in _blocks(benchmark, min_tile, block_chars, short_items):
         docs = docs.mapInArrow(keep(items), docs.schema)
     return docs

@@ -42,7 +42,7 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and benchmark item that it contains."""
-    return decontaminate.matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return decontaminate.matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), short_items=True)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -323,6 +323,20 @@ def test_tiles_catch_reordered_passages(spark, odd, none):
     assert decontaminate.clean(odd, bench).count() == odd.count()
 
 
+def test_short_items_are_found_whole(spark):
+    items = [(1, "Deep blue sea"), (2, "blue sea"), (3, "deep sea"), (4, "!"), (5, None), (6, "sea"), (7, "blue sea"), (8, "a b c d e f")]
+    df = frame(spark, [(1, "the DEEP, blue sea.", None, None, None), (2, "sea", None, None, None), (3, "a b c d e", None, None, None),
+                       (4, "deep x", None, None, None), (5, None, None, None, None), (6, "blue sea blue sea", None, None, None)])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for chars in (8 << 20, 10):
+        got = decontaminate.matches(df, bench, block_chars=chars, short_items=True)
+        assert plain(got.select("doc_id", "item_id", F.round("coverage", 3), "longest").collect()) == plain([
+            (1, 1, 1.0, 3), (1, 2, 1.0, 2), (1, 6, 1.0, 1), (1, 7, 1.0, 2), (2, 6, 1.0, 1), (3, 8, 0.833, 5),
+            (6, 2, 1.0, 2), (6, 6, 1.0, 1), (6, 7, 1.0, 2)])
+        clean = decontaminate.clean(df, bench, block_chars=chars, short_items=True)
+        assert sorted(r["doc_id"] for r in clean.collect()) == [4, 5]
+
+
 # 5 quality rules -----------------------------------------------------------------------
 
 
