@@ -774,3 +774,9 @@ def q_saved_accounts(spark, d):
 @register("cost_model")
 def q_cost_model(spark, d):
     return TR.cost_model(traces(spark, d))
+
+
+# ------------------------------------------------------------------ queries with their SQL beside them
+from scanmart.plans import suffix_cases  # noqa: E402
+
+QUERIES |= suffix_cases.QUERIES

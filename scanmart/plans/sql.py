@@ -566,3 +566,8 @@ SELECT canonical, alias, records, CAST(row_number() OVER (PARTITION BY canonical
 FROM alias_counts WHERE canonical IN (SELECT canonical FROM top)"""
 ORACLE["first_samples"] = "SELECT sequence, canonical_json AS record FROM (" + ORACLE["text_canonical_json"] + \
     ") ORDER BY sequence LIMIT 3"
+
+# ------------------------------------------------------------------ SQL kept beside its queries
+from scanmart.plans import suffix_cases  # noqa: E402
+
+ORACLE |= suffix_cases.ORACLE

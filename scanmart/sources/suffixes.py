@@ -1,8 +1,9 @@
 """Public-suffix rules and the registrable-domain (eTLD+1) column function.
 
-The rule list is the Mozilla public suffix list shipped inside Spark's own
-``httpclient`` jar (ICANN section only: private suffixes are ignored, as the reference
-library does by default). The list is a fixed, bounded parameter table (~7.4k rules,
+The rule list is the public suffix list kept beside this module as package data
+(``data/public_suffix_list.dat``, Mozilla Public License 2.0, unchanged), so it is there
+wherever the package is. Of it the ICANN section counts: private suffixes are ignored.
+The list is a fixed, bounded parameter table (~7.4k rules,
 ~250 KB): its keys become literal hash sets inside the expression (shipped with the
 task like any broadcast constant), so resolving the suffix of a host is a few O(1)
 set probes per label with no shuffle and no skew, however hot a host is.
@@ -11,9 +12,8 @@ set probes per label with no shuffle and no skew, however hot a host is.
 from __future__ import annotations
 
 import functools
-import glob
 import os
-import zipfile
+from importlib import resources
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,23 +21,15 @@ from pyspark.sql import functions as F
 # fixed values: extra rules so the synthetic ``*.example.*`` hosts form many accounts
 FIXTURE_RULES = ("example.com", "example.org", "example.net")
 
+
 def _list_text() -> str:
-    """The suffix list: the file named in ``SCANMART_SUFFIX_LIST``, else the copy in Spark's own jars.
+    """The suffix list: the file named in ``SCANMART_SUFFIX_LIST``, else the package's own.
 
     Without a list every registrable domain would be null, so a missing one is an error."""
-    import pyspark
-
     if named := os.environ.get("SCANMART_SUFFIX_LIST"):
         with open(named, encoding="utf-8") as f:
             return f.read()
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "httpclient-*.jar"))
-    for jar in jars:
-        with zipfile.ZipFile(jar) as z:
-            for name in z.namelist():
-                if name.endswith("public-suffix-list.txt"):
-                    return z.read(name).decode("utf-8")
-    raise FileNotFoundError("no public suffix list: set SCANMART_SUFFIX_LIST to its path")
+    return resources.files(__package__).joinpath("data/public_suffix_list.dat").read_text(encoding="utf-8")
 
 
 def parse_rules(text: str, icann_only: bool = True) -> list[tuple[str, str]]:

@@ -117,9 +117,17 @@ def test_international_suffixes(spark):
     assert {r["h"]: r["r"] for r in df.select("h", PSL.registrable_domain("h").alias("r")).collect()} == hosts
 
 
-def test_a_missing_suffix_list_is_an_error(monkeypatch):
-    monkeypatch.setattr(PSL.glob, "glob", lambda *_: [])
-    with pytest.raises(FileNotFoundError, match="SCANMART_SUFFIX_LIST"):
+def test_the_suffix_list_comes_with_the_package(monkeypatch, tmp_path):
+    monkeypatch.delenv("SCANMART_SUFFIX_LIST", raising=False)
+    import pyspark
+
+    monkeypatch.setattr(pyspark, "__file__", str(tmp_path / "nowhere" / "__init__.py"))  # Spark's own jars are hidden
+    assert "co.uk" in PSL._list_text().splitlines()
+
+
+def test_a_missing_suffix_list_is_an_error(monkeypatch, tmp_path):
+    monkeypatch.setenv("SCANMART_SUFFIX_LIST", str(tmp_path / "no.dat"))
+    with pytest.raises(FileNotFoundError):
         PSL._list_text()
 
 
