@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    chat_format, decontaminate, language_id, license_scan, mixing, quality_model, quality_rules, secret_scan, simhash,
-    sql, substring_dedup,
+    chat_format, conversation_repair, decontaminate, language_id, license_scan, merkle_manifest, mixing, quality_model,
+    quality_rules, secret_scan, simhash, sql, substring_dedup, weighted_sampling,
 )
 from .common import crc_part, documents, table
 
@@ -74,9 +74,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(documents(spark, sf_dir), REPEAT_WORDS).drop("kept")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.checked(documents(spark, sf_dir))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.with_successor(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_chat_format, op3_simhash_near_dedup, op4_benchmark_decontamination, op5_quality_rules,
     op6_quality_classifier, op7_license_scan, op8_secret_scan, op9_source_mixing, op10_substring_dedup,
+    op11_merkle_manifest, op12_conversation_repair, op13_document_fingerprints,
 )}
 
 ORACLE: dict[str, str] = {
@@ -84,4 +97,6 @@ ORACLE: dict[str, str] = {
     "op5_quality_rules": sql.quality_rules(QUALITY_POLICY),
     "op9_source_mixing": sql.source_mixing(),
     "op10_substring_dedup": sql.substring_dedup(REPEAT_WORDS),
+    "op11_merkle_manifest": sql.MERKLE_MANIFEST,
+    "op12_conversation_repair": sql.CONVERSATION_REPAIR,
 }

@@ -119,3 +119,105 @@ kept AS (
   FROM d, unnest(range(1, len(w) + 1)) AS u(p) WHERE (d.rid, p) NOT IN (SELECT rid, p FROM gone) GROUP BY d.rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (rid)"""
+
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text, a byte and a bit at a time."""
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)),
+    lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+
+def _encoded(column: str) -> str:
+    text = f"({column})::VARCHAR"
+    return f"coalesce(strlen({text})::VARCHAR || ':' || {text}, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(_encoded(c) for c in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+MERKLE_MANIFEST = f"""
+WITH RECURSIVE
+l AS (
+  SELECT doc_id, coalesce('+' || lang, '') AS grp, {_leaf("n_chars")} AS leaf,
+    CASE WHEN coalesce({_crc32("doc_id::VARCHAR")} % 7 = 0, false) THEN {_leaf("n_chars + 1")} END AS changed FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+    count(*) OVER (PARTITION BY grp) AS n FROM l),
+t(grp, level, idx, n, digest) AS (
+  SELECT grp, 0, idx, n, leaf FROM leaves
+  UNION ALL SELECT grp, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM t WHERE n > 1
+  GROUP BY grp, level, n, idx // 2),
+roots AS (SELECT grp, digest AS subroot, row_number() OVER (ORDER BY grp) - 1 AS place, count(*) OVER () AS groups FROM t WHERE n = 1),
+g(level, idx, n, digest) AS (
+  SELECT 0, place, groups, subroot FROM roots
+  UNION ALL SELECT level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM g WHERE n > 1
+  GROUP BY level, n, idx // 2),
+way AS (
+  SELECT rid, t.level AS level, (leaves.idx >> t.level) & 1 AS digit, s.digest AS sibling
+  FROM leaves JOIN t ON t.grp = leaves.grp AND t.n > 1 AND t.idx = leaves.idx >> t.level
+  LEFT JOIN t s ON s.grp = t.grp AND s.level = t.level AND s.idx = xor(t.idx, 1)
+  UNION ALL
+  SELECT rid, 1000 + g.level, (place >> g.level) & 1, s.digest
+  FROM leaves JOIN roots USING (grp) JOIN g ON g.n > 1 AND g.idx = place >> g.level
+  LEFT JOIN g s ON s.level = g.level AND s.idx = xor(g.idx, 1)),
+path AS (SELECT rid, list({{'s': sibling, 'd': digit}} ORDER BY level) AS path, string_agg(sibling, '' ORDER BY level) AS siblings FROM way GROUP BY rid),
+f AS (
+  SELECT doc_id, leaf, subroot, (SELECT digest FROM g WHERE n = 1) AS root, sha256(coalesce(siblings, '')) AS proof_sha256,
+    list_reduce(list_prepend({{'s': coalesce(changed, leaf), 'd': 0::BIGINT}}, coalesce(path, [])), lambda x, y: {{
+      's': sha256(CASE y.d WHEN 1 THEN y.s || x.s ELSE x.s || coalesce(y.s, '') END), 'd': 0::BIGINT}}).s AS folded_root
+  FROM leaves JOIN roots USING (grp) LEFT JOIN path USING (rid))
+SELECT *, folded_root = root AS verified FROM f"""
+
+# Without a search: the least (cost, audit) and the repaired turns for each last role (0 none, 1 system, 2 user, 3
+# assistant), turn by turn. Inserts come before a turn; what is inserted at the end comes last.
+_DUE = "CASE {0} WHEN 2 THEN 3 ELSE 2 END"
+CONVERSATION_REPAIR = f"""
+WITH RECURSIVE
+c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM c, range(2) r(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+o AS (
+  SELECT *, row_number() OVER w AS i,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown, lag(left(role, 1)) OVER w AS before
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text))),
+e AS (
+  SELECT *, CASE WHEN shown = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM o),
+n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) AS rows,
+    count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated,
+    count(*) FILTER (WHERE before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM e GROUP BY conv_id),
+p(conv_id, i, state, best) AS (
+  SELECT conv_id, 0::BIGINT, 0, {{'cost': 0, 'audit': '', 'text': []::VARCHAR[]}} FROM n
+  UNION ALL
+  SELECT conv_id, i + 1, state, min(best) FROM (
+    SELECT x.conv_id, x.i, CASE edit WHEN 'D' THEN x.state WHEN 'R' THEN {_DUE.format("x.state")}
+        ELSE CASE left(e.role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END AS state,
+      {{'cost': x.cost + CASE edit WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN fault = 3 AND edit <> 'D' THEN 1 ELSE 0 END,
+        'audit': x.audit || edit, 'text': CASE edit WHEN 'D' THEN x.text WHEN 'K' THEN list_append(x.text, e.role || ':' || e.text)
+        ELSE list_append(x.text, CASE x.state WHEN 2 THEN 'assistant:' ELSE 'user:' END || e.text) END}} AS best
+    FROM (
+      SELECT conv_id, i, state, best.cost AS cost, best.audit AS audit, best.text AS text FROM p
+      UNION ALL SELECT conv_id, i, {_DUE.format("state")}, best.cost + 2, best.audit || 'I',
+        list_append(best.text, CASE state WHEN 2 THEN 'assistant:' ELSE 'user:' END) FROM p
+      UNION ALL SELECT conv_id, i, CASE state WHEN 2 THEN 2 ELSE 3 END, best.cost + 4, best.audit || 'II', list_concat(best.text,
+        CASE state WHEN 2 THEN ['assistant:', 'user:'] ELSE ['user:', 'assistant:'] END) FROM p) x
+    JOIN e ON e.conv_id IS NOT DISTINCT FROM x.conv_id AND e.i = x.i + 1, (VALUES ('K'), ('R'), ('D')) v(edit)
+    WHERE CASE WHEN edit = 'D' THEN true WHEN fault IN (1, 2) THEN false WHEN edit = 'R' THEN true
+      WHEN left(e.role, 1) = 's' THEN x.state = 0 WHEN left(e.role, 1) = 'u' THEN x.state <> 2
+      WHEN left(e.role, 1) = 'a' THEN x.state = 2 ELSE false END)
+  GROUP BY conv_id, i, state),
+z AS (
+  SELECT conv_id, min(CASE state WHEN 1 THEN {{'cost': best.cost + 4, 'audit': best.audit || 'II', 'text': list_concat(best.text, ['user:', 'assistant:'])}}
+    WHEN 2 THEN {{'cost': best.cost + 2, 'audit': best.audit || 'I', 'text': list_append(best.text, 'assistant:')}} ELSE best END) AS best
+  FROM p JOIN n USING (conv_id) WHERE i = rows GROUP BY conv_id),
+k AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+  coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.text, chr(10)), '')) AS repaired_sha256
+FROM k LEFT JOIN n USING (conv_id) LEFT JOIN z USING (conv_id)"""
