@@ -15,6 +15,7 @@ texts are shuffled once, and no order of the whole table is made in one task.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -30,80 +31,90 @@ from .common import key64, raw_texts, sliced
 
 SAMPLES = 128
 SEED = 42
-#: Terms whose values a task keeps (a row of them has 6 bytes for each position).
-KEPT_TERMS = 1 << 16
+#: Terms whose values a task keeps (8 bytes for each position).
+KEPT_TERMS = 1 << 17
 #: Terms that are looked at together.
 TERMS_AT_ONCE = 1 << 12
+#: Terms that draw together (their arrays stay in a processor's cache).
+DRAWN_AT_ONCE = 256
 #: Rows of the sample that the bounds of ranges are drawn from, for each range.
 SAMPLE_ROWS = 64
 
 
-def weighted_terms(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, count) of the words of a text, by falling hash order of none: sorted by hash."""
-    counts = Counter((text or b"").lower().split())
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(w, SEED) for w in counts), np.uint64, len(counts))
-    order = np.argsort(hashes, kind="stable")
-    return hashes[order], np.fromiter(counts.values(), np.int64, len(counts))[order]
-
-
-def drawn(terms: np.ndarray, counts: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray]:
-    """(values, codes) of terms at each position: what is to be least, and 16 bits of the pair (term, t)."""
-    lane = np.arange(1, 3 * samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    bits = key64(terms[:, None] + lane[None, :]).reshape(len(terms), 3, samples)
-    low = (bits & np.uint64(0xFFFFFFFF)).astype(np.float32) + np.float32(0.5)
-    high = (bits >> np.uint64(32)).astype(np.float32) + np.float32(0.5)
-    low *= np.float32(2.0 ** -32)
-    high *= np.float32(2.0 ** -32)
-    r = -np.log(low[:, 0] * high[:, 0])
-    np.maximum(r, np.float32(1e-6), out=r)
-    log_c = np.log(np.maximum(-np.log(low[:, 1] * high[:, 1]), np.float32(1e-12)))
-    b = low[:, 2]
-    weight = np.log1p(np.log(counts)).astype(np.float32)[:, None]  # ln S
-    t = np.floor(weight / r + b)
-    values = log_c - r * (t - b + 1)
-    codes = key64(terms[:, None] ^ (t.astype(np.int64).view(np.uint64) * np.uint64(0xD1B54A32D192ED03))) >> np.uint64(48)
-    return values, codes.astype(np.uint16)
+def gamma_quantiles(n: int) -> np.ndarray:
+    """The middles of ``n`` equal shares of Gamma(2, 1): x with 1 - (1 + x) * exp(-x) = p, by Newton's method."""
+    p = (np.arange(n) + 0.5) / n
+    x = np.sqrt(2 * p) + p  # near the curve from below, where the steps converge
+    for _ in range(60):
+        x -= (1 - (1 + x) * np.exp(-x) - p) / np.maximum(x * np.exp(-x), 1e-300)
+        x = np.clip(x, 1e-9, 60.0)
+    return x.astype(np.float32)
+
+
+@functools.lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """-ln of the middle of each of 2 ** 16 parts of (0, 1), and the quantiles of Gamma(2, 1)."""
+    return -np.log((np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float32), gamma_quantiles(1 << 16)
+
+
+def drawn(terms: np.ndarray, counts: np.ndarray, samples: int) -> np.ndarray:
+    """For each term (hash) and position the value that is to be least, with 16 bits of the pair (term, t) as its last bits.
+
+    A position has 64 random bits of the term: two uniforms whose logarithms add up to c, r and b."""
+    minus_log, quantile = _tables()
+    lane = np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    parts = key64(terms[:, None] + lane[None, :]).view("<u2").reshape(len(terms), samples, 4)
+    log_c = np.log(minus_log[parts[:, :, 0]] + minus_log[parts[:, :, 1]])
+    r = quantile[parts[:, :, 2]]
+    b = parts[:, :, 3].astype(np.float32)
+    b += np.float32(0.5)
+    b *= np.float32(2.0 ** -16)
+    t = np.zeros(b.shape, np.float32)
+    more = counts > 1  # a term that stands once has ln S = 0 and the step 0
+    if more.any():
+        t[more] = np.floor(np.log1p(np.log(counts[more])).astype(np.float32)[:, None] / r[more] + b[more])
+    b -= t
+    values = (log_c - r * (np.float32(1) - b)).astype(np.float64).view(np.uint64)
+    codes = (key64(terms) >> np.uint64(48))[:, None] + t.astype(np.int64).view(np.uint64) * np.uint64(40503)
+    values &= ~np.uint64(0xFFFF)
+    values |= codes & np.uint64(0xFFFF)
+    return values.view(np.float64)
 
 
 class Sampler:
-    """Signatures of texts; the values of (term, count) pairs met before are kept, up to ``kept`` of them."""
+    """Signatures of texts; what (word, count) pairs have drawn is kept, for up to ``kept`` pairs."""
 
     def __init__(self, samples: int = SAMPLES, kept: int = KEPT_TERMS):
-        self.samples, self.kept, self.rows = samples, kept, {}
-        self.values = self.codes = None
+        self.samples, self.kept, self.rows, self.values = samples, kept, {}, None
 
-    def _drawn(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _values(self, pairs: list[tuple[bytes, int]]) -> np.ndarray:
+        """The drawn values of at most ``kept`` pairs."""
         if self.values is None:
-            self.values = np.empty((self.kept, self.samples), np.float32)
-            self.codes = np.empty((self.kept, self.samples), np.uint16)
-        keys = list(zip(terms.tolist(), counts.tolist()))
-        new = [i for i, k in enumerate(keys) if k not in self.rows]
-        if len(self.rows) + len(new) > self.kept:
-            self.rows.clear()
-            new = list(range(len(keys)))
-        if new:
-            at = np.arange(len(self.rows), len(self.rows) + len(new))
-            self.values[at], self.codes[at] = drawn(terms[new], counts[new], self.samples)
-            self.rows.update(zip((keys[i] for i in new), at.tolist()))
-        rows = np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))
-        return self.values[rows], self.codes[rows]
+            self.values = np.empty((self.kept, self.samples))
+        rows = list(map(self.rows.get, pairs))
+        if None in rows:
+            new = [p for p, row in zip(pairs, rows) if row is None]
+            if len(self.rows) + len(new) > self.kept:
+                self.rows.clear()
+                new = pairs
+            first = len(self.rows)
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w, _ in new), np.uint64, len(new))
+            counts = np.fromiter((n for _, n in new), np.int64, len(new))
+            for at in range(0, len(new), DRAWN_AT_ONCE):
+                some = slice(at, at + DRAWN_AT_ONCE)
+                self.values[first + at:first + min(at + DRAWN_AT_ONCE, len(new))] = drawn(hashes[some], counts[some], self.samples)
+            self.rows.update(zip(new, range(first, first + len(new))))
+            rows = list(map(self.rows.get, pairs))
+        return self.values[rows]
 
     def signature(self, text: bytes | None) -> np.ndarray | None:
         """16 bits for each position; None for a text without words."""
-        terms, counts = weighted_terms(text)
-        if not len(terms):
+        pairs = list(Counter((text or b"").lower().split()).items())
+        if not pairs:
             return None
-        least, out = np.full(self.samples, np.inf, np.float32), np.zeros(self.samples, np.uint16)
-        every = np.arange(self.samples)
-        for at in range(0, len(terms), min(TERMS_AT_ONCE, self.kept)):
-            some = slice(at, at + min(TERMS_AT_ONCE, self.kept))
-            values, codes = self._drawn(terms[some], counts[some])
-            row = values.argmin(axis=0)
-            value = values[row, every]
-            better = value < least  # of equal values the one of the least hash
-            least[better], out[better] = value[better], codes[row, every][better]
-        return out
+        step = min(TERMS_AT_ONCE, self.kept)
+        least = np.minimum.reduce([self._values(pairs[at:at + step]).min(axis=0) for at in range(0, len(pairs), step)])
+        return least.view(np.uint64).astype(np.uint16)
 
 
 def text_of(signature: np.ndarray | None, samples: int) -> str:

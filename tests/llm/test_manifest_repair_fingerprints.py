@@ -259,13 +259,17 @@ def test_collision_rate_is_generalised_jaccard():
             assert abs(got - want) < 4 * math.sqrt(want * (1 - want) / 4096) + 0.002, (size, share, got, want)
 
 
+def test_gamma_quantiles():
+    x = WS.gamma_quantiles(1000).astype(float)
+    assert np.allclose(1 - (1 + x) * np.exp(-x), (np.arange(1000) + 0.5) / 1000, atol=1e-6)
+
+
 def test_signature_is_the_least_of_the_terms(monkeypatch):
     text = b"b a a c c c D d e " + b" ".join(b"x%d" % (i % 70) for i in range(200))
-    terms, counts = WS.weighted_terms(text)
-    assert len(terms) == 75 and sorted(counts.tolist())[-1] == 3
-    rows = [WS.drawn(terms[i:i + 1], counts[i:i + 1], 64) for i in range(len(terms))]
-    want = [min((float(v[0, j]), i) for i, (v, _) in enumerate(rows)) for j in range(64)]
-    want = [int(rows[i][1][0, j]) for j, (_, i) in enumerate(want)]
+    counts = Counter(text.lower().split())
+    assert len(counts) == 75 and max(counts.values()) == 3
+    each = [WS.drawn(np.array([WS.xxhash.xxh64_intdigest(w, WS.SEED)], np.uint64), np.array([n]), 64)[0] for w, n in counts.items()]
+    want = [int(min(v[j] for v in each).view(np.uint64)) & 0xFFFF for j in range(64)]
     for kept, at_once in ((1 << 16, 1 << 12), (8, 5), (76, 10)):  # values kept, or drawn anew in small parts
         monkeypatch.setattr(WS, "TERMS_AT_ONCE", at_once)
         sampler = WS.Sampler(64, kept)
