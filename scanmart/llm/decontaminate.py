@@ -1,12 +1,16 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items are cut into lower-case words. Places where both have the
-same ``min_tile`` words (a Karp-Rabin hash over word numbers) are joined; from these seeds,
-for each document and item, the longest match without marked words is marked again and
+Documents and benchmark items are cut into lower-case words. Runs of ``min_tile`` words that
+both have (a Karp-Rabin hash over word numbers) are seeds; an item whose seeds in a document
+could cover enough of it is tiled: the longest match without marked words is marked again and
 again until none of ``min_tile`` words is left. The share of the item's words under tiles
 is its coverage, which does not depend on the order of the passages. Items of fewer words
 hold no seed; with ``short_items`` they are found where they stand whole.
 
+The longest match is sought by its length, with running hashes of the unmarked windows of a
+length on either side, so that pairs of places are never listed: time and memory follow the
+words of the text and the item, also where one word is repeated throughout.
+
 The benchmark is the stated query set. It is dealt into blocks of bounded size, and each
 block is broadcast for one narrow pass over all documents: nothing is shuffled and no
 document text moves.
@@ -14,7 +18,6 @@ document text moves.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import key64, sliced
 
 MIN_TILE = 5
 COVERAGE = 0.5
@@ -88,34 +91,96 @@ def rolling(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def tiles(doc: np.ndarray, item: np.ndarray, at: np.ndarray, to: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """(document place, item place, words) of the greedy tiles; ``at`` and ``to`` are the seeds' places."""
-    order = np.lexsort((at, to - at))
-    at, to = at[order], to[order]
-    cut = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(to) != 1)])
-    heap = [(-int(n + size - 1), int(to[c]), int(at[c])) for c, n in zip(cut, np.diff(np.r_[cut, len(at)]))]
-    heapq.heapify(heap)
-    in_doc, in_item, out = {}, np.zeros(len(item), bool), []
-    while heap:
-        n, j, i = heapq.heappop(heap)
-        n = -n
-        free = ~in_item[j:j + n] & (doc[i:i + n] == item[j:j + n])
-        if in_doc:
-            free &= np.array([x not in in_doc for x in range(i, i + n)])
-        if free.all():
-            out.append((i, j, n))
-            in_item[j:j + n] = True
-            in_doc.update(dict.fromkeys(range(i, i + n)))
+class Running:
+    """Karp-Rabin hashes of the unmarked windows of any length of a row of words."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.marked = words, np.zeros(len(words), bool)
+        odd = np.uint64(int(_BASE) | 1)
+        powers = np.full(len(words) + 1, odd)
+        powers[0] = 1
+        back = np.full(len(words) + 1, np.uint64(pow(int(odd), -1, 1 << 64)))
+        back[0] = 1
+        self.back = np.cumprod(back)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(key64(words) * np.cumprod(powers)[:-1])])
+        self.settle()
+
+    def settle(self) -> None:
+        """Takes the marks made since into account."""
+        self.before = np.concatenate([[0], np.cumsum(self.marked)])
+
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, hashes) of the windows of ``n`` words that had no mark when last settled."""
+        starts = np.flatnonzero(self.before[n:] == self.before[:-n]) if n <= len(self.words) else np.zeros(0, np.int64)
+        return starts, (self.sums[starts + n] - self.sums[starts]) * self.back[starts]
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """(document place, item place, words) of the greedy tiles: the longest first, of equal ones the first in the item."""
+    left, right, out = Running(doc), Running(item), []
+    most = min(len(doc), len(item))
+    while most >= size:
+        low, high = size - 1, most  # a match of ``low`` words is known, of more than ``high`` there is none
+        while low < high:
+            n = (low + high + 1) // 2
+            if np.isin(right.windows(n)[1], left.windows(n)[1]).any():
+                low = n
+            else:
+                high = n - 1
+        if low < size:
+            break
+        out += _marked(left, right, low)
+        most = low - 1
+    return out
+
+
+def _marked(left: Running, right: Running, n: int) -> list[tuple[int, int, int]]:
+    """Marks the matches of ``n`` words, none of which is longer: by item place, each at the first free document place."""
+    (starts, hashes), (places, wanted) = left.windows(n), right.windows(n)
+    there = np.isin(wanted, hashes)
+    places, wanted = places[there], wanted[there]
+    order = np.argsort(hashes, kind="stable")
+    starts, hashes = starts[order], hashes[order]
+    first = dict(zip(np.unique(wanted).tolist(), np.searchsorted(hashes, np.unique(wanted)).tolist()))
+    last = dict(zip(np.unique(wanted).tolist(), np.searchsorted(hashes, np.unique(wanted), side="right").tolist()))
+    out, free = [], 0
+    for j, h in zip(places.tolist(), wanted.tolist()):
+        if j < free:
             continue
-        edges = np.flatnonzero(np.diff(np.r_[False, free, False].astype(np.int8)))
-        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-            if b - a >= size:
-                heapq.heappush(heap, (a - b, j + a, i + a))
+        k = first[h]
+        # marks made in this round are as long as the window: one that overlaps it covers one of its ends
+        while k < last[h] and (left.marked[starts[k]] or left.marked[starts[k] + n - 1]):
+            k += 1
+        first[h] = k
+        for i in starts[k:last[h]].tolist():
+            if not left.marked[i] and not left.marked[i + n - 1] and (left.words[i:i + n] == right.words[j:j + n]).all():
+                left.marked[i:i + n] = right.marked[j:j + n] = True
+                out.append((i, j, n))
+                free = j + n
+                break
+    left.settle()
+    right.settle()
     return out
 
 
-def found_in(text: str | None, items: Items) -> Iterator[tuple[int, float, int, int]]:
-    """(item index, coverage, tiles, longest tile) for each item that shares a seed with the text or, if short, is in it."""
+def _covered(places: np.ndarray, size: int) -> int:
+    """The words under runs of ``size`` from the sorted ``places``."""
+    return int(np.minimum(np.diff(places), size).sum()) + size
+
+
+def _runs(doc: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+    """The words under runs of ``size`` from the sorted ``places``, with a word that no item has between separate runs."""
+    under = np.zeros(len(doc) + 1, np.int64)
+    np.add.at(under, places, 1)
+    np.add.at(under, np.minimum(places + size, len(doc)), -1)
+    at = np.flatnonzero(np.cumsum(under)[:-1])
+    return np.insert(doc[at], np.flatnonzero(np.diff(at) > 1) + 1, np.uint64(0))
+
+
+def found_in(text: str | None, items: Items, coverage: float = 0.0) -> Iterator[tuple[int, float, int, int]]:
+    """(item index, coverage, tiles, longest tile) for each item that shares a seed with the text or, if short, is in it.
+
+    Items that cannot reach ``coverage`` may be left out."""
     words = tokens(text)
     long = len(words) >= items.size and len(items.seed) > 0
     if not long and not items.short:
@@ -128,22 +193,29 @@ def found_in(text: str | None, items: Items) -> Iterator[tuple[int, float, int,
         return
     unknown = np.concatenate([[0], np.cumsum(doc == 0)])
     places = np.flatnonzero(unknown[items.size:] == unknown[:-items.size])
-    if not len(places):
-        return
     hashes = rolling(doc, items.size)[places]
-    low = np.searchsorted(items.seed, hashes)
-    many = np.searchsorted(items.seed, hashes, side="right") - low
+    # the seeds that the text has, each once, and where items have them
+    distinct = np.unique(hashes)
+    low = np.searchsorted(items.seed, distinct)
+    many = np.searchsorted(items.seed, distinct, side="right") - low
     if not many.any():
         return
-    at = np.repeat(places, many)
-    seeds = np.repeat(low, many) + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-    item, to = items.item[seeds], items.at[seeds]
-    for k in np.unique(item):
-        own = item == k
-        marked = tiles(doc, items.words[k], at[own], to[own], items.size)
+    kept = np.isin(hashes, distinct[many > 0])
+    places, hashes = places[kept], hashes[kept]
+    seeds = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    item, to, seed = items.item[seeds], items.at[seeds], items.seed[seeds]
+    order = np.lexsort((to, item))
+    item, to, seed = item[order], to[order], seed[order]
+    cuts = np.flatnonzero(np.r_[True, np.diff(item) != 0])
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(item)]):
+        k = int(item[a])
+        total = len(items.words[k])
+        if _covered(to[a:b], items.size) < coverage * total:
+            continue
+        own = places[np.isin(hashes, seed[a:b])]
+        marked = tiles(_runs(doc, own, items.size), items.words[k], items.size)
         if marked:
-            covered = sum(n for _, _, n in marked)
-            yield int(k), covered / len(items.words[k]), len(marked), max(n for _, _, n in marked)
+            yield k, sum(n for _, _, n in marked) / total, len(marked), max(n for _, _, n in marked)
 
 
 def _blocks(benchmark: DataFrame, min_tile: int, block_chars: int, short_items: bool) -> Iterator:
@@ -161,9 +233,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, cov
             block_chars: int = BLOCK_CHARS, short_items: bool = False) -> DataFrame:
     """(doc_id, item_id, coverage, n_tiles, longest): the items of which a document covers ``coverage`` or more.
 
-    Null texts match nothing. Items of fewer than ``min_tile`` words match where all of their
-    words stand in a row, if ``short_items``, else nothing. Repeated rows and repeated items are reported each; empty tables give no rows. Other
-    columns are ignored.
+    Null and empty texts match nothing; texts of any length are taken whole. Items of fewer than
+    ``min_tile`` words match where all of their words stand in a row, if ``short_items``, else
+    nothing. Of equally long tiles the first in the item is marked, at the first free place in
+    the document. Repeated rows and repeated items are reported each; empty tables give no rows.
+    Other columns are ignored.
     """
     schema = "doc_id long, item_id long, coverage double, n_tiles int, longest int"
 
@@ -173,7 +247,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, cov
             for part in sliced(batches):
                 ids = part.column("doc_id").to_pylist()
                 rows = [(doc_id, block.ids[k], c, n, longest) for doc_id, t in zip(ids, part.column("text").to_pylist())
-                        for k, c, n, longest in found_in(t, block) if c >= coverage]
+                        for k, c, n, longest in found_in(t, block, coverage) if c >= coverage]
                 if rows:
                     types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
                     yield pa.RecordBatch.from_arrays(
@@ -197,7 +271,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, cover
         def run(batches):
             block = items.value
             for part in sliced(batches):
-                free = [all(c < coverage for _, c, _, _ in found_in(t, block)) for t in part.column("text").to_pylist()]
+                free = [all(c < coverage for _, c, _, _ in found_in(t, block, coverage)) for t in part.column("text").to_pylist()]
                 yield part.filter(pa.array(free))
         return run
 

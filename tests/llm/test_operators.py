@@ -7,6 +7,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -323,6 +324,56 @@ def test_tiles_catch_reordered_passages(spark, odd, none):
     assert decontaminate.clean(odd, bench).count() == odd.count()
 
 
+def tiles_by_hand(doc, item, size):
+    """(document place, item place, words), the longest first and of equal ones the first in the item, then in the document."""
+    used_d, used_i, out = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for j in range(len(item)):
+            for i in range(len(doc)):
+                n = 0
+                while (i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n] and i + n not in used_d and j + n not in used_i):
+                    n += 1
+                if n > best[0]:
+                    best = (n, j, i)
+        n, j, i = best
+        if n < size:
+            return out
+        out.append((i, j, n))
+        used_d |= set(range(i, i + n))
+        used_i |= set(range(j, j + n))
+
+
+def test_tiles_match_brute_force_where_words_repeat():
+    rng = random.Random(11)
+    for _ in range(150):
+        letters = rng.choice([1, 2, 3, 6])
+        doc, item = (np.array([rng.randint(1, letters) for _ in range(rng.randint(1, 45))], np.uint64) for _ in range(2))
+        for size in (1, 3, 5):
+            assert decontaminate.tiles(doc, item, size) == tiles_by_hand(doc.tolist(), item.tolist(), size)
+    for _ in range(60):  # through the seeds, runs of the text and the bound on coverage
+        words = [f"w{rng.randint(0, 4)}" for _ in range(60)]
+        texts = [" ".join(rng.choice(words) for _ in range(rng.randint(5, 30))) for _ in range(4)]
+        block = decontaminate.Items(list(enumerate(texts)), 5)
+        text = " ".join(rng.choice([*words, "other"]) for _ in range(90))
+        want = {i: coverage_by_hand(text.split(), t.split(), 5) for i, t in enumerate(texts)}
+        assert {i: c for i, c, _, _ in decontaminate.found_in(text, block)} == {i: c for i, c in want.items() if c}
+        assert {i: c for i, c, _, _ in decontaminate.found_in(text, block, 0.5) if c >= 0.5} == {i: c for i, c in want.items() if c >= 0.5}
+
+
+def test_one_word_throughout_takes_little_memory():
+    import tracemalloc
+
+    block = decontaminate.Items([(0, "same " * 20_000), (1, "same other " * 10_000)], 5)
+    tracemalloc.start()
+    began = time.time()
+    assert list(decontaminate.found_in("same " * 20_000, block, 0.5)) == [(0, 1.0, 1, 20_000)]
+    found = list(decontaminate.found_in("same same other " * 7_000, block, 0.5))
+    assert time.time() - began < 30 and tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert found == [] or all(c >= 0.5 for _, c, _, _ in found)
+
+
 def test_short_items_are_found_whole(spark):
     items = [(1, "Deep blue sea"), (2, "blue sea"), (3, "deep sea"), (4, "!"), (5, None), (6, "sea"), (7, "blue sea"), (8, "a b c d e f")]
     df = frame(spark, [(1, "the DEEP, blue sea.", None, None, None), (2, "sea", None, None, None), (3, "a b c d e", None, None, None),
