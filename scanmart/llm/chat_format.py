@@ -6,7 +6,8 @@ schemas, and each linked call is serialised as canonical JSON (keys in code poin
 white space, numbers and booleans bare).
 
 Rows are per call, never per conversation, so a conversation of any length is spread over
-all tasks; orders are sort keys instead of ranks.
+all tasks; orders are sort keys instead of ranks. Dependencies are followed by joining paths of
+1, 2, 4, ... calls with themselves, so the rounds are logarithmic in the longest chain.
 """
 
 from __future__ import annotations
@@ -49,7 +50,8 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
                     F.sort_array(F.array_distinct("depends_on")).alias("depends_on"))
     one = calls.dropna(subset=KEY).groupBy(*KEY).agg(F.min(call).alias("call"), F.count("*").alias("n_calls"))
     two = results.dropna(subset=KEY).groupBy(*KEY).agg(F.min(F.struct("pos", "content")).alias("result"), F.count("*").alias("n_results"))
-    both = one.join(two, KEY, "full")
+    # both sides have one row for an identifier: a hash join, without hot keys
+    both = one.join(two.hint("shuffle_hash"), KEY, "full")
     zero = lambda name: F.coalesce(name, F.lit(0)).alias(name)
     return both.select(*KEY, "call", "result", zero("n_calls"), zero("n_results"))
 
@@ -58,36 +60,44 @@ def ordered(linked: DataFrame) -> DataFrame:
     """(conv_id, call_id, release, step, cyclic, unresolved) for each call of ``linked``.
 
     By (release, step, call_id) every call follows the calls it depends on: release is the
-    latest position among a call and all it needs, step the number of calls between. Calls
-    that depend on earlier ones only are in place at once; each round moves those behind a
-    later call one step on. ``cyclic`` calls are on or behind a cycle (a step exceeds the
-    number of moved calls in the conversation) and stay unordered. ``unresolved`` counts
-    dependencies on calls that the conversation does not have.
+    latest position among a call and all it needs. A call that needs one at its own position or
+    later has as its step the length of its longest chain of dependencies; others have 0.
+    ``cyclic`` calls are on or behind a cycle (a chain as long as the conversation has calls)
+    and stay unordered, at their own position. ``unresolved`` counts dependencies on calls that
+    the conversation does not have. A null position counts as -1.
+
+    Conversations in which calls depend on earlier ones only are in order as they are. For the
+    others, round k holds the pairs of calls that are 2 ** k dependencies apart.
     """
-    nodes = linked.where("call is not null").select(*KEY, F.col("call.pos").alias("pos"), "call.depends_on")
-    edges = nodes.select(*KEY, F.explode("depends_on").alias("needs")).where("needs is not null")
-    there = nodes.select("conv_id", F.col("call_id").alias("needs"), F.lit(1).alias("known"))
+    nodes = linked.where("call is not null").select(*KEY, F.coalesce("call.pos", F.lit(-1)).alias("pos"), "call.depends_on")
+    there = nodes.select("conv_id", F.col("call_id").alias("needs"), F.col("pos").alias("at"))
+    edges = nodes.select(*KEY, "pos", F.explode("depends_on").alias("needs")).where("needs is not null")
     edges = stored(edges.join(there, ["conv_id", "needs"], "left"), "edges")
-    missing = edges.where("known is null").groupBy(*KEY).agg(F.count("*").alias("unresolved"))
-    edges = edges.where("known is not null").select(*KEY, "needs")
-    place = F.struct(F.col("pos").alias("release"), F.lit(0).cast("long").alias("step"))
-    state = stored(nodes.select(*KEY, "pos", place.alias("at"), F.lit(False).alias("cyclic")), "places")
-    while True:
-        behind = state.select("conv_id", F.col("call_id").alias("needs"), F.col("cyclic").alias("stuck"), F.struct(
-            F.col("at.release").alias("release"), (F.col("at.step") + 1).alias("step")).alias("after"))
-        pushed = edges.join(behind, ["conv_id", "needs"]).groupBy(*KEY).agg(F.max("after").alias("after"), F.max("stuck").alias("stuck"))
-        moved = state.join(pushed, KEY).where("not cyclic and (stuck or after > at)").select(*KEY, "after", "stuck")
-        moved = stored(moved, "moved")
-        if not moved.limit(1).count():
-            break
-        state = state.join(moved, KEY, "left").withColumn("at", F.greatest("at", "after")).withColumn(
-            "cyclic", F.col("cyclic") | F.coalesce("stuck", F.lit(False))).drop("after", "stuck")
-        late = state.where("at.step > 0").groupBy("conv_id").agg(F.count("*").alias("late"))
-        state = state.join(late, "conv_id", "left").withColumn(
-            "cyclic", F.col("cyclic") | (F.col("at.step") > F.coalesce("late", F.lit(0)))).drop("late")
-        state = stored(state, "places")
-    return state.join(missing, KEY, "left").select(
-        *KEY, "at.release", "at.step", "cyclic", F.coalesce("unresolved", F.lit(0)).alias("unresolved"))
+    missing = edges.where("at is null").groupBy(*KEY).agg(F.count("*").alias("unresolved"))
+    ahead = edges.where("at >= pos").select("conv_id").distinct()
+    sizes = nodes.join(ahead, "conv_id", "left_semi").groupBy("conv_id").agg(F.count("*").alias("calls"))
+    pairs = edges.where("at is not null").select("conv_id", "call_id", "needs").join(sizes, "conv_id")
+    pairs = stored(pairs, "pairs")
+    # reach: the latest position within so many dependencies, and the longest chain up to their number
+    near = edges.where("at is not null").join(ahead, "conv_id", "left_semi").groupBy(*KEY).agg(F.max("at").alias("latest"))
+    state = stored(near.select(*KEY, "latest", F.lit(1).cast("long").alias("chain"), F.lit(False).alias("cyclic")), "reach")
+    length = 1
+    while pairs.limit(1).count():
+        stuck = pairs.where(F.col("calls") <= length).select(*KEY, F.lit(True).alias("stuck")).distinct()
+        on = stored(pairs.where(F.col("calls") > length), "pairs")
+        behind = state.select("conv_id", F.col("call_id").alias("needs"), F.col("latest").alias("later"), F.col("chain").alias("more"))
+        further = on.join(behind, ["conv_id", "needs"]).groupBy(*KEY).agg(F.max("later").alias("later"), F.max("more").alias("more"))
+        state = stored(state.join(further, KEY, "left").join(stuck, KEY, "left").select(
+            *KEY, F.greatest("latest", "later").alias("latest"),
+            F.greatest("chain", F.col("more") + length).alias("chain"), (F.col("cyclic") | F.col("stuck").isNotNull()).alias("cyclic")), "reach")
+        ends = on.select("conv_id", F.col("call_id").alias("needs"), F.col("needs").alias("end"))
+        pairs = stored(on.join(ends, ["conv_id", "needs"]).select("conv_id", "call_id", F.col("end").alias("needs"), "calls").distinct(), "pairs")
+        length *= 2
+    cyclic = F.coalesce("cyclic", F.lit(False))
+    late = ~cyclic & F.coalesce(F.col("latest") >= F.col("pos"), F.lit(False))
+    return nodes.join(state, KEY, "left").join(missing, KEY, "left").select(
+        *KEY, F.when(late, F.col("latest")).otherwise(F.col("pos")).alias("release"), F.when(late, F.col("chain")).otherwise(0).alias("step"),
+        cyclic.alias("cyclic"), F.coalesce("unresolved", F.lit(0)).alias("unresolved"))
 
 
 def validated(linked: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -149,17 +159,27 @@ def linked_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Da
 def exchanges(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results that chat turns (conv_id, turn, role, text) stand for.
 
-    A user turn calls ``reply`` (``c`` and its turn) with its text, length and turn; it
-    depends on the call two turns before, whose answer it has seen. An assistant turn is
-    the result of the call one turn before.
+    A user turn calls ``reply`` (``c`` and its turn) with its text, length and turn. An assistant
+    turn is the result of the call one turn before. What a call depends on goes by conv_id
+    modulo 5: 1 the call two turns later, 2 those two turns before and later, else the one two
+    turns before. By conv_id modulo 7 arguments have faults: 3 a length that is no number, 4 no
+    turn, 5 one argument too many. Null conv_ids and turns make no calls.
     """
-    turn, text = F.col("turn").cast("long"), F.col("text").cast("string")
+    turn, text, conv_id = F.col("turn").cast("long"), F.col("text").cast("string"), F.col("conv_id").cast("long")
     ident = lambda back: F.concat(F.lit("c"), (turn - back).cast("string"))
-    base = [F.col("conv_id").cast("long").alias("conv_id"), turn.alias("pos")]
-    arguments = F.create_map(
-        F.lit("text"), text, F.lit("turn"), turn.cast("string"), F.lit("n_chars"), F.length(text).cast("string"))
-    needs = F.when(turn >= 2, F.array(ident(2))).otherwise(F.array().cast("array<string>"))
+    base = [conv_id.alias("conv_id"), turn.alias("pos")]
+    case = F.pmod(conv_id, F.lit(7))
+    size = F.length(text).cast("string")
+    arguments = F.map_from_entries(F.array_compact(F.array(
+        F.struct(F.lit("text").alias("key"), text.alias("value")),
+        F.when(case != 4, F.struct(F.lit("turn").alias("key"), turn.cast("string").alias("value"))),
+        F.struct(F.lit("n_chars").alias("key"), F.when(case == 3, F.concat(size, F.lit(" characters"))).otherwise(size).alias("value")),
+        F.when(case == 5, F.struct(F.lit("tone").alias("key"), F.lit("plain").alias("value"))))))
+    kind = F.pmod(conv_id, F.lit(5))
+    earlier = F.when((turn >= 2) & (kind != 1), ident(2))
+    later = F.when((kind == 1) | (kind == 2), ident(-2))
     calls = turns.where("role = 'user'").select(
-        *base, ident(0).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), needs.alias("depends_on"))
+        *base, ident(0).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"),
+        F.array_compact(F.array(earlier, later)).alias("depends_on"))
     results = turns.where("role = 'assistant'").select(*base, ident(1).alias("call_id"), text.alias("content"))
     return calls, results

@@ -82,29 +82,43 @@ FROM k"""
 
 
 CHAT_FORMAT = """
-WITH u AS (
-  SELECT conv_id, turn, 'c' || turn AS call_id, text, count(*) OVER (PARTITION BY conv_id, turn) AS n_calls,
+WITH RECURSIVE u AS (
+  SELECT conv_id, turn, 'c' || turn AS call_id, text, conv_id % 5 AS kind, conv_id % 7 AS fault,
+    length(text) || CASE conv_id % 7 WHEN 3 THEN ' characters' ELSE '' END AS n_chars, count(*) OVER (PARTITION BY conv_id, turn) AS n_calls,
     row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(text)::VARCHAR NULLS FIRST, text NULLS FIRST) AS r
   FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL),
 a AS (
   SELECT conv_id, turn, 'c' || (turn - 1) AS call_id, text, count(*) OVER (PARTITION BY conv_id, turn) AS n_results,
     row_number() OVER (PARTITION BY conv_id, turn ORDER BY text NULLS FIRST) AS r
   FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+c AS (SELECT conv_id, turn, kind, count(*) OVER (PARTITION BY conv_id) AS calls FROM u WHERE r = 1),
+d AS (
+  SELECT conv_id, turn, turn - 2 AS needs, calls FROM c WHERE turn >= 2 AND kind <> 1
+  UNION ALL SELECT conv_id, turn, turn + 2, calls FROM c WHERE kind IN (1, 2)),
+k AS (SELECT d.*, c.turn IS NOT NULL AS known FROM d LEFT JOIN c ON c.conv_id = d.conv_id AND c.turn = d.needs),
+w(conv_id, turn, y, steps) AS (
+  SELECT conv_id, turn, needs, 1 FROM k WHERE known
+  UNION SELECT w.conv_id, w.turn, k.needs, steps + 1 FROM w JOIN k ON k.conv_id = w.conv_id AND k.turn = w.y AND known WHERE steps < calls),
+o AS (SELECT c.conv_id, c.turn, max(steps) >= any_value(calls) AS cyclic, max(y) AS latest, max(steps) AS chain
+  FROM c JOIN w ON w.conv_id = c.conv_id AND w.turn = c.turn GROUP BY ALL),
+m AS (SELECT conv_id, turn, count(*) AS unresolved FROM k WHERE NOT known GROUP BY ALL),
 b AS (
   SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, coalesce(u.call_id, a.call_id) AS call_id, n_calls, n_results,
-    u.turn AS turn, u.text AS text, a.turn AS result_turn, a.text AS content
+    u.turn AS turn, u.text AS text, u.n_chars AS n_chars, u.fault AS fault, a.turn AS result_turn, a.text AS content
   FROM (SELECT * FROM u WHERE r = 1) u FULL JOIN (SELECT * FROM a WHERE r = 1) a USING (conv_id, call_id))
 SELECT b.conv_id, b.call_id, coalesce(b.n_calls, 0)::BIGINT AS n_calls, coalesce(b.n_results, 0)::BIGINT AS n_results,
-  CASE WHEN b.turn IS NULL THEN 'orphan' WHEN b.result_turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
-  CASE WHEN b.turn IS NOT NULL AND b.text IS NULL THEN 'n_chars: type' ELSE '' END AS invalid,
-  coalesce(b.turn, b.result_turn)::BIGINT AS release, 0::BIGINT AS step,
-  (CASE WHEN b.turn >= 2 AND q.call_id IS NULL THEN 1 ELSE 0 END)::BIGINT AS unresolved,
+  CASE WHEN b.turn IS NULL THEN 'orphan' WHEN o.cyclic THEN 'cyclic' WHEN b.result_turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+  concat_ws('; ', CASE WHEN b.turn IS NOT NULL AND (b.text IS NULL OR fault = 3) THEN 'n_chars: type' END,
+    CASE fault WHEN 5 THEN 'tone: unknown' WHEN 4 THEN 'turn: missing' END) AS invalid,
+  CASE WHEN NOT o.cyclic AND o.latest >= b.turn THEN o.latest ELSE coalesce(b.turn, b.result_turn) END::BIGINT AS release,
+  CASE WHEN NOT o.cyclic AND o.latest >= b.turn THEN o.chain ELSE 0 END::BIGINT AS step, coalesce(m.unresolved, 0)::BIGINT AS unresolved,
   '{"arguments":' || CASE WHEN b.turn IS NULL THEN 'null' ELSE
-    '{"n_chars":' || coalesce(length(b.text)::VARCHAR, 'null') || ',"text":' || coalesce(to_json(b.text)::VARCHAR, 'null')
-    || ',"turn":' || b.turn || '}' END
+    '{"n_chars":' || CASE WHEN fault = 3 THEN coalesce('"' || n_chars || '"', 'null') ELSE coalesce(n_chars, 'null') END
+    || ',"text":' || coalesce(to_json(b.text)::VARCHAR, 'null') || CASE fault WHEN 5 THEN ',"tone":"plain"' ELSE '' END
+    || CASE fault WHEN 4 THEN '' ELSE ',"turn":' || b.turn END || '}' END
     || ',"id":"' || b.call_id || '","name":' || CASE WHEN b.turn IS NULL THEN 'null' ELSE '"reply"' END
     || ',"result":' || coalesce(to_json(b.content)::VARCHAR, 'null') || '}' AS json
-FROM b LEFT JOIN (SELECT DISTINCT conv_id, call_id FROM u) q ON q.conv_id = b.conv_id AND q.call_id = 'c' || (b.turn - 2)
+FROM b LEFT JOIN o ON o.conv_id = b.conv_id AND o.turn = b.turn LEFT JOIN m ON m.conv_id = b.conv_id AND m.turn = b.turn
 """
 
 

@@ -168,6 +168,25 @@ def test_chat_order_of_random_graphs(spark):
     assert all(got[conv, f"c{j}"] < got[conv, f"c{i}"] for (conv, i), js in needs.items() for j in js)
 
 
+def test_chat_chains_and_cycles_of_any_length(spark):
+    calls = [(1, f"c{i}", i, "add", {"x": "1"}, [f"c{i + 1}"]) for i in range(70)]  # each needs the next; the last has none
+    calls += [(2, f"c{i}", i, "add", {"x": "1"}, [f"c{(i + 1) % 9}"] if i < 9 else [f"c{i - 1}"]) for i in range(14)]  # a cycle and a tail
+    calls += [(3, "s", 0, "add", {"x": "1"}, ["s"]), (3, "t", 1, "add", {"x": "1"}, [])]  # on itself
+    calls += [(4, c, p, "add", {"x": "1"}, n) for c, p, n in (("x", 5, ["y"]), ("y", 3, ["z"]), ("z", 5, []), ("v", None, ["x"]), ("w", 9, ["v", "x"]))]
+    got = {(r["conv_id"], r["call_id"]): r for r in chat(spark, calls, []).collect()}
+    assert [(got[1, f"c{i}"]["release"], got[1, f"c{i}"]["step"]) for i in range(70)] == [(69, 69 - i) for i in range(69)] + [(69, 0)]
+    assert got[1, "c69"]["unresolved"] == 1
+    assert {got[2, f"c{i}"]["status"] for i in range(14)} == {"cyclic"}
+    assert got[3, "s"]["status"] == "cyclic" and got[3, "t"]["status"] == "unanswered"
+    assert {c: (got[4, c]["release"], got[4, c]["step"]) for c in "xyzvw"} == {"z": (5, 0), "y": (5, 1), "x": (5, 2), "v": (5, 3), "w": (9, 0)}
+
+
+def test_chat_query_has_forward_cyclic_and_invalid_calls(spark):
+    got = queries.op2_chat_format(spark, SF.replace("sf0.001", "sf0.01")).collect()
+    assert {r["status"] for r in got} >= {"linked", "cyclic"} and max(r["step"] for r in got) > 0
+    assert {r["invalid"] for r in got} >= {"", "n_chars: type", "turn: missing", "tone: unknown"}
+
+
 def test_chat_empty(spark):
     assert chat(spark, [], []).collect() == []
 
