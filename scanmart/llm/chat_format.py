@@ -6,8 +6,9 @@ schemas, and each linked call is serialised as canonical JSON (keys in code poin
 white space, numbers and booleans bare).
 
 Rows are per call, never per conversation, so a conversation of any length is spread over
-all tasks; orders are sort keys instead of ranks. Dependencies are followed by joining paths of
-1, 2, 4, ... calls with themselves, so the rounds are logarithmic in the longest chain.
+all tasks; orders are sort keys instead of ranks. Chains of dependencies are followed by
+doubling, so the rounds are logarithmic in the longest chain, and no round has more rows than
+there are dependencies.
 """
 
 from __future__ import annotations
@@ -66,8 +67,11 @@ def ordered(linked: DataFrame) -> DataFrame:
     and stay unordered, at their own position. ``unresolved`` counts dependencies on calls that
     the conversation does not have. A null position counts as -1.
 
-    Conversations in which calls depend on earlier ones only are in order as they are. For the
-    others, round k holds the pairs of calls that are 2 ** k dependencies apart.
+    Conversations in which calls depend on earlier ones only are in order as they are. In the
+    others a call is settled when all it needs is, and in the same round each dependency on a
+    call that waits for one other only is moved on to that one. A round that settles no call
+    leaves those on or behind cycles. A graph that branches again and again along its whole
+    depth, where no call waits for one other only, takes a round for each level.
     """
     nodes = linked.where("call is not null").select(*KEY, F.coalesce("call.pos", F.lit(-1)).alias("pos"), "call.depends_on")
     there = nodes.select("conv_id", F.col("call_id").alias("needs"), F.col("pos").alias("at"))
@@ -75,24 +79,34 @@ def ordered(linked: DataFrame) -> DataFrame:
     edges = stored(edges.join(there, ["conv_id", "needs"], "left"), "edges")
     missing = edges.where("at is null").groupBy(*KEY).agg(F.count("*").alias("unresolved"))
     ahead = edges.where("at >= pos").select("conv_id").distinct()
-    sizes = nodes.join(ahead, "conv_id", "left_semi").groupBy("conv_id").agg(F.count("*").alias("calls"))
-    pairs = edges.where("at is not null").select("conv_id", "call_id", "needs").join(sizes, "conv_id")
-    pairs = stored(pairs, "pairs")
-    # reach: the latest position within so many dependencies, and the longest chain up to their number
-    near = edges.where("at is not null").join(ahead, "conv_id", "left_semi").groupBy(*KEY).agg(F.max("at").alias("latest"))
-    state = stored(near.select(*KEY, "latest", F.lit(1).cast("long").alias("chain"), F.lit(False).alias("cyclic")), "reach")
-    length = 1
-    while pairs.limit(1).count():
-        stuck = pairs.where(F.col("calls") <= length).select(*KEY, F.lit(True).alias("stuck")).distinct()
-        on = stored(pairs.where(F.col("calls") > length), "pairs")
-        behind = state.select("conv_id", F.col("call_id").alias("needs"), F.col("latest").alias("later"), F.col("chain").alias("more"))
-        further = on.join(behind, ["conv_id", "needs"]).groupBy(*KEY).agg(F.max("later").alias("later"), F.max("more").alias("more"))
-        state = stored(state.join(further, KEY, "left").join(stuck, KEY, "left").select(
-            *KEY, F.greatest("latest", "later").alias("latest"),
-            F.greatest("chain", F.col("more") + length).alias("chain"), (F.col("cyclic") | F.col("stuck").isNotNull()).alias("cyclic")), "reach")
-        ends = on.select("conv_id", F.col("call_id").alias("needs"), F.col("needs").alias("end"))
-        pairs = stored(on.join(ends, ["conv_id", "needs"]).select("conv_id", "call_id", F.col("end").alias("needs"), "calls").distinct(), "pairs")
-        length *= 2
+    # waits: chain and latest of a call are at least steps more than those of the call it needs, and at
+    waits = stored(edges.where("at is not null").join(ahead, "conv_id", "left_semi").select(
+        *KEY, "needs", F.lit(1).cast("long").alias("steps"), "at"), "waits")
+    waiting = waits.select(*KEY, F.lit(True).alias("waiting")).distinct()
+    state = stored(nodes.select(*KEY).join(ahead, "conv_id", "left_semi").join(waiting, KEY, "left").select(
+        *KEY, F.lit(0).cast("long").alias("chain"), F.lit(None).cast("long").alias("latest"), F.col("waiting").isNull().alias("settled")), "state")
+    settled = 1
+    while settled:
+        needed = state.select("conv_id", F.col("call_id").alias("needs"), F.col("chain").alias("c"), F.col("latest").alias("l"), F.col("settled").alias("over"))
+        one = F.when(F.count("*") == 1, F.min(F.struct("needs", "steps", "at")))
+        onward = waits.groupBy(*KEY).agg(one.alias("on")).where("on is not null").select("conv_id", F.col("call_id").alias("needs"), "on")
+        moved = waits.join(needed, ["conv_id", "needs"]).join(onward, ["conv_id", "needs"], "left")
+        goes = F.col("on").isNotNull() & (F.col("on.needs") != F.col("needs"))
+        reached = F.col("over") | goes
+        moved = stored(moved.select(
+            *KEY, F.when(reached, F.col("steps") + F.col("c")).alias("chain"), F.when(reached, F.greatest("at", "l")).alias("latest"),
+            F.when(~F.col("over"), F.when(goes, F.col("on.needs")).otherwise(F.col("needs"))).alias("needs"),
+            # along a cycle steps would double without end
+            F.when(goes, F.least(F.col("steps") + F.col("on.steps"), F.lit(1 << 40))).otherwise(F.col("steps")).alias("steps"),
+            F.when(goes, F.greatest("at", "on.at")).otherwise(F.col("at")).alias("at")), "moved")
+        waits = stored(moved.where("needs is not null").groupBy(*KEY, "needs").agg(F.max("steps").alias("steps"), F.max("at").alias("at")), "waits")
+        more = moved.groupBy(*KEY).agg(F.max("chain").alias("c"), F.max("latest").alias("l"), F.count("needs").alias("left"))
+        new = state.join(more, KEY, "left").select(
+            *KEY, F.greatest("chain", "c").alias("chain"), F.greatest("latest", "l").alias("latest"), F.col("settled").alias("before"),
+            (F.col("settled") | (F.coalesce("left", F.lit(0)) == 0)).alias("settled"))
+        new = stored(new, "state")
+        settled, state = new.where("settled and not before").limit(1).count(), new.drop("before")
+    state = state.withColumn("cyclic", ~F.col("settled"))
     cyclic = F.coalesce("cyclic", F.lit(False))
     late = ~cyclic & F.coalesce(F.col("latest") >= F.col("pos"), F.lit(False))
     return nodes.join(state, KEY, "left").join(missing, KEY, "left").select(
