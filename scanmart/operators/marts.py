@@ -48,19 +48,36 @@ LISTED = (("technologies", "detected_technologies"), ("services", "detected_serv
 MAIN = -1  # kind of the one row per observation that carries the additive measures
 
 
+# additive measures of the first level: (output, how it is merged)
+MEASURES = (("first_seen", "min"), ("last_seen", "max"), ("observation_count", "sum"), ("cloud_observation_count", "sum"),
+            ("identified_cloud_observation_count", "sum"), ("vulnerability_count", "sum"),
+            ("critical_vulnerability_observations", "sum"), ("high_vulnerability_observations", "sum"),
+            ("eol_observation_count", "sum"), ("exposed_database_count", "sum"), ("exposed_remote_access_count", "sum"))
+#: Columns and types of the first level.
+FACT_SCHEMA = ("domain string, k int, v string, port int, service_category string, country_code string, region_code string, "
+               "cloud_provider string, first_seen timestamp_ntz, last_seen timestamp_ntz, "
+               + ", ".join(f"{name} bigint" for name, how in MEASURES if how == "sum"))
+
+
 def accounts_mart(observations: DataFrame) -> DataFrame:
     """Group observations by registrable domain; 20 aggregates, one scan, no join.
 
+    Two levels: :func:`account_facts` and :func:`accounts_of`."""
+    return accounts_of(account_facts(observations))
+
+
+def account_facts(observations: DataFrame) -> DataFrame:
+    """First level of the account mart: (domain, kind, value, carried values) with additive measures.
+
     Every (domain, observation) row becomes a *main* row (kind -1) with the additive measures
     and the values of bounded vocabularies (port, service category, country, region,
     provider), one row each for its IP and hostname, and one per technology and service.
-    Level 1 groups by (domain, kind, value, carried values) with declarative aggregates only
+    They are grouped by (domain, kind, value, carried values) with declarative aggregates only
     (hash aggregation, combined map-side): main rows fold into one row per combination of
     carried values, the others into one row per distinct value. The shuffle is keyed by the
-    value too, so a hot domain's IPs and hostnames spread over every reducer. Level 2 groups
-    by domain: sums of the main rows, a count per counted kind and sets of bounded
-    vocabularies. No per-domain set of IPs is held anywhere, and an observation makes three
-    rows and its list items (Spark's Expand plan for several DISTINCT aggregates: five).
+    value too, so a hot domain's IPs and hostnames spread over every reducer. An observation
+    makes three rows and its list items (Spark's Expand plan for several DISTINCT aggregates:
+    five). Facts of several sets of observations can be merged (:func:`merged_facts`).
     """
     need = ["timestamp", "ip_str", "hostname", "port", "service_category", "cloud_present", "cloud_provider",
             "country_code", "region_code", "detected_technologies", "detected_services", "vuln_count",
@@ -104,7 +121,7 @@ def accounts_mart(observations: DataFrame) -> DataFrame:
               .select("domain", "k", F.explode_outer(F.coalesce("vs", F.array("v"))).alias("v"), *carried,
                       *[name for name, _ in measures])
               .filter((F.col("k") == MAIN) | F.col("v").isNotNull()))
-    level1 = rows.groupBy("domain", "k", "v", *carried).agg(
+    return rows.groupBy("domain", "k", "v", *carried).agg(
         F.min("ts").alias("first_seen"),
         F.max("ts").alias("last_seen"),
         F.count(F.when(F.col("k") == MAIN, 1)).alias("observation_count"),
@@ -117,13 +134,22 @@ def accounts_mart(observations: DataFrame) -> DataFrame:
         F.sum("db").alias("exposed_database_count"),
         F.sum("remote").alias("exposed_remote_access_count"),
     )
-    sums = ("observation_count", "cloud_observation_count", "identified_cloud_observation_count",
-            "vulnerability_count", "critical_vulnerability_observations", "high_vulnerability_observations",
-            "eol_observation_count", "exposed_database_count", "exposed_remote_access_count")
-    agg = level1.groupBy("domain").agg(
+
+
+def merged_facts(facts: DataFrame) -> DataFrame:
+    """The facts of the union of the observations that ``facts`` come from (several rows for one key as one)."""
+    merge = {"min": F.min, "max": F.max, "sum": F.sum}
+    return facts.groupBy("domain", "k", "v", *(c for _, c, _, _ in CARRIED)).agg(*(merge[how](name).alias(name) for name, how in MEASURES))
+
+
+def accounts_of(facts: DataFrame) -> DataFrame:
+    """Second level of the account mart, by domain: sums of the main rows, a count per counted kind
+    and sets of bounded vocabularies. No per-domain set of IPs is held anywhere."""
+    n = len(COUNTED)
+    agg = facts.groupBy("domain").agg(
         F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"),
-        *[F.sum(c).cast("bigint").alias(c) for c in sums],
+        *[F.sum(c).cast("bigint").alias(c) for c, how in MEASURES if how == "sum"],
         *[F.count_if(F.col("k") == i).cast("bigint").alias(name) for i, (name, _) in enumerate(COUNTED)],
         *[F.array_sort(F.collect_set(c)).alias(name) for name, c, _, _ in CARRIED],
         *[F.array_sort(F.collect_list(F.when(F.col("k") == n + j, F.col("v")))).alias(name)

@@ -14,10 +14,11 @@ costs no more than one partial row per task) and key joins.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanmart.functions import constants as K
+from scanmart.sources import buckets
 
 FIELDS = ("owner", "status", "notes", "next_action", "next_action_date")
 
@@ -65,6 +66,35 @@ def apply_changes(saved: DataFrame, changes: DataFrame) -> DataFrame:
     return untouched.select("domain", "saved_at", *FIELDS).unionByName(resolved)
 
 
+ROW_TYPE = "domain string, saved_at string, " + ", ".join(f"{f} string" for f in FIELDS)
+
+
+def start_workspace(saved: DataFrame, base: str, count: int = buckets.BUCKETS) -> None:
+    """``saved`` as a stored workspace in hash buckets of the domain, version 0 (:mod:`scanmart.sources.buckets`)."""
+    buckets.start(saved.sparkSession, base)
+    written = buckets.write(saved.select("domain", "saved_at", *FIELDS), base, "domain", 0, count)
+    buckets.commit(written, base, list(range(count)), 0)
+
+
+def stored_workspace(spark: SparkSession, base: str) -> DataFrame:
+    return buckets.read(spark, base, ROW_TYPE)
+
+
+def upsert(changes: DataFrame, base: str, version: int, count: int = buckets.BUCKETS) -> int:
+    """Applies a change batch to the stored workspace as ``version`` (1, 2, ...); the number of buckets that it rewrote.
+
+    Only the buckets of the changed domains are read and written. A batch whose updates are all
+    invalid changes nothing. A version that is applied again after a failure gives the same."""
+    spark = changes.sparkSession
+    valid = changes.filter((F.col("op") != "update") | _valid_status())
+    made = buckets.touched(valid, "domain", count)
+    if made:
+        old = buckets.read(spark, base, ROW_TYPE, made, version)
+        written = buckets.write(apply_changes(old, valid), base, "domain", version, count)
+        buckets.commit(written, base, made, version)
+    return len(made)
+
+
 def saved_from_customers(customer: DataFrame) -> DataFrame:
     """Saved rows derived from customers (all text columns, as the workspace stores)."""
     return customer.select(

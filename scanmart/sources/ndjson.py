@@ -37,11 +37,11 @@ def read_lines(spark: SparkSession, path: str, partitions: int | None = None, sp
 
     A zstd file without the ``.zst`` extension would be read as garbage text: its first
     line fails the job, whatever store it is in."""
-    df = _text(spark.read.text(path)).drop("split")
+    df = text_lines(spark.read.text(path)).drop("split")
     return spread(df, partitions) if spread_out else df
 
 
-def _text(df: DataFrame) -> DataFrame:
+def text_lines(df: DataFrame) -> DataFrame:
     """(file, split, line) of a text scan without its blank lines."""
     packed = F.hex(F.substring(F.col("value").cast("binary"), 1, 4)) == ZSTD_MAGIC
     df = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.when(
@@ -113,5 +113,5 @@ def read_numbered_records(spark: SparkSession, path: str, strict: bool = True,
 
     Object lines are numbered on the unshuffled scan, then spread and parsed; lines that
     are no objects do not consume sequence numbers."""
-    scan = object_lines(_text(spark.read.text(path)), strict)
+    scan = object_lines(text_lines(spark.read.text(path)), strict)
     return parse_records(spread(with_sequence(scan), partitions, probe=scan), strict)
