@@ -777,6 +777,6 @@ def q_cost_model(spark, d):
 
 
 # ------------------------------------------------------------------ queries with their SQL beside them
-from scanmart.plans import incremental, suffix_cases  # noqa: E402
+from scanmart.plans import incremental, sketch_queries, suffix_cases  # noqa: E402
 
-QUERIES |= suffix_cases.QUERIES | incremental.QUERIES
+QUERIES |= suffix_cases.QUERIES | incremental.QUERIES | sketch_queries.QUERIES

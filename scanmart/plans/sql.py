@@ -568,6 +568,6 @@ ORACLE["first_samples"] = "SELECT sequence, canonical_json AS record FROM (" + O
     ") ORDER BY sequence LIMIT 3"
 
 # ------------------------------------------------------------------ SQL kept beside its queries
-from scanmart.plans import incremental, suffix_cases  # noqa: E402
+from scanmart.plans import incremental, sketch_queries, suffix_cases  # noqa: E402
 
-ORACLE |= suffix_cases.ORACLE | incremental.sql(ORACLE)
+ORACLE |= suffix_cases.ORACLE | incremental.sql(ORACLE) | sketch_queries.sql(ORACLE)
