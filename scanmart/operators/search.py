@@ -61,17 +61,40 @@ def search_accounts(accounts: DataFrame, question: str, limit: int = 80) -> Data
 
 
 # ------------------------------------------------------------------ many questions (M2)
-def _substrings_of_lengths(text: Column, lengths: Column) -> Column:
-    """Distinct substrings of ``text`` whose length is one of ``lengths`` (array<int>)."""
-    n = F.length(text)
-    return F.flatten(F.transform(F.filter(lengths, lambda L: L <= n), lambda L: F.transform(
-        F.sequence(F.lit(1), n - L + 1), lambda i: F.substring(text, i, L))))
+#: Letters of the grams that texts are found by; shorter terms are grams themselves.
+GRAM = 3
 
 
-def _word_substrings(text: Column, lengths: Column) -> Column:
-    """Substrings (of the given lengths) of every [a-z0-9.-] word of ``text``."""
-    words = F.filter(F.split(text, TOKEN_SPLIT), lambda w: F.length(w) > 0)
-    return F.array_distinct(F.flatten(F.transform(words, lambda w: _substrings_of_lengths(w, lengths))))
+def _grams(text: Column, lengths: Column) -> Column:
+    """Distinct substrings of ``text`` whose length is one of ``lengths`` (array<int>, at most ``GRAM`` of them)."""
+    n = F.length(text)
+    return F.array_distinct(F.flatten(F.transform(F.filter(lengths, lambda L: L <= n), lambda L: F.transform(
+        F.sequence(F.lit(1), n - L + 1), lambda i: F.substring(text, i, L)))))
+
+
+def text_matches(accounts: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
+    """(s, kind, domain, _score): for each term its first ``limit`` accounts (score desc, domain asc) that contain it.
+
+    accounts: domain, _score, _dom and _hay (texts in lower case; _dom is the start of _hay);
+    terms: s, kind, distinct; kind ``d`` is sought in _dom, ``h`` in _hay. An account is indexed under
+    those of its grams that some term has; a term is looked up under the rarest of its grams
+    only, and what is found is verified. Terms longer than every text and terms one of whose
+    grams no account has are dropped."""
+    length = F.least(F.length("s"), F.lit(GRAM))
+    longest = accounts.agg(F.max(F.length("_dom")).alias("_d"), F.max(F.length("_hay")).alias("_h"))
+    terms = attach(terms.where("s <> ''"), longest).where(
+        F.length("s") <= F.when(F.col("kind") == "d", F.col("_d")).otherwise(F.col("_h"))).select("s", "kind")
+    spelled = terms.select("s", "kind", F.explode(_grams(F.col("s"), F.array(length))).alias("g"))
+    index = accounts.select("domain", "_score", "_dom", "_hay", F.explode(_grams(F.col("_hay"), F.array(*map(F.lit, range(1, GRAM + 1))))).alias("g"))
+    index = index.join(spelled.select("g").distinct(), "g", "left_semi")
+    often = index.groupBy("g").agg(F.count(F.lit(1)).alias("_often"))
+    rarest = spelled.join(often, "g", "left").groupBy("s", "kind").agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("n"), "g")).alias("r"))
+    found = rarest.where("r.n > 0").select("s", "kind", F.col("r.g").alias("g")).join(index, "g")
+    found = found.where(F.when(F.col("kind") == "d", F.col("_dom").contains(F.col("s"))).otherwise(F.col("_hay").contains(F.col("s"))))
+    # exact: a question's first `limit` over the union of its terms' matches are among each
+    # term's first `limit` (planned as WindowGroupLimit: trimmed before the shuffle)
+    w = Window.partitionBy("s", "kind").orderBy(F.desc("_score"), F.asc("domain"))
+    return found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit).select("s", "kind", "domain", "_score")
 
 
 def top_list(df: DataFrame, limit: int, score: str, out: str = "top") -> DataFrame:
@@ -86,10 +109,9 @@ def search_batch(accounts: DataFrame, questions: DataFrame, limit: int = 80,
                  id_col: str = "question_id", text_col: str = "question") -> DataFrame:
     """Search for a whole table of questions without a questions x accounts product.
 
-    * substring rules become equi-joins: every account emits the substrings of its
-      haystack words (bounded by word length), every question emits its tokens and its
-      full text; match = equal strings; each term keeps only its top-``limit`` accounts
-      (exact: the top of a union lies in the union of the tops);
+    * substring rules (:func:`text_matches`): each distinct term of all questions is looked
+      up once, under its rarest gram, in a gram index of the accounts, and verified; each
+      term keeps only its top-``limit`` accounts, joined back to the questions by the term;
     * keyword rules are per (question, keyword group): each group's top-``limit``
       accounts are ranked once and joined to the questions that mention the group;
     * questions with no match take the global top-``limit`` (a bounded, broadcast list).
@@ -108,30 +130,9 @@ def search_batch(accounts: DataFrame, questions: DataFrame, limit: int = 80,
         F.transform(F.filter(toks, lambda t: t.contains(".")), lambda t: F.struct(t.alias("s"), F.lit("d").alias("kind"))),
         F.transform(F.filter(toks, lambda t: F.length(t) >= 3), lambda t: F.struct(t.alias("s"), F.lit("h").alias("kind"))))
     q_terms = q.select("question_id", F.explode(qterms).alias("t")).select("question_id", "t.s", "t.kind").distinct()
-    # the term lengths that occur at all, per kind: a 1-row frame of two small int arrays
-    # (at most one entry per distinct length), attached to the account side so each
-    # account emits only substrings of those lengths - O(word length x lengths) rows
-    # instead of every substring
-    lengths = q_terms.agg(
-        F.array_sort(F.collect_set(F.when(F.col("kind") == "d", F.length("s")))).alias("_dlen"),
-        F.array_sort(F.collect_set(F.when(F.col("kind") == "h", F.length("s")))).alias("_hlen"))
-    dom = F.lower(F.coalesce(F.col("domain"), F.lit("")))
-    # one pass over the accounts: (term, kind) with kind d = substring of the domain
-    # (full-question and dotted-token rules), h = substring (>= 3) of a haystack word
-    terms = F.concat(
-        F.transform(F.array_distinct(_substrings_of_lengths(dom, F.col("_dlen"))),
-                    lambda x: F.struct(x.alias("s"), F.lit("d").alias("kind"))),
-        F.transform(_word_substrings(haystack(), F.col("_hlen")),
-                    lambda x: F.struct(x.alias("s"), F.lit("h").alias("kind"))))
-    acc_terms = (attach(acc, lengths).select("domain", "_score", F.explode(terms).alias("t"))
-                 .select("domain", "_score", "t.s", "t.kind"))
-    # exact pruning: a question's top-`limit` over the union of its terms' matches lies in
-    # the union of each term's top-`limit`, so every term keeps only its best `limit`
-    # accounts (planned as WindowGroupLimit: trimmed before the shuffle). A term shared by
-    # every domain ("com") then joins at most `limit` rows per question.
-    wt = Window.partitionBy("s", "kind").orderBy(F.desc("_score"), F.asc("domain"))
-    acc_terms = acc_terms.withColumn("_r", F.row_number().over(wt)).filter(F.col("_r") <= limit).drop("_r")
-    text_matches = q_terms.join(acc_terms, ["s", "kind"]).select("question_id", "domain", "_score")
+    texts = acc.select("domain", "_score", F.lower(F.coalesce(F.col("domain"), F.lit(""))).alias("_dom"), haystack().alias("_hay"))
+    by_term = text_matches(texts, q_terms.select("s", "kind").distinct(), limit)
+    matched = q_terms.join(by_term, ["s", "kind"]).select("question_id", "domain", "_score")
 
     # keyword groups: group-level top-`limit` lists (bounded: groups x limit rows)
     gids = F.filter(F.array(*[F.when(F.coalesce(F.col(f), F.lit(0)) > 0, F.lit(gi))
@@ -150,7 +151,7 @@ def search_batch(accounts: DataFrame, questions: DataFrame, limit: int = 80,
     qgroups = q.select("question_id", F.explode(qgids).alias("group_id"))
     kw_matches = qgroups.join(group_top, "group_id").select("question_id", "domain", "_score")
 
-    matches = text_matches.unionByName(kw_matches).distinct()
+    matches = matched.unionByName(kw_matches).distinct()
     w = Window.partitionBy("question_id").orderBy(F.desc("_score"), F.asc("domain"))
     ranked = matches.withColumn("search_rank", F.row_number().over(w)).filter(F.col("search_rank") <= limit)
 

@@ -232,7 +232,8 @@ def user_questions(spark, d):
 
 @register("search_batch")
 def q_search_batch(spark, d):
-    return SE.search_batch(scored(spark, d), user_questions(spark, d), 80)
+    """All user turns as questions to the written scored accounts."""
+    return SE.search_batch(written(spark, d, "scored", scored), user_questions(spark, d), 80)
 
 
 @register("explore_evidence")
@@ -501,7 +502,7 @@ def responses_with_fallback(spark, d):
     """Assistant turns as model responses; fallback = first 15 search results for the
     user question just before it (a bounded list per response)."""
     conv = table(spark, d, "conversations")
-    sb = SE.search_batch(scored(spark, d), user_questions(spark, d), 80).filter(F.col("search_rank") <= 15)
+    sb = q_search_batch(spark, d).filter(F.col("search_rank") <= 15)
     fb = sb.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("search_rank", "domain"))),
                                                    lambda s: s["domain"]).alias("fallback"))
     resp = conv.filter(F.col("role") == "assistant").select(
@@ -528,7 +529,7 @@ def q_payload_parse(spark, d):
 
 
 def allowed_answers(spark, d):
-    found = SE.search_batch(scored(spark, d), user_questions(spark, d), 80).select(
+    found = q_search_batch(spark, d).select(
         (F.col("question_id") + 1).alias("response_id"), "domain")
     return EV.allowed_domains(EV.parse_payload(answers(spark, d)), "response_id", found)
 
