@@ -95,8 +95,10 @@ def top_canonical(aliases: DataFrame, k: int = 10) -> DataFrame:
 
 
 def counts_top(records: DataFrame, expr: Column, name: str, k: int = 100) -> DataFrame:
-    """Most common values of one expression (nulls/empty dropped)."""
-    c = (records.select(expr.alias(name)).filter(F.col(name).isNotNull() & (F.col(name) != ""))
+    """Most common values of one expression (nulls/empty dropped).
+
+    The expression is evaluated in a generator: a filter on it would be compiled with copies of it."""
+    c = (records.select(F.explode(F.array(expr)).alias(name)).filter(F.col(name).isNotNull() & (F.col(name) != ""))
          .groupBy(name).agg(F.count(F.lit(1)).alias("records")))
     return _top(c, None, name, "records", k)
 

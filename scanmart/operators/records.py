@@ -94,8 +94,9 @@ def technologies(v: Column) -> Column:
 
 
 def records_to_observations(records: DataFrame, extra_rules=(), seq_col: str = "sequence",
-                            v_col: str = "v", nfkc: bool = True) -> DataFrame:
-    """64-column observation rows; ``extra_rules`` are added to the bundled suffix rules."""
+                            v_col: str = "v", nfkc: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """64-column observation rows; ``extra_rules`` are added to the bundled suffix rules. The columns ``keep`` of the
+    records (none named like an observation's) are handed on after them."""
     v = F.col(v_col)
     r = records
     sets = PSL.rule_sets(extra=extra_rules)
@@ -190,12 +191,13 @@ def records_to_observations(records: DataFrame, extra_rules=(), seq_col: str = "
         canonical_json(vget(v, "$.vulns")).alias("raw_vulns_json"),
         canonical_json(vget(v, "$.http")).alias("raw_http_json"),
         canonical_json(vget(v, "$.ssl")).alias("raw_ssl_json"),
+        *keep,
     )
     from scanmart.operators.observations import with_service_columns
 
     out = with_service_columns(out)
     out = with_canonical_org(out, "org", "canonical_org", nfkc=nfkc)
-    return out.select(*OBSERVATION_COLUMNS)
+    return out.select(*OBSERVATION_COLUMNS, *keep)
 
 
 # ------------------------------------------------------------------ organisation names

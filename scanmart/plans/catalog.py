@@ -160,7 +160,12 @@ def q_account_evidence(spark, d):
 
 
 def context(spark, d):
-    return CX.account_context(top(spark, d), signals(spark, d), evidence(spark, d))
+    """The contexts from the written observations, as the batch job has them: they are derived once, and the mart and the
+    evidence each read their own columns of them."""
+    obs = written(spark, d, "observations", observations)
+    marts = _shared(spark, d, "accounts of written observations", lambda: M.accounts_mart(obs))
+    selected = CX.top_accounts(SC.scored_accounts(marts), TOP_N)
+    return CX.account_context(selected, S.account_signals(marts), CX.account_evidence(obs, selected, EVIDENCE_PER_ACCOUNT))
 
 
 @register("account_context")
@@ -236,6 +241,12 @@ def q_search_batch(spark, d):
     return SE.search_batch(written(spark, d, "scored", scored), user_questions(spark, d), 80)
 
 
+@register("search_batch_many")
+def q_search_batch_many(spark, d):
+    """The same questions to many accounts."""
+    return SE.search_batch(written(spark, d, "scored_many", lambda s, x: SC.scored_accounts(many_accounts(s, x))), user_questions(spark, d), 80)
+
+
 @register("explore_evidence")
 def q_explore_evidence(spark, d):
     found = SE.search_accounts(scored(spark, d), QUESTIONS["search_keyword"], 80).limit(25)
@@ -711,9 +722,9 @@ def q_read_accounts(spark, d):
 
 @register("read_account_signals")
 def q_read_account_signals(spark, d):
-    """The signals of the first account by name, from the written marts."""
-    first = written(spark, d, "scored", scored).agg(F.min("domain")).scalar()
-    return written(spark, d, "signals", signals).filter(F.col("domain") == first)
+    """The signals of one account, from the written mart: its name is looked up once a session, and the filter reaches the scan."""
+    name = _shared(spark, d, "first account", lambda: written(spark, d, "scored", scored).agg(F.min("domain")).first()[0])
+    return written(spark, d, "signals", signals).filter(F.col("domain") == F.lit(name))
 
 
 @register("read_search")
@@ -778,6 +789,6 @@ def q_cost_model(spark, d):
 
 
 # ------------------------------------------------------------------ queries with their SQL beside them
-from scanmart.plans import incremental, sketch_queries, suffix_cases  # noqa: E402
+from scanmart.plans import incremental, report_queries, sketch_queries, suffix_cases  # noqa: E402
 
-QUERIES |= suffix_cases.QUERIES | incremental.QUERIES | sketch_queries.QUERIES
+QUERIES |= suffix_cases.QUERIES | incremental.QUERIES | sketch_queries.QUERIES | report_queries.QUERIES

@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from scanmart.operators import context as CX
 from scanmart.operators import marts as M
 from scanmart.operators import profiling as P
 from scanmart.operators import records as R
+from scanmart.operators import reports as RP
 from scanmart.operators import scoring as SC
 from scanmart.operators import signals as S
 from scanmart.sources import ndjson as N
@@ -36,6 +37,34 @@ def build_observations(spark: SparkSession, source: str, output: str, rows_per_f
     return sinks.write_parquet(obs, output, rows_per_file=rows_per_file)
 
 
+def build_with_quarantine(spark: SparkSession, source: str, output: str, rows_per_file: int = 50_000,
+                          partitions: int | None = None, extra_rules=()) -> dict[str, int]:
+    """Records -> observations, and lines that hold none -> quarantine, in one write and one parse of each line.
+
+    Both are folders of one table (``kind=observations`` and ``kind=quarantine``); the numbers of
+    either are observed by the write. ``sequence`` numbers all non-blank lines in file order, so a
+    record's number is that of the strict build where no line is invalid."""
+    lines = N.numbered_lines(spark, source)
+    rows = N.with_reason(N.spread(lines, partitions, probe=spark.read.text(source)))
+    kept = rows.withColumn("line_file", F.when(F.col("reason").isNotNull(), F.col("file"))).withColumn(
+        "line", F.when(F.col("reason").isNotNull(), F.col("line"))).withColumnRenamed("sequence", "line_number")
+    out = R.records_to_observations(kept, extra_rules, seq_col="line_number", keep=("line_file", "line_number", "line", "reason"))
+    seen = Observation("ingest")
+    out = out.observe(seen, F.count_if(F.col("reason").isNull()).alias("records"), F.count("reason").alias("invalid_lines"))
+    out = out.withColumn("kind", F.when(F.col("reason").isNull(), "observations").otherwise("quarantine"))
+    out.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).partitionBy("kind").parquet(output)
+    return {k: int(v) for k, v in seen.get.items()}
+
+
+def built_observations(spark: SparkSession, output: str) -> DataFrame:
+    return spark.read.parquet(output).where("kind = 'observations'").select(*R.OBSERVATION_COLUMNS)
+
+
+def quarantined(spark: SparkSession, output: str) -> DataFrame:
+    """(file, line_number, line, reason) of the lines that hold no record."""
+    return spark.read.parquet(output).where("kind = 'quarantine'").select(F.col("line_file").alias("file"), "line_number", "line", "reason")
+
+
 def build_marts(spark: SparkSession, observations: str, output: str) -> dict[str, int]:
     obs = spark.read.parquet(observations)
     return {
@@ -65,49 +94,21 @@ def build_context(spark: SparkSession, marts: str, observations: str, output: st
 
 
 def profile_report(records: DataFrame, top_values: int = 10) -> dict[str, DataFrame]:
-    """Field profile report (presence, types, top values, organisation aliases)."""
-    aliases = P.org_aliases(records)
-    return {
-        "field_presence": P.field_presence(records),
-        "field_types": P.field_types(records),
-        "top_values": P.value_top(records, k=top_values),
-        "organization_canonicalization": P.org_canonicalization(aliases),
-        "top_canonical": P.top_canonical(aliases, top_values),
-        "aliases": P.alias_lists(aliases, top_values),
-    }
+    """Field profile report (presence, types, top values, organisation aliases), one pass over the records."""
+    return RP.profile_report(records, top_values)
 
 
 def nested_report(lines: DataFrame, sample_size: int = 8000, seed: int = 42) -> dict[str, DataFrame]:
-    """Nested-field report over a deterministic sample of lines (exact size)."""
-    sample = P.sample_fixed(lines, sample_size, seed)
-    records = N.parse_records(sample, strict=False).cache()
-    return {
-        "vulns": P.vuln_profile(records),
-        "vuln_detail_keys": P.vuln_detail_keys(records),
-        "domains_hostnames": P.list_lengths(records),
-        "identity_resolution": P.identity_profile(records),
-        "top_domains": P.domain_top(records),
-        "tags_top100": P.tag_top(records),
-        "technologies": P.technology_presence(records),
-        "technology_pairs": P.technology_cooccurrence(records),
-        "technologies_above_100": P.technologies_above(records),
-        "technology_examples": P.technology_examples(records, order="file"),
-        "vuln_value_types": P.vuln_value_types(records),
-        "list_maxima": P.list_maxima(records),
-        "ports": P.port_top(records),
-        "organizations": P.org_top(records),
-        "products": P.product_top(records),
-        "nested_fields": P.nested_structure(records),
-        "totals": lines.agg(F.count(F.lit(1)).alias("total_records_streamed"))
-                       .withColumn("sample_size", F.lit(sample_size)),
-    }
+    """Nested-field report over a deterministic sample of lines (exact size), one pass over the sample."""
+    records = N.parse_records(P.sample_fixed(lines, sample_size, seed), strict=False)
+    return RP.nested_report(records, order="file") | {
+        "totals": lines.agg(F.count(F.lit(1)).alias("total_records_streamed")).withColumn("sample_size", F.lit(sample_size))}
 
 
 def schema_report(lines: DataFrame) -> dict[str, DataFrame]:
-    """Schema discovery over every record plus the invalid-line count."""
+    """Schema discovery over every record, the invalid-line count and the first records."""
     records = N.parse_records(lines, strict=False)
-    return {"keys": P.schema_discovery(records), "lines": N.line_quality(lines),
-            "samples": P.first_samples(records, 3, order="file")}
+    return RP.schema_report(lines) | {"samples": P.first_samples(records, 3, order="file")}
 
 
 def throughput(spark: SparkSession, path: str) -> dict:

@@ -568,6 +568,7 @@ ORACLE["first_samples"] = "SELECT sequence, canonical_json AS record FROM (" + O
     ") ORDER BY sequence LIMIT 3"
 
 # ------------------------------------------------------------------ SQL kept beside its queries
-from scanmart.plans import incremental, sketch_queries, suffix_cases  # noqa: E402
+from scanmart.plans import incremental, report_queries, sketch_queries, suffix_cases  # noqa: E402
 
-ORACLE |= suffix_cases.ORACLE | incremental.sql(ORACLE) | sketch_queries.sql(ORACLE)
+ORACLE["search_batch_many"] = ORACLE["search_batch"].replace(with_ctes(ADAPTER, ACCOUNTS, SCORED), with_ctes(ADAPTER, _MANY, _MANY_ACCOUNTS, SCORED))
+ORACLE |= suffix_cases.ORACLE | incremental.sql(ORACLE) | sketch_queries.sql(ORACLE) | report_queries.sql(ORACLE)

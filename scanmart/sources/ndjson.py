@@ -106,6 +106,22 @@ def with_sequence(scan: DataFrame, name: str = "sequence") -> DataFrame:
     return out.withColumn(name, number.cast("long")).drop("split", "_at", "_offset", "_first")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, sequence): all non-blank lines, numbered 0.. in file order on the unshuffled scan."""
+    return with_sequence(text_lines(spark.read.text(path)))
+
+
+def with_reason(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``v``, the line parsed tolerantly, and ``reason``: null for an object, else why it is none.
+
+    ``malformed`` is no JSON; ``not an object`` names what the JSON is. Each line is parsed once."""
+    allow_duplicate_keys(lines.sparkSession)
+    rows = lines.withColumn("v", F.try_parse_json("line"))
+    kind = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)
+    return rows.withColumn("reason", F.when(F.col("v").isNull(), "malformed").when(
+        kind != "OBJECT", F.concat(F.lit("not an object: "), F.lower(kind))))
+
+
 def read_numbered_records(spark: SparkSession, path: str, strict: bool = True,
                           partitions: int | None = None) -> DataFrame:
     """Object records numbered 0.. in file order (the reference's running sequence),
