@@ -72,7 +72,7 @@ def test_a_report_set_reads_the_records_once(spark, monkeypatch):
                  lambda: RP.nested_report(N.parse_records(lines, strict=False), order="file")):
         report = make()
         assert len(plans) == 1 and len(re.findall(r"Relation", plans.pop())) == 1
-        assert not any(" text" in plan_of(df) or "parse_json" in plan_of(df) for df in report.values())
+        assert not any(" text" in plan_of(df) or "parseJson" in plan_of(df) for df in report.values())
 
 
 def test_invalid_lines_are_set_apart_in_one_write(spark):
@@ -95,4 +95,4 @@ def test_invalid_lines_are_set_apart_in_one_write(spark):
     want = R.records_to_observations(N.parse_records(records), PSL.FIXTURE_RULES)
     same(PL.built_observations(spark, f"{run}/out"), want)
     parses = plan_of(N.with_reason(N.numbered_lines(spark, f"{run}/raw")))
-    assert parses.count("parse_json") == 1
+    assert parses.count("parseJson") == 1
