@@ -6,8 +6,10 @@ through it, which gives matching statistics: at each word, the longest stretch e
 that occurs in any template, and on its suffix path the longest for each place of a template.
 A stretch that its own template cannot prolong is a match, also inside a longer one of another;
 long ones are chained per template in the order of both texts, and a template covered to
-``COVERAGE`` or more gives its label and a span. Short names are templates that must occur whole; they end
-at a word if their state is on the suffix path of the state reached there.
+``COVERAGE`` or more gives its label and a span. Names are templates that must occur whole; they end
+at a word if their state is on the suffix path of the state reached there. Base names are
+counted; the further ones, built from the lists below, give their label and a span, of names
+that start at one word the longest.
 
 One narrow pass; words outside the templates reset the automaton, so only the few runs of
 template word pairs are walked.
@@ -63,7 +65,78 @@ TEMPLATES = (
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("lgpl-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+     "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any "
+     "later version."),
+    ("agpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+     "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+     "later version."),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+     "products derived from this software without specific prior written permission."),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+     "which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("eupl-1.2", "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent "
+     "versions of the EUPL (the \"Licence\"); You may not use this work except in compliance with the Licence."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable "
+     "for any damages arising from the use of this software."),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("0bsd", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+)
+# Names in running text, with their labels.
+NAMES = (
+    ("gnu gpl", "gpl"), ("either version 2 of the license", "gpl-2.0"), ("lesser general public license", "lgpl"),
+    ("library general public license", "lgpl"), ("gnu lgpl", "lgpl"), ("affero general public license", "agpl-3.0"), ("gnu agpl", "agpl-3.0"),
+    ("bsd 2 clause", "bsd-2-clause"), ("2 clause bsd", "bsd-2-clause"), ("simplified bsd license", "bsd-2-clause"),
+    ("two clause bsd", "bsd-2-clause"), ("bsd 3 clause", "bsd-3-clause"), ("3 clause bsd", "bsd-3-clause"), ("three clause bsd", "bsd-3-clause"),
+    ("new bsd license", "bsd-3-clause"), ("modified bsd license", "bsd-3-clause"), ("bsd license", "bsd"), ("isc license", "isc"),
+    ("mozilla public license", "mpl-2.0"), ("eclipse public license", "epl"), ("eclipse public license v 2 0", "epl-2.0"),
+    ("eclipse public license 2 0", "epl-2.0"), ("eclipse public license version 2 0", "epl-2.0"), ("eclipse public license v1 0", "epl-1.0"),
+    ("eclipse public license version 1 0", "epl-1.0"), ("european union public licence", "eupl-1.2"), ("european union public license", "eupl-1.2"),
+    ("licensed under the eupl", "eupl-1.2"), ("the unlicense", "unlicense"), ("zlib license", "zlib"), ("boost software license", "bsl-1.0"),
+    ("artistic license", "artistic-2.0"), ("creative commons zero", "cc0-1.0"), ("cc0 1 0 universal", "cc0-1.0"),
+)
+# Licences with versions, whose names are made with the forms below.
+VERSIONED = (
+    ("gpl", "gpl", ("2", "3")), ("gnu general public license", "gpl", ("2", "3")), ("lgpl", "lgpl", ("2 1", "3")),
+    ("lesser general public license", "lgpl", ("2 1", "3")), ("agpl", "agpl", ("3",)), ("affero general public license", "agpl", ("3",)),
+)
+FORMS = ("{} version {}", "{} v{}", "{} {}", "{} {} 0")
+# Creative Commons elements in the order of their names.
+CC_ELEMENTS = (("noncommercial", "nc"), ("noderivatives", "nd"), ("sharealike", "sa"))
+# Identifiers of the SPDX list.
+SPDX = (
+    "0BSD", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0",
+    "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later",
+    "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only",
+    "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "WTFPL", "Zlib",
 )
+#: Notices that a longer name inside them turns into another licence's: label -> starts of the labels that do.
+UNLESS = {"gpl": ("lgpl", "agpl")}
+
+
+def further_names() -> tuple[tuple[str, str], ...]:
+    """(name, label) of all names but the base ones."""
+    out = dict(NAMES)
+    for name, label, versions in VERSIONED:
+        for version in versions:
+            number = version.replace(" ", ".") if " " in version else f"{version}.0"
+            for form in FORMS[:3] if " " in version else FORMS:
+                out[form.format(name, version)] = f"{label}-{number}"
+    for mask in range(1, 8):
+        words, marks = zip(*(e for i, e in enumerate(CC_ELEMENTS) if mask >> i & 1))
+        if {"nd", "sa"} <= set(marks):
+            continue  # there is no such licence
+        label = "-".join(("cc-by", *marks))
+        out["creative commons attribution " + " ".join(words)] = out[label.replace("-", " ")] = label
+    out["creative commons attribution share alike"] = "cc-by-sa"
+    for identifier in SPDX:
+        label = identifier.lower().removesuffix("-only").removesuffix("-or-later")
+        out["spdx license identifier " + " ".join(identifier.lower().replace("-", " ").replace(".", " ").split())] = (
+            label.removesuffix("-4.0") if label.startswith("cc-") else label)
+    return tuple(out.items())
+
+
 #: Words that a match must have to be chained, words between chained matches, and the covered share that counts.
 MIN_MATCH, MAX_GAP, COVERAGE = 3, 12, 0.7
 
@@ -78,13 +151,13 @@ def words_of(text: bytes | None) -> list[bytes]:
 class Automaton:
     """Generalised suffix automaton over word numbers, with the templates' places at each state."""
 
-    def __init__(self, phrases=PHRASES, templates=TEMPLATES):
+    def __init__(self, phrases=PHRASES, templates=TEMPLATES, names=()):
         self.numbers: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.size = [-1], [0]
-        self.labels = [label for _, label in phrases] + [label for label, _ in templates]
-        self.n_phrases = len(phrases)
-        texts = [text for text, _ in phrases] + [text for _, text in templates]
+        self.labels = [label for _, label in (*phrases, *names)] + [label for label, _ in templates]
+        self.n_base, self.n_phrases = len(phrases), len(phrases) + len(names)
+        texts = [text for text, _ in (*phrases, *names)] + [text for _, text in templates]
         self.rows = [[self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(t.encode())] for t in texts]
         for row in self.rows:
             last = 0
@@ -207,14 +280,16 @@ def _apart(chains: Iterator[tuple[int, int, int]]) -> list[tuple[int, int, int]]
 def licences(text: bytes | None, automaton: Automaton) -> tuple[int, list[tuple[int, int]], list[tuple[int, int, int, float]]]:
     """(words, [(phrase, first word)], [(template, first word, end, coverage)]) of a text."""
     words = words_of(text)
-    names, matches = [], {}
+    names, further, matches = [], {}, {}
     for first, numbers in automaton.runs(words):
         steps = list(automaton.walk(first, numbers))
         for k, (at, state, length) in enumerate(steps):
             for phrase in automaton.whole[state]:
                 size = len(automaton.rows[phrase])
-                if size <= length:
+                if size <= length and phrase < automaton.n_base:
                     names.append((phrase, at - size + 1))
+                elif size <= length:  # of names at one place the longest, which comes last
+                    further[at - size + 1] = (phrase, at + 1)
             if length >= MIN_MATCH:
                 coming = numbers[k + 1] if k + 1 < len(numbers) else -1
                 for t, end, size, follow in automaton.stops[state]:
@@ -226,20 +301,25 @@ def licences(text: bytes | None, automaton: Automaton) -> tuple[int, list[tuple[
         size = len(automaton.rows[t])
         for covered, a, b in _apart(c for c in _chains(found, size) if c[0] >= COVERAGE * size):
             spans.append((t, a, b, min(1.0, covered / size)))
+    found = [(p, a, b, 1.0) for a, (p, b) in further.items()]
+    spans = [x for x in spans if not any(
+        x[1] <= a and b <= x[2] and automaton.labels[p].startswith(UNLESS.get(automaton.labels[x[0]], ())) for p, a, b, _ in found)] + found
     return len(words), names, sorted(spans, key=lambda s: (s[1], s[2], s[0]))
 
 
-def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
+def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, more_names=None) -> DataFrame:
     """One row per row: base places, labels, template spans and a score.
 
     (doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans); the
     score is the largest covered share of a template, 1 for a whole name, 0 for none. Null
-    and empty texts have no words; repeated rows stay; an empty table gives an empty result;
-    other columns are ignored.
+    and empty texts have no words; texts of any length are streamed through the automaton; of
+    chains that overlap the one that covers more stays, of equal ones the one that ends first;
+    repeated rows stay; an empty table gives an empty result; other columns are ignored.
     """
+    more_names = further_names() if more_names is None else more_names
 
     def run(batches):
-        automaton = Automaton(phrases, templates)
+        automaton = Automaton(phrases, templates, more_names)
         for part in sliced(batches):
             out = []
             for text in raw_texts(part):
