@@ -71,9 +71,12 @@ def _has_letter(text: bytes | None) -> bool:
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_texts: int = MAX_TEXTS):
-    """(languages, code, weights, reliability) learned from rows (text, lang), nulls left out."""
-    rows = labelled.where("text is not null and lang is not null and text rlike '\\\\p{L}'").select("text", "lang")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    """(languages, code, weights, reliability) learned from rows (text, lang), nulls left out.
+
+    Copies count once: texts of a language are told apart by a 64-bit hash before they are counted
+    and drawn, so a text with many copies is one text of the sample."""
+    rows = labelled.where("text is not null and lang is not null and text rlike '\\\\p{L}'").select("text", "lang", F.xxhash64("text").alias("_hash"))
+    counts = {r["lang"]: r["count"] for r in rows.select("lang", "_hash").distinct().groupBy("lang").count().collect()}
     languages = sorted(counts)
     code = code_words(len(languages))
     if len(languages) < 2:
@@ -81,8 +84,8 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_texts: int
     take = max(10, min(per_language, max_texts // len(languages)))
     # about twice the texts wanted, then exactly those with the lowest hashes
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, 2 * take / counts[lang] + 0.01))])
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    near = rows.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")] * float(1 << 30))
+    draw = F.pmod(F.col("_hash"), F.lit(1 << 30))
+    near = rows.where(draw < share[F.col("lang")] * float(1 << 30)).groupBy("lang", "_hash").agg(F.min("text").alias("text")).withColumn("draw", draw)
     first = W.partitionBy("lang").orderBy("draw", "text")
     sample = near.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= take).select("text", "lang")
     signs = F.create_map(*[
@@ -117,7 +120,7 @@ def decode(margins: np.ndarray, code: np.ndarray, good: np.ndarray) -> tuple[np.
 def identify(docs: DataFrame, model) -> DataFrame:
     """(doc_id, lang_pred, score, ambiguous) for every row.
 
-    ``und`` with score 0 for null texts and texts without a letter, or if nothing was
+    Texts of any length are taken whole, a slice of bytes at a time. ``und`` with score 0 for null texts and texts without a letter, or if nothing was
     learned; one learned language is every text's. Repeated rows stay; other columns are
     ignored; an empty table gives an empty result.
     """
