@@ -43,6 +43,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot with more rows than this, and than the total divided by half of ``HOT_KEYS``.
+HOT_ROWS, HOT_KEYS = 1000, 1 << 16
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """``left`` joined with ``right``, which has one row per key and in ``weight`` the number of rows of ``left`` with that key.
+
+    Rows of hot keys meet a broadcast copy of their few right rows: as the weights add up to
+    ``total`` at most, there are never more than HOT_KEYS / 2 of them. The others are shuffled,
+    and none of their keys is large. ``weight`` is left out of the result."""
+    limit = max(HOT_ROWS, 2 * total // HOT_KEYS)
+    hot, cold = right.where(F.col(weight) > limit).drop(weight), right.where(F.col(weight) <= limit).drop(weight)
+    if not hot.limit(1).count():
+        return left.join(cold, key)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return left.join(F.broadcast(hot), key).select(*rest.columns).unionByName(rest)
+
+
 def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``limit`` bytes of ``column`` (one row at least)."""
     for batch in batches:

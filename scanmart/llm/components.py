@@ -5,29 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import hot_join, stored
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, m, n): the least neighbour of each node and how many it has."""
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
     return (
-        both.join(least, "u").where("v > u")
+        hot_join(both, stored(_least(both), "least"), "u", "n", 2 * total).where("v > u")
         .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
     )
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.withColumnRenamed("m", "v")).distinct()
+    edges = stored(edges, "large")
+    least = stored(_least(edges), "least")
+    total = least.agg(F.sum("n")).first()[0] or 0
+    moved = hot_join(edges, least, "u", "n", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
     """(node, label) for each node of ``edges`` (u, v long, u > v); label: the smallest node it reaches.
 
     Rounds are logarithmic in the number of nodes; each is a few joins on the edge table,
-    stored in the shared folder, and only a count and a checksum reach the driver. Empty
+    stored in the shared folder, and only counts and a checksum reach the driver. The
+    neighbours of a node with very many are not brought to one task (:func:`hot_join`). Empty
     edges give an empty result.
     """
     edges, seen = stored(edges.select("u", "v").distinct(), "edges"), None
@@ -36,7 +43,7 @@ def component_labels(edges: DataFrame) -> DataFrame:
         if tuple(mark) == seen or not mark[0]:
             break
         seen = tuple(mark)
-        edges = stored(_small_star(_large_star(edges)), "edges")
+        edges = stored(_small_star(_large_star(edges, mark[0])), "edges")
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
         roots.select("node", F.col("node").alias("label"))

@@ -2,11 +2,16 @@
 
 Fingerprints of at most ``max_bits`` differing bits are linked. The 64 bits are cut into
 blocks that may differ in t_1, t_2, ... bits with sum(t_i + 1) = max_bits + 1, so a linked
-pair agrees within t_i in one block at least. In each block the anchors are the words of a
-perfect covering code (a Hamming code on the first bits, all words on the rest; covering
-radius R = 1). A fingerprint's home is its one anchor within R; it is replicated to every
-anchor within R + t_i. A linked pair therefore meets at the home of either side, and there
-homes are compared with all replicas by bit count.
+pair agrees within t_i in one block at least. In each block the anchors are the words of
+perfect covering codes (Hamming codes on the first bits, all words on the rest; covering
+radius R, 1 for each code). A fingerprint's home is its one anchor within 1 of each code; it is
+replicated to the home of every word within t_i of it, anchors within R + t_i. A linked pair
+therefore meets at the home of either side, and there homes are compared with all replicas by
+bit count.
+
+The blocks follow the number of distinct fingerprints. Three blocks have 2 ** 18 anchors at
+most; from ``WIDE_FROM`` on two blocks of 32 bits and two codes have 2 ** 24, with more replicas
+a fingerprint and fewer comparisons an anchor.
 
 Only distinct fingerprints enter, so exact copies cost one row. An anchor's comparison
 emits a spanning forest of its links, never all pairs. Anchors with more homes than
@@ -23,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts, sliced, stored
+from .common import hot_join, raw_texts, sliced, stored
 from .components import component_labels
 
 BITS = 64
@@ -65,40 +70,47 @@ def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text
     return rows.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{c} long" for c in carry)]))
 
 
-def _blocks(max_bits: int) -> list[tuple[int, int, int]]:
-    """(first bit, width, bits that may differ) for each block: at most three."""
-    count = min(3, max_bits + 1)
+#: Distinct fingerprints from which two wide blocks are used.
+WIDE_FROM = 1 << 23
+
+
+def _blocks(max_bits: int, wide: bool = False) -> list[tuple[int, int, int, int]]:
+    """(first bit, width, bits that may differ, Hamming codes) for each block: at most three, or two wide ones."""
+    count = min(2 if wide else 3, max_bits + 1)
     shares = [(max_bits + 1) // count + (i < (max_bits + 1) % count) for i in range(count)]
     widths = [BITS // count + (i < BITS % count) for i in range(count)]
     if count == 3:
         widths = [22, 22, 20]
     starts = np.cumsum([0, *widths[:-1]]).tolist()
-    return [(s, w, share - 1) for s, w, share in zip(starts, widths, shares)]
-
-
-def _homes(words: np.ndarray, width: int) -> np.ndarray:
-    """The anchor nearest to each word: the Hamming syndrome names the bit to flip, if any."""
-    r = 4 if width >= 15 else 3 if width >= 7 else 2 if width >= 3 else 0
-    out, syndrome = words.copy(), np.zeros(words.shape, np.uint64)
-    for j in range(r):
-        mask = np.uint64(sum(1 << (i - 1) for i in range(1, 1 << r) if i >> j & 1))
-        syndrome |= (np.bitwise_count(words & mask).astype(np.uint64) & np.uint64(1)) << np.uint64(j)
-    hit = syndrome > 0
-    out[hit] ^= np.uint64(1) << (syndrome[hit] - np.uint64(1))
+    return [(s, w, share - 1, 2 if wide and w >= 30 else 1) for s, w, share in zip(starts, widths, shares)]
+
+
+def _homes(words: np.ndarray, width: int, codes: int = 1) -> np.ndarray:
+    """The anchor nearest to each word: in each code the Hamming syndrome names the bit to flip, if any."""
+    r = 4 if width >= 15 * codes else 3 if width >= 7 else 2 if width >= 3 else 0
+    out = words.copy()
+    for code in range(codes):
+        first = ((1 << r) - 1) * code
+        syndrome = np.zeros(words.shape, np.uint64)
+        for j in range(r):
+            mask = np.uint64(sum(1 << (first + i - 1) for i in range(1, 1 << r) if i >> j & 1))
+            syndrome |= (np.bitwise_count(words & mask).astype(np.uint64) & np.uint64(1)) << np.uint64(j)
+        hit = syndrome > 0
+        out[hit] ^= np.uint64(1) << (np.uint64(first) + syndrome[hit] - np.uint64(1))
     return out
 
 
-def _replicas(fps: np.ndarray, max_bits: int):
-    """(key, role, fp) arrays: role 0 at the home anchor, role 1 at every anchor within R + t."""
-    for b, (first, width, t) in enumerate(_blocks(max_bits)):
+def _replicas(fps: np.ndarray, max_bits: int, wide: bool = False):
+    """(key, role, fp) arrays: role 0 at the home anchor, role 1 at the home of every word within t."""
+    for b, (first, width, t, codes) in enumerate(_blocks(max_bits, wide)):
         words = (fps >> np.uint64(first)) & np.uint64((1 << width) - 1)
         flips = np.array([sum(1 << i for i in c) for n in range(t + 1) for c in combinations(range(width), n)], np.uint64)
-        near = np.sort(_homes(words[:, None] ^ flips[None, :], width), axis=1)
+        near = np.sort(_homes(words[:, None] ^ flips[None, :], width, codes), axis=1)
         first_of = np.ones(near.shape, bool)
         first_of[:, 1:] = near[:, 1:] != near[:, :-1]
         row, _ = np.nonzero(first_of)
         tag = np.uint64(b) << np.uint64(60)
-        yield _homes(words, width) | tag, 0, fps
+        yield _homes(words, width, codes) | tag, 0, fps
         yield near[first_of] | tag, 1, fps[row]
 
 
@@ -159,14 +171,16 @@ def _compared(max_bits: int, pairs_at_once: int = 1 << 21):
     return run
 
 
-def links(distinct: DataFrame, max_bits: int, hot_homes: int = 1 << 15) -> DataFrame:
+def links(distinct: DataFrame, max_bits: int, hot_homes: int = 1 << 15, wide_from: int = WIDE_FROM) -> DataFrame:
     """Spanning links (u > v) between the distinct fingerprints of ``distinct`` (fp long)."""
+    wide = distinct.count() >= wide_from
+    rows_at_once = 1 << 11 if wide else 1 << 14
 
     def expand(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1 << 14):
-                fps = batch.column(0).slice(at, 1 << 14).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                for key, role, fp in _replicas(fps, max_bits):
+            for at in range(0, batch.num_rows, rows_at_once):
+                fps = batch.column(0).slice(at, rows_at_once).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                for key, role, fp in _replicas(fps, max_bits, wide):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(key.view(np.int64)), pa.array(np.full(len(key), role, np.int8)), pa.array(fp.view(np.int64))],
                         ["key", "role", "fp"],
@@ -201,14 +215,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 4, hot_ho
     empty table gives an empty result; other columns are ignored.
     """
     fps = stored(fingerprints(docs, shingle, carry=carry), "fingerprints")
-    classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "classes")
     labels = component_labels(links(classes, max_bits, hot_homes))
     named = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("label", "fp").alias("label"))
+        "fp", "least", "rows", F.coalesce("label", "fp").alias("label"))
     named = stored(named, "labels")
-    # only linked classes can have an id other than their own
-    ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    return fps.join(named.select("fp", "label").join(ids, "label"), "fp").select("doc_id", "fp", "label", "component_id", *carry)
+    # a text with very many copies, or a component of very many texts, is not brought to one task
+    ids = stored(named.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("texts"), F.sum("rows").alias("all")), "ids")
+    texts, rows = ids.agg(F.sum("texts"), F.sum("all")).first()
+    known = stored(hot_join(named.select("fp", "rows", "label"), ids.drop("all"), "label", "texts", texts or 0), "known")
+    return hot_join(fps, known, "fp", "rows", rows or 0).select("doc_id", "fp", "label", "component_id", *carry)
 
 
 def hex_digits(fp):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import json
+import math
 import random
 import re
 import time
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from scanmart.llm import (
-    chat_format, decontaminate, language_id, license_scan, mixing, queries, quality_model, quality_rules, secret_scan,
+    chat_format, common, decontaminate, language_id, license_scan, mixing, queries, quality_model, quality_rules, secret_scan,
     simhash, substring_dedup,
 )
 from scanmart.llm.components import component_labels
@@ -117,6 +118,36 @@ def test_language_features_do_not_depend_on_the_step(monkeypatch):
     assert np.allclose(whole, language_id.features(text))
 
 
+def test_language_model_matches_brute_force(spark):
+    rng = random.Random(2)
+    sounds = {"aa": "aeioubd", "bb": "xyzkqj", "cc": "mnlrst"}
+    rows = [(" ".join("".join(rng.choices(s, k=rng.randint(2, 7))) for _ in range(rng.randint(5, 30))), lang) for lang, s in sounds.items() for _ in range(14)]
+    copies = [rows[0]] * 500 + [rows[20]] * 50  # copies count once
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows + copies + [(None, "aa"), ("1 2", "bb"), ("abc", None)])],
+                               "doc_id long, text string, lang string")
+    languages, code, weights, good = model = language_id.train(df)
+    assert languages == sorted(sounds) and sorted(map(tuple, code.T.tolist())) == [(1, -1, -1), (1, -1, 1), (1, 1, -1)]
+    texts = sorted(rows)
+    x = np.array([[*language_id.features(t.encode()), 0.3] for t, _ in texts], np.float64)
+
+    def fitted(x, y):
+        return x.T @ np.linalg.solve(x @ x.T + language_id.RIDGE * np.eye(len(x)), y)
+
+    for bit in range(3):
+        y = np.array([code[languages.index(lang), bit] for _, lang in texts], np.float64)
+        assert np.abs(x @ fitted(x, y) - x @ weights[:, bit]).max() < 1e-3
+        keep = lambda i: np.arange(len(x)) != i
+        wrong = [fitted(x[keep(i)], y[keep(i)]) @ x[i] * y[i] <= 0 for i in range(len(x))]
+        assert abs(good[bit] - max(1e-3, 1 - 2 * np.mean(wrong))) < 1e-6
+    got = {r["doc_id"]: r for r in language_id.identify(df, model).collect()}
+    for i, (t, _) in enumerate(rows):
+        margins = np.array([*language_id.features(t.encode()), 0.3]) @ weights
+        loss = [sum(g * math.log1p(math.exp(-2 * m * c)) for g, m, c in zip(good, margins, word)) for word in code]
+        assert got[i]["lang_pred"] == languages[int(np.argmin(loss))]
+        assert abs(got[i]["score"] - 1 / sum(math.exp(min(loss) - v) for v in loss)) < 1e-4
+        assert got[i]["ambiguous"] == (sorted(loss)[1] - min(loss) < language_id.LEAD)
+
+
 # 2 chat formatting ---------------------------------------------------------------------
 
 CALLS = "conv_id long, call_id string, pos long, name string, arguments map<string,string>, depends_on array<string>"
@@ -238,8 +269,8 @@ def test_simhash_groups(spark, docs, odd, hot_homes):
         assert plain(got) == expected_groups(rows, 4)
 
 
-@pytest.mark.parametrize("most", [0, 1, 2, 4, 6])
-def test_simhash_links_are_complete(spark, most):
+@pytest.mark.parametrize("most,wide_from", [(0, 1 << 23), (1, 1 << 23), (2, 1 << 23), (4, 1 << 23), (6, 1 << 23), (0, 0), (1, 0), (4, 0), (5, 0)])
+def test_simhash_links_are_complete(spark, most, wide_from):
     rng = random.Random(most)
     fps = set()
     for _ in range(40):
@@ -248,7 +279,7 @@ def test_simhash_links_are_complete(spark, most):
             at ^= sum(1 << b for b in rng.sample(range(64), rng.choice([max(most, 1), max(most, 1), most + 1])))
             fps.add(at)
     signed = np.array(sorted(fps), np.uint64).view(np.int64).tolist()
-    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long").repartition(5), most)
+    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long").repartition(5), most, wide_from=wide_from)
     got = {r["node"]: r["label"] for r in component_labels(edges).collect()}
     roots = groups_by_hand(fps, most)
     by_root = collections.defaultdict(set)
@@ -257,6 +288,29 @@ def test_simhash_links_are_complete(spark, most):
     assert all(len(x) == 1 for x in by_root.values()) and len({min(x) for x in by_root.values()}) == len(by_root)
 
 
+def test_wide_blocks_meet_at_a_home():
+    rng = np.random.default_rng(7)
+    fps = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    assert [b[2] for b in simhash._blocks(4, True)] == [2, 1] and sum(b[2] + 1 for b in simhash._blocks(5, True)) == 6
+    for first, width, t, codes in simhash._blocks(4, True):
+        words = fps & np.uint64((1 << width) - 1)
+        homes = simhash._homes(words, width, codes)
+        assert np.bitwise_count(words ^ homes).max() <= codes  # within the covering radius
+        assert (simhash._homes(homes, width, codes) == homes).all()
+
+
+def test_a_hub_is_not_brought_to_one_task(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    rows = [(1000 + i, 7) for i in range(300)] + [(5000 + i, 1000 + i) for i in range(50)] + [(1000, 3)]
+    got = {r["node"]: r["label"] for r in component_labels(spark.createDataFrame(rows, "u long, v long")).collect()}
+    assert set(got.values()) == {3} and len(got) == 352
+    left = spark.createDataFrame([(i % 5 if i % 2 else 9, i) for i in range(200)] + [(None, -1)], "k long, x long")
+    right = left.where("k is not null").groupBy("k").agg(F.max("x").alias("most"), F.count("*").alias("n"))
+    joined = common.hot_join(left, right, "k", "n", 201)
+    assert plain(joined.select("k", "x", "most").collect()) == plain(left.join(right, "k").select("k", "x", "most").collect())
+    assert "left_anti" in joined._jdf.queryExecution().analyzed().toString().lower().replace(" ", "_").replace("leftanti", "left_anti")
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     rows = [(i + 1, i) for i in range(200)] + [(1000 + i, 900) for i in range(1, 100)]
     got = {r["node"]: r["label"] for r in component_labels(spark.createDataFrame(rows, "u long, v long")).collect()}
@@ -461,6 +515,47 @@ def test_quality_scores(spark, odd, none):
     assert quality_model.quality_scores(none, labels, F.lit(True)).collect() == []
 
 
+def test_quality_query_matches_brute_force(spark):
+    """The same statistics, features, normal equations, bins and steps without Spark."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    label = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        label[r["doc_id"]] = max(r["quality"], label.get(r["doc_id"], 0))
+    hashes = {r["doc_id"]: (r["a"], r["b"]) for r in docs.select(
+        "doc_id", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)).alias("a"), F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(5)).alias("b")).collect()}
+    stats = {i: np.array(quality_model.statistics((t or "").encode())) for i, t in texts_of(docs)}
+    known = sorted(i for i in stats if i in label and zlib.crc32(str(i).encode()) % 5)
+    x, y = np.array([stats[i] for i in known]), np.array([label[i] for i in known], float)
+    model = quality_model.Model(x.mean(0), np.maximum(x.std(0), 1e-6))
+    fit = np.array([hashes[i][1] != 0 for i in known])
+    z = model.map(x)
+    ridge = quality_model.RIDGE * fit.sum() / quality_model.FOURIER * np.eye(z.shape[1])
+    ridge[-1, -1] = 1e-9
+    model.weights = np.linalg.solve(sum(np.outer(a, a) for a in z[fit]) + ridge, sum(a * b for a, b in zip(z[fit], y[fit])))
+    raw = model.raw(x[~fit])
+    bins = collections.defaultdict(list)
+    for r, b in zip(raw, y[~fit]):
+        bins[min(quality_model.BINS - 1, max(0, int(np.floor((r + 0.5) / 2 * quality_model.BINS))))].append((r, b))
+    order = sorted(bins)
+    model.edges = np.maximum.accumulate([np.mean([r for r, _ in bins[k]]) for k in order])
+    means = [(sum(b for _, b in bins[k]) + 1 / len(order), len(bins[k]) + 2 / len(order)) for k in order]
+    # the nearest rising sequence: max over starts of min over ends of the mean between
+    model.levels = np.array([max(min(sum(s for s, _ in means[i:j + 1]) / sum(n for _, n in means[i:j + 1]) for j in range(k, len(means)))
+                                 for i in range(k + 1)) for k in range(len(means))])
+    want = {i: min(1.0, max(0.0, float(model.score(s[None, :])[0]))) for i, s in stats.items()}
+    got = {r["doc_id"]: r["score"] for r in queries.op6_quality_classifier(spark, sf).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-6
+
+
+def test_fourier_features_approximate_the_kernel():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, len(quality_model.STATISTICS)))
+    z = np.stack([quality_model.Model(np.zeros(x.shape[1]), np.ones(x.shape[1]), seed).map(x)[:, :-1] for seed in range(40)])
+    kernel = np.exp(-quality_model.GAMMA * ((x[:, None] - x[None]) ** 2).sum(-1))
+    assert np.abs((z @ z.transpose(0, 2, 1)).mean(0) - kernel).max() < 0.08
+
+
 def test_pooling_is_the_nearest_rising_sequence():
     levels = quality_model.pooled(np.array([0, 3, 1, 4.0]), np.array([2, 4, 4, 4.0]))
     assert levels.tolist() == [0, 0.5, 0.5, 1]
@@ -524,6 +619,37 @@ def test_licence_inside_a_longer_match_of_another():
     assert [(automaton.labels[t], a, b, c) for t, a, b, c in spans] == [("apache-2.0", 1, 9, 1.0), ("apache", 1, n + 1, 1.0)]
 
 
+NOTICES = {
+    "lgpl": "under the GNU Lesser General Public License", "lgpl-2.1": "GNU Lesser General Public License v2.1", "agpl-3.0": "the GNU Affero General Public License",
+    "gpl-2.0": "licensed under the GPL version 2", "gpl-3.0": "GNU General Public License v3", "bsd-2-clause": "Simplified BSD License",
+    "bsd-3-clause": "SPDX-License-Identifier: BSD-3-Clause", "unlicense": "This is free and unencumbered software released into the public domain.",
+    "eupl-1.2": "the European Union Public Licence (EUPL)", "epl-2.0": "Eclipse Public License - v 2.0", "epl": "the Eclipse Public License.",
+    "cc-by-sa": "Creative Commons Attribution-ShareAlike 4.0", "cc-by-nc-nd": "CC BY-NC-ND 4.0", "cc0-1.0": "// SPDX-License-Identifier: CC0-1.0",
+    "mpl-2.0": "Mozilla Public License", "isc": "ISC License", "zlib": "zlib license", "bsl-1.0": "Boost Software License", "mit": "SPDX-License-Identifier: MIT",
+    "apache-2.0": "SPDX-License-Identifier: Apache-2.0", "wtfpl": "SPDX-License-Identifier: WTFPL", "artistic-2.0": "Artistic License 2.0",
+}
+
+
+def test_licence_labels_of_notices(spark):
+    rows = [(i, f"Some words first. {notice}\nand after.") for i, notice in enumerate(NOTICES.values())]
+    rows += [(100 + i, f"SPDX-License-Identifier: {x}") for i, x in enumerate(license_scan.SPDX)]
+    rows += [(200 + i, text) for i, (_, text) in enumerate(license_scan.TEMPLATES)]
+    got = {r["doc_id"]: r for r in license_scan.scan(frame(spark, [(i, t, None, None, None) for i, t in rows])).collect()}
+    for i, label in enumerate(NOTICES):
+        assert label in got[i]["labels"].split(","), (label, got[i]["labels"])
+    for i, x in enumerate(license_scan.SPDX):
+        want = x.lower().removesuffix("-only").removesuffix("-or-later")
+        want = want.removesuffix("-4.0") if want.startswith("cc-") else want
+        assert want in got[100 + i]["labels"].split(","), (x, got[100 + i]["labels"])
+        assert not {"bsd-2-clause", "bsd-3-clause"} - {want} & set(got[100 + i]["labels"].split(","))
+    for i, (label, text) in enumerate(license_scan.TEMPLATES):
+        assert label in got[200 + i]["labels"].split(","), label
+    # a notice that names another licence is that one's
+    lesser = got[200 + [x for x, _ in license_scan.TEMPLATES].index("lgpl-2.1")]
+    assert "gpl" not in lesser["labels"].split(",") and "lgpl-2.1" in lesser["labels"]
+    assert got[1]["n_base"] == 0 and got[4]["n_base"] == 1
+
+
 def test_licence_matches_are_maximal_per_template(monkeypatch):
     rng = random.Random(4)
     found = []
