@@ -155,7 +155,10 @@ def linked_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Da
 
     status: ``linked``, ``unanswered`` (a call without a result), ``orphan`` (a result without
     a call) or ``cyclic``. Order keys of orphans are their own positions. Empty tables give
-    an empty result; null names, arguments, positions and contents are serialised as null.
+    an empty result; null names, arguments, positions and contents are serialised as null, texts
+    of any length whole; repeated rows count in n_calls and n_results; of several calls or
+    results of an identifier the first by position, then by the other columns, is taken; other
+    columns are ignored.
     """
     both = stored(link(calls, results), "linked")
     rows = validated(both, schemas).join(ordered(both), KEY, "left")

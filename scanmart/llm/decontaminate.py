@@ -265,7 +265,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, cov
 
 def clean(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, coverage: float = COVERAGE,
           block_chars: int = BLOCK_CHARS, short_items: bool = False) -> DataFrame:
-    """The rows of ``docs`` that cover no benchmark item to ``coverage`` (see ``matches``); columns are those of ``docs``."""
+    """The rows of ``docs`` that cover no benchmark item to ``coverage``; columns are those of ``docs``.
+
+    Null and empty texts stay, repeated rows stay or go together; else as in ``matches``."""
 
     def keep(items):
         def run(batches):

@@ -82,9 +82,12 @@ def mix(
 ) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row; sizes are words.
 
-    Null texts have size 0 and are never taken. A null source is a source of its own, last.
-    Repeated rows count each; rows of one id are ordered by size, so reruns agree. An empty
-    table, or one without words, takes nothing. Other columns are ignored.
+    Null and empty texts have size 0 and are never taken; a text of any length is a size. A null
+    source is a source of its own, last. Of equal quotients the source, group or shard of the
+    smaller number is served first. Repeated rows count each; rows of one id are ordered by size,
+    so reruns agree. An empty table, or one without words, takes nothing. Other columns are
+    ignored. The windows over all sources are one task: sources are meant to be tens to
+    thousands, not one a host.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
                        word_count(F.col("text")).alias("size"))

@@ -181,8 +181,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn_from, max_rows: int
 
     Labels (doc_id, quality 0/1) of documents for which the column ``learn_from`` holds are
     learned. Null labels and ids are left out; of several labels of a document the larger
-    counts, and of several rows of a document one is learned from. Null and empty texts
-    are scored by the statistics of an empty text; an empty table gives an empty result.
+    counts, and of several rows of a document the one with the least statistics is learned from.
+    Null and empty texts are scored by the statistics of an empty text; texts of any length by
+    those of the whole text; repeated rows each, equal texts alike; an empty table gives an
+    empty result; other columns are ignored.
     """
     stats = stored(document_statistics(docs), "statistics")
     marked = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(

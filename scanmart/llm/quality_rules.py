@@ -104,8 +104,9 @@ def _measured(text: Column) -> Column:
 def ledger(docs: DataFrame, text_col: str = "text", measures: str = "measures", fail_mask: str = "fail_mask") -> DataFrame:
     """``docs`` with the struct ``measures`` and ``fail_mask`` (long, one bit per rule).
 
-    Null and empty texts have no words: all measures zero, rule few_words fails. Columns of
-    ``docs`` with these two names are replaced; repeated rows stay; an empty table stays empty.
+    Null and empty texts have no words: all measures zero, rule few_words fails. Texts of any
+    length are measured whole, in arrays of their words and window hashes. Columns of ``docs``
+    with these two names are replaced; repeated rows stay; an empty table stays empty.
     """
     rows = docs.withColumn(measures, _measured(F.col(text_col).cast("string")))
     mask = F.lit(0).cast("long")

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -169,8 +170,14 @@ def _rows(key, rk, place, mask, stop, small, first) -> pa.RecordBatch:
         ["key", "rk", "place", "mask", "stop", "hashes"])
 
 
+#: Rows of one key that a task holds before it settles them and keeps one for each window.
+HELD_ROWS = 1 << 14
+
+
 def _repeats(length: int):
-    """Spans (rk, a, b) of the windows found twice at their key; rows come sorted by key."""
+    """Spans (rk, a, b) of the windows found twice at their key; rows come sorted by key.
+
+    Of a key with very many rows only its different windows are held."""
 
     def settle(rows: pa.Table):
         key, rk, place, mask, stop = (rows.column(i).to_numpy() for i in range(5))
@@ -203,7 +210,7 @@ def _repeats(length: int):
             yield rk[r], a, b
 
     def run(batches):
-        held = None
+        held, enough = None, HELD_ROWS
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -215,12 +222,34 @@ def _repeats(length: int):
             held = rows.slice(split).combine_chunks()
             for r, a, b in settle(rows.slice(0, split)) if split else ():
                 yield _spans(r, a, b)
+            enough = HELD_ROWS if split else enough
+            if held.num_rows > enough:  # a key that goes on and on: what it has twice is known now
+                for r, a, b in settle(held):
+                    yield _spans(r, a, b)
+                held = _one_of_each_window(held)
+                enough = max(HELD_ROWS, 2 * held.num_rows)
         for r, a, b in settle(held) if held is not None else ():
             yield _spans(r, a, b)
 
     return run
 
 
+def _one_of_each_window(rows: pa.Table) -> pa.Table:
+    """A row for each different window of rows of one key: enough to tell later rows that have it.
+
+    Spans that its rows had are out already, and may come once more."""
+    open_rows = rows.filter(pc.equal(rows.column("stop"), 0)).combine_chunks()
+    key, rk, place, mask = (open_rows.column(c).to_numpy() for c in ("key", "rk", "place", "mask"))
+    mask = mask.view(np.uint64)
+    owner = np.repeat(np.arange(len(key)), np.bitwise_count(mask).astype(np.int64))
+    offset = np.nonzero(np.unpackbits(mask.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))[1]
+    raw = np.frombuffer(b"".join(open_rows.column("hashes").to_pylist()), np.uint8).reshape(-1, HASH_BYTES)
+    _, first = np.unique(raw, axis=0, return_index=True)
+    own = owner[first]
+    batch = _rows(key[own], rk[own], place[own] + offset[first], np.ones(len(own), np.int64), np.zeros(len(own), np.int64), raw[first], np.arange(len(own)))
+    return pa.Table.from_batches([batch]).cast(rows.schema)
+
+
 def _spans(rk, a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rk), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["rk", "a", "b"])
 

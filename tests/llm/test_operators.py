@@ -12,6 +12,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -840,6 +841,26 @@ def test_substring_dedup(spark, docs, odd, none, length, shingle, monkeypatch):
     assert substring_dedup.remove_repeats(none, length, shingle).collect() == []
 
 
+def test_a_key_with_very_many_rows_is_held_by_its_windows(monkeypatch):
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(14)]
+    texts = [" ".join([f"a{k}", *passage, *(rng.choice("xyz") for _ in range(20))]).encode() for k in range(60)]
+    table = pa.table({"rk": pa.array(range(60), pa.int64()), "text": pa.array([t.decode() for t in texts])})
+    empty = type("Hot", (), {"value": np.zeros(0, np.uint64)})
+    monkeypatch.setattr(substring_dedup, "BUFFER_WORDS", 40)
+    rows = pa.Table.from_batches(list(substring_dedup._anchor_rows(10, 4, empty)(table.to_batches()))).sort_by("key")
+    spans = {}
+    for held in (1 << 14, 3):
+        monkeypatch.setattr(substring_dedup, "HELD_ROWS", held)
+        found = list(substring_dedup._repeats(10)(rows.to_batches(max_chunksize=5)))
+        covered = collections.defaultdict(set)
+        for batch in found:
+            for rk, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                covered[rk] |= set(range(a, b))
+        spans[held] = covered
+    assert spans[3] == spans[1 << 14] and all(len(x) >= 14 for x in spans[3].values()) and len(spans[3]) == 60
+
+
 def test_smallest_takes_the_rightmost_of_equals():
     rng = np.random.default_rng(0)
     values = rng.integers(0, 5, 200).astype(np.uint64)
@@ -848,3 +869,36 @@ def test_smallest_takes_the_rightmost_of_equals():
         for i in range(len(values) - width + 1):
             part = values[i:i + width]
             assert got[i] == i + width - 1 - int(part[::-1].argmin())
+
+
+# very long texts -----------------------------------------------------------------------
+
+
+def test_very_long_texts(spark):
+    """Texts of 150,000 words, one of them a single word repeated, one without a space, through every operator."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(5000)]
+    words = rng.choices(vocabulary, k=150_000)
+    item = " ".join(words[70_000:70_060])
+    rows = [(1, " ".join(words)), (2, "same " * 150_000), (3, "x" * 800_000), (4, "Short and clean text of a few words."), (5, " ".join(words) + " MIT License"),
+            (6, " ".join(words[:100_000]) + ' password = "Xk29!jQ8#zL0" ' + " ".join(words[:40_000]))]
+    df = frame(spark, [(i, t, "en" if i % 2 else "de", "s", len(t)) for i, t in rows]).repartition(3).cache()
+    model = language_id.train(df)
+    assert {r["doc_id"] for r in language_id.identify(df, model).collect()} == set(range(1, 7))
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, 4, 4).collect()}
+    assert groups[5] == 1 and groups[4] == 4
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.matches(df, bench).collect()} == {1, 5, 6}
+    assert {r["doc_id"] for r in decontaminate.clean(df, bench).collect()} == {2, 3, 4}
+    ledger = {r["doc_id"]: r["measures"] for r in quality_rules.ledger(df.select("doc_id", "text")).collect()}
+    assert ledger[1]["n_words"] == 150_000 and ledger[2]["n_repeat_words"] == 150_000 and ledger[3]["n_words"] == 1
+    labels = spark.createDataFrame([(1, 1), (2, 0), (4, 1)], "doc_id long, quality int")
+    assert quality_model.quality_scores(df, labels, F.lit(True)).count() == 6
+    licences = {r["doc_id"]: r for r in license_scan.scan(df).collect()}
+    assert licences[5]["base_labels"] == "mit" and licences[1]["n_words"] == 150_000
+    assert [r["n_literal"] for r in secret_scan.scan(df).orderBy("doc_id").collect()] == [0, 0, 0, 0, 0, 1]
+    assert "Xk29" not in secret_scan.redact(df).where("doc_id = 6").first()["text"]
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(df).collect()}[2] == 150_000
+    removed = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(df).collect()}
+    assert removed[1] == 150_000 and removed[2] == 150_000 and removed[3] == removed[4] == 0
+    df.unpersist()
