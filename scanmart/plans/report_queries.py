@@ -123,8 +123,30 @@ def trace_append(spark: SparkSession, d: str) -> DataFrame:
                                        F.count("error").alias("errors"), F.sum(F.round(F.col("cost_usd") * 1e6).cast("bigint")).alias("micros"))
 
 
+def overwritten_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Observations written over an earlier write, in parts of bounded size: what is read, and the rows that the writes counted."""
+    run = shared_path(spark, f"overwritten-{uuid.uuid4().hex}")
+    obs = O.adapter_observations(table(spark, d, "events"), table(spark, d, "pages"), table(spark, d, "nation")).drop("user_id", "k")
+    first = sinks.write_parquet(obs.where("port = 443"), run, rows_per_file=100)
+    second = sinks.write_parquet(obs, run, rows_per_file=1000)
+    rows = spark.read.parquet(run)
+    largest = rows.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"))
+    return rows.groupBy("service_category").agg(F.count("*").alias("observations")).crossJoin(F.broadcast(largest)).select(
+        "service_category", "observations", F.lit(first).cast("bigint").alias("first_write"), F.lit(second).cast("bigint").alias("second_write"),
+        (F.col("n") <= 1000).alias("within_part_size"))
+
+
+def record_throughput(spark: SparkSession, d: str) -> DataFrame:
+    """Records that the throughput measurement of the tolerant reader counts in files with broken lines."""
+    run = shared_path(spark, f"throughput-{uuid.uuid4().hex}")
+    _with_broken(spark, d).select("value").write.text(run)
+    found = PL.throughput(spark, run)
+    rate = found["records"] / found["elapsed_seconds"] if found["elapsed_seconds"] else 0.0
+    return spark.range(1).select(F.lit(found["records"]).cast("bigint").alias("records"), F.lit(rate > 0).alias("measured"))
+
+
 QUERIES = {f.__name__: f for f in (profile_report, nested_report, schema_report, ingest_quarantine, ingest_tolerant, context_documents,
-                                   report_set, trace_append)}
+                                   report_set, trace_append, overwritten_parts, record_throughput)}
 
 
 def _table(parts: dict[str, tuple[str, list[str], list[str]]]) -> str:
@@ -194,6 +216,10 @@ FROM sel LEFT JOIN evd ON evd.domain = sel.domain""",
         "report_set": f"""
 SELECT 'keys' AS report, count(*) AS entries, CAST(sum(records) AS BIGINT) AS amount FROM ({known["schema_discovery"]})
 UNION ALL SELECT 'lines', 1, lines FROM ({invalid})""",
+        "overwritten_parts": known["observations"].split("SELECT * EXCLUDE")[0] + """
+SELECT service_category, count(*) AS observations, (SELECT count(*) FROM obs WHERE port = 443) AS first_write,
+  (SELECT count(*) FROM obs) AS second_write, true AS within_part_size FROM obs GROUP BY service_category""",
+        "record_throughput": "SELECT count(*) AS records, true AS measured FROM events",
         "trace_append": traces + """
 SELECT workflow, count(*) AS calls, count(*) AS with_time, count(error) AS errors, CAST(sum(CAST(round(cost_usd * 1e6) AS BIGINT)) AS BIGINT) AS micros
 FROM tr GROUP BY workflow""",

@@ -86,24 +86,34 @@ def object_lines(lines: DataFrame, strict: bool = True) -> DataFrame:
     return lines.filter(opens & F.try_parse_json("line").isNotNull())
 
 
+#: Splits up to which their counts (24 bytes each) are broadcast.
+BROADCAST_SPLITS = 1 << 20
+
+
 def with_sequence(scan: DataFrame, name: str = "sequence") -> DataFrame:
     """Running 0-based number of the rows of a text scan (file, split, ...), in file order.
 
     ``scan`` must be narrow above the file scan. Rows are numbered within their file split
     by their place in the task, so a number depends on the files alone: not on partition
     ids, adaptive execution or a task that is run again. The counts (one row per split) are
-    summed up and joined back; a split without a count fails the job.
+    summed up and joined back by a hash of the file's name, so they are small; as the number of
+    splits is known from the file listing, they are broadcast up to ``BROADCAST_SPLITS`` and the
+    text stays where it is. A split without a count, and two files with one hash, fail the job.
     """
     from pyspark.sql import Window
 
-    tagged = scan.withColumn("_at", F.monotonically_increasing_id())
-    counts = tagged.groupBy("file", "split").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    before = Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    out = tagged.join(counts, ["file", "split"], "left")
+    tagged = scan.withColumn("_at", F.monotonically_increasing_id()).withColumn("_file", F.xxhash64("file"))
+    counts = tagged.groupBy("_file", "split").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"), F.min("file").alias("_name"), F.max("file").alias("_other"))
+    before = Window.orderBy("_name", "split").rowsBetween(Window.unboundedPreceding, -1)
+    twice = F.raise_error(F.concat(F.lit("one hash for "), F.col("_name"), F.lit(" and "), F.col("_other")))
+    offset = F.when(F.col("_name") != F.col("_other"), twice).otherwise(F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    counts = counts.select("_file", "split", "_first", offset.cast("long").alias("_offset"))
+    splits = len(scan.inputFiles()) + scan.rdd.getNumPartitions()
+    out = tagged.join(F.broadcast(counts) if splits <= BROADCAST_SPLITS else counts, ["_file", "split"], "left")
     lost = F.raise_error(F.concat(F.lit("no count for split "), F.col("split").cast("string"), F.lit(" of "), F.col("file")))
     number = F.when(F.col("_offset").isNull(), lost).otherwise(F.col("_offset") + F.col("_at") - F.col("_first"))
-    return out.withColumn(name, number.cast("long")).drop("split", "_at", "_offset", "_first")
+    return out.withColumn(name, number.cast("long")).drop("split", "_at", "_offset", "_first", "_file")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
