@@ -160,12 +160,11 @@ def q_account_evidence(spark, d):
 
 
 def context(spark, d):
-    """The contexts from the written observations, as the batch job has them: they are derived once, and the mart and the
-    evidence each read their own columns of them."""
-    obs = written(spark, d, "observations", observations)
-    marts = _shared(spark, d, "accounts of written observations", lambda: M.accounts_mart(obs))
-    selected = CX.top_accounts(SC.scored_accounts(marts), TOP_N)
-    return CX.account_context(selected, S.account_signals(marts), CX.account_evidence(obs, selected, EVIDENCE_PER_ACCOUNT))
+    """The contexts from the written observations and marts, as the batch job builds them: one scan of the observations,
+    for the evidence."""
+    selected = CX.top_accounts(written(spark, d, "scored", scored), TOP_N)
+    found = CX.account_evidence(written(spark, d, "observations", observations), selected, EVIDENCE_PER_ACCOUNT)
+    return CX.account_context(selected, written(spark, d, "signals", signals), found)
 
 
 @register("account_context")
