@@ -37,9 +37,18 @@ def _map(v: Column) -> Column:
     return vget(v, "$", "map<string,variant>")
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """(report, key, value) of the rows' facts.
+
+    For an inner explode of a column Spark infers a filter on its size and pushes that, with all that makes the
+    facts, below every projection and exchange: each record would be parsed and taken apart twice, first where the
+    lines are made. An outer one has no such filter."""
+    return rows.select(F.explode_outer("facts").alias("x")).where("x IS NOT NULL").select("x.*")
+
+
 def _counted(rows: DataFrame, name: str) -> DataFrame:
     """(report, key, value, records) of the rows' facts, written to the shared folder and read again."""
-    counts = rows.select(F.explode("facts").alias("x")).select("x.*").groupBy("report", "key", "value").agg(F.count(F.lit(1)).alias("records"))
+    counts = _apart(rows).groupBy("report", "key", "value").agg(F.count(F.lit(1)).alias("records"))
     path = shared_path(rows.sparkSession, f"{name}-{uuid.uuid4().hex}")
     counts.write.parquet(path)
     return rows.sparkSession.read.schema(counts.schema).parquet(path)

@@ -96,3 +96,17 @@ def test_invalid_lines_are_set_apart_in_one_write(spark):
     same(PL.built_observations(spark, f"{run}/out"), want)
     parses = plan_of(N.with_reason(N.numbered_lines(spark, f"{run}/raw")))
     assert parses.count("parseJson") == 1
+
+
+def test_records_are_taken_apart_only_where_they_are_exploded(spark):
+    lines = N.spread(CAT.rich_records(CAT.table(spark, SF, "events")), partitions=64)
+    records = lines.select("sequence", F.parse_json("value").alias("v"))
+    for facts in (RP.nested_facts(records, "sequence"), records.select(RP.profile_facts(F.col("v")).alias("facts"))):
+        plan = plan_of(RP._apart(facts))
+        assert plan.count("parseJson") == 1 and "parseJson" not in plan[plan.index("Repartition"):]
+
+
+def test_facts_taken_apart_without_loss(spark):
+    rows = spark.sql("SELECT * FROM VALUES (array(named_struct('report', 'a', 'key', 'k', 'value', null), named_struct('report', 'b', 'key', null, 'value', ''))), "
+                     "(array()), (null) AS t(facts)")
+    assert sorted(map(tuple, RP._apart(rows).collect())) == [("a", "k", None), ("b", None, "")]
