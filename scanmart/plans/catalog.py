@@ -282,9 +282,8 @@ from scanmart.sources import suffixes as PSL  # noqa: E402
 
 def raw_lines(spark, d):
     """Raw NDJSON text of every observation derived from the tables (sequence, value),
-    spread over all cores before the (per-row heavy) parsing."""
-    return _shared(spark, d, "raw_lines", lambda: N.spread(O.raw_records(observations_with_orgs(spark, d)),
-                                                           probe=table(spark, d, "events")))
+    spread over tasks of a bounded number of rows before the (per-row heavy) parsing."""
+    return _shared(spark, d, "raw_lines", lambda: record_lines(spark, d))
 
 
 def raw_variant(spark, d):
@@ -438,15 +437,14 @@ def q_text_canonical_json(spark, d):
 
 
 # ------------------------------------------------------------------ records with every field and odd shapes
-from scanmart.plans.rich import rich_records  # noqa: E402
+from scanmart.plans.lines import record_lines, rich_lines  # noqa: E402
 
 
 def rich(spark, d):
     """The rich records of all events, parsed."""
     def build():
         N.allow_duplicate_keys(spark)
-        lines = N.spread(rich_records(table(spark, d, "events")), probe=table(spark, d, "events"))
-        return lines.select("sequence", F.parse_json("value").alias("v"))
+        return rich_lines(spark, d).select("sequence", F.parse_json("value").alias("v"))
     return _shared(spark, d, "rich", build)
 
 

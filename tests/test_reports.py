@@ -10,6 +10,7 @@ from scanmart.operators import records as R
 from scanmart.operators import reports as RP
 from scanmart.plans import catalog as CAT
 from scanmart.plans import pipeline as PL
+from scanmart.plans.lines import rich_lines
 from scanmart.session import shared_path
 from scanmart.sources import ndjson as N
 from scanmart.sources import suffixes as PSL
@@ -99,7 +100,7 @@ def test_invalid_lines_are_set_apart_in_one_write(spark):
 
 
 def test_records_are_taken_apart_only_where_they_are_exploded(spark):
-    lines = N.spread(CAT.rich_records(CAT.table(spark, SF, "events")), partitions=64)
+    lines = rich_lines(spark, SF)
     records = lines.select("sequence", F.parse_json("value").alias("v"))
     for facts in (RP.nested_facts(records, "sequence"), records.select(RP.profile_facts(F.col("v")).alias("facts"))):
         plan = plan_of(RP._apart(facts))
