@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from scanmart.operators import observations as O
 from scanmart.operators import workspace as WS
 from scanmart.plans import oracle
+from scanmart.plans.lines import record_lines
 from scanmart.session import shared_path
 from scanmart.sources import suffixes as PSL
-from scanmart.sources.ndjson import spread
 from scanmart.sources.tables import table
 from scanmart.streaming import jobs as ST
 
@@ -32,8 +32,7 @@ def stream_replays(spark: SparkSession, d: str) -> DataFrame:
     Every file has two equal greeting lines: equal lines of a file and of different files are all
     kept. The replay comes in another order of lines and in a later micro-batch or the same."""
     run = shared_path(spark, f"replays-{uuid.uuid4().hex}")
-    records = O.raw_records(O.with_orgs(_observations(spark, d), table(spark, d, "customer")))
-    lines = spread(records, probe=table(spark, d, "events")).select((F.col("sequence") % FILES).alias("part"), "value")
+    lines = record_lines(spark, d).select((F.col("sequence") % FILES).alias("part"), "value")
     greetings = spark.range(2 * FILES).select((F.col("id") % FILES).alias("part"), F.lit(GREETING).alias("value"))
     files = lines.unionByName(greetings)
     # a folder a file: each is read as one file of the stream

@@ -12,6 +12,7 @@ from scanmart.operators import observations as O
 from scanmart.operators import reports as RP
 from scanmart.plans import pipeline as PL
 from scanmart.plans import rich, sketch_queries
+from scanmart.plans.lines import dealt_events, record_lines, rich_lines
 from scanmart.session import shared_path
 from scanmart.sources import ndjson as N
 from scanmart.sources import sinks
@@ -19,12 +20,6 @@ from scanmart.sources import suffixes as PSL
 from scanmart.sources.tables import table
 
 
-def _lines(spark: SparkSession, d: str) -> DataFrame:
-    obs = O.adapter_observations(table(spark, d, "events"), table(spark, d, "pages"), table(spark, d, "nation"))
-    raw = O.raw_records(O.with_orgs(obs, table(spark, d, "customer")))
-    return N.spread(raw, probe=table(spark, d, "events"))
-
-
 #: Lines that hold no record: one for each event whose number leaves this rest when divided by 40.
 BROKEN = ((0, '{"ip_str":'), (1, "[1,2]"), (2, "17"), (3, '"text"'), (4, "null"), (5, "not json"), (6, "true"), (7, "2.5"))
 _REASONS = ("malformed", "not an object: array", "not an object: bigint", "not an object: string", "not an object: void", "malformed",
@@ -35,21 +30,20 @@ def _with_broken(spark: SparkSession, d: str) -> DataFrame:
     """(part, value): the records' lines, broken ones and blank ones."""
     e = F.col("event_id")
     broken = F.create_map(*(F.lit(x) for pair in BROKEN for x in pair))[(e % 40).cast("int")]
-    more = table(spark, d, "events").select(e, F.explode(F.array(broken, F.when(e % 40 == 9, F.lit(" \t")))).alias("value")).where("value is not null")
-    lines = _lines(spark, d).select(F.col("sequence").alias("event_id"), "value").unionByName(more)
+    more = dealt_events(spark, d).select(e, F.explode(F.array(broken, F.when(e % 40 == 9, F.lit(" \t")))).alias("value")).where("value is not null")
+    lines = record_lines(spark, d).select(F.col("sequence").alias("event_id"), "value").unionByName(more)
     return lines.select((e % 4).alias("part"), "value")
 
 
 def profile_report(spark: SparkSession, d: str) -> DataFrame:
-    records = _lines(spark, d).select("sequence", F.parse_json("value").alias("v"))
+    records = record_lines(spark, d).select("sequence", F.parse_json("value").alias("v"))
     return RP.as_table(RP.profile_report(records))
 
 
 def nested_report(spark: SparkSession, d: str) -> DataFrame:
     """The nested-field report over all rich records."""
     N.allow_duplicate_keys(spark)
-    lines = N.spread(rich.rich_records(table(spark, d, "events")), probe=table(spark, d, "events"))
-    return RP.as_table(RP.nested_report(lines.select("sequence", F.parse_json("value").alias("v"))))
+    return RP.as_table(RP.nested_report(rich_lines(spark, d).select("sequence", F.parse_json("value").alias("v"))))
 
 
 def schema_report(spark: SparkSession, d: str) -> DataFrame:

@@ -11,8 +11,8 @@ from scanmart.functions import constants as K
 from scanmart.operators import observations as O
 from scanmart.operators import sketches as SK
 from scanmart.plans import oracle
+from scanmart.plans.lines import record_lines
 from scanmart.session import shared_path
-from scanmart.sources.ndjson import spread
 from scanmart.sources.tables import table
 
 
@@ -29,9 +29,7 @@ TOP = 10
 
 def value_top_bounded(spark: SparkSession, d: str) -> DataFrame:
     """The most common values of each raw field as far as bounded summaries are certain of them; parts are merged."""
-    obs = O.adapter_observations(table(spark, d, "events"), table(spark, d, "pages"), table(spark, d, "nation"))
-    raw = spread(O.raw_records(O.with_orgs(obs, table(spark, d, "customer"))), probe=table(spark, d, "events"))
-    records = raw.select((F.col("sequence") % 3).alias("part"), F.parse_json("value").alias("v"))
+    records = record_lines(spark, d).select((F.col("sequence") % 3).alias("part"), F.parse_json("value").alias("v"))
     path = shared_path(spark, f"summaries-{uuid.uuid4().hex}")
     for k in range(3):  # three deliveries
         SK.value_summaries(records.where(F.col("part") == k), K.IMPORTANT_FIELDS, TOP).write.mode("append").parquet(path)
