@@ -70,9 +70,10 @@ def org_aliases(records: DataFrame, v_col: str = "v") -> DataFrame:
     v = F.col(v_col)
     org_v = vget(v, "$.org")
     has = F.array_contains(F.map_keys(vget(v, "$", "map<string,variant>")), "org")
-    rows = records.filter(has).select(
-        C.display_value(canonical_json(org_v)).alias("alias"),
-        F.when(vtype(org_v) == "STRING", canonical_profile_org(vget(v, "$.org", "string"))).alias("canonical"))
+    # the condition comes out of a generator: a filter on it would be evaluated below the exchange, where lines are made
+    rows = records.select(F.explode(F.array(F.struct(
+        has.alias("has"), C.display_value(canonical_json(org_v)).alias("alias"),
+        F.when(vtype(org_v) == "STRING", canonical_profile_org(vget(v, "$.org", "string"))).alias("canonical")))).alias("x")).select("x.*").where("has")
     return rows.groupBy("canonical", "alias").agg(F.count(F.lit(1)).alias("records"))
 
 
