@@ -79,7 +79,8 @@ def text_matches(accounts: DataFrame, terms: DataFrame, limit: int) -> DataFrame
     terms: s, kind, distinct; kind ``d`` is sought in _dom, ``h`` in _hay. An account is indexed under
     those of its grams that some term has; a term is looked up under the rarest of its grams
     only, and what is found is verified. Terms longer than every text and terms one of whose
-    grams no account has are dropped."""
+    grams no account has are dropped. The index has many rows an account, which its planned size does
+    not show: it is never broadcast."""
     length = F.least(F.length("s"), F.lit(GRAM))
     longest = accounts.agg(F.max(F.length("_dom")).alias("_d"), F.max(F.length("_hay")).alias("_h"))
     terms = attach(terms.where("s <> ''"), longest).where(
@@ -89,7 +90,7 @@ def text_matches(accounts: DataFrame, terms: DataFrame, limit: int) -> DataFrame
     index = index.join(spelled.select("g").distinct(), "g", "left_semi")
     often = index.groupBy("g").agg(F.count(F.lit(1)).alias("_often"))
     rarest = spelled.join(often, "g", "left").groupBy("s", "kind").agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("n"), "g")).alias("r"))
-    found = rarest.where("r.n > 0").select("s", "kind", F.col("r.g").alias("g")).join(index, "g")
+    found = rarest.where("r.n > 0").select("s", "kind", F.col("r.g").alias("g")).join(index.hint("merge"), "g")
     found = found.where(F.when(F.col("kind") == "d", F.col("_dom").contains(F.col("s"))).otherwise(F.col("_hay").contains(F.col("s"))))
     # exact: a question's first `limit` over the union of its terms' matches are among each
     # term's first `limit` (planned as WindowGroupLimit: trimmed before the shuffle)
@@ -132,7 +133,8 @@ def search_batch(accounts: DataFrame, questions: DataFrame, limit: int = 80,
     q_terms = q.select("question_id", F.explode(qterms).alias("t")).select("question_id", "t.s", "t.kind").distinct()
     texts = acc.select("domain", "_score", F.lower(F.coalesce(F.col("domain"), F.lit(""))).alias("_dom"), haystack().alias("_hay"))
     by_term = text_matches(texts, q_terms.select("s", "kind").distinct(), limit)
-    matched = q_terms.join(by_term, ["s", "kind"]).select("question_id", "domain", "_score")
+    # both sides are many rows a question: neither is broadcast for the small size of its files
+    matched = q_terms.join(by_term.hint("merge"), ["s", "kind"]).select("question_id", "domain", "_score")
 
     # keyword groups: group-level top-`limit` lists (bounded: groups x limit rows)
     gids = F.filter(F.array(*[F.when(F.coalesce(F.col(f), F.lit(0)) > 0, F.lit(gi))
@@ -149,7 +151,7 @@ def search_batch(accounts: DataFrame, questions: DataFrame, limit: int = 80,
     qgids = F.filter(F.array(*[F.when(mentions(kws), F.lit(gi)) for gi, (kws, _f) in enumerate(K.KEYWORD_FILTERS)]),
                      lambda x: x.isNotNull())
     qgroups = q.select("question_id", F.explode(qgids).alias("group_id"))
-    kw_matches = qgroups.join(group_top, "group_id").select("question_id", "domain", "_score")
+    kw_matches = qgroups.join(F.broadcast(group_top), "group_id").select("question_id", "domain", "_score")
 
     matches = matched.unionByName(kw_matches).distinct()
     w = Window.partitionBy("question_id").orderBy(F.desc("_score"), F.asc("domain"))

@@ -8,6 +8,7 @@ the single-question operator and the ordered result lists must be equal.
 from __future__ import annotations
 
 import random
+import re
 
 
 from scanmart.functions import constants as K
@@ -42,3 +43,11 @@ def test_search_batch_equals_single(spark):
     for qid, text in enumerate(QUESTIONS):
         want = [r["domain"] for r in SE.search_accounts(accounts, text, 15).collect()]
         assert [d for _, d in sorted(got.get(qid, []))] == want, text
+
+
+def test_neither_the_gram_index_nor_the_terms_are_broadcast(spark):
+    rows, schema = _accounts()
+    questions = spark.createDataFrame(list(enumerate(QUESTIONS)), "question_id long, question string")
+    plan = SE.search_batch(spark.createDataFrame(rows, schema), questions, limit=15)._jdf.queryExecution().sparkPlan().toString()
+    assert len(re.findall(r"SortMergeJoin \[g#\d+\], \[g#\d+\], Inner", plan)) >= 1
+    assert not re.search(r"BroadcastHashJoin \[(g|s)#[^\]]*\], \[(g|s)#[^\]]*\], Inner", plan)
