@@ -37,6 +37,12 @@ def account_observations(observations: DataFrame, columns: list[str] | None = No
                .select(F.explode("registrable_domains").alias("domain"), *keep))
 
 
+def sightings(observations: DataFrame) -> DataFrame:
+    """``last_seen`` of every observation of an account: the accounts' are the latest of each, so the latest of all is the same."""
+    return (observations.filter(F.col("registrable_domains").isNotNull() & (F.size("registrable_domains") > 0))
+            .select(_ts("timestamp").alias("last_seen")))
+
+
 # counted values without a bound per domain: one row each
 COUNTED = (("unique_ip_count", "ip_str"), ("unique_hostname_count", "hostname"))
 # values of bounded vocabularies that ride on the main row: (output, column, listed, empty list -> null)

@@ -56,13 +56,15 @@ def score_reasons() -> Column:
     return F.to_json(F.filter(texts, lambda t: t.isNotNull()))
 
 
-def scored_accounts(accounts: DataFrame) -> DataFrame:
+def scored_accounts(accounts: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """accounts + icp/exposure/vulnerability/technology/recency/opportunity + reasons.
 
     The dataset-wide reference time is a 1-row aggregate joined back by broadcast (its
-    size is fixed at one row); everything else is a narrow projection.
+    size is fixed at one row); everything else is a narrow projection. ``seen`` has in ``last_seen``
+    the times that the accounts' are the latest of (:func:`marts.sightings`): where the accounts are many,
+    their latest time is found there without shuffling their facts for it once more.
     """
-    ref = reference_time(accounts)
+    ref = reference_time(accounts if seen is None else seen)
     a = attach(accounts, ref)
     icp = C.icp_score(F.col("unique_ip_count"), F.col("unique_service_count"), F.col("technologies"),
                       F.col("cloud_observation_count"), F.col("countries"))

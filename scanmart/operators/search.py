@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from scanmart.operators import grams as G
 from scanmart.operators.scalars import attach
 
 from scanmart.functions import columns as C
@@ -23,9 +24,8 @@ def question_terms(question: str) -> tuple[str, list[str]]:
 
 def haystack() -> Column:
     """``domain + " " + " ".join(countries)``, lower-cased."""
-    countries = F.coalesce(F.col("countries"), F.array().cast("array<string>"))
-    return F.lower(F.concat(F.coalesce(F.col("domain"), F.lit("")), F.lit(" "),
-                            F.array_join(F.transform(countries, lambda c: c.cast("string")), " ")))
+    countries = F.coalesce(F.col("countries").cast("array<string>"), F.array().cast("array<string>"))
+    return F.lower(F.concat(F.coalesce(F.col("domain"), F.lit("")), F.lit(" "), F.array_join(countries, " ")))
 
 
 def match_column(question: str) -> Column:
@@ -61,39 +61,31 @@ def search_accounts(accounts: DataFrame, question: str, limit: int = 80) -> Data
 
 
 # ------------------------------------------------------------------ many questions (M2)
-#: Letters of the grams that texts are found by; shorter terms are grams themselves.
-GRAM = 3
-
-
-def _grams(text: Column, lengths: Column) -> Column:
-    """Distinct substrings of ``text`` whose length is one of ``lengths`` (array<int>, at most ``GRAM`` of them)."""
-    n = F.length(text)
-    return F.array_distinct(F.flatten(F.transform(F.filter(lengths, lambda L: L <= n), lambda L: F.transform(
-        F.sequence(F.lit(1), n - L + 1), lambda i: F.substring(text, i, L)))))
+#: Rows that the terms are broadcast in.
+TERM_BLOCKS = 16
 
 
 def text_matches(accounts: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
     """(s, kind, domain, _score): for each term its first ``limit`` accounts (score desc, domain asc) that contain it.
 
     accounts: domain, _score, _dom and _hay (texts in lower case; _dom is the start of _hay);
-    terms: s, kind, distinct; kind ``d`` is sought in _dom, ``h`` in _hay. An account is indexed under
-    those of its grams that some term has; a term is looked up under the rarest of its grams
-    only, and what is found is verified. Terms longer than every text and terms one of whose
-    grams no account has are dropped. The index has many rows an account, which its planned size does
-    not show: it is never broadcast."""
-    length = F.least(F.length("s"), F.lit(GRAM))
-    longest = accounts.agg(F.max(F.length("_dom")).alias("_d"), F.max(F.length("_hay")).alias("_h"))
-    terms = attach(terms.where("s <> ''"), longest).where(
-        F.length("s") <= F.when(F.col("kind") == "d", F.col("_d")).otherwise(F.col("_h"))).select("s", "kind")
-    spelled = terms.select("s", "kind", F.explode(_grams(F.col("s"), F.array(length))).alias("g"))
-    index = accounts.select("domain", "_score", "_dom", "_hay", F.explode(_grams(F.col("_hay"), F.array(*map(F.lit, range(1, GRAM + 1))))).alias("g"))
-    index = index.join(spelled.select("g").distinct(), "g", "left_semi")
-    often = index.groupBy("g").agg(F.count(F.lit(1)).alias("_often"))
-    rarest = spelled.join(often, "g", "left").groupBy("s", "kind").agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("n"), "g")).alias("r"))
-    found = rarest.where("r.n > 0").select("s", "kind", F.col("r.g").alias("g")).join(index.hint("merge"), "g")
-    found = found.where(F.when(F.col("kind") == "d", F.col("_dom").contains(F.col("s"))).otherwise(F.col("_hay").contains(F.col("s"))))
-    # exact: a question's first `limit` over the union of its terms' matches are among each
-    # term's first `limit` (planned as WindowGroupLimit: trimmed before the shuffle)
+    terms: s, kind, distinct; kind ``d`` is sought in _dom, ``h`` in _hay. Terms one of whose grams no
+    account has are dropped; the others are broadcast, each with the rarest of its grams. A task finds
+    its accounts' grams among those, verifies the terms that are looked up under them and hands on the
+    first ``limit`` accounts of each: no text is shuffled or sorted."""
+    spelled = terms.where("s <> ''").mapInArrow(G.spelled, "s string, kind string, g int, grams int")
+    often = accounts.select("_hay").mapInArrow(G.counted, "g int, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    rarest = spelled.join(often.hint("merge"), "g").groupBy("s", "kind", "grams").agg(F.min(F.struct("n", "g")).alias("r"), F.count(F.lit(1)).alias("_had"))
+    block = F.pmod(F.xxhash64("s", "kind"), F.lit(TERM_BLOCKS))
+    blocks = rarest.where("_had = grams").groupBy(block.alias("_block")).agg(
+        F.collect_list(F.struct("s", "kind", F.col("r.g").alias("g"))).alias("_terms")).select("_terms")
+    # the first account of a partition brings all terms into its task; a row without terms brings every account
+    no_terms = accounts.sparkSession.range(1).select(F.lit(None).cast(blocks.schema["_terms"].dataType).alias("_terms"))
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    texts = accounts.select("domain", "_score", F.octet_length("_dom").alias("_n"), "_hay", first.alias("_first"))
+    dealt = texts.join(F.broadcast(blocks.unionByName(no_terms)), F.col("_terms").isNull() | F.col("_first"))
+    found = dealt.mapInArrow(G.first_matches(limit), "s string, kind string, domain string, _score double")
+    # exact: a question's first `limit` over the union of its terms' matches are among each term's first `limit`
     w = Window.partitionBy("s", "kind").orderBy(F.desc("_score"), F.asc("domain"))
     return found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit).select("s", "kind", "domain", "_score")
 
@@ -111,7 +103,7 @@ def search_batch(accounts: DataFrame, questions: DataFrame, limit: int = 80,
     """Search for a whole table of questions without a questions x accounts product.
 
     * substring rules (:func:`text_matches`): each distinct term of all questions is looked
-      up once, under its rarest gram, in a gram index of the accounts, and verified; each
+      up once, under its rarest gram, in one pass over the accounts, and verified; each
       term keeps only its top-``limit`` accounts, joined back to the questions by the term;
     * keyword rules are per (question, keyword group): each group's top-``limit``
       accounts are ranked once and joined to the questions that mention the group;
@@ -130,8 +122,11 @@ def search_batch(accounts: DataFrame, questions: DataFrame, limit: int = 80,
          .otherwise(F.array().cast("array<struct<s:string,kind:string>>")),
         F.transform(F.filter(toks, lambda t: t.contains(".")), lambda t: F.struct(t.alias("s"), F.lit("d").alias("kind"))),
         F.transform(F.filter(toks, lambda t: F.length(t) >= 3), lambda t: F.struct(t.alias("s"), F.lit("h").alias("kind"))))
-    q_terms = q.select("question_id", F.explode(qterms).alias("t")).select("question_id", "t.s", "t.kind").distinct()
     texts = acc.select("domain", "_score", F.lower(F.coalesce(F.col("domain"), F.lit(""))).alias("_dom"), haystack().alias("_hay"))
+    # a term longer than every text, as most whole questions are, is not shuffled
+    longest = texts.agg(F.max(F.length("_dom")).alias("d"), F.max(F.length("_hay")).alias("h"))
+    q_terms = attach(q.select("question_id", F.explode(F.array_distinct(qterms)).alias("t")).select("question_id", "t.s", "t.kind"), longest).where(
+        F.length("s") <= F.when(F.col("kind") == "d", F.col("d")).otherwise(F.col("h"))).select("question_id", "s", "kind")
     by_term = text_matches(texts, q_terms.select("s", "kind").distinct(), limit)
     # both sides are many rows a question: neither is broadcast for the small size of its files
     matched = q_terms.join(by_term.hint("merge"), ["s", "kind"]).select("question_id", "domain", "_score")
@@ -153,20 +148,22 @@ def search_batch(accounts: DataFrame, questions: DataFrame, limit: int = 80,
     qgroups = q.select("question_id", F.explode(qgids).alias("group_id"))
     kw_matches = qgroups.join(F.broadcast(group_top), "group_id").select("question_id", "domain", "_score")
 
-    matches = matched.unionByName(kw_matches).distinct()
-    w = Window.partitionBy("question_id").orderBy(F.desc("_score"), F.asc("domain"))
-    ranked = matches.withColumn("search_rank", F.row_number().over(w)).filter(F.col("search_rank") <= limit)
-
-    # fallback: questions without any match (or empty) -> global top-`limit` (1-row scalar)
+    # one shuffle by question: equal rows share a rank, and a row for the question itself comes after its
+    # matches: where that is the first, there is none and the global top-`limit` (1-row scalar) takes its place
+    asked = q.where(F.col("question_id").isNotNull()).groupBy("question_id").agg(F.count(F.lit(1)).alias("_asked"))
+    matches = matched.unionByName(kw_matches).unionByName(asked, allowMissingColumns=True)
+    w = Window.partitionBy("question_id").orderBy(F.asc_nulls_first("_asked"), F.desc("_score"), F.asc("domain"))
+    ranked = matches.withColumn("search_rank", F.dense_rank().over(w)).filter(F.col("search_rank") <= limit).distinct()
     top = top_list(acc, limit, "_score")
-    unmatched = q.select("question_id").join(ranked.select("question_id").distinct(), "question_id", "left_anti")
-    fallback = (attach(unmatched, top)
-                .select("question_id", F.posexplode("top").alias("pos", "t"))
-                .select("question_id", F.col("t.domain").alias("domain"), F.col("t.score").alias("_score"),
-                        (F.col("pos") + 1).alias("search_rank")))
-    out = ranked.unionByName(fallback)
-    return out.select("question_id", F.col("search_rank").cast("int").alias("search_rank"), "domain",
-                      F.col("_score").alias("opportunity_score"))
+    listed = F.transform("top", lambda t, i: F.struct((i + 1).alias("search_rank"), t["domain"].alias("domain"), t["score"].alias("_score")))
+    own = F.array(F.struct("search_rank", "domain", "_score"))
+    out = (attach(ranked.filter(F.col("_asked").isNull() | (F.col("search_rank") == 1)), top)
+           .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce("_asked", F.lit(1)))))
+           .select("question_id", F.explode(F.when(F.col("_asked").isNull(), own).otherwise(listed)).alias("t")))
+    # no match is known by a missing id
+    unnamed = attach(q.where(F.col("question_id").isNull()).select("question_id"), top).select("question_id", F.explode(listed).alias("t"))
+    return out.unionByName(unnamed).select("question_id", F.col("t.search_rank").cast("int").alias("search_rank"), F.col("t.domain").alias("domain"),
+                                           F.col("t._score").alias("opportunity_score"))
 
 
 # ------------------------------------------------------------------ radar / facets / stats

@@ -243,7 +243,8 @@ def q_search_batch(spark, d):
 @register("search_batch_many")
 def q_search_batch_many(spark, d):
     """The same questions to many accounts."""
-    return SE.search_batch(written(spark, d, "scored_many", lambda s, x: SC.scored_accounts(many_accounts(s, x))), user_questions(spark, d), 80)
+    many = written(spark, d, "scored_many", lambda s, x: SC.scored_accounts(many_accounts(s, x), M.sightings(observations(s, x))))
+    return SE.search_batch(many, user_questions(spark, d), 80)
 
 
 @register("explore_evidence")

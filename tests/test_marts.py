@@ -10,7 +10,10 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from scanmart.operators import marts as M
+from scanmart.operators import scoring as SC
 
 SCHEMA = ("timestamp string, ip_str string, hostname string, port int, service_category string, "
           "cloud_present boolean, cloud_provider string, country_code string, region_code string, "
@@ -130,3 +133,19 @@ def test_org_mart_brute_force(spark):
     assert got == want
     ips = M.org_ips(df).filter("canonical_org = 'hot'").count()
     assert ips == want["hot"][1]
+
+
+def test_reference_time_from_the_sightings(spark):
+    """The latest time of all accounts from the observations: same scores, and the accounts' facts are shuffled once."""
+    rows = _rows()
+    late = ["2031-01-01T00:00:00" if c == "timestamp" else [] if c == "registrable_domains" else v
+            for c, v in zip((c.split()[0] for c in SCHEMA.split(", ")), rows[0])]
+    obs = spark.createDataFrame([*rows, tuple(late)], SCHEMA)
+    accounts = M.accounts_mart(obs)
+    other, same = SC.scored_accounts(accounts), SC.scored_accounts(accounts, M.sightings(obs))
+    assert same.columns == other.columns and same.count() == other.count() > 3
+    assert not other.exceptAll(same).count()
+    latest = lambda df: df.agg(F.max("last_seen")).first()[0]
+    assert latest(M.sightings(obs)) == latest(accounts) == dt.datetime(2024, 1, 28, 10)
+    moved = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(domain")
+    assert 2 * moved(same) == moved(other) > 0
